@@ -92,6 +92,6 @@ f AS (SELECT DISTINCT e.* FROM e JOIN few USING (doc_id, item_id, shift)),
 spots AS (SELECT doc_id, item_id, shift, size, s FROM (SELECT DISTINCT doc_id, item_id, shift, size FROM f), generate_series(0, size - {window}) g(s)),
 ok AS (SELECT a.doc_id, a.item_id, a.shift, a.s FROM spots a JOIN f ON a.doc_id = f.doc_id AND a.item_id = f.item_id AND a.shift = f.shift AND f.p BETWEEN a.s AND a.s + {window - 1} GROUP BY ALL HAVING count(*) >= {need}),
 n AS (SELECT doc_id, item_id, shift, count(*) AS n_equal FROM f GROUP BY ALL),
-r AS (SELECT doc_id, item_id, shift, shift + min(s) AS start_word, max(s) - min(s) + {window} AS n_words, any_value(n_equal) AS n_equal FROM ok JOIN n USING (doc_id, item_id, shift) GROUP BY ALL)
+r AS (SELECT doc_id, item_id, shift, shift + min(s) AS start_word, max(s) - min(s) + {window} AS n_words, any_value(n_equal) AS n_equal FROM ok JOIN n USING (doc_id, item_id, shift) GROUP BY doc_id, item_id, shift)
 SELECT doc_id, item_id, start_word, n_words, n_equal FROM r
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, n_words DESC, start_word) = 1"""
