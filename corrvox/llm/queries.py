@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrvox.llm import decontam, exact_dedup, html_text, jaccard_join, language_id, packing, sharding, token_files
+from corrvox.llm import decontam, exact_dedup, html_text, jaccard_join, language_id, packing, sharding, token_files, toxicity
 from corrvox.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html_text": op5_html_text,
         "op6_packing": op6_packing,
         "op7_token_files": op7_token_files,
+        "op8_toxicity": op8_toxicity,
         "op9_decontamination": op9_decontamination,
         "op10_sharding": op10_sharding,
     }
