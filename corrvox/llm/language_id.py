@@ -274,6 +274,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) with a language of at least ``min_score``; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                langs, scores = predict(model, part.column(text_col).to_pylist())
+                yield part.filter(pa.array([y != "und" and s >= min_score for y, s in zip(langs, scores, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learned from the rows that aren't held out."""
     model = fit(docs.where(~held_out(F.col("doc_id"))), **kw)

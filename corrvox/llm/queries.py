@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrvox.llm import decontam, exact_dedup, html_text, jaccard_join, language_id, packing, sharding, token_files, toxicity
+from corrvox.llm import decontam, exact_dedup, html_text, jaccard_join, language_id, packing, sharding, substring_dedup, token_files, toxicity
 from corrvox.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_html_text": op5_html_text,
         "op6_packing": op6_packing,
         "op7_token_files": op7_token_files,
