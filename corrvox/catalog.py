@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from corrvox.plans import queries_fields, queries_geometry, queries_metrics, queries_plan, queries_points, queries_samples, queries_solver, queries_text, registry  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
