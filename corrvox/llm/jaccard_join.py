@@ -3,15 +3,15 @@ r"""N-gram Jaccard join by prefix trees.
 Two documents link when 100 * |A and B| >= 80 * |A or B| over their distinct 5-word shingles.
 
 1. Documents with equal sets are one node (its smallest identifier); copies are never paired.
-2. All shingles have one order: those with a low hash (``COUNTED`` of them) come first, rarest
-   first by the number of nodes that hold them, the rest follow by hash. Linked sets share a
-   shingle among the first n - ceil(0.8 n) + 1 of each, and shingles that one node holds can't be
-   shared, so a node posts only the shared ones among its first. Which shingles are counted
-   changes the order but never the links.
-3. Nodes that post the same shingle are candidates. First each is paired with one centre (the
-   smallest) of the shingle's nodes. Then, where nodes of a shingle are still in different
-   components, all their pairs across components are taken, in blocks of ``BLOCK`` x ``BLOCK``.
-   Length and position bounds drop pairs that can't reach the threshold.
+2. All shingles have one order: rarest first by the number of nodes that hold them, then by hash.
+   Linked sets share a shingle among the first n - ceil(0.8 n) + 1 of each, and shingles that one
+   node holds can't be shared, so a node posts only the shared ones among its first.
+3. Nodes that post the same shingle are candidates. In rounds, each shingle's nodes are paired with
+   one pivot, then four (those with the fewest shingles of their own, from different components),
+   until its nodes are one component. Where they still are not, all their pairs across components
+   are looked at: of up to ``FEW`` nodes by a join with length and position bounds, of more nodes by
+   tries of their posted beginnings, in blocks of ``BLOCK`` x ``BLOCK``; a pair comes from the first
+   shingle it shares.
 4. Candidates are verified centre by centre: the partners' sets (ordered by hash, ``BLOCK`` of
    them at most) are stored in a path-compressed trie, the centre's set walks it once, partners
    share the counting of common beginnings, and a subtree is left when its remaining lengths can't
@@ -38,10 +38,12 @@ from corrvox.llm.common import join_small, materialize, partitions, release
 from corrvox.llm.graph import connected_components
 from corrvox.llm.shingles import blocks, shingle_hashes
 
-#: Shingles whose hash is under this share of all hashes are counted over all documents.
-COUNTED = 0.5
 BLOCK = 256
-_LIMIT = np.uint64(int(COUNTED * (1 << 32)) << 32)
+#: Pivots of a shingle in each round, before all pairs across components are taken.
+PIVOTS = (1, 4)
+FEW = 32
+_KEY_BITS = 40
+_MASK = (1 << _KEY_BITS) - 1
 
 
 def prefix_size(n):
@@ -57,22 +59,20 @@ def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, c, fp = [], [], []
+        n, fp = [], []
         for s in _sets(b.column("text").to_pylist()):
             n.append(len(s))
-            c.append(int(np.searchsorted(s, _LIMIT)))
             fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(fp, pa.binary())], names=["doc_id", "n", "c", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary())], names=["doc_id", "n", "fp"])
 
 
 def _packed_shingles(buckets: int):
-    """Of each set the counted shingles, and where these are too few the next ones; packed by bucket of the hash."""
+    """The shingles of all sets, packed by bucket of the hash."""
 
     def flush(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         h = np.concatenate(sets)
         who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        place = ((h >> np.uint64(32)) % np.uint64(1 << 31) * np.uint64(buckets) >> np.uint64(31)).astype(np.int64)
-        place += (h >= _LIMIT) * buckets
+        place = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         h, who, place = h[order], who[order], place[order]
         names, starts = np.unique(place, return_index=True)
@@ -90,12 +90,11 @@ def _packed_shingles(buckets: int):
         size = 0
         for b in batches:
             for doc, s in zip(b.column("doc_id").to_pylist(), _sets(b.column("text").to_pylist()), strict=True):
-                take = max(int(np.searchsorted(s, _LIMIT)), prefix_size(len(s)))
                 if not len(s):
                     continue
                 ids.append(doc)
-                sets.append(s[:take])
-                size += take
+                sets.append(s)
+                size += len(s)
                 if size >= 1_000_000 or len(ids) >= 60_000:
                     yield flush(ids, sets)
                     ids, sets, size = [], [], 0
@@ -105,7 +104,7 @@ def _packed_shingles(buckets: int):
     return run
 
 
-def _shared(buckets: int):
+def _shared():
     """Rows (rep, key, df) of the shingles of a bucket that two nodes hold at least; input sorted by bucket."""
 
     def close(bucket: int, held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -140,20 +139,26 @@ def _shared(buckets: int):
 
 
 class Trie:
-    """A path-compressed trie of sorted 64-bit sequences; ``linked`` finds those whose Jaccard similarity with a set is 0.8 or more."""
+    """A path-compressed trie of ascending 64-bit sequences, which are sets or the beginnings of sets.
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
+    ``sizes``: of the whole sets; ``lone``: how many members come before the sequence and match nothing.
+    ``linked`` finds the sets whose Jaccard similarity with another can be 0.8 or more: exact for whole
+    sets, an upper bound for beginnings.
+    """
+
+    def __init__(self, sets: list[np.ndarray], sizes: list[int] | None = None, lone: list[int] | None = None) -> None:
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         self.sets = [sets[i] for i in self.order]
+        self.sizes = [len(s) for s in self.sets] if sizes is None else [sizes[i] for i in self.order]
+        self.rest = self.sizes if lone is None else [sizes[i] - lone[i] for i in self.order]
         self.root = self._build(0, len(self.sets), 0) if sets else None
 
     def _build(self, lo: int, hi: int, depth: int) -> tuple:
-        """(edge, depth after it, sets that end here, children, least and most length below)."""
+        """(edge, depth before it, sets that end here, children, least size and most rest below)."""
         a, z = self.sets[lo], self.sets[hi - 1]
         m = min(len(a), len(z))
         differ = np.flatnonzero(a[depth:m] != z[depth:m])
         to = depth + int(differ[0]) if len(differ) else m
-        sizes = [len(s) for s in self.sets[lo:hi]]
         ends = [i for i in range(lo, hi) if len(self.sets[i]) == to]
         children, i = [], lo + len(ends)
         while i < hi:
@@ -162,22 +167,29 @@ class Trie:
                 j += 1
             children.append(self._build(i, j, to))
             i = j
-        return a[depth:to], to, ends, children, min(sizes), max(sizes)
+        return a[depth:to], depth, ends, children, min(self.sizes[lo:hi]), max(self.rest[lo:hi])
 
-    def linked(self, probe: np.ndarray) -> list[int]:
-        found, size = [], len(probe)
-        stack = [(self.root, 0)] if self.root else []
+    def linked(self, probe: np.ndarray, size: int | None = None, lone: int = 0, first: int = 0) -> list[int]:
+        """``first``: leave subtrees that share something before it (their pairs come from there)."""
+        size = len(probe) if size is None else size
+        found: list[int] = []
+        stack = [(self.root, 0, 0)] if self.root and len(probe) else []
         while stack:
-            (edge, depth, ends, children, least, most), overlap = stack.pop()
-            used = 0
+            (edge, depth, ends, children, least, most), overlap, used = stack.pop()
             if len(edge):
                 at = np.searchsorted(probe, edge)
-                overlap += int((probe[np.minimum(at, size - 1)] == edge).sum())
+                match = probe[np.minimum(at, len(probe) - 1)] == edge
+                if first and not overlap and match.any() and edge[match.argmax()] < first:
+                    continue
+                overlap += int(match.sum())
                 used = int(np.searchsorted(probe, edge[-1], "right"))
-            if 9 * (overlap + min(size - used, most - depth)) < 4 * (size + least):
+                # Members beyond the probe's last known one may still match what follows it.
+                depth += len(edge) if edge[-1] <= probe[-1] else int(np.searchsorted(edge, probe[-1], "right"))
+            left = size - lone - used
+            if 9 * (overlap + min(left, most - depth)) < 4 * (size + least):
                 continue
-            found.extend(self.order[i] for i in ends if 9 * overlap >= 4 * (size + depth))
-            stack.extend((c, overlap) for c in children)
+            found.extend(self.order[i] for i in ends if 9 * (overlap + min(left, self.rest[i] - depth)) >= 4 * (size + self.sizes[i]))
+            stack.extend((c, overlap, used) for c in children)
         return found
 
 
@@ -235,59 +247,165 @@ def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _possible(a: str, b: str) -> F.Column:
-    """Length and position bounds of two postings of one shingle (structs of rep, n, pos)."""
+    """Length and position bounds of two postings (structs of rep, n, pos) of the first shingle that a pair shares.
+
+    What comes before it matches nothing, so the overlap is at most what is left of either set. A linked
+    pair passes at its first shared shingle; at others it need not.
+    """
     na, nb, pa_, pb = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    most = F.least(pa_, pb) + F.least(na - pa_, nb - pb)
+    most = F.least(na - pa_, nb - pb)
     return (F.col(f"{a}.rep") != F.col(f"{b}.rep")) & (9 * most >= 4 * (na + nb))
 
 
-def _pairs_across(postings: DataFrame, labels: DataFrame) -> DataFrame:
+def _ordered(p: str, q: str) -> list[F.Column]:
+    return [F.least(f"{p}.rep", f"{q}.rep").alias("a"), F.greatest(f"{p}.rep", f"{q}.rep").alias("b")]
+
+
+def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings with the component of their node, of the shingles whose nodes have several."""
+    if labels is None:
+        return postings.withColumn("label", F.col("rep"))
+    own = postings.join(labels, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    open_ = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+    return materialize(own.join(open_, "key"), "open")
+
+
+def _pivot_pairs(own: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of nodes with ``most`` pivots of their shingle (each of another component, those with the fewest own shingles)."""
+    best = own.groupBy("key", "label").agg(F.min(F.struct("own", "rep", "n", "pos")).alias("q"))
+    if most == 1:
+        best = best.groupBy("key").agg(F.min("q").alias("q"))
+    else:
+        best = best.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("q"))).where(F.col("k") <= most).select("key", "q", F.col("label").alias("label2"))
+    both = own.select("key", "label", F.struct("rep", "n", "pos").alias("p")).join(best, "key").where(_possible("p", "q"))
+    return (both if most == 1 else both.where("label != label2")).select(*_ordered("p", "q")).distinct()
+
+
+def _pairs_of_few(own: DataFrame) -> DataFrame:
+    p, q = F.struct("rep", "n", "pos"), F.struct("rep", "n", "pos")
+    left, right = own.select("key", "label", p.alias("p")), own.select("key", F.col("label").alias("label2"), q.alias("q"))
+    both = left.join(right, "key").where((F.col("label") != F.col("label2")) & (F.col("p.rep") < F.col("q.rep")) & _possible("p", "q"))
+    return both.select(*_ordered("p", "q")).distinct()
+
+
+def _beginning_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, block, other, side): pairs of a block with another that their beginnings allow."""
+    now, sides = None, ([], [])
+
+    def close() -> list[tuple[int, int]]:
+        a, b = sides
+        if not a:
+            return []
+        same = now[1] == now[2]
+        held = a if same else b
+        if not held:
+            return []
+        trie = Trie([x[4] for x in held], [x[2] for x in held], [x[3] for x in held])
+        seq = a[0][4]
+        first = int(seq[(seq & np.uint64(_MASK)) == np.uint64(now[0] & _MASK)][0])
+        out = []
+        for rep, label, n, lone, seq in a:
+            for i in trie.linked(seq, n, lone, first):
+                rep2, label2 = held[i][:2]
+                if label != label2 and (not same or rep < rep2):
+                    out.append((min(rep, rep2), max(rep, rep2)))
+        return out
+
+    out: list[tuple[int, int]] = []
+    for batch in batches:
+        for key, block, other, side, rep, label, n, lone, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, block, other) != now:
+                out += close()
+                now, sides = (key, block, other), ([], [])
+            sides[side].append((rep, label, n, lone, np.frombuffer(seq, np.uint64)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            out = []
+    out = close()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+
+def _sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A node's posted shingles (df, key) as ascending numbers, rarest first."""
+    for b in batches:
+        seqs = []
+        for tokens in b.column("tokens").to_pylist():
+            seqs.append(np.sort(np.array([min(t["df"], (1 << (63 - _KEY_BITS)) - 1) << _KEY_BITS | t["key"] & _MASK for t in tokens], np.uint64)).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(seqs, pa.binary())], names=["rep", "seq"])
+
+
+def _pairs_of_many(own: DataFrame, postings: DataFrame) -> DataFrame:
+    need = own.select("rep").distinct()
+    seqs = postings.join(need, "rep", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("df", "key")).alias("tokens"))  # of one node
+    rows = own.join(seqs.mapInArrow(_sequence, "rep long, seq binary"), "rep")
+    rows = rows.withColumn("m", F.ceil(F.col("k") / BLOCK)).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("m")))
+    cols = ["rep", "label", "n", "lone", "seq"]
+    left = rows.select("key", F.col("at").alias("block"), F.explode(F.sequence(F.col("at"), F.col("m") - 1)).alias("other"), F.lit(0).alias("side"), *cols)
+    right = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("at"))).alias("block"), F.col("at").alias("other"), F.lit(1).alias("side"), *cols).where("block != other")
+    dealt = left.unionByName(right).repartition(partitions(own.sparkSession), "key", "block", "other").sortWithinPartitions("key", "block", "other", "side")
+    return dealt.mapInArrow(_beginning_pairs, "a long, b long").distinct()
+
+
+def _pairs_across(own: DataFrame, postings: DataFrame) -> DataFrame:
     """All possible pairs (a, b) of one shingle whose nodes have different labels."""
-    own = postings.join(labels, "rep", "left").withColumn("label", F.coalesce("component", "rep"))
-    open_ = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo != hi").select("key", "k")
-    rows = own.join(open_, "key").select("key", "label", F.struct("rep", "n", "pos").alias("p"), F.ceil(F.col("k") / BLOCK).alias("m")).withColumn("block", F.pmod(F.xxhash64("p.rep"), F.col("m")))
-    left = rows.select("key", "label", "p", "block", F.explode(F.sequence(F.col("block"), F.col("m") - 1)).alias("other"))
-    right = rows.select("key", F.col("label").alias("label2"), F.col("p").alias("q"), F.col("block").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("block"))
-    both = left.join(right, ["key", "block", "other"]).where((F.col("label") != F.col("label2")) & _possible("p", "q") & ((F.col("block") != F.col("other")) | (F.col("p.rep") < F.col("q.rep"))))
-    return both.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
+    sized = materialize(own.join(own.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "key"), "sized")
+    many = sized.where(F.col("k") > FEW)
+    few = _pairs_of_few(sized.where(F.col("k") <= FEW))
+    if not many.limit(1).count():
+        return few
+    return few.unionByName(_pairs_of_many(many, postings)).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = materialize(rows.mapInArrow(_signatures, "doc_id long, n long, c long, fp binary"), "sigs")
+    sigs = materialize(rows.mapInArrow(_signatures, "doc_id long, n long, fp binary"), "sigs")
     full = sigs.where("n > 0 and doc_id is not null")
-    reps = materialize(full.groupBy("fp", "n", "c").agg(F.min("doc_id").alias("rep")), "reps")
-    total = reps.agg(F.sum("c")).first()[0] or 0
+    reps = materialize(full.groupBy("fp", "n").agg(F.min("doc_id").alias("rep")), "reps")
+    total = reps.agg(F.sum("n")).first()[0] or 0
     parts = partitions(spark)
     buckets = max(parts, -(-total // 1_500_000))
     nodes = rows.join(reps.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     packed = nodes.mapInArrow(_packed_shingles(buckets), "bucket int, low binary, who binary, reps binary")
-    shared = packed.repartition(max(parts, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets), "rep long, key long, df long")
+    shared = packed.repartition(max(parts, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(), "rep long, key long, df long")
     shared = materialize(shared, "shared")
 
-    head = reps.groupBy("rep").agg(F.max("n").alias("n"), F.max("c").alias("c"))
-    counted = F.shiftright("key", 32) < buckets
+    head = reps.groupBy("rep").agg(F.max("n").alias("n"))
     by = Window.partitionBy("rep")
     placed = shared.join(head, "rep").select(
-        "rep", "key", "n", "c",
-        F.sum(counted.cast("long")).over(by).alias("shared_counted"),
-        F.row_number().over(by.orderBy((~counted).cast("int"), "df", "key")).alias("rank"),
+        "rep", "key", "df", "n",
+        (F.col("n") - F.count(F.lit(1)).over(by)).alias("lone"),
+        F.row_number().over(by.orderBy("df", "key")).alias("rank"),
     )
-    pos = F.col("c") - F.col("shared_counted") + F.col("rank") - 1
     size = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1
-    postings = materialize(placed.select("rep", "key", "n", pos.alias("pos"), size.alias("size")).where("pos < size").drop("size"), "postings")
+    placed = placed.select("rep", "key", "n", (F.col("lone") + F.col("rank") - 1).alias("pos"), (F.col("lone") / F.col("n")).alias("own"), "lone", "df", size.alias("size"))
+    postings = materialize(placed.where("pos < size").drop("size"), "postings")
     release(shared)
 
-    centre = postings.groupBy("key").agg(F.min(F.struct("rep", "n", "pos")).alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    star = postings.join(centre, "key").select("centre", F.struct("rep", "n", "pos").alias("p")).where(_possible("centre", "p"))
-    links = _links(rows, materialize(star.select(F.col("centre.rep").alias("a"), F.col("p.rep").alias("b")).distinct(), "pairs"))
-    labels = materialize(connected_components(links).withColumnRenamed("node", "rep"), "labels")
-    rest = materialize(_pairs_across(postings, labels), "pairs")
-    if rest.limit(1).count():
-        links = links.unionByName(_links(rows, rest))
+    links: DataFrame | None = None
+    tried: DataFrame | None = None
+    labels: DataFrame | None = None
+    for most in (*PIVOTS, None):
+        own = _labelled(postings, labels)
+        pairs = _pivot_pairs(own, most) if most else _pairs_across(own, postings)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if not pairs.limit(1).count():
+            if most and labels is not None:
+                continue
+            break
+        new = _links(rows, pairs)
+        links = new if links is None else links.unionByName(new)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         labels = materialize(connected_components(links).withColumnRenamed("node", "rep"), "labels")
-    named = reps.select("fp", "n", "rep").join(labels, "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("component"))
+    named = reps.select("fp", "n", "rep")
+    if labels is not None:
+        named = named.join(labels, "rep", "left")
+    else:
+        named = named.withColumn("component", F.col("rep"))
+    named = named.select("fp", "n", F.coalesce("component", "rep").alias("component"))
     out = sigs.join(named, ["fp", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))

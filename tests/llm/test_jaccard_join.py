@@ -73,6 +73,8 @@ def test_blocks_and_hot_shingles(spark, monkeypatch):
     import corrvox.llm.jaccard_join as j
 
     monkeypatch.setattr(j, "BLOCK", 3)
+    monkeypatch.setattr(j, "FEW", 2)
+    monkeypatch.setattr(j, "PIVOTS", ())
     rows = near_copies(5, groups=3, copies=30, words=(30, 40), edits=3)
     assert got(spark, rows) == brute(rows)
 
@@ -97,5 +99,16 @@ def test_trie_is_exact():
         assert set(Trie(sets).linked(probe)) == want
 
 
+def test_trie_of_beginnings_drops_no_link():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        base = np.unique(rng.integers(0, 300, 40)).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.93], rng.integers(0, 300, rng.integers(0, 5)).astype(np.uint64)])) for _ in range(10)]
+        cut = [(s[int(lone) :][: prefix_size(len(s))], len(s), int(lone)) for s in sets for lone in [0]]
+        trie = Trie([c[0] for c in cut[1:]], [c[1] for c in cut[1:]], [c[2] for c in cut[1:]])
+        want = {i for i, s in enumerate(sets[1:]) if 100 * len(np.intersect1d(s, sets[0])) >= 80 * len(np.union1d(s, sets[0]))}
+        assert want <= set(trie.linked(*cut[0]))
+
+
 def test_prefix_size():
     assert [prefix_size(n) for n in (1, 4, 5, 6, 10)] == [1, 1, 2, 2, 3]
