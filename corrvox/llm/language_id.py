@@ -161,7 +161,7 @@ def windows_of(data: bytes, window: int = WINDOW) -> np.ndarray:
     return np.frombuffer(data.ljust(n, b"\0"), np.uint8).reshape(-1, window)
 
 
-def train(samples: list[tuple[str, str]], hidden: int = HIDDEN, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 0) -> Model:
+def train(samples: list[tuple[str, str]], hidden: int = HIDDEN, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 0, least_steps: int = 150) -> Model:
     """Fit to (text, lang) pairs; the same pairs in any order give the same network."""
     samples = sorted(samples)
     langs = sorted({y for _, y in samples})
@@ -174,6 +174,7 @@ def train(samples: list[tuple[str, str]], hidden: int = HIDDEN, epochs: int = 6,
     rng = np.random.default_rng(seed)
     ps = model.arrays()
     m1, m2 = [np.zeros_like(p) for p in ps], [np.zeros_like(p) for p in ps]
+    epochs = max(epochs, -(-least_steps * batch // len(x)) if len(x) >= batch else least_steps)
     steps, step = epochs * -(-len(x) // batch), 0
     for _ in range(epochs):
         order = rng.permutation(len(x))
