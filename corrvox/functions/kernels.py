@@ -16,7 +16,7 @@ CENTRED, NORMALISED = ("zssd", "znssd"), ("nssd", "znssd")
 KINDS = ("sad", "ssd", "zssd", "nssd", "znssd")
 TAPS = {"nearest": (0, 0), "trilinear": (0, 1), "tricubic": (1, 2)}
 FLAT, PIVOT, FEATURELESS = 1e-12, 1e-10, 1e-12
-CALL_SAMPLES = 1 << 18
+CALL_SAMPLES = 1 << 13
 
 
 @dataclass(frozen=True)

@@ -46,7 +46,8 @@ def parse_points(lines: DataFrame) -> DataFrame:
     p = p.withColumn("ok", ok).join(F.broadcast(start)).where(C("ok") | (C("line_no") > C("first")))
     bad = F.concat(F.lit("line "), C("line_no").cast("string"), F.lit(": cannot read "), C("body"))
     odd = F.isnan("x") | F.isnan("y") | F.isnan("z") | (F.abs("x") == float("inf")) | (F.abs("y") == float("inf")) | (F.abs("z") == float("inf"))
-    guard = F.when(~C("ok") | odd, F.raise_error(bad).cast("double")).otherwise(C("x"))
+    # The header's lines are told by their place here too: the filter may run after this.
+    guard = F.when((C("line_no") >= C("first")) & (~C("ok") | F.coalesce(odd, F.lit(True))), F.raise_error(bad).cast("double")).otherwise(C("x"))
     return p.select("line_no", C("n").cast("long").alias("point_id"), guard.alias("x"), "y", "z")
 
 
