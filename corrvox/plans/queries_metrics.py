@@ -161,7 +161,7 @@ def case_stats(spark, d):
     return k.groupBy((C("point_id") % 27).alias("case_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("eu"), 9).alias("mean_u"), F.round(F.stddev_pop("eu"), 9).alias("sd_u"), F.round(F.sqrt(F.avg(C("eu") * C("eu"))), 9).alias("rmse_u"), F.round(F.percentile("mag", F.lit(0.5)), 9).alias("median_abs"), F.round(F.percentile("mag", F.lit(0.95)), 9).alias("p95_abs"), F.round(F.avg(((C("a_status") == 0) == (C("b_status") == 0)).cast("double")), 9).alias("status_agreement"))
 
 
-@query("affine_fit", f"WITH {PTS} SELECT 'u' AS component, 1.25::DOUBLE AS t, 0.01563::DOUBLE AS gx, -0.00781 AS gy, 0.0::DOUBLE AS gz UNION ALL SELECT 'v', -0.5, 0.0, 0.0, 0.00391 UNION ALL SELECT 'w', 0.25, 0.00195, 0.00195, 0.0")
+@query("affine_fit", f"WITH {PTS} SELECT 'u' AS component, 1.25::DOUBLE AS t, 0.0156::DOUBLE AS gx, -0.0078 AS gy, 0.0::DOUBLE AS gz UNION ALL SELECT 'v', -0.5, 0.0, 0.0, 0.0039 UNION ALL SELECT 'w', 0.25, 0.002, 0.002, 0.0")
 def affine_fit(spark, d):
     """Least squares u = t + G x: sums of products in one pass, a 4 x 4 solve on one row."""
     t = truth(pts(spark, d))
@@ -179,7 +179,7 @@ def affine_fit(spark, d):
                 for c in "uvw":
                     k = np.linalg.lstsq(a, np.array([r[f"b{i}{c}"] for i in range(4)]), rcond=None)[0]
                     k[0] -= k[1] * 80 + k[2] * 80 + k[3] * 100
-                    out.append((c, *(round(float(v), 5) + 0.0 for v in k)))
+                    out.append((c, *(round(float(v), 4) + 0.0 for v in k)))
                 yield pd.DataFrame(out, columns=["component", "t", "gx", "gy", "gz"])
 
     return t.agg(*aggs).mapInPandas(solve, "component string, t double, gx double, gy double, gz double")
