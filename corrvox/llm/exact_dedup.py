@@ -1,9 +1,10 @@
 r"""Exact dedup by content sort.
 
 Texts are equal when they are identical after every run of ``[\x20\x09-\x0D]`` is one space.
-Sampled splitters (``repartitionByRange``) range-partition the normalised bytes together with the
-row's identifier, Spark's external sort places equal texts next to each other, and each row is
-compared in full with its neighbour. The identifier is part of the sort key, so a group that holds
+Sampled splitters (``repartitionByRange``) range-partition the normalised bytes: by the first ``HEAD``
+of them, then a digest of all, then the row's identifier, so that a splitter is short however long
+texts are. Spark's external sort places equal texts next to each other, and each row is compared
+in full with its neighbour. The identifier is part of the key, so a group that holds
 a third of all rows is cut over as many partitions as it fills; runs that cross a partition edge
 are joined afterwards from one summary row per edge.
 
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from corrvox.llm.common import materialize, partitions
 
+HEAD = 64
 SPACES = r"[\x20\x09-\x0D]+"
 
 _RUNS = T.StructType([
@@ -85,8 +87,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     norm = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     ordered = (
         norm.withColumn("text_sha256", F.sha2(F.encode("norm", "UTF-8"), 256))
-        .repartitionByRange(parts, F.col("norm"), F.col("doc_id").asc_nulls_last())
-        .sortWithinPartitions("norm", F.col("doc_id").asc_nulls_last())
+        .withColumn("head", F.substring("norm", 1, HEAD))
+        .repartitionByRange(parts, "head", "text_sha256", F.col("doc_id").asc_nulls_last())
+        .sortWithinPartitions("head", "text_sha256", "norm", F.col("doc_id").asc_nulls_last())
+        .drop("head")
     )
     rows = materialize(ordered.mapInArrow(_number_runs, _RUNS), "runs")
 
