@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrvox.llm.common import materialize
-from corrvox.llm.tokens import encoder
+from corrvox.llm.tokens import chunks, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -33,13 +33,14 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, drops_spaces)
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
+            for lo, hi in chunks(b.column("text")):
+                part = b.slice(lo, hi - lo)
                 rows: list[tuple] = []
-                for doc, raw in zip(part.column("doc_id").to_pylist(), enc.ids(part.column("text").to_pylist()), strict=True):
-                    for i, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        ids = raw[at : at + 4 * capacity]
-                        rows.append((doc, i, at // 4, len(ids) // 4, zlib.crc32(ids)))
+                flat, starts = enc.column(part.column("text"))
+                for doc, a, z in zip(part.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    for i, at in enumerate(range(a, z, capacity)):
+                        ids = flat[at : min(z, at + capacity)]
+                        rows.append((doc, i, at - a, len(ids), zlib.crc32(ids)))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -9,10 +9,11 @@ descriptor byte and a magic number. Readers fetch the tail, the index and the fr
 need; each frame is checked against its checksum.
 
 Documents are written in ascending order of identifier. Sampled splitters range-partition the
-rows by (identifier, text), each partition is one file, and the running totals of the partitions
+rows by (identifier, first characters and hash of the text), each partition is one file, and the running totals of the partitions
 (one row each) give every document's start. A task writes under a temporary name and renames, so
 a retry leaves the same file. Null text counts as empty and has the end id alone. Null identifiers
-come first. Repeated identifiers keep a place each, in order of text. An empty table gives no file.
+come first. Repeated identifiers keep a place each, in
+order of the text's first 64 characters. An empty table gives no file.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrvox.llm.common import materialize, new_path, partitions
-from corrvox.llm.tokens import encoder
+from corrvox.llm.tokens import chunks, encoder
 
 # Fixed values of the public seekable zstandard layout.
 SKIPPABLE_MAGIC, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -132,8 +133,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
     out_dir = out_dir or new_path(spark, "tokens")
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .repartitionByRange(parts or partitions(spark), "doc_id", "text")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("head", F.substring("text", 1, 64))
+        .repartitionByRange(parts or partitions(spark), "doc_id", "head", F.xxhash64("text"))
+        .sortWithinPartitions("doc_id", "head", F.xxhash64("text"), "text")
+        .drop("head")
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +153,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
                 sink = fs.open_output_stream(tmp)
                 writer = FrameWriter(sink, wide, frame_ids)
             texts, ids = b.column("text"), b.column("doc_id").to_pylist()
-            for k in range(0, b.num_rows, 256):
-                for doc, raw in zip(ids[k : k + 256], enc.ids(texts.slice(k, 256).to_pylist()), strict=True):
-                    writer.add(doc, np.frombuffer(raw, "<u4"))
+            for a, z in chunks(texts):
+                flat, starts = enc.column(texts.slice(a, z - a))
+                for doc, x, y in zip(ids[a:z], starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    writer.add(doc, flat[x:y])
             n += b.num_rows
         if sink is not None:
             size = writer.close()
@@ -163,8 +167,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
     return materialize(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
-def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """A row for each document in the files: doc_id, start, n_tokens, ids_crc32, ids (binary, 32 bits each)."""
+def read_token_files(spark: SparkSession, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """A row for each document in the files: doc_id, start, n_tokens, ids_crc32 and, if wanted, ids (binary, 32 bits each)."""
     files = manifest.select("part", "file", "n_ids", "n_bytes").orderBy("part").collect()  # a row for each file
     base, total = {}, 0
     for r in files:
@@ -181,7 +185,8 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         raw = [r.ids(x).astype("<u4").tobytes() for x in rows]
                         starts = row["first"] + np.concatenate([[0], np.cumsum(rows["n"][:-1])]).astype(np.int64)
                         row["first"] += int(rows["n"].sum())
-                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rows["doc_id"].astype(np.int64), mask=rows["null"] != 0), "start": pa.array(starts), "n_tokens": pa.array(rows["n"].astype(np.int64)), "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()), "ids": pa.array(raw, pa.binary())})
+                        cols = {"doc_id": pa.array(rows["doc_id"].astype(np.int64), mask=rows["null"] != 0), "start": pa.array(starts), "n_tokens": pa.array(rows["n"].astype(np.int64)), "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64())}
+                        yield pa.RecordBatch.from_pydict(cols | ({"ids": pa.array(raw, pa.binary())} if with_ids else {}))
 
     todo = spark.createDataFrame([(r["file"], r["n_bytes"], base[r["part"]]) for r in files], "file string, n_bytes long, first long")
-    return todo.repartition(max(1, len(files))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return todo.repartition(max(1, len(files))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

@@ -11,51 +11,170 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Any white space that isn't one space or one line feed between visible characters.
 _ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+#: The same, and NUL, for the regular expressions of Arrow.
+_ODD_RE2 = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_GAP = re.compile(r"\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _byte_chars() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the characters from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class WordEncoder:
     """``ids(text)``: little-endian unsigned 32-bit ids of ``text`` (null: none) and the end id, as bytes."""
 
-    def __init__(self, path: str, drops_spaces: bool, end: int | None = 0, memo: int = 700_000) -> None:
+    def __init__(self, path: str, drops_spaces: bool, end: int | None = 0, memo: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.drops, self.most, self.known = drops_spaces, memo, {"": b""}
+        # A mark between pieces that is a token of its own wherever it stands.
+        self.mark, self.join = ("\x01", " \x01 ") if drops_spaces else ("\n", "\n")
+        self.mark_id = self.tok.encode(self.mark, add_special_tokens=False).ids[0]
         self.end = b"" if end is None else end.to_bytes(4, "little")
 
     def pieces(self, text: str) -> list[str]:
         if self.drops:
+            # Lower case comes first only where that changes nothing (no letter whose lower case depends on its place).
+            if "\u03a3" not in text and "\u0130" not in text:
+                text = text.lower()
             return text.replace("\n", " ").split(" ")
         if _ODD.search(text):
             return _CUT.split(text)
-        # One space between visible characters goes with the word that follows it.
-        return text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else _CUT.split(text)
+        # One space between visible characters goes with the word that follows it; one line feed stands alone.
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in text else _CUT.split(text)
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        import array
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces by the library: single pre-tokens by its model, those without inner white space together, with a mark between them."""
+        rest, encode = [], self.tok.model.tokenize
+        for p in pieces:
+            # Letters under U+0250 are one pre-token and stay as they are in normalisation.
+            if p.removeprefix(" ").isalpha() and max(p) < "\u0250" and (not self.drops or p == p.lower()):
+                self.known[p] = b"".join([t.id.to_bytes(4, "little") for t in encode(p.encode().decode("latin-1").translate(_BYTE_CHARS))])
+            else:
+                rest.append(p)
+        pieces = rest
+        apart = [p for p in pieces if _GAP.search(p, 1) or self.mark in p]
+        if apart:
+            for p, e in zip(apart, self.tok.encode_batch_fast(apart, add_special_tokens=False), strict=True):
+                self.known[p] = np.array(e.ids, "<u4").tobytes()
+            pieces = [p for p in pieces if p not in self.known]
+        for k in range(0, len(pieces), 5_000):
+            part = pieces[k : k + 5_000]
+            ids = np.array(self.tok.encode(self.join.join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id).tolist()
+            raw, at = ids.tobytes(), 0
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the mark isn't one token")
+            for p, z in zip(part, [*cuts, len(ids)], strict=True):
+                self.known[p] = raw[4 * at : 4 * z]
+                at = z + 1
 
+    def ids(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.pieces(t) if t else [] for t in texts]
         seen = set().union(*cut)
         new = [p for p in seen if p not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known = {"": b""}
             new = [p for p in seen if p]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for word, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = array.array("I", e.ids).tobytes()
+        self._add(new)
         get = self.known.__getitem__
         return [b"".join(map(get, c)) + self.end for c in cut]
 
+    def _add(self, new: list[str]) -> None:
+        # A new piece that is letters and then marks is two pre-tokens; most of its halves are known.
+        halves = {p: w for p in new if (w := p.rstrip(".,;:!?")) != p and w.removeprefix(" ").isalpha()}
+        ends = {p: p[len(w) :] for p, w in halves.items()}
+        plain = {*(p for p in new if p not in halves), *halves.values(), *ends.values()}
+        todo = [p for p in plain if p not in self.known]
+        self._learn(todo)
+        for p, w in halves.items():
+            self.known[p] = self.known[w] + self.known[ends[p]]
+
+    def _memo(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        if self.drops:
+            words = [w.lower() if "\u03a3" not in w and "\u0130" not in w else w for w in words]
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.most:
+            self.known = {"": b""}
+            new = words
+        if new:
+            self._add(list(dict.fromkeys(new)))
+        return [self.known[w] for w in words]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column of texts, one after the other with an end id after each, and where each text's ids begin.
+
+        Texts are cut and their distinct pieces are found in Arrow; only distinct pieces pass through Python.
+        """
+        texts = pc.fill_null(texts, "")
+        if self.drops:
+            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        else:
+            odd = pc.match_substring_regex(texts, _ODD_RE2)
+            plain = pc.if_else(odd, "", texts)
+            cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\x00 "), "\n", "\x00\n\x00"), "\x00")
+        coded = cut.flatten().dictionary_encode()
+        raw = self._memo(coded.dictionary.to_pylist())
+        size = np.array([len(r) // 4 for r in raw], np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        table = np.frombuffer(b"".join(raw), "<u4")
+        word = coded.indices.to_numpy()
+        per_text = np.diff(cut.offsets.to_numpy())
+        slow: dict[int, np.ndarray] = {}
+        if not self.drops:
+            rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            ids = self.ids(texts.take(pa.array(rows)).to_pylist())
+            slow = {int(k): np.frombuffer(i, "<u4") for k, i in zip(rows, ids, strict=True)}
+        n_word = size[word]
+        text_of = np.repeat(np.arange(len(texts)), per_text)
+        n_text = np.bincount(text_of, n_word, len(texts)).astype(np.int64) if len(word) else np.zeros(len(texts), np.int64)
+        tail = len(self.end) // 4
+        for k, i in slow.items():
+            n_text[k] = len(i) - tail
+        starts = np.concatenate([[0], np.cumsum(n_text + tail)])
+        out = np.full(int(starts[-1]), int.from_bytes(self.end or b"\0", "little"), "<u4")
+        # The place of each word's first id: its text's start and the ids of the words before it.
+        before = np.cumsum(n_word) - n_word
+        first = before[np.minimum(np.cumsum(per_text) - per_text, max(0, len(word) - 1))] if len(word) else np.zeros(len(texts), np.int64)
+        at = starts[text_of] + before - first[text_of]
+        step = np.arange(int(n_word.sum())) - np.repeat(before, n_word)
+        out[np.repeat(at, n_word) + step] = table[np.repeat(begin[word], n_word) + step]
+        for k, i in slow.items():
+            out[starts[k] : starts[k] + len(i)] = i
+        return out, starts
+
 
 _cache: dict[tuple, WordEncoder] = {}
 
 
+def chunks(texts: pa.Array, most: int = 6_000_000):
+    """Ranges of rows of about ``most`` bytes of text, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        base = size[a - 1] if a else 0
+        z = max(a + 1, int(np.searchsorted(size, base + most, "right")))
+        yield a, z
+        a = z
+
+
 def encoder(path: str, drops_spaces: bool) -> WordEncoder:
     """One encoder for each worker process and file."""
     key = (path, drops_spaces)
