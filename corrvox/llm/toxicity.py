@@ -93,14 +93,10 @@ class Channel:
         self.log = np.log(tri).tolist()
         self.memo: dict[str, str] = {}
 
-    def _edges(self, s: str, i: int) -> list[tuple[int, str, float]]:
-        """(next place, what is emitted, cost) from place ``i``."""
-        c = s[i]
+    def _edges(self, c: str, i: int, j: int) -> list[tuple[int, str, float]]:
+        """(next place, what is emitted, cost) from place ``i``, in a run of ``c`` that ends before ``j``."""
         if c in SEPARATORS:
             return [(i + 1, "", self.DROP_GAP), (i + 1, c, 0.0)]
-        j = i + 1
-        while j < len(s) and s[j] == c:
-            j += 1
         out = [(i + 1, c, 0.0 if c not in LEET else self.KEEP_SYMBOL)]
         out += [(i + 1, x, self.SWAP) for x in LEET.get(c, "")]
         if j - i > 1:
@@ -115,30 +111,44 @@ class Channel:
             return self.memo[token]
         s = token.lower()
         spots = [m.start() for m in _CORE.finditer(s)]
-        if not spots or len(s) > 200:
+        if not spots:
             return token
         a, z = spots[0], spots[-1] + 1
         while z - 1 > a and s[z - 1] in "!|+":
             z -= 1
         core, log = s[a:z], self.log
-        # Best by place and last two classes: (log probability, text so far).
-        best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(core) + 1)]
-        best[0][(0, 0)] = (0.0, "")
+        ends_at = list(range(1, len(core) + 1))  # of the run that each place is in
+        for i in range(len(core) - 2, -1, -1):
+            if core[i] == core[i + 1]:
+                ends_at[i] = ends_at[i + 1]
+        # Best by place and last two classes: (log probability, last piece of text, the state before). Places that are done
+        # are given up, so only states on a path that still leads on are held.
+        best: list[dict[tuple[int, int], tuple] | None] = [{} for _ in range(len(core) + 1)]
+        best[0][(0, 0)] = (0.0, "", None)
         for i in range(len(core)):
-            if not best[i]:
+            states, best[i] = best[i], None
+            if not states:
                 continue
-            edges = [(j, x, fold(x), cost) for j, x, cost in self._edges(core, i)]
-            for (p, q), (score, done) in best[i].items():
+            edges = [(j, x, fold(x), cost) for j, x, cost in self._edges(core[i], i, ends_at[i])]
+            for (p, q), state in states.items():
                 for j, x, classes, cost in edges:
-                    u, v, now = p, q, score + cost
+                    u, v, now = p, q, state[0] + cost
                     for k in classes:
                         now += log[u][v][k]
                         u, v = v, k
                     old = best[j].get((u, v))
                     if old is None or now > old[0]:
-                        best[j][(u, v)] = (now, done + x)
-        ends = [(score + log[u][v][0], done) for (u, v), (score, done) in best[-1].items()]
-        out = s[:a] + max(ends, key=lambda e: (e[0], e[1]))[1] + s[z:]
+                        best[j][(u, v)] = (now, x, state)
+        ends = []
+        for (u, v), state in best[-1].items():
+            total, pieces = state[0] + log[u][v][0], []
+            while state is not None:
+                pieces.append(state[1])
+                state = state[2]
+            ends.append((total, "".join(reversed(pieces))))
+        out = s[:a] + max(ends)[1] + s[z:]
+        if len(s) > 200:
+            return out  # not kept
         if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[token] = out

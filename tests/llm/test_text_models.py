@@ -124,3 +124,12 @@ def test_extract_edges(spark):
     rows = [(1, "u", PAGE, 5), (2, None, None, 6), (None, "v", "<p>x", 7)]
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()}
     assert got[2] == (None, "", 0) and got[None] == ("v", "x", 1) and got[1][2] == len(got[1][1])
+
+
+def test_long_spans_are_decoded(channel):
+    words = ["the", "idiot", "and", "the", "stupid", "clown"] * 8
+    seen = "_".join(w.replace("i", "1").replace("o", "0") for w in words)
+    assert len(seen) > 200 and channel.restore(f"of {seen} of").count("idiot") == channel.restore(f"of {seen} of").count("stupid") == 8
+    apart = " ".join("".join(words))
+    assert len(apart) > 200 and channel.restore(apart).count("idiot") == 8
+    assert len(channel.restore("x" * 100_000)) > 0  # linear in the length
