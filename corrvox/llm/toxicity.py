@@ -3,8 +3,8 @@
 * **Language model**: counts of character trigrams over all documents (bytes folded to 64 classes),
   gathered by every task for itself and summed by cell, so they grow with the input while the
   driver sees 64**3 numbers at most.
-* **Channel**: a token that can be disguised (symbols or digits next to letters, a letter three
-  times, single letters set apart) becomes a lattice of characters: each symbol may stand for the
+* **Channel**: a token that can be disguised (symbols or digits next to letters, also last ones, a
+  letter three times, three or more single letters or symbols set apart, a letter among them) becomes a lattice of characters: each symbol may stand for the
   letters it resembles, a run may be one letter or two, separators may go. Viterbi decoding finds
   the path that is likeliest under the language model and the channel's costs. All other tokens
   have one path, themselves.
@@ -42,8 +42,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SEPARATORS = " .-_*"
 
 _SYMBOL = "0-9@$!|+€"
-_TRIGGER = re.compile(rf"[{_SYMBOL}][^\W\d_]|[^\W\d_][0-9@$](?![\w.@$])|([^\W\d_])\1\1", re.I)
-_APART = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[ .\-_*][^\W\d_]){3,}(?![^\W\d_])")
+_TRIGGER = re.compile(rf"[{_SYMBOL}][^\W\d_]|[^\W\d_][{_SYMBOL}]*[0-9@$][!|+]*(?![{_SYMBOL}]|[.@]?\w)|([^\W\d_])\1\1", re.I)
+_UNIT = rf"(?:[^\W\d_]|[{_SYMBOL}])"
+_APART = re.compile(rf"(?<![^\W_]){_UNIT}(?:[ .\-_*]{_UNIT}){{2,}}(?![^\W_])")
+_LETTER = re.compile(r"[^\W\d_]")
 _CORE = re.compile(rf"[^\W\d_{_SYMBOL}]|[{_SYMBOL}]")
 _WORD = re.compile(r"[^\W\d_]+")
 _GAP = re.compile(r"\s")
@@ -156,7 +158,7 @@ class Channel:
 
     def restore(self, text: str) -> str:
         """The text with every disguised token decoded."""
-        spans = [m.span() for m in _APART.finditer(text)]
+        spans = [m.span() for m in _APART.finditer(text) if _LETTER.search(m[0])]
         at = 0
         for m in _TRIGGER.finditer(text):
             if m.start() < at:

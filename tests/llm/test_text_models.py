@@ -133,3 +133,11 @@ def test_long_spans_are_decoded(channel):
     apart = " ".join("".join(words))
     assert len(apart) > 200 and channel.restore(apart).count("idiot") == 8
     assert len(channel.restore("x" * 100_000)) > 0  # linear in the length
+
+
+@pytest.mark.parametrize(("seen", "meant"), [("1 d 1 0 t", "idiot"), ("5 t u p 1 d", "stupid"), ("i.d.i.0.t", "idiot"), ("a s s", "ass"), ("a$$", "ass"), ("dumba55", "dumbass"), ("idio7.", "idiot."), ("idio7", "idiot"), ("2 0 1 9", "2 0 1 9"), ("v2.0", "v2.0")])
+def test_mixed_short_and_final_disguises(seen, meant):
+    text = (" the idiot and the clown were stupid a moron said ass in the trash of dumbass losers and of ass and " * 50).encode()
+    c = toxicity._FOLD[np.frombuffer(text, np.uint8)].astype(int)
+    channel = toxicity.Channel(np.bincount((c[:-2] * 64 + c[1:-1]) * 64 + c[2:], minlength=64**3))
+    assert channel.restore(f"and {seen} of") == f"and {meant} of"
