@@ -8,7 +8,8 @@ counts by fill (``capacity`` numbers at most, whatever the input); one best-fit
 over these counts places all that is left, and ranks within a fill turn the plan into places.
 
 Null text counts as empty: a document has its end id at least, so a length of 1. Repeated rows are
-packed each. Null identifiers are kept. An empty table gives an empty result.
+packed each. Null identifiers are kept. Extra columns are not read, whatever their names. Very long
+texts are cut into pieces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,14 +36,15 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str
         for b in batches:
             for lo, hi in chunks(b.column("text")):
                 part = b.slice(lo, hi - lo)
-                rows: list[tuple] = []
                 flat, starts = enc.column(part.column("text"))
-                for doc, a, z in zip(part.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                    for i, at in enumerate(range(a, z, capacity)):
-                        ids = flat[at : min(z, at + capacity)]
-                        rows.append((doc, i, at - a, len(ids), zlib.crc32(ids)))
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                many = -(-np.diff(starts) // capacity)
+                doc = np.repeat(np.arange(len(many)), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                at = starts[doc] + piece * capacity
+                end = np.minimum(at + capacity, starts[doc + 1])
+                crc = [zlib.crc32(flat[x:y]) for x, y in zip(at.tolist(), end.tolist(), strict=True)]
+                cols = [part.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(end - at), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
 
@@ -137,10 +139,10 @@ def _pack_node(level: int, capacity: int, batch_items: int):
     return pack
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, nearly: int = 1, fan_in: int = 16, batch_items: int = 200_000) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, nearly: int = 8, fan_in: int = 4, batch_items: int = 200_000) -> DataFrame:
     """``pieces`` (any columns, a ``length`` of 1 to ``capacity``) with sequence_id and offset.
 
-    A bin with fewer than ``nearly`` places left is closed where it is packed.
+    A bin with fewer than ``nearly`` places left is closed where it is packed, so at most ``nearly - 1`` places of it are lost.
     """
     if pieces.where((F.col("length") > capacity) | (F.col("length") < 1)).limit(1).count():
         raise ValueError("a piece is longer than a sequence, or empty")
@@ -176,15 +178,29 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, nearly: int = 1, fan_in
     for inside, many in plan_counts(counts, capacity):
         place = 0
         for size in inside:
-            slots.append((size, at[size], at[size] + many, seq - at[size], place))
+            slots.append((size, at[size], seq - at[size], place))
             at[size] += many
             place += size
         seq += many
+    # Slots by (fill, first rank): a bin of that fill and rank finds its slot by binary search. Their number follows from the
+    # fills that occur (capacity at most), not from the number of bins.
+    fills, los, shifts, ats = np.array(sorted(slots), np.int64).reshape(-1, 4).T
+
+    def place_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fill, rank = b.column("fill").to_numpy(), b.column("rank").to_numpy()
+            begin = np.searchsorted(fills, fill)
+            slot = np.empty(len(fill), np.int64)
+            for f in np.unique(fill):
+                own = fill == f
+                a, z = np.searchsorted(fills, [f, f + 1])
+                slot[own] = begin[own] + np.searchsorted(los[a:z], rank[own], "right") - 1
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(rank + shifts[slot]), pa.array(ats[slot])], names=["node", "top", "at"])
+
     spark = pieces.sparkSession
     first = spark.createDataFrame(firsts, "fill long, bucket long, first long")
-    slot = spark.createDataFrame(slots, "fill long, lo long, hi long, shift long, at long")
     ranked = tops.withColumn("n", F.row_number().over(Window.partitionBy("fill", "bucket").orderBy("node")) - 1).join(F.broadcast(first), ["fill", "bucket"]).select("node", "fill", (F.col("first") + F.col("n")).alias("rank"))
-    root = ranked.join(F.broadcast(slot), "fill").where("rank >= lo and rank < hi").select("node", (F.col("rank") + F.col("shift")).alias("top"), "at")
+    root = ranked.mapInArrow(place_, "node long, top long, at long")
     last = held.join(root, "node").select("bin", F.col("top").alias("node"), (F.col("place") + F.col("at")).alias("place"))
     moves = last if done is None else last.unionByName(done)
     moves = moves.select(F.col("bin").alias("node"), F.col("node").alias("sequence_id"), F.col("place").alias("shift"))

@@ -11,7 +11,8 @@ need; each frame is checked against its checksum.
 Documents are written in ascending order of identifier. Sampled splitters range-partition the
 rows by (identifier, first characters and hash of the text), each partition is one file, and the running totals of the partitions
 (one row each) give every document's start. A task writes under a temporary name and renames, so
-a retry leaves the same file. Null text counts as empty and has the end id alone. Null identifiers
+a retry leaves the same file. Null text counts as empty and has the end id alone.
+Strings of special tokens in a text give their ids, as the library's defaults say (see ``tokens``). Null identifiers
 come first. Repeated identifiers keep a place each, in
 order of the text's first 64 characters. An empty table gives no file.
 """
@@ -53,7 +54,7 @@ class FrameWriter:
         self.out, self.dtype, self.frame_ids = out, np.dtype("<u4" if wide else "<u2"), frame_ids
         self.pack = zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.table: list[tuple[int, int, int]] = []
-        self.index: list[tuple[int, int, int, int, int]] = []
+        self.index: list[np.ndarray] = []
         self.held: list[bytes] = []
         self.n = self.total = 0
 
@@ -62,13 +63,24 @@ class FrameWriter:
         self.table.append((len(packed), len(data), _xxh(data)))
         self.out.write(packed)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.index.append((doc_id or 0, doc_id is None, len(self.table), self.n, len(ids)))
-        self.held.append(ids.astype(self.dtype).tobytes())
-        self.n += len(ids)
-        self.total += len(ids)
-        if self.n >= self.frame_ids:
-            self.flush()
+    def add(self, doc_ids: np.ndarray, null: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
+        """Documents in order: their identifiers, which are null, their ids one after the other, where each begins and the end."""
+        ids = np.ascontiguousarray(ids, self.dtype)
+        a, n_docs = 0, len(starts) - 1
+        while a < n_docs:
+            # As many documents as fill the frame: the one that takes it to ``frame_ids`` is its last.
+            z = min(n_docs, int(np.searchsorted(starts, starts[a] + self.frame_ids - self.n)))
+            z = max(z, a + 1)
+            rows = np.zeros(z - a, _INDEX)
+            rows["doc_id"], rows["null"], rows["frame"] = np.where(null[a:z], 0, doc_ids[a:z]), null[a:z], len(self.table)
+            rows["at"], rows["n"] = self.n + starts[a:z] - starts[a], starts[a + 1 : z + 1] - starts[a:z]
+            self.index.append(rows)
+            self.held.append(ids[starts[a] : starts[z]].tobytes())
+            self.n += int(starts[z] - starts[a])
+            self.total += int(starts[z] - starts[a])
+            if self.n >= self.frame_ids:
+                self.flush()
+            a = z
 
     def flush(self) -> None:
         if self.held:
@@ -77,7 +89,8 @@ class FrameWriter:
 
     def close(self) -> int:
         self.flush()
-        self._frame(struct.pack("<BQ", self.dtype.itemsize, len(self.index)) + np.array(self.index, _INDEX).tobytes())
+        rows = np.concatenate([np.zeros(0, _INDEX), *self.index])
+        self._frame(struct.pack("<BQ", self.dtype.itemsize, len(rows)) + rows.tobytes())
         body = b"".join(struct.pack("<III", *x) for x in self.table) + struct.pack("<IBI", len(self.table), CHECKSUM_FLAG, SEEK_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(body)) + body)
         return sum(x[0] for x in self.table) + 8 + len(body)
@@ -152,11 +165,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
                 tmp = f"{base}/_{part:06d}-{uuid.uuid4().hex}"
                 sink = fs.open_output_stream(tmp)
                 writer = FrameWriter(sink, wide, frame_ids)
-            texts, ids = b.column("text"), b.column("doc_id").to_pylist()
+            texts, null = b.column("text"), b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            doc_ids = b.column("doc_id").fill_null(0).to_numpy()
             for a, z in chunks(texts):
-                flat, starts = enc.column(texts.slice(a, z - a))
-                for doc, x, y in zip(ids[a:z], starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                    writer.add(doc, flat[x:y])
+                writer.add(doc_ids[a:z], null[a:z], *enc.column(texts.slice(a, z - a)))
             n += b.num_rows
         if sink is not None:
             size = writer.close()
@@ -180,13 +192,15 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, with_ids: bool =
                 fs, path = _open(row["file"])
                 with fs.open_input_file(path) as f:
                     r = FrameReader(f, row["n_bytes"])
-                    for k in range(0, len(r.index), 512):
-                        rows = r.index[k : k + 512]
-                        raw = [r.ids(x).astype("<u4").tobytes() for x in rows]
+                    edges = np.concatenate([[0], np.flatnonzero(np.diff(r.index["frame"].astype(np.int64))) + 1, [len(r.index)]])
+                    for k, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                        rows = r.index[k:z]
+                        whole = np.frombuffer(r.frame(int(rows["frame"][0])), r.dtype).astype("<u4")
+                        raw = [whole[x:y] for x, y in zip(rows["at"].tolist(), (rows["at"] + rows["n"]).tolist(), strict=True)]
                         starts = row["first"] + np.concatenate([[0], np.cumsum(rows["n"][:-1])]).astype(np.int64)
                         row["first"] += int(rows["n"].sum())
                         cols = {"doc_id": pa.array(rows["doc_id"].astype(np.int64), mask=rows["null"] != 0), "start": pa.array(starts), "n_tokens": pa.array(rows["n"].astype(np.int64)), "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64())}
-                        yield pa.RecordBatch.from_pydict(cols | ({"ids": pa.array(raw, pa.binary())} if with_ids else {}))
+                        yield pa.RecordBatch.from_pydict(cols | ({"ids": pa.array([x.tobytes() for x in raw], pa.binary())} if with_ids else {}))
 
     todo = spark.createDataFrame([(r["file"], r["n_bytes"], base[r["part"]]) for r in files], "file string, n_bytes long, first long")
     return todo.repartition(max(1, len(files))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

@@ -3,7 +3,12 @@
 Both vocabularies break a text into pre-tokens that never reach over a space that stands between
 two visible characters. A text is therefore cut at such spaces, every distinct piece is encoded
 once by the library, and the pieces' ids are joined; the result equals encoding the whole text.
-The memo holds at most ``memo`` pieces and starts anew when it is full.
+Words are found, counted and looked up in Arrow; only words that the memo doesn't hold pass through
+Python. The memo takes words that occur twice in a chunk, ``memo`` of them at most; beyond that the
+half that was used longest ago goes.
+
+Strings of the tokenizer's special tokens in a text give their ids, as the library's defaults say;
+with ``special_text`` they are ordinary text.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ _ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 _ODD_RE2 = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _GAP = re.compile(r"\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A space or none, letters whose lower case is one letter (U+0130 has two), and marks: one pre-token and then one or none.
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]*)")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -31,140 +38,150 @@ def _byte_chars() -> dict[int, str]:
 
 
 _BYTE_CHARS = _byte_chars()
+_SPACE = _BYTE_CHARS[32]
 
 
 class WordEncoder:
-    """``ids(text)``: little-endian unsigned 32-bit ids of ``text`` (null: none) and the end id, as bytes."""
+    """Little-endian unsigned 32-bit ids of texts (null: none) and the end id after each."""
 
-    def __init__(self, path: str, drops_spaces: bool, end: int | None = 0, memo: int = 500_000) -> None:
+    def __init__(self, path: str, drops_spaces: bool, end: int | None = 0, memo: int = 400_000, special_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.drops, self.most, self.known = drops_spaces, memo, {"": b""}
+        self.tok.encode_special_tokens = special_text
+        self.special = () if special_text else tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
+        self.drops, self.most = drops_spaces, memo
         # A mark between pieces that is a token of its own wherever it stands.
         self.mark, self.join = ("\x01", " \x01 ") if drops_spaces else ("\n", "\n")
         self.mark_id = self.tok.encode(self.mark, add_special_tokens=False).ids[0]
-        self.end = b"" if end is None else end.to_bytes(4, "little")
-
-    def pieces(self, text: str) -> list[str]:
-        if self.drops:
-            # Lower case comes first only where that changes nothing (no letter whose lower case depends on its place).
-            if "\u03a3" not in text and "\u0130" not in text:
-                text = text.lower()
-            return text.replace("\n", " ").split(" ")
-        if _ODD.search(text):
-            return _CUT.split(text)
-        # One space between visible characters goes with the word that follows it; one line feed stands alone.
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in text else _CUT.split(text)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces by the library: single pre-tokens by its model, those without inner white space together, with a mark between them."""
-        rest, encode = [], self.tok.model.tokenize
-        for p in pieces:
-            # Letters under U+0250 are one pre-token and stay as they are in normalisation.
-            if p.removeprefix(" ").isalpha() and max(p) < "\u0250" and (not self.drops or p == p.lower()):
-                self.known[p] = b"".join([t.id.to_bytes(4, "little") for t in encode(p.encode().decode("latin-1").translate(_BYTE_CHARS))])
-            else:
-                rest.append(p)
-        pieces = rest
-        apart = [p for p in pieces if _GAP.search(p, 1) or self.mark in p]
-        if apart:
-            for p, e in zip(apart, self.tok.encode_batch_fast(apart, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-            pieces = [p for p in pieces if p not in self.known]
-        for k in range(0, len(pieces), 5_000):
-            part = pieces[k : k + 5_000]
-            ids = np.array(self.tok.encode(self.join.join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id).tolist()
-            raw, at = ids.tobytes(), 0
+        self.end = np.array([] if end is None else [end], "<u4")
+        self.ends: dict[str, list[int]] = {"": []}
+        # The memo: words, where each one's ids lie in ``flat``, and the chunk that used it last.
+        self.words, self.flat, self.chunk = pa.array([""], pa.string()), np.zeros(0, "<u4"), 0
+        self.begin, self.size, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _library(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces by the library: those that can't touch a neighbour many at a time with a mark between them, else each alone."""
+        out: dict[str, list[int]] = {}
+        apart = [p for p in pieces if not p.strip() or _GAP.search(p, 1) or self.mark in p or any(s in p for s in self.special)]
+        for k in range(0, len(apart), 1_000):
+            part = apart[k : k + 1_000]
+            out.update(zip(part, (e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        rest = [p for p in pieces if p not in out]
+        rows = [rest[k : k + 100] for k in range(0, len(rest), 100)]
+        for part, e in zip(rows, self.tok.encode_batch_fast([self.join.join(r) for r in rows], add_special_tokens=False), strict=True):
+            ids = e.ids
+            cuts = [k for k, i in enumerate(ids) if i == self.mark_id]
             if len(cuts) != len(part) - 1:
                 raise ValueError("the mark isn't one token")
-            for p, z in zip(part, [*cuts, len(ids)], strict=True):
-                self.known[p] = raw[4 * at : 4 * z]
-                at = z + 1
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        seen = set().union(*cut)
-        new = [p for p in seen if p not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known = {"": b""}
-            new = [p for p in seen if p]
-        self._add(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) + self.end for c in cut]
-
-    def _add(self, new: list[str]) -> None:
-        # A new piece that is letters and then marks is two pre-tokens; most of its halves are known.
-        halves = {p: w for p in new if (w := p.rstrip(".,;:!?")) != p and w.removeprefix(" ").isalpha()}
-        ends = {p: p[len(w) :] for p, w in halves.items()}
-        plain = {*(p for p in new if p not in halves), *halves.values(), *ends.values()}
-        todo = [p for p in plain if p not in self.known]
-        self._learn(todo)
-        for p, w in halves.items():
-            self.known[p] = self.known[w] + self.known[ends[p]]
-
-    def _memo(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct pieces."""
+            out.update((p, ids[a + 1 : z]) for p, a, z in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True))
+        return [out[p] for p in pieces]
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after the other, and how many each has."""
+        got: list[list[int] | None] = [None] * len(pieces)
+        other: list[int] = []
+        model, plain, ends = self.tok.model.tokenize, _PLAIN.fullmatch, self.ends
+        for k, p in enumerate(pieces):
+            m = plain(p)
+            if m is None:
+                other.append(k)
+                continue
+            # One pre-token that normalisation leaves as it is, but for its case; the model takes it as it is.
+            word, tail = m.groups()
+            if self.drops:
+                word = word.lower()
+            word = word.replace(" ", _SPACE) if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+            if tail not in ends:
+                ends[tail] = self.tok.encode(tail, add_special_tokens=False).ids
+            got[k] = [t.id for t in model(word)] + ends[tail]
+        for k, ids in zip(other, self._library([pieces[k] for k in other]), strict=True):
+            got[k] = ids
+        if len(ends) > 10_000:
+            self.ends = {"": []}
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for ids in got for i in ids), "<u4", int(sizes.sum())), sizes
+
+    def _look(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A table of ids, and where in it the ids of each of the distinct words begin and how many they are."""
+        self.chunk += 1
+        at = pc.index_in(words, value_set=self.words)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy()
+        self.used[at[~new]] = self.chunk
+        unknown = words.filter(pa.array(new))
+        ids, sizes = self._learn(unknown.to_pylist())
+        begins = len(self.flat) + np.cumsum(sizes) - sizes
+        begin, size = self.begin[at], self.size[at]
+        begin[new], size[new] = begins, sizes
+        table = np.concatenate([self.flat, ids])
+        often = counts[new] > 1
+        if often.any():
+            self.words = pa.concat_arrays([self.words, unknown.filter(pa.array(often))])
+            self.flat = np.concatenate([self.flat, ids[np.repeat(often, sizes)]])
+            self.size = np.concatenate([self.size, sizes[often]])
+            self.begin = np.cumsum(self.size) - self.size
+            self.used = np.concatenate([self.used, np.full(int(often.sum()), self.chunk)])
+        if len(self.words) > self.most:
+            stay = np.zeros(len(self.used), bool)
+            stay[np.argsort(-self.used, kind="stable")[: self.most // 2]] = True
+            self.words = self.words.filter(pa.array(stay))
+            self.flat = self.flat[np.repeat(stay, self.size)]
+            self.size, self.used = self.size[stay], self.used[stay]
+            self.begin = np.cumsum(self.size) - self.size
+        return table, begin, size
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """The pieces of each text (no null among them)."""
         if self.drops:
-            words = [w.lower() if "\u03a3" not in w and "\u0130" not in w else w for w in words]
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known = {"": b""}
-            new = words
-        if new:
-            self._add(list(dict.fromkeys(new)))
-        return [self.known[w] for w in words]
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        odd = pc.match_substring_regex(texts, _ODD_RE2)
+        # One space between visible characters goes with the word that follows it; one line feed stands alone.
+        marked = pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", texts), " ", "\x00 "), "\n", "\x00\n\x00")
+        cut = pc.split_pattern(marked, "\x00")
+        rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(rows):
+            lists = [_CUT.split(t) for t in texts.take(pa.array(rows)).to_pylist()]
+            both = pa.concat_arrays([cut, pa.array(lists, cut.type)])
+            where = np.arange(len(texts))
+            where[rows] = len(texts) + np.arange(len(rows))
+            cut = both.take(pa.array(where))
+        return cut
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a column of texts, one after the other with an end id after each, and where each text's ids begin.
-
-        Texts are cut and their distinct pieces are found in Arrow; only distinct pieces pass through Python.
-        """
-        texts = pc.fill_null(texts, "")
-        if self.drops:
-            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        else:
-            odd = pc.match_substring_regex(texts, _ODD_RE2)
-            plain = pc.if_else(odd, "", texts)
-            cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\x00 "), "\n", "\x00\n\x00"), "\x00")
+        """Ids of a column of texts, one after the other with the end id after each, and where each text's ids begin (and the end)."""
+        cut = self._cut(pc.fill_null(texts.cast(pa.string()), ""))
         coded = cut.flatten().dictionary_encode()
-        raw = self._memo(coded.dictionary.to_pylist())
-        size = np.array([len(r) // 4 for r in raw], np.int64)
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-        table = np.frombuffer(b"".join(raw), "<u4")
         word = coded.indices.to_numpy()
-        per_text = np.diff(cut.offsets.to_numpy())
-        slow: dict[int, np.ndarray] = {}
-        if not self.drops:
-            rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-            ids = self.ids(texts.take(pa.array(rows)).to_pylist())
-            slow = {int(k): np.frombuffer(i, "<u4") for k, i in zip(rows, ids, strict=True)}
+        table, begin, size = self._look(coded.dictionary, np.bincount(word, minlength=len(coded.dictionary)))
         n_word = size[word]
-        text_of = np.repeat(np.arange(len(texts)), per_text)
-        n_text = np.bincount(text_of, n_word, len(texts)).astype(np.int64) if len(word) else np.zeros(len(texts), np.int64)
-        tail = len(self.end) // 4
-        for k, i in slow.items():
-            n_text[k] = len(i) - tail
-        starts = np.concatenate([[0], np.cumsum(n_text + tail)])
-        out = np.full(int(starts[-1]), int.from_bytes(self.end or b"\0", "little"), "<u4")
-        # The place of each word's first id: its text's start and the ids of the words before it.
-        before = np.cumsum(n_word) - n_word
-        first = before[np.minimum(np.cumsum(per_text) - per_text, max(0, len(word) - 1))] if len(word) else np.zeros(len(texts), np.int64)
-        at = starts[text_of] + before - first[text_of]
-        step = np.arange(int(n_word.sum())) - np.repeat(before, n_word)
-        out[np.repeat(at, n_word) + step] = table[np.repeat(begin[word], n_word) + step]
-        for k, i in slow.items():
-            out[starts[k] : starts[k] + len(i)] = i
+        upto = np.concatenate([[0], np.cumsum(n_word)])
+        offsets = cut.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        tail = len(self.end)
+        starts = upto[offsets] + tail * np.arange(len(offsets))
+        # What has to be added to a place among all ids to get the place of the word's id in the table.
+        take = np.arange(int(upto[-1]), dtype=np.int64)
+        take += np.repeat(begin[word] - upto[:-1], n_word)
+        ids = table[take]
+        if not tail:
+            return ids, starts
+        out = np.full(int(starts[-1]), self.end[0], "<u4")
+        own = np.ones(len(out), bool)
+        own[starts[1:] - 1] = False
+        out[own] = ids
         return out, starts
 
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        flat, starts = self.column(pa.array(texts, pa.string()))
+        return [flat[a:z].tobytes() for a, z in zip(starts[:-1], starts[1:], strict=True)]
+
 
 _cache: dict[tuple, WordEncoder] = {}
 
 
-def chunks(texts: pa.Array, most: int = 6_000_000):
+def chunks(texts: pa.Array, most: int = 8_000_000):
     """Ranges of rows of about ``most`` bytes of text, one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
@@ -175,9 +192,9 @@ def chunks(texts: pa.Array, most: int = 6_000_000):
         a = z
 
 
-def encoder(path: str, drops_spaces: bool) -> WordEncoder:
+def encoder(path: str, drops_spaces: bool, special_text: bool = False) -> WordEncoder:
     """One encoder for each worker process and file."""
-    key = (path, drops_spaces)
+    key = (path, drops_spaces, special_text)
     if key not in _cache:
-        _cache[key] = WordEncoder(*key)
+        _cache[key] = WordEncoder(path, drops_spaces, special_text=special_text)
     return _cache[key]

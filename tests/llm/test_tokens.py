@@ -14,18 +14,36 @@ from corrvox.llm.tokens import WordEncoder
 ODD = ["a  b\n c\td", " x y ", "\n\n", "a b c", "don't  stop\r\nnow", "x \n y", "é́ áb", "ﬁ İ ΑΣ ΣΑ", "<|endoftext|> <|startoftext|>x", "", None, "a\x1cb c\x1c d", "a\x00 b c", "日本語 テキスト　全角", "'s 't 'll x's", "123 45 6", "word, word. Word; ... word!,", "w\x01 \x01 x"]
 
 
+ODD += ["\xa0", " ", "\u2028", "\x85", "Section\t1a-1b, it's 201 a-b", "a <|endoftext|> b", "a\n<|endoftext|>\nb", "<|endoftext|>", "<|startoftext|><|endoftext|>", "x<|endoftext|>,", "BELEDİYESİ. Ankara", "İ.", "İ", "ŉ, ĸ.", " \u0301a", "a \u0301. b", "ß.,;:!? É,", "<|END|>"]
+
+
+@pytest.mark.parametrize("special_text", [False, True])
 @pytest.mark.parametrize(("name", "drops"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_same_ids_as_the_library(name, drops):
-    w = WordEncoder(public_tokenizers.path(name), drops)
+def test_same_ids_as_the_library(name, drops, special_text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    truth = Tokenizer.from_file(path)
+    if special_text:
+        truth.encode_special_tokens = True
     rng = random.Random(3)
-    texts = ODD + ["".join(rng.choice("ab c'. \n\t é1́\r\x1c\x85 S\x00Σ,") for _ in range(rng.randint(0, 14))) for _ in range(1500)]
-    flat, starts = w.column(pa.array(texts))
-    for t, a, z, raw in zip(texts, starts[:-1], starts[1:], w.ids(texts), strict=True):
-        want = [*w.tok.encode(t or "", add_special_tokens=False).ids, 0]
-        assert flat[a:z].tolist() == want and np.frombuffer(raw, "<u4").tolist() == want, repr(t)
-    w.most = 20  # the memo starts anew and nothing changes
-    again, _ = w.column(pa.array(texts))
-    assert (again == flat).all()
+    parts = [*"ab c'. \n\t é1́\r\x1c\x85 S\x00Σ,İ.\xa0", "<|endoftext|>", " <|endoftext|>", "İ. ", "é, ", " it's", "\n"]
+    texts = ODD + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    want = [[*truth.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    for memo in (400_000, 20, 2):  # a small memo forgets, and nothing changes
+        w = WordEncoder(path, drops, memo=memo, special_text=special_text)
+        for k in range(0, len(texts), 700):
+            part = pa.array([None, *texts])[1 + k : 1 + k + 700]  # a slice, not from the array's beginning
+            flat, starts = w.column(part)
+            for t, a, z, x in zip(part.to_pylist(), starts[:-1], starts[1:], want[k:], strict=False):
+                assert flat[a:z].tolist() == x, repr(t)
+        assert len(w.words) <= max(memo, 2)
+    assert [np.frombuffer(x, "<u4").tolist() for x in w.ids(texts[:60])] == want[:60]
+    bare = WordEncoder(path, drops, end=None, special_text=special_text)
+    assert [np.frombuffer(x, "<u4").tolist() for x in bare.ids(texts[:60])] == [x[:-1] for x in want[:60]]
+    # Every text alone in its chunk.
+    for t, x in zip(ODD, want, strict=False):
+        assert np.frombuffer(bare.ids([t])[0], "<u4").tolist() == x[:-1], repr(t)
 
 
 def test_frames_round_trip_and_damage():
@@ -33,8 +51,9 @@ def test_frames_round_trip_and_damage():
     docs = [(k if k != 3 else None, rng.integers(0, 50000, n)) for k, n in enumerate((5, 0, 4000, 17, 1, 900))]
     out = io.BytesIO()
     w = token_files.FrameWriter(out, wide=False, frame_ids=1000)
-    for k, ids in docs:
-        w.add(k, ids)
+    for part in (docs[:2], docs[2:]):
+        starts = np.concatenate([[0], np.cumsum([len(i) for _, i in part])])
+        w.add(np.array([k or 0 for k, _ in part]), np.array([k is None for k, _ in part]), np.concatenate([i for _, i in part]), starts)
     size = w.close()
     data = out.getvalue()
     assert size == len(data)
@@ -53,12 +72,14 @@ def test_frames_round_trip_and_damage():
 
 def test_token_files(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = [(k, f"text number {k} " * (k % 5), "x") for k in range(40)] + [(7, "again", "x"), (100, None, "x")]
+    rows = [(k, f"text number {k} <|endoftext|>" * (k % 5), "x") for k in range(40)] + [(50, "long words " * 30_000, "x")] + [(7, "again", "x"), (100, None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)
     got = token_files.read_token_files(spark, token_files.write_token_files(df, path, parts=4)).orderBy("start").collect()
-    enc, at = WordEncoder(path, False), 0
+    from tokenizers import Tokenizer
+
+    tok, at = Tokenizer.from_file(path), 0
     for r, (d, t, _) in zip(got, sorted(rows, key=lambda x: (x[0], x[1] or "")), strict=True):
-        ids = enc.ids([t])[0]
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (d, at, len(ids) // 4, zlib.crc32(ids), ids)
         at += r.n_tokens
     empty = spark.createDataFrame([], "doc_id long, text string")
@@ -84,11 +105,36 @@ def test_best_fit_and_plan():
         assert (used[values] == counts).all() and sum(m for _, m in plan) <= len(fills) + 1
 
 
+def test_best_fit_is_best_fit():
+    """Bin by bin as the definition says: the fullest bin that has room, else a new one."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        sizes = rng.integers(1, 61, int(rng.integers(0, 200)))
+        bins, places, fills = packing.best_fit(sizes, 60)
+        want: list[int] = []
+        inside: dict[int, list[int]] = {}
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            fits = [f for f in want if f + sizes[i] <= 60]
+            if fits:
+                want[want.index(max(fits))] += int(sizes[i])
+            else:
+                want.append(int(sizes[i]))
+        assert sorted(want) == sorted(fills.tolist())
+        for b, p, n in zip(bins.tolist(), places.tolist(), sizes.tolist(), strict=True):
+            inside.setdefault(b, []).append((p, n))
+        for b, held in inside.items():
+            at = 0
+            for p, n in sorted(held):
+                assert p == at
+                at += n
+            assert at == fills[b]
+
+
 def test_packing_levels(spark):
     rng = random.Random(5)
     rows = [(k, rng.choice([1, 3, 9, 40, 60, 61, 99, 100])) for k in range(700)]
     df = spark.createDataFrame(rows, "doc_id long, length long").repartition(40)
-    out = packing.pack_pieces(df, capacity=100, fan_in=4).collect()
+    out = packing.pack_pieces(df, capacity=100, nearly=2, fan_in=4).collect()
     assert sorted((r.doc_id, r.length) for r in out) == sorted(rows)
     seqs = {}
     for r in out:
@@ -103,10 +149,28 @@ def test_packing_levels(spark):
     assert len(seqs) <= max(big, -(-sum(n for _, n in rows) // 100)) * 1.1 + 2
 
 
+def test_pieces_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    rows = [(k, t) for k, t in enumerate(["BELEDİYESİ. Ankara", "a <|endoftext|> b", "\xa0", "word, " * 700, None, "One two; three."])]
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packing.pieces_of(spark.createDataFrame(rows, "doc_id long, text string"), path, capacity=300).collect()}
+    want = {}
+    for k, t in rows:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        for i, a in enumerate(range(0, len(ids), 300)):
+            part = ids[a : a + 300]
+            want[k, i] = (a, len(part), zlib.crc32(part.tobytes()))
+    assert got == want
+
+
 def test_pack_documents_edges(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = [(1, None), (2, ""), (3, "word " * 5000), (3, "word " * 5000), (None, "x")]
-    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    # Columns whose names clash with those of the operator are not read.
+    df = spark.createDataFrame([(*r, 9, 9, 9, 9) for r in rows], "doc_id long, text string, length long, node long, fill long, piece int")
+    out = packing.pack_documents(df, path).collect()
     by = sorted((r.doc_id or 0, r.piece, r.length) for r in out)
     assert by == [(0, 0, 2), (1, 0, 1), (2, 0, 1), (3, 0, 2048), (3, 0, 2048), (3, 1, 2048), (3, 1, 2048), (3, 2, 905), (3, 2, 905)]
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
