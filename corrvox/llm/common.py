@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it is known to hold at most so many rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when it is measured to hold at most so many rows, and so many bytes in its texts and arrays.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -18,10 +19,12 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
+    Only where it is unset and all runs in one process (tests on one machine) a temporary folder is made and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corrvox-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -69,13 +72,15 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``most`` rows; reads no more than are needed to tell."""
-    return df.limit(most + 1).count() <= most
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``most`` rows and ``most_bytes`` bytes in columns of no fixed width; reads ``most`` + 1 rows at most."""
+    sized = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")).cast("long"), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary") or f.dataType.simpleString().startswith("array")]
+    r = df.select(sum(sized, F.lit(0).cast("long")).alias("bytes")).limit(most + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    return r["rows"] <= most and r["bytes"] <= most_bytes
 
 
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``right`` only if its row count is measured to be small, else shuffle."""
+    """Broadcast ``right`` only if it is measured to be small, else shuffle."""
     return left.join(F.broadcast(right) if small(right, most) else right.hint("merge"), on, how)
 
 

@@ -81,28 +81,74 @@ def aligned(words, item, window=13, share=0.8):
     return best
 
 
-def test_decontamination_same_as_brute_force(spark):
-    rng = random.Random(7)
-    vocab = [f"w{i}" for i in range(60)]
-    items = [(k, [rng.choice(vocab) for _ in range(rng.randint(13, 30))]) for k in range(8)]
+def decontam_corpus(seed):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(200)]
+    items = [(k, [rng.choice(vocab) for _ in range(n)]) for k, n in enumerate([*range(1, 31), 5, 6, 7, 10, 11, 12])]
     docs = []
-    for d in range(40):
+    for d in range(150):
         w = [rng.choice(vocab) for _ in range(rng.randint(0, 60))]
-        if d % 2:
+        if d % 5:
             p = list(rng.choice(items)[1])
             for _ in range(rng.randint(0, 4)):
                 p[rng.randrange(len(p))] = rng.choice(vocab)
             at = rng.randint(0, len(w))
             w[at:at] = p
         docs.append((d, w))
-    a = spark.createDataFrame([(d, " ".join(w).upper() if d % 5 == 0 else "\n".join(w)) for d, w in docs] + [(90, None), (91, "")], "doc_id long, text string")
-    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items] + [(50, None), (51, "")], "item_id long, text string")
+    return docs, items
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_decontamination_same_as_brute_force(spark, seed):
+    docs, items = decontam_corpus(seed)
+    a = spark.createDataFrame([(d, " ".join(w).upper() if d % 5 == 0 else "\n".join(w), 1) for d, w in docs] + [(900, None, 1), (901, "", 1)], "doc_id long, text string, item_id int")
+    b = spark.createDataFrame([(k, " ".join(w), 1) for k, w in items] + [(500, None, 1), (501, "", 1), (3, " ".join(items[3][1]), 1)], "item_id long, text string, key int")
     got = {(r.doc_id, r.item_id): (r.n_equal, r.n_words, -r.start_word) for r in decontam.find_contamination(a, b).collect()}
     want = {(d, k): m for d, w in docs for k, i in items if (m := aligned(w, i))}
-    assert got == want
+    assert got == want and len({len(dict(items)[k]) for _, k in want}) > 25
     bad = {d for d, _ in want}
-    assert {r.doc_id for r in decontam.decontaminate(a, b).collect()} == {d for d, _ in docs if d not in bad} | {90, 91}
+    assert {r.doc_id for r in decontam.decontaminate(a, b).collect()} == {d for d, _ in docs if d not in bad} | {900, 901}
     assert decontam.find_contamination(a, b.where("false")).count() == 0
+    assert decontam.find_contamination(a.where("false"), b).count() == 0
+    assert decontam.decontaminate(a.where("false"), b).columns == a.columns
+
+
+def test_decontamination_sql_with_short_items(spark):
+    import duckdb
+    import pandas as pd
+
+    docs, items = decontam_corpus(9)
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame([(d, " ".join(w)) for d, w in docs], columns=["doc_id", "text"]))
+    c.register("benchmark", pd.DataFrame([(k, " ".join(w)) for k, w in items], columns=["item_id", "text"]))
+    got = {r[:2]: r[2:] for r in c.execute(decontam.oracle_sql()).fetchall()}
+    assert got == {(d, k): (-m[2], m[1], m[0]) for d, w in docs for k, i in items if (m := aligned(w, i))}
+
+
+def test_masks_hit_every_passing_window():
+    for n in range(1, 20):
+        masks, hits = decontam.plan_masks(n)
+        wide = min(13, n)
+        assert hits >= 1 and hits == decontam.least_hits(wide, decontam.need_of(wide, 0.8), masks)
+    for window, share in ((50, 0.8), (30, 0.5), (8, 1.0)):
+        masks, hits = decontam.plan_masks(100, window, share)
+        need = decontam.need_of(window, share)
+        rng = random.Random(1)
+        for _ in range(300):
+            out = set(rng.sample(range(window), window - need))
+            assert sum(all(at + k not in out for k, c in enumerate(m) if c == "1") for m in masks for at in range(window - len(m) + 1)) >= hits
+
+
+def test_decontamination_rows_and_long_texts(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    far = "x y z " * 60_000 + item
+    rows = [(1, item), (1, "clean text"), (None, "a " + item), (None, "also clean"), (2, far), (2, far), (3, "alpha beta gamma delta")]
+    a = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, "alpha beta gamma delta")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start_word, r.n_words, r.n_equal) for r in decontam.find_contamination(a, b).collect()}
+    assert got == {(1, 1, 0, 20, 20), (None, 1, 1, 20, 20), (2, 1, 180_000, 20, 20), (3, 2, 0, 4, 4)}
+    # Rows that repeat an identifier are judged each by its own text.
+    assert sorted(decontam.decontaminate(a, b).collect(), key=repr) == sorted([(1, "clean text"), (None, "also clean")], key=repr)
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body><header><h1>Site</h1></header>
