@@ -10,7 +10,9 @@ as the next one's ``docs``. All but the last return the columns of ``documents``
 4. ``decontamination``: rows that overlap an item of ``benchmark`` go.
 5. ``packing``: what is left is packed into sequences of 2048 tokens.
 
-Rows with a null doc_id pass stages 3 and 4 (nothing can be linked with them).
+Rows with a null doc_id pass stage 3 (nothing can be linked with them). Stages 2 and 4 tell rows by identifier and
+text; stage 3 drops all rows of a doc_id that is not the smallest of its component. Extra columns are kept by all but
+the last stage. Empty tables give empty tables.
 """
 
 from __future__ import annotations
