@@ -1,162 +1,357 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines: each block element is a line, inline markup is dropped, character
-references are decoded, white space inside a line is one space. Page furniture (menus, headers,
-footers, asides, forms, adverts, notices, comments, by element or by the words of class, id and
-role) leaves a gap of empty lines, and so do lines that are mostly links. The text lengths are
-summed over a sliding window of lines; where the sum surges from nothing a stretch begins, where
-it dives to nothing the stretch ends. If the page has an article or main element, every stretch
-inside the one with most text is kept; else the longest stretch and those that are a fifth of it.
+1. **Lines.** Markup is stripped: each block element is a line, inline markup is dropped, character
+   references are decoded, white space inside a line is one space.
+2. **Furniture.** Elements that may hold menus, headers, footers, asides, forms, adverts, notices or
+   comments are suspects: by element name, or by a class, id or role all of whose parts are furniture
+   words (``cookie-notice``, not ``has-sidebar``; in an article a header is none). A suspect is hidden and leaves a gap of empty lines,
+   unless the page would be empty without it: it holds ten times the text that no suspect holds, most
+   of it running text (an unclosed advert, a form around the page). If only some part of a name is a
+   furniture word, a block is hidden only where its own text says so: most of it links, or no heading,
+   no running text and less than a line of it. Lines that are mostly links weigh nothing.
+3. **Distribution.** A line weighs its length without links, a quarter of it where it isn't running
+   text (no sentence mark, under ``SOLID`` characters). Weights are summed over blocks of ``window``
+   lines. A stretch surges where the sum reaches the threshold and dives where it falls under it.
+   If the page has an article or main element, only the one with most text is looked at, the
+   threshold is any text at all, and all stretches stay, but for first and last ones that gaps cut
+   off and that are two or more lines, none a heading or running text. Otherwise the threshold is ``SURGE`` (the highest sum, if that is less), lines at
+   both ends of a stretch that are neither headings nor running text go, headings right before it come
+   along, and of the stretches the longest stays, those of a fifth of its length, and what lies between them.
 
 Null html and pages without text give an empty string. Unclosed elements end where their parent
-ends. Repeated rows give a row each; nothing is dropped or capped inside the kept stretches.
+ends, paragraphs and list items where the next begins. An unclosed comment, script or quoted
+attribute goes to the end of the page or to the next quote. Time is linear in the page's length.
+Rows with null identifiers and repeated rows give a row each; an empty table gives none; extra
+columns are not read. Nothing is dropped or capped inside the kept stretches.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|canvas|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head".split())
-FURNITURE = frozenset("nav footer aside form button select dialog menu fieldset audio video label".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+FURNITURE = frozenset("aside audio button dialog fieldset footer form label menu nav select video".split())
+RAW = frozenset("canvas iframe math noscript object script style svg template textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose end tag may be left out: they are never waited for.
-LOOSE = frozenset("p li dt dd td th tr option b i em strong a span".split())
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|itemprop|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer "
-    "disqus footer gdpr header login menu menubar modal nav navbar navigation navigation-bar newsletter notice notification overlay pagination pager paywall "
-    "popup promo promoted promotion related recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
-    "subscription toolbar topbar widget widgets contentinfo complementary alert alertdialog dialog".split()
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose end tag may be left out: they are only followed where they are suspects.
+LOOSE = frozenset("a b dd dt em i li option p span strong td th tr".split())
+INLINE = frozenset("a b em i span strong".split())
+#: What ends an open suspect of this name that is innermost.
+ENDED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
+WORDS = frozenset(
+    "ad ads adv advert advertisement advertising adverts alert alertdialog banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo "
+    "cookie cookies dialog disclaimer disqus footer gdpr header login menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall "
+    "popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
+    "toolbar topbar widget widgets".split()
 )
+#: Words that say nothing beside a furniture word: ``main-menu``, ``page-footer``.
+PLAIN = frozenset("area bar block bottom box container content global inner left list main page primary right secondary section site top wrap wrapper".split())
+
+SOLID, SURGE = 40, 80
+_MARK = re.compile(r"[.!?…。！？؟।]")
 _SPACE = re.compile(r"\s+")
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_STOP = re.compile("[>\"']")
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(begin, end, name, attributes) of all markup, in order; a name begins with / in an end tag and is empty in comments and raw text.
 
+    Each place is looked at a bounded number of times: what was searched to the end of the page and isn't there is not searched again.
+    """
+    at, n = 0, len(page)
+    missing: set[str] = set()
 
-def _is_furniture(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in FURNITURE:
-        return True
-    if tag == "header":
-        return not inside
-    if tag in ("body", "html", "main"):
-        return False
-    for name, value in _ATTR.findall(attrs) if attrs else ():
+    def find(what: str, begin: int) -> int:
+        if what in missing:
+            return -1
+        k = page.find(what, begin)
+        if k < 0:
+            missing.add(what)
+        return k
+
+    while True:
+        a = page.find("<", at)
+        if a < 0:
+            return
+        if page.startswith("<!--", a):
+            z = find("-->", a + 4)
+            at = n if z < 0 else z + 3
+            yield a, at, "", ""
+            continue
+        if page.startswith("<![CDATA[", a):
+            z = find("]]>", a + 9)
+            at = n if z < 0 else z + 3
+            yield a, at, "", ""
+            continue
+        if page.startswith(("<!", "<?"), a):
+            z = find(">", a + 2)
+            at = n if z < 0 else z + 1
+            yield a, at, "", ""
+            continue
+        m = _NAME.match(page, a + 1)
+        if m is None:
+            at = a + 1
+            continue
+        z = m.end()
+        while (stop := _STOP.search(page, z) if ">" not in missing else None) is not None:
+            if stop[0] == ">":
+                break
+            closed = find(stop[0], stop.end())
+            z = stop.end() if closed < 0 else closed + 1
+        if stop is None:
+            missing.add(">")  # nothing ends a tag any more: what is left is text
+            return
+        name, attrs, at = m[0].lower(), page[m.end() : stop.start()], stop.end()
+        if name in RAW and not attrs.endswith("/"):
+            close = re.compile(f"</{name}\\b[^>]*>?", re.I).search(page, at) if "</" + name not in missing else None
+            if close is None:
+                missing.add("</" + name)
+            yield a, n if close is None else close.end(), "", ""
+            at = n if close is None else close.end()
+            continue
+        yield a, at, name, attrs
+
+
+def suspicion(tag: str, attrs: str, inside: bool) -> int:
+    """3: hidden for certain, 2: furniture by its name, 1: perhaps, 0: no. ``inside``: in an article or main element."""
+    if tag in FURNITURE or tag == "header" and not inside:
+        return 2
+    if tag in ("article", "body", "html", "main") or not attrs:
+        return 0
+    level, inline = 0, tag in INLINE
+    for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and not _WORDS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+        if name == "hidden" or name == "style" and _UNSEEN.search(value):
+            return 3
+        if name not in ("class", "id", "role"):
+            continue
+        for token in value.split():
+            parts = [p for p in re.split(r"[_-]+", token) if p]
+            bad = sum(p in WORDS and not (inside and p == "header") for p in parts)
+            if bad:
+                level = max(level, 2 if bad + sum(p in PLAIN for p in parts) == len(parts) else 1)
+    return 0 if inline and level == 1 else level
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, link characters, number of the article or main element around it; 0: none) for each line; ("", 0, 0) for gaps."""
-    lines: list[tuple[str, int, int]] = []
+@dataclass(slots=True)
+class Line:
+    text: str
+    links: int = 0
+    heading: bool = False
+    suspect: int = 0  # the innermost one it is in; 0: none
+    container: int = 0  # the article or main element it is in; 0: none
+
+    @property
+    def solid(self) -> bool:
+        return len(self.text) >= SOLID or bool(_MARK.search(self.text))
+
+
+@dataclass(slots=True)
+class Suspect:
+    level: int
+    parent: int
+    chars: int = 0
+    links: int = 0
+    running: int = 0
+    headings: int = 0
+    hidden: bool = False
+
+
+def lines_of(page: str) -> tuple[list[Line], list[Suspect]]:
+    """All lines in page order, and the suspects (number 0 stands for none); an empty line is where a suspect begins or ends."""
+    lines: list[Line] = []
+    suspects = [Suspect(0, 0)]
     held: list[str] = []
-    state = {"links": 0, "in_link": 0}
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, furniture, container before
-    here = made = 0
-    hidden = 0
+    stack: list[tuple[str, int, int]] = []  # open elements: name, suspect and container before
+    open_: Counter[str] = Counter()
+    links = in_link = suspect = container = made = 0
+    heading = False
 
     def flush() -> None:
+        nonlocal links
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         if text:
-            lines.append((text, min(state["links"], len(text)), here))
+            lines.append(Line(text, min(links, len(text)), heading, suspect, container))
         held.clear()
-        state["links"] = 0
+        links = 0
 
     def text(s: str) -> None:
-        if s and not hidden:
+        nonlocal links
+        if s:
             held.append(s)
-            if state["in_link"]:
-                state["links"] += len(html.unescape(s).strip())
+            if in_link:
+                links += len(_SPACE.sub(" ", html.unescape(s)).strip())
+
+    def close() -> str:
+        nonlocal suspect, container
+        name, was, had = stack.pop()
+        open_[name] -= 1
+        if was != suspect or had != container:
+            flush()
+        if was != suspect:
+            lines.append(Line("", suspect=was, container=had))
+        suspect, container = was, had
+        return name
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+    for begin, end, tag, attrs in tags_of(page):
+        text(page[at:begin])
+        at = end
         if not tag:
             continue
-        if not m["close"]:
+        if tag[0] != "/":
             if tag in BLOCKS:
                 flush()
+                heading = tag in HEADINGS
             if tag == "br":
                 text(" ")
             if tag == "a":
-                state["in_link"] = 1
-            if tag in VOID or m["attrs"].endswith("/"):
+                in_link = 1
+            if tag in VOID or attrs.endswith("/"):
                 continue
-            bad = _is_furniture(tag, m["attrs"], here > 0)
-            if tag in LOOSE and not bad:
+            while stack and tag in ENDED_BY.get(stack[-1][0], ()):
+                close()
+            level = suspicion(tag, attrs, container > 0)
+            if tag in LOOSE and not level:
                 continue
-            if bad and not hidden:
+            stack.append((tag, suspect, container))
+            open_[tag] += 1
+            if level:
                 flush()
-                lines.append(("", 0, 0))
-            stack.append((tag, bad, here))
-            hidden += bad
-            if tag in ("article", "main") and not hidden and not here:
+                suspects.append(Suspect(level, suspect))
+                suspect = len(suspects) - 1
+                lines.append(Line("", suspect=suspect, container=container))
+            elif tag in ("article", "main") and not container:
                 made += 1
-                here = made
+                container = made
         else:
+            tag = tag[1:]
             if tag == "a":
-                state["in_link"] = 0
+                in_link = 0
             if tag in BLOCKS:
                 flush()
-            if any(name == tag for name, _, _ in reversed(stack)):
-                while stack:
-                    name, bad, before = stack.pop()
-                    hidden -= bad
-                    if not hidden and before != here:
-                        flush()
-                        here = before
-                    if bad and not hidden:
-                        lines.append(("", 0, 0))
-                    if name == tag:
-                        break
+                heading = False
+            if open_[tag]:
+                while close() != tag:
+                    pass
     text(page[at:])
     flush()
-    return lines
+    return lines, suspects
+
+
+def judge(lines: list[Line], suspects: list[Suspect]) -> None:
+    """Decide which suspects are hidden (see the module's text)."""
+    free = 0  # characters that no suspect of level 2 or 3 holds
+    for x in lines:
+        s = suspects[x.suspect]
+        s.chars += len(x.text)
+        s.links += x.links
+        s.running += len(x.text) - x.links if x.solid else 0
+        s.headings += x.heading
+    sure = [False] * len(suspects)
+    for k, s in enumerate(suspects):
+        sure[k] = k > 0 and (s.level >= 2 or sure[s.parent])
+        free += 0 if sure[k] else s.chars
+    for s in reversed(suspects[1:]):  # inner ones have higher numbers than those around them
+        around = suspects[s.parent]
+        if s.parent:
+            around.chars += s.chars
+            around.links += s.links
+            around.running += s.running
+            around.headings += s.headings
+    for s in suspects[1:]:
+        if suspects[s.parent].hidden or s.level == 3:
+            s.hidden = True
+        elif s.level == 2:
+            s.hidden = free * 10 >= s.chars or s.running * 2 < s.chars
+        else:
+            s.hidden = s.links * 2 > s.chars or not s.running and not s.headings and s.chars < SOLID
+
+
+def stretches_of(weights: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
+    """Where the sums over blocks of ``window`` lines surge to the threshold and dive under it: (first line, line after the last) of
+    maximal runs of lines that are in such a block, without the lines of no weight at their ends."""
+    n, upto = len(weights), [0]
+    for w in weights:
+        upto.append(upto[-1] + w)
+    out: list[tuple[int, int]] = []
+    for i in range(n):  # block i: lines i to i + window - 1
+        z = min(n, i + window)
+        if upto[z] - upto[i] >= threshold:
+            if out and i <= out[-1][1]:
+                out[-1] = (out[-1][0], z)
+            else:
+                out.append((i, z))
+    trimmed = []
+    for a, z in out:
+        while not weights[a]:
+            a += 1
+        while not weights[z - 1]:
+            z -= 1
+        trimmed.append((a, z))
+    return trimmed
+
+
+def _like_a_menu(lines: list[Line], a: int, z: int) -> bool:
+    return z - a > 1 and not any(x.solid or x.heading for x in lines[a:z])
 
 
 def main_text(page: str | None, window: int = 3, link_share: float = 0.5, fifth: float = 0.2) -> str:
     if not page:
         return ""
-    raw = lines_of(page)
-    inside: dict[int, int] = {}
-    for text, _, c in raw:
-        if c:
-            inside[c] = inside.get(c, 0) + len(text)
-    chosen = max(inside, key=lambda c: (inside[c], -c)) if inside else 0
-    kept: list[str] = []  # the lines with gaps: what isn't content weighs nothing
-    for text, links, c in raw:
-        content = text and c == chosen and (chosen or links <= link_share * len(text))
-        kept.extend([text] if content else [""] * window)
-    weigh = [len(x) for x in kept]
-    sums = [sum(weigh[max(0, i - window + 1) : i + 1]) for i in range(len(weigh))]
-    stretches: list[tuple[int, int]] = []
-    begin = None
-    for i, s in enumerate([*sums, 0]):
-        if s and begin is None:
-            begin = i  # surge
-        elif not s and begin is not None:
-            stretches.append((begin, i))  # dive
-            begin = None
-    if not stretches:
+    lines, suspects = lines_of(page)
+    judge(lines, suspects)
+    by_container: Counter[int] = Counter()
+    for x in lines:
+        if x.container and not suspects[x.suspect].hidden:
+            by_container[x.container] += len(x.text)
+    chosen = max(by_container, key=lambda c: (by_container[c], -c)) if any(by_container.values()) else 0
+    kept: list[Line] = []  # with gaps: what isn't content weighs nothing
+    gap = [Line("")] * (2 * window - 1)  # no two blocks reach over it
+    for x in lines:
+        if not suspects[x.suspect].hidden and x.container == chosen:
+            kept.extend([x] if x.text else [])
+        elif not kept or kept[-1].text:
+            kept.extend(gap)
+    # A line that is mostly a link weighs nothing, but stays where it stands amid text.
+    weights = [0 if x.links > link_share * len(x.text) else (len(x.text) - x.links if x.solid or chosen else -(-(len(x.text) - x.links) // 4)) for x in kept]
+    if not any(weights):
         return ""
-    size = [sum(weigh[a:b]) for a, b in stretches]
-    use = [x for x, n in zip(stretches, size, strict=True) if chosen or n >= fifth * max(size)]
-    return "\n".join(t for a, b in use for t in kept[a:b] if t)
+    if chosen:
+        use = stretches_of(weights, window, 1)
+        while len(use) > 1 and _like_a_menu(kept, *use[-1]):
+            use.pop()
+        while len(use) > 1 and _like_a_menu(kept, *use[0]):
+            use.pop(0)
+    else:
+        highest = max(sum(weights[i : i + window]) for i in range(len(weights)))
+        use = []
+        for a, z in stretches_of(weights, window, min(SURGE, highest)):
+            b, y = a, z
+            while b < y and not (kept[b].heading or kept[b].solid and weights[b]):
+                b += 1
+            while y > b and not (kept[y - 1].solid and weights[y - 1]):
+                y -= 1
+            b, y = (b, y) if b < y else (a, z)
+            while b and kept[b - 1].heading and kept[b - 1].text:
+                b -= 1
+            use.append((b, y))
+        size = [sum(weights[a:z]) for a, z in use]
+        large = [k for k, n in enumerate(size) if n >= fifth * max(size)]
+        use = [x for k, x in enumerate(use) if large[0] <= k <= large[-1]]
+    return "\n".join(x.text for a, z in use for x in kept[a:z] if x.text)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -166,6 +166,79 @@ def test_main_text():
     assert html_text.main_text("no markup &lt;at&gt; all") == "no markup <at> all"
 
 
+LONG = "This is a long paragraph of running text that goes on for a while."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='content has-sidebar'><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+        (f"<article><section class='related-work'><p>{LONG}</p></section></article>", LONG),
+        (f"<article><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p></article>", f"Title\n{LONG}"),
+        (f"<article><div class='header'><h1>Title</h1></div><p>{LONG}</p></article>", f"Title\n{LONG}"),
+        (f"<body><div class='ad'>Buy now<div><p>{LONG}</p><p>{LONG}</p></div></body>", f"{LONG}\n{LONG}"),
+        (f"<body><form><div><p>{LONG}</p><p>{LONG}</p></div></form></body>", f"{LONG}\n{LONG}"),
+        (f"<div>Home</div><div>News</div><div>About us</div><h1>Title</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p><div>Imprint</div><div>Contact</div>", f"Title\n{LONG}\nShort one.\n{LONG}"),
+        (f"<article><p>{LONG}</p><p>One.</p><aside>More of it</aside><p>The end.</p></article>", f"{LONG}\nOne.\nThe end."),
+        (f"<article><p>{LONG}</p><div class=share>x</div><div>Tweet</div><div>Mail</div></article>", LONG),
+        (f"<article><p>{LONG}</p><p>see the <span class='ad-hoc'>odd</span> case</p></article>", f"{LONG}\nsee the odd case"),
+        (f"<article><p class=ad>Buy<p>{LONG}<ul><li class=ad>Buy<li>item two</ul></article>", f"{LONG}\nitem two"),
+        (f"<article><p>{LONG}</p></article><article><p>Short.</p></article>", LONG),
+        (f"<div><p>{LONG}</p></div><div class='comments'><p>{LONG}</p><p>{LONG}</p></div>", LONG),
+        (f"<p title='a > b'>{LONG}</p><p>1 < 2 and 3 > 2.</p>", f"{LONG}\n1 < 2 and 3 > 2."),
+        (f"<article><p>{LONG}</p><ul><li><a href=a>one more</a><li><a href=b>two more</a><li><a href=c>three more</a><li><a href=d>four</a></ul></article>", LONG),
+        ("<script>never closed <p>x", ""),
+        ("<p>x<p>y", "x\ny"),
+        ("&lt;b&gt; a&amp;b &#233;<br>c", "<b> a&b é c"),
+    ],
+)
+def test_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_surge_and_dive_same_as_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        w = [rng.choice((0, 0, 1, 5, 30, 90)) for _ in range(rng.randint(1, 25))]
+        window, threshold = rng.randint(1, 4), rng.choice((1, 6, 31, 80))
+        inside = [any(sum(w[k : k + window]) >= threshold for k in range(max(0, i - window + 1), i + 1)) for i in range(len(w))]
+        want, i = [], 0
+        while i < len(w):
+            if inside[i]:
+                z = i
+                while z < len(w) and inside[z]:
+                    z += 1
+                heavy = [k for k in range(i, z) if w[k]]
+                want.append((heavy[0], heavy[-1] + 1))
+                i = z
+            i += 1
+        assert html_text.stretches_of(w, window, threshold) == want
+
+
+@pytest.mark.parametrize("bit", ["<p a='", "<a href=\"", "<div class=ad>", "<!--", "<![CDATA[", "<script ", "<b <", "<", "</p", "'\"<x ", "<div><article>", "</div></b>", "<?"])
+def test_broken_markup_takes_linear_time(bit):
+    import time
+
+    def seconds(n):
+        t = time.process_time()
+        html_text.main_text(bit * n + "end.")
+        return time.process_time() - t
+
+    assert min(seconds(40_000) for _ in range(2)) < 20 * min(seconds(4_000) for _ in range(3)) + 0.1
+
+
+def test_very_long_page():
+    page = f"<article>{''.join(f'<p>{LONG} {k}.</p>' for k in range(20_000))}</article>"
+    assert html_text.main_text(page).count("\n") == 19_999
+
+
+def test_extract_from_empty_table_and_clashing_columns(spark):
+    rows = [(1, "u", f"<p>{LONG}", "mine", 3)] * 2
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
+    assert [tuple(r) for r in got] == [(1, "u", LONG, len(LONG))] * 2
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_extract_edges(spark):
     rows = [(1, "u", PAGE, 5), (2, None, None, 6), (None, "v", "<p>x", 7)]
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()}
