@@ -11,13 +11,17 @@
 * **Score**: words and word beginnings learned by sequential covering on labelled documents: again
   and again the feature that explains most toxic documents not yet explained, as long as few clean
   ones have it; then those that no clean document has and that toxic ones have far beyond chance. A document's score is the precision (smoothed, at the rate of all labels) of its
-  best feature, raised a little by further ones; without a feature it is the rate of toxic
-  documents that no feature explains.
+  features taken together (one minus the product of their failures); without a feature it is the rate
+  of toxic documents that no feature explains.
 
 The classifier is fitted on at most ``per_class`` labelled documents of each label, no longer than
-``FIT_CHARS`` characters (a bounded sample; scoring reads every whole text). Null and empty texts
-get the score of a text without features. If nothing is labelled, scores are 0. Repeated rows get
-a row each. Extra columns are not read.
+``FIT_CHARS`` characters (a bounded sample; scoring reads every whole text). Features are counted by
+Spark; the driver gets those of three toxic documents or more, and their numbers for each document.
+Null and empty texts get the score of a text without features. If nothing is labelled, scores are 0.
+Repeated rows get a row each; of a labelled identifier with several texts the first in order is
+learned, of several labels the highest. Labels without an identifier or a value are not read; rows
+with a null identifier are scored and never held out. Empty tables give an empty result. Extra
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corrvox.llm.common import join_small, materialize, release
+
 CLASSES = 64
 FIT_CHARS = 20_000
 
@@ -81,6 +87,10 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
+#: The last language model that this worker process got, so its tasks share one.
+_tables: list[tuple[bytes, list]] = []
+
+
 class Channel:
     """The character language model and the lattice decoder."""
 
@@ -92,9 +102,19 @@ class Channel:
         bi = c.sum(0)
         bi = (bi + 5 * uni) / (bi.sum(1, keepdims=True) + 5)
         tri = (c + 5 * bi[None]) / (c.sum(2, keepdims=True) + 5)
-        self.log = np.log(tri).tolist()
+        self.table = np.log(tri)
+        self.log = self.table.tolist()
         self.memo: dict[str, str] = {}
 
+    def __getstate__(self) -> bytes:
+        return self.table.tobytes()  # 2 MB, whatever the input
+
+    def __setstate__(self, state: bytes) -> None:
+        self.table = np.frombuffer(state).reshape(CLASSES, CLASSES, CLASSES)
+        if not any(t == state for t, _ in _tables):
+            _tables[:] = [(state, self.table.tolist())]
+        self.log, self.memo = _tables[0][1], {}
+
     def _edges(self, c: str, i: int, j: int) -> list[tuple[int, str, float]]:
         """(next place, what is emitted, cost) from place ``i``, in a run of ``c`` that ends before ``j``."""
         if c in SEPARATORS:
@@ -201,14 +221,23 @@ class Scorer:
         if not own:
             return self.base
         rest = 1.0
-        for p in sorted((self.weights[w] for w in own), reverse=True)[:4]:
+        for p in sorted(self.weights[w] for w in own):
             rest *= 1 - p
         return max(0.0, min(1.0, 1 - rest))
 
 
-def _kinds(sets: list[set[str]]) -> list[int]:
-    """A number for each set; sets that share one of four min-hashes share the number."""
-    root = list(range(len(sets)))
+_MIX = (1, 2654435761, 40503, 97531)  # four orders of hashes
+
+
+def min_hashes(words: set[str]) -> list[int]:
+    """The least of each order of the features' hashes; without features none."""
+    h = np.array([zlib.crc32(f.encode()) for f in words], np.uint64)
+    return [int((h * np.uint64(m) % np.uint64(4294967291)).min()) for m in _MIX] if len(h) else []
+
+
+def _kinds(hashes: list[list[int]]) -> list[int]:
+    """A number for each document; documents that share one of their min-hashes share the number."""
+    root = list(range(len(hashes)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -217,64 +246,76 @@ def _kinds(sets: list[set[str]]) -> list[int]:
         return i
 
     seen: dict[tuple[int, int], int] = {}
-    for i, s in enumerate(sets):
-        h = np.array([zlib.crc32(f.encode()) for f in s], np.uint64)
-        for k, m in enumerate((1, 2654435761, 40503, 97531)):
-            if len(h):
-                root[find(i)] = find(seen.setdefault((k, int((h * np.uint64(m) % np.uint64(4294967291)).min())), i))
-    return [find(i) for i in range(len(sets))]
+    for i, own in enumerate(hashes):
+        for key in enumerate(own):
+            root[find(i)] = find(seen.setdefault(key, i))
+    return [find(i) for i in range(len(hashes))]
+
+
+@dataclass
+class Sample:
+    """Counts of a sample of labelled documents."""
 
+    names: list[str]  # features that LEAST toxic documents have, or more
+    bad: np.ndarray  # how many toxic documents have each
+    good: np.ndarray  # and how many clean ones
+    have: list[np.ndarray]  # for each toxic document the numbers of its features among ``names``
+    hashes: list[list[int]]  # for each toxic document its min-hashes
+    rest: dict[int, int]  # of all other features: how many are in so many documents
+    n_clean: int
 
-def fit_scorer(toxic: list[set[str]], clean: list[set[str]], rate: float, least: int = 3, precision: float = 0.9) -> Scorer:
+
+LEAST = 3
+
+
+def fit_scorer(sample: Sample, rate: float, precision: float = 0.9) -> Scorer:
     """Sequential covering. ``rate``: share of toxic among all labelled documents."""
-    if not toxic:
+    n_toxic, n_clean = len(sample.have), sample.n_clean
+    if not n_toxic:
         return Scorer(0.0)
-    if not clean:
+    if not n_clean:
         return Scorer(1.0)
-    bad, good = Counter(f for s in toxic for f in s), Counter(f for s in clean for f in s)
-    at_rate = (1 - rate) * len(toxic) / (rate * len(clean))  # clean documents count so many
-
-    def exact(f: str) -> float:
-        return (bad[f] + rate) / (bad[f] + good[f] * at_rate + 1)
-
-    able = {f for f, n in bad.items() if n >= least and exact(f) >= precision}
-    have = [s & able for s in toxic]
-    holders: dict[str, list[int]] = {}
-    for i, s in enumerate(have):
-        for f in s:
-            holders.setdefault(f, []).append(i)
-    left = Counter({f: len(h) for f, h in holders.items()})
-    open_ = set(range(len(toxic)))
+    names, bad, good = sample.names, sample.bad, sample.good
+    at_rate = (1 - rate) * n_toxic / (rate * n_clean)  # clean documents count so many
+    exact = (bad + rate) / (bad + good * at_rate + 1)
+    holders: list[list[int]] = [[] for _ in names]
+    for i, own in enumerate(sample.have):
+        for f in own.tolist():
+            holders[f].append(i)
+    able = exact >= precision
+    left = np.where(able, bad, 0)
+    ties = np.lexsort((names, [-len(x) for x in names], exact)) if names else np.zeros(0, np.int64)
+    place = np.empty(len(names), np.int64)
+    place[ties] = np.arange(len(names))  # of equal gain the more precise, then the shorter
+    open_ = np.ones(n_toxic, bool)
     chosen: dict[str, float] = {}
-    while left:
-        f = max(left, key=lambda x: (left[x] - 3 * good[x], exact(x), -len(x), x))
-        if left[f] - 3 * good[f] < least:
+    while left.any():
+        gain = np.where(left >= LEAST, left - 3 * good, -1)
+        f = int(np.lexsort((place, gain))[-1])
+        if gain[f] < LEAST:
             break
-        chosen[f] = exact(f)
+        chosen[names[f]] = float(exact[f])
         for i in holders[f]:
-            if i in open_:
-                open_.discard(i)
-                left.subtract(have[i])
-        left = Counter({k: v for k, v in left.items() if v >= least and k != f})
+            if open_[i]:
+                open_[i] = False
+                np.subtract.at(left, sample.have[i], able[sample.have[i]].astype(left.dtype))
+        left[f] = 0
     # Features that never stand alone are not needed for covering, but may stand alone elsewhere: those that no
     # clean document has, if at most a fiftieth of the features with as many toxic documents would be there by
     # chance. Copies (documents that share one of four min-hashes) count once.
     # With one min-hash for each document instead, a feature is taken where chance is out of the question.
-    kinds, low = _kinds(toxic), [min((zlib.crc32(f.encode()) for f in s), default=0) for s in toxic]
-    enough = 20 / math.log((len(toxic) + len(clean)) / len(toxic))
-    spread: dict[str, set[int]] = {}
-    for i, s in enumerate(toxic):
-        for f in s:
-            spread.setdefault(f, set()).add(kinds[i])
-    chance = len(set(kinds)) / (len(set(kinds)) + len(clean))
-    seen, alone = Counter(len(k) + good[f] for f, k in spread.items()), Counter(len(k) for f, k in spread.items() if not good[f])
-    clean_only = Counter(n for f, n in good.items() if f not in spread)
-    for f, k in spread.items():
-        n = len(k)
-        likely = len({low[i] for i in holders.get(f, ())}) >= enough
-        if f not in chosen and not good[f] and (likely or n > 2 and (seen[n] + clean_only[n]) * chance**n <= 0.02 * alone[n]):
-            chosen[f] = exact(f)
-    share = len(open_) / len(toxic)
+    kinds, low = _kinds(sample.hashes), [h[0] if h else 0 for h in sample.hashes]
+    enough = 20 / math.log((n_toxic + n_clean) / n_toxic)
+    chance = len(set(kinds)) / (len(set(kinds)) + n_clean)
+    spread = [len({kinds[i] for i in h}) for h in holders]
+    seen = Counter(sample.rest)
+    seen.update(n + int(g) for n, g in zip(spread, good, strict=True))
+    alone = Counter(n for n, g in zip(spread, good, strict=True) if not g)
+    for f, n in enumerate(spread):
+        likely = able[f] and len({low[i] for i in holders[f]}) >= enough
+        if names[f] not in chosen and not good[f] and (likely or n > 2 and seen[n] * chance**n <= 0.02 * alone[n]):
+            chosen[names[f]] = float(exact[f])
+    share = int(open_.sum()) / n_toxic
     return Scorer(rate * share / (rate * share + 1 - rate), chosen)
 
 
@@ -297,18 +338,36 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel, per_class: int = 3
         near = near.unionByName(p)
     picked = near.withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id"))).where(F.col("rank") <= per_class)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text").between(1, FIT_CHARS))
-    got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"])  # two classes x per_class rows
+    got = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # two classes x per_class rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [" ".join(sorted(features(channel.restore(t)))) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(f, pa.string())], names=["y", "features"])
-
-    rows = got.select("y", "text").mapInArrow(run, "y int, features string").collect()
-    toxic = [set(r["features"].split(" ")) - {""} for r in rows if r["y"] == 1]
-    clean = [set(r["features"].split(" ")) - {""} for r in rows if r["y"] == 0]
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                own = [features(channel.restore(t)) for t in part.column("text").to_pylist()]
+                cols = [part.column("doc_id"), part.column("y"), pa.array([min_hashes(f) for f in own], pa.list_(pa.int64())), pa.array([list(f) for f in own], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "y", "hashes", "features"])
+
+    rows = materialize(got.mapInArrow(run, "doc_id long, y int, hashes array<long>, features array<string>"), "features")
+    each = rows.select("doc_id", "y", F.explode("features").alias("f"))
+    toxic = F.col("y") == 1
+    by = materialize(each.groupBy("f").agg(F.count(F.when(toxic, 1)).alias("bad"), F.count(F.when(~toxic, 1)).alias("good")), "counts")
+    able = by.where(F.col("bad") >= LEAST).orderBy("f").collect()
+    rest = {r["n"]: r["count"] for r in by.where(F.col("bad") < LEAST).groupBy((F.col("bad") + F.col("good")).alias("n")).count().collect()}
+    names = [r["f"] for r in able]
+    number = {f: k for k, f in enumerate(names)}
+    numbered = join_small(each.where(toxic), by.where(F.col("bad") >= LEAST).select("f"), "f", "left_semi").groupBy("doc_id").agg(F.collect_list("f").alias("fs"))
+    have = {r["doc_id"]: np.array([number[f] for f in r["fs"]], np.int64) for r in numbered.toLocalIterator()}
+    docs_of = rows.select("doc_id", "y", "hashes").orderBy("doc_id").collect()
+    release(rows)
+    release(by)
+    sample = Sample(
+        names, np.array([r["bad"] for r in able], np.int64), np.array([r["good"] for r in able], np.int64),
+        [have.get(r["doc_id"], np.zeros(0, np.int64)) for r in docs_of if r["y"] == 1], [r["hashes"] for r in docs_of if r["y"] == 1],
+        rest, sum(r["y"] == 0 for r in docs_of),
+    )
     total = counts.get(0, 0) + counts.get(1, 0)
-    return fit_scorer(toxic, clean, counts.get(1, 0) / max(1, total))
+    return fit_scorer(sample, counts.get(1, 0) / max(1, total))
 
 
 def score_documents(docs: DataFrame, channel: Channel, scorer: Scorer, restored: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

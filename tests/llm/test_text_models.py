@@ -260,3 +260,51 @@ def test_mixed_short_and_final_disguises(seen, meant):
     c = toxicity._FOLD[np.frombuffer(text, np.uint8)].astype(int)
     channel = toxicity.Channel(np.bincount((c[:-2] * 64 + c[1:-1]) * 64 + c[2:], minlength=64**3))
     assert channel.restore(f"and {seen} of") == f"and {meant} of"
+
+
+def test_covering_same_as_brute_force():
+    """Greedy covering: at each step the feature with the largest gain, over plain sets."""
+    rng = random.Random(6)
+    for _ in range(20):
+        words = [f"w{k}" for k in range(12)]
+        toxic = [{w for w in words if rng.random() < 0.3} for _ in range(60)]
+        clean = [{w for w in words[:6] if rng.random() < 0.1} for _ in range(80)]
+        bad = {w: sum(w in s for s in toxic) for w in words}
+        names = sorted(w for w in words if bad[w] >= 3)
+        good = {w: sum(w in s for s in clean) for w in names}
+        sample = toxicity.Sample(names, np.array([bad[w] for w in names]), np.array([good[w] for w in names]), [np.array([k for k, w in enumerate(names) if w in s], np.int64) for s in toxic], [toxicity.min_hashes(s) for s in toxic], {}, len(clean))
+        got = toxicity.fit_scorer(sample, 0.4)
+        at_rate = 0.6 * 60 / (0.4 * 80)
+        exact = {w: (bad[w] + 0.4) / (bad[w] + good[w] * at_rate + 1) for w in names}
+        left, chosen = list(toxic), []
+        while True:
+            gain = {w: sum(w in s for s in left) - 3 * good[w] for w in names if exact[w] >= 0.9 and w not in chosen and sum(w in s for s in left) >= 3}
+            if not gain or max(gain.values()) < 3:
+                break
+            chosen.append(max(gain, key=lambda w: (gain[w], exact[w], -len(w), w)))
+            left = [s for s in left if chosen[-1] not in s]
+        assert set(chosen) <= set(got.weights) and all(got.weights[w] == pytest.approx(exact[w]) for w in chosen)
+        share = len(left) / 60
+        assert got.base == pytest.approx(0.4 * share / (0.4 * share + 0.6))
+
+
+def test_toxicity_repeats_and_clashing_columns(spark):
+    bad, fine = "you are an idiot and a moron", "a lovely day in the park"
+    rows = [(k, f"{bad} {k}" if k % 2 else f"{fine} {k}", 1, 1) for k in range(60)] + [(1, f"{fine} 1", 1, 1), (1, f"{bad} 1", 1, 1), (None, bad, 1, 1), (99, "word " * 40_000 + "idiot and a moron", 1, 1)]
+    labels = [(k, 1, k % 2) for k in range(60)] + [(1, 1, 0), (None, 1, 1), (2, 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, y int")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, lab).collect()
+    again = toxicity.toxicity(docs.repartition(3), lab.repartition(2)).collect()
+    assert sorted(got, key=repr) == sorted(again, key=repr) and len(got) == len(rows)
+    assert {r.predicted for r in got if r.doc_id is not None and r.doc_id < 60 and r.doc_id % 2 and r.doc_id != 1} == {1}
+    assert {r.predicted for r in got if r.doc_id is None or r.doc_id == 99} == {1} and {r.predicted for r in got if r.doc_id is not None and r.doc_id % 2 == 0} == {0}
+    assert toxicity.toxicity(docs.where("false"), lab).count() == 0
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_channel_survives_pickling(channel):
+    import pickle
+
+    other = pickle.loads(pickle.dumps(channel))
+    assert len(pickle.dumps(channel)) < 2_200_000 and other.restore("and 1d10t of") == "and idiot of" and other.log == channel.log
