@@ -290,7 +290,7 @@ def test_covering_same_as_brute_force():
 
 def test_toxicity_repeats_and_clashing_columns(spark):
     bad, fine = "you are an idiot and a moron", "a lovely day in the park"
-    rows = [(k, f"{bad} {k}" if k % 2 else f"{fine} {k}", 1, 1) for k in range(60)] + [(1, f"{fine} 1", 1, 1), (1, f"{bad} 1", 1, 1), (None, bad, 1, 1), (99, "word " * 40_000 + "idiot and a moron", 1, 1)]
+    rows = [(k, f"{bad} {k}" if k % 2 else f"{fine} {k}", 1, 1) for k in range(60)] + [(1, f"{fine} 1", 1, 1), (1, f"{bad} 1", 1, 1), (None, bad, 1, 1), (99, "word " * 40_000 + bad, 1, 1)]
     labels = [(k, 1, k % 2) for k in range(60)] + [(1, 1, 0), (None, 1, 1), (2, 1, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int, y int")
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
