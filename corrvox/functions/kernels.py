@@ -87,28 +87,35 @@ def sample(vol: Volume, centres: np.ndarray, moved: np.ndarray, method: str, gra
     frac = np.where(ok[..., None], local - base, 0.0).reshape(-1, 3)
     corner = ((at[:, 2] - before) * ny + at[:, 1] - before) * nx + at[:, 0] - before
     (wx, dx), (wy, dy), (wz, dz) = (axis_weights(frac[:, a], method) for a in range(3))
-    shape = len(corner)
-    value = np.zeros(shape)
-    g = np.zeros((3, shape)) if grad else None
+    n_at = len(corner)
+    value, g = np.zeros(n_at), np.zeros((3, n_at)) if grad else None
+    index, tap, part = np.empty(n_at, np.int64), np.empty(n_at), np.empty(n_at)
+    row, row_x, plane, plane_x, plane_y = (np.empty(n_at) for _ in range(5))
+
+    def gather(into: np.ndarray, factor: np.ndarray, what: np.ndarray, first: bool) -> None:
+        if first:
+            np.multiply(what, factor, out=into)
+        else:
+            np.multiply(what, factor, out=part)
+            into += part
+
     for k in range(n):
-        plane, plane_x, plane_y = np.zeros(shape), np.zeros(shape), np.zeros(shape)
         for j in range(n):
-            row_at = corner + (k * ny + j) * nx
-            row, row_x = np.zeros(shape), np.zeros(shape)
+            np.add(corner, (k * ny + j) * nx, out=index)
             for i in range(n):
-                tap = vol.flat[row_at + i]
-                row += tap * wx[i]
+                np.take(vol.flat, index, out=tap, mode="clip")  # the places are inside; the mode spares a copy
+                index += 1
+                gather(row, wx[i], tap, not i)
                 if grad:
-                    row_x += tap * dx[i]
-            plane += row * wy[j]
+                    gather(row_x, dx[i], tap, not i)
+            gather(plane, wy[j], row, not j)
             if grad:
-                plane_x += row_x * wy[j]
-                plane_y += row * dy[j]
-        value += plane * wz[k]
+                gather(plane_x, wy[j], row_x, not j)
+                gather(plane_y, dy[j], row, not j)
+        gather(value, wz[k], plane, False)
         if grad:
-            g[0] += plane_x * wz[k]
-            g[1] += plane_y * wz[k]
-            g[2] += plane * dz[k]
+            for into, factor, what in zip(g, (wz[k], wz[k], dz[k]), (plane_x, plane_y, plane), strict=True):
+                gather(into, factor, what, False)
     return value.reshape(ok.shape), None if g is None else np.moveaxis(g, 0, -1).reshape(*ok.shape, 3), ok
 
 
@@ -234,67 +241,109 @@ def best_translation(vol: Volume, f: np.ndarray, centres: np.ndarray, seeds: np.
 def solve(ref: Volume, moved: Volume, centres: np.ndarray, seeds: np.ndarray, offsets: np.ndarray, search: Search) -> dict[str, np.ndarray]:
     """params, status, objmin and n_iter of each point, a bounded number of samples at a time."""
     many = max(1, CALL_SAMPLES // max(1, len(offsets)))
-    parts = [_solve(ref, moved, centres[k : k + many], seeds[k : k + many], offsets, search) for k in range(0, len(centres), many)]
-    if not parts:
-        return {"params": np.zeros((0, search.dof)), "status": np.zeros(0, np.int8), "objmin": np.zeros(0), "n_iter": np.zeros(0, np.int16)}
-    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-
-
-def _solve(ref: Volume, moved: Volume, centres: np.ndarray, seeds: np.ndarray, offsets: np.ndarray, search: Search) -> dict[str, np.ndarray]:
-    n = len(centres)
-    params = np.zeros((n, search.dof))
-    params[:, :3] = seeds
-    status, objmin, n_iter, before = np.zeros(n, np.int8), np.full(n, np.nan), np.zeros(n, np.int16), np.full(n, np.inf)
-    f, _, ok = sample(ref, centres, np.broadcast_to(offsets, (n, *offsets.shape)), search.interpolation)
-    status[~ok.all(1)] = RANGE_FAIL
-    if search.threshold is not None:
-        lo, hi, least = search.threshold
-        status[(status == GOOD) & (((f >= lo) & (f <= hi)).mean(1) < least)] = THRESH_FAIL
-    status[(status == GOOD) & flat(f)] = SINGULAR
-    q, _ = normalise(f, search.objective)
-    if search.basin_radius > 0:
-        live = np.flatnonzero(status == GOOD)
-        params[live, :3] = best_translation(moved, f[live], centres[live], params[live, :3], offsets, search)
-
-    live = np.flatnonzero(status == GOOD)
-    for _ in range(search.max_iterations):
-        if not len(live):
-            break
-        p = params[live]
-        at = p[:, None, :3] + offsets[None] @ np.swapaxes(deformation(p), 1, 2)
-        g, dg, ok = sample(moved, centres[live], at, search.interpolation, grad=True)
-        jac = dg
-        if search.dof > 3:
-            slopes = deformation_slopes(p)
-            turned = np.einsum("bkij,mj->bmki", slopes, offsets, optimize=True)
-            jac = np.concatenate([dg, (turned @ dg[..., None])[..., 0]], 2)
-        h, b, value = system(q[live], f[live], g, jac, search.objective)
-        dp, bad = step(h, b)
-        bad |= ~((dg * dg).sum((1, 2)) > FEATURELESS * (g * g).sum(1))
-        left = ~ok.all(1)
-        objmin[live[~left]] = value[~left]
-        status[live[left]] = RANGE_FAIL
-        status[live[bad & ~left]] = SINGULAR
-        fine = ~(left | bad)
-        params[live[fine]] += dp[fine]
-        n_iter[live[fine]] += 1
-        near = (np.abs(value - before[live]) < search.obj_tol) | (np.sqrt((dp[:, :3] ** 2).sum(1)) < search.disp_tol)
-        before[live] = value
-        far = fine & (np.abs(params[live, :3] - seeds[live]).max(1) > search.disp_max)
-        status[live[far]] = RANGE_FAIL
-        live = live[fine & ~near & ~far]
-    status[live] = CONVG_FAIL if search.report_convg_fail else GOOD
-    ended = (status == GOOD) | (status == CONVG_FAIL)
-    status[ended & ~np.isfinite(params).all(1)] = SINGULAR
-    last = np.flatnonzero((status == GOOD) | (status == CONVG_FAIL))
-    if len(last):
-        p = params[last]
-        g, _, ok = sample(moved, centres[last], p[:, None, :3] + offsets[None] @ np.swapaxes(deformation(p), 1, 2), search.interpolation)
-        objmin[last] = criterion(f[last], g, search.objective)
-        inside = ok.all(1)
-        status[last[~inside]] = RANGE_FAIL
-        status[last[inside & (~np.isfinite(objmin[last]) | flat(g))]] = SINGULAR
-    return {"params": params, "status": status, "objmin": objmin, "n_iter": n_iter}
+    out = States(np.zeros((len(centres), search.dof)), np.zeros(len(centres), np.int8), np.full(len(centres), np.nan), np.zeros(len(centres), np.int16))
+    for k in range(0, len(centres), many):
+        own = slice(k, k + many)
+        Batch(ref, moved, centres[own], seeds[own], offsets, search, out.part(own)).run()
+    return {"params": out.params, "status": out.status, "objmin": out.objmin, "n_iter": out.n_iter}
+
+
+@dataclass
+class States:
+    """What is known of each point; parts are views."""
+
+    params: np.ndarray
+    status: np.ndarray
+    objmin: np.ndarray
+    n_iter: np.ndarray
+
+    def part(self, own: slice) -> States:
+        return States(self.params[own], self.status[own], self.objmin[own], self.n_iter[own])
+
+    def settle(self, at: np.ndarray, *rules: tuple[np.ndarray, int]) -> np.ndarray:
+        """Each point of ``at`` gets the status of the first rule that holds for it; returns the points that none holds for."""
+        free = np.ones(len(at), bool)
+        for holds, code in rules:
+            self.status[at[free & holds]] = code
+            free &= ~holds
+        return at[free]
+
+
+class Batch:
+    """Gauss-Newton for a few points at once. ``run`` takes them through reference, start, steps and end; each stage settles
+    the points that a status rule holds for and hands on the others."""
+
+    def __init__(self, ref: Volume, moved: Volume, centres: np.ndarray, seeds: np.ndarray, offsets: np.ndarray, search: Search, states: States) -> None:
+        self.ref, self.moved, self.centres, self.seeds, self.offsets, self.search, self.states = ref, moved, centres, seeds, offsets, search, states
+        states.params[:, :3] = seeds
+
+    def run(self) -> None:
+        live = self.start(self.reference(np.arange(len(self.centres))))
+        ended, before = [], np.full(len(self.centres), np.inf)
+        for _ in range(self.search.max_iterations):
+            if not len(live):
+                break
+            live, near = self.step(live, before)
+            ended.append(live[near])
+            live = live[~near]
+        self.states.status[live] = CONVG_FAIL if self.search.report_convg_fail else GOOD
+        self.end(np.sort(np.concatenate([live, *ended])))
+
+    def reference(self, at: np.ndarray) -> np.ndarray:
+        """The reference samples, and the terms that stay as they are."""
+        self.f, _, ok = sample(self.ref, self.centres, np.broadcast_to(self.offsets, (len(at), *self.offsets.shape)), self.search.interpolation)
+        self.q, _ = normalise(self.f, self.search.objective)
+        dim = np.zeros(len(at), bool)
+        if self.search.threshold is not None:
+            low, high, share = self.search.threshold
+            dim = ((self.f >= low) & (self.f <= high)).mean(1) < share
+        return self.states.settle(at, (~ok.all(1), RANGE_FAIL), (dim, THRESH_FAIL), (flat(self.f), SINGULAR))
+
+    def start(self, at: np.ndarray) -> np.ndarray:
+        if self.search.basin_radius > 0 and len(at):
+            self.states.params[at, :3] = best_translation(self.moved, self.f[at], self.centres[at], self.states.params[at, :3], self.offsets, self.search)
+        return at
+
+    def look(self, at: np.ndarray, grad: bool):
+        """The deformed image at the moved samples: values, gradients, and whether a point's samples are all inside."""
+        p = self.states.params[at]
+        places = p[:, None, :3] + self.offsets[None] @ np.swapaxes(deformation(p), 1, 2)
+        g, slope, ok = sample(self.moved, self.centres[at], places, self.search.interpolation, grad=grad)
+        return g, slope, ok.all(1)
+
+    def jacobian(self, at: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        """How the samples change with the parameters."""
+        if self.search.dof == 3:
+            return slope
+        turned = np.einsum("bkij,mj->bmki", deformation_slopes(self.states.params[at]), self.offsets, optimize=True)
+        return np.concatenate([slope, (turned @ slope[..., None])[..., 0]], 2)
+
+    def step(self, at: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One update. Returns the points that go on, and which of them changed so little that they are done."""
+        st, search = self.states, self.search
+        g, slope, inside = self.look(at, True)
+        h, b, value = system(self.q[at], self.f[at], g, self.jacobian(at, slope), search.objective)
+        move, singular = step(h, b)
+        singular |= ~((slope * slope).sum((1, 2)) > FEATURELESS * (g * g).sum(1))
+        st.objmin[at[inside]] = value[inside]
+        able = inside & ~singular
+        st.params[at[able]] += move[able]
+        st.n_iter[at[able]] += 1
+        far = able & (np.abs(st.params[at, :3] - self.seeds[at]).max(1) > search.disp_max)
+        near = (np.abs(value - before[at]) < search.obj_tol) | (np.linalg.norm(move[:, :3], axis=1) < search.disp_tol)
+        before[at] = value
+        st.settle(at, (~inside, RANGE_FAIL), (singular, SINGULAR), (far, RANGE_FAIL))
+        on = able & ~far
+        return at[on], near[on]
+
+    def end(self, at: np.ndarray) -> None:
+        """The criterion at the last parameters decides what an ended point is worth."""
+        st = self.states
+        at = st.settle(at, (~np.isfinite(st.params[at]).all(1), SINGULAR))
+        if len(at):
+            g, _, inside = self.look(at, False)
+            st.objmin[at] = criterion(self.f[at], g, self.search.objective)
+            st.settle(at, (~inside, RANGE_FAIL), (~np.isfinite(st.objmin[at]) | flat(g), SINGULAR))
 
 
 def cube_offsets(n_samples: int, size: float, aspect=(1.0, 1.0, 1.0)) -> np.ndarray:

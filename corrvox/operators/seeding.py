@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrvox.operators.knn import inverse_distance, knn
+from corrvox.operators.knn import inverse_distance, near_lists
 
 C = F.col
 
@@ -56,8 +56,8 @@ def seed_from_neighbours(edges: DataFrame, solved: DataFrame, rigid: tuple[float
 def interpolate_seeds(points: DataFrame, coarse: DataFrame, k: int, cell: float, fallback: tuple[float, float, float]) -> DataFrame:
     """Seeds of ``points`` from the ``k`` nearest GOOD coarse points by inverse squared distance."""
     good = coarse.where("status = 0")
-    near = knn(points, good, k, cell, with_self=True)
-    mean = inverse_distance(near, good, ("u", "v", "w"))
+    near = near_lists(points, good, k, cell, with_self=True, carry=("u", "v", "w"))
+    mean = inverse_distance(near, ("u", "v", "w"))
     return points.select("point_id").join(mean, "point_id", "left").select("point_id", *[F.coalesce(c, F.lit(float(f))).alias(f"s{c}") for c, f in zip("uvw", fallback, strict=True)])
 
 

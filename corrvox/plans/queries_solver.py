@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from corrvox.functions.kernels import Search, cube_offsets, sphere_offsets
+from corrvox.operators.tables import cut
 from corrvox.plans import correlate as c
 from corrvox.plans.fixtures import rd, table
 from corrvox.plans.registry import query
@@ -17,25 +15,31 @@ from corrvox.sources.volumes import assemble
 C = F.col
 SHAPE, BRICK, TILE = (40, 40, 40), 16, 12.0
 SHIFT = (1.3, -0.7, 0.4)
-_LATTICE = "l AS (SELECT a.i * 25 + b.i * 5 + c.i AS point_id, 12 + 4.0::DOUBLE * c.i AS x, 12 + 4.0::DOUBLE * b.i AS y, 12 + 4.0::DOUBLE * a.i AS z FROM range(5) a(i), range(5) b(i), range(5) c(i))"
+_LATTICE = "l AS (SELECT CAST(s_suppkey AS BIGINT) AS point_id, 12 + 4.0::DOUBLE * (s_suppkey % 5) AS x, 12 + 4.0::DOUBLE * (s_suppkey // 5 % 5) AS y, 12 + 4.0::DOUBLE * (s_suppkey // 25 % 5) AS z FROM supplier)"
+_FIXED = "l AS (SELECT a.i * 25 + b.i * 5 + c.i AS point_id, 12 + 4.0::DOUBLE * c.i AS x, 12 + 4.0::DOUBLE * b.i AS y, 12 + 4.0::DOUBLE * a.i AS z FROM range(5) a(i), range(5) b(i), range(5) c(i))"
 
 
-def _known(u, v, w, status=0):
-    return f"WITH {_LATTICE} SELECT point_id, x, y, z, CAST({status} AS INT) AS status, {u}::DOUBLE AS u, {v}::DOUBLE AS v, {w}::DOUBLE AS w FROM l"
+def _known(u, v, w, status=0, points=_LATTICE):
+    return f"WITH {points} SELECT point_id, x, y, z, CAST({status} AS INT) AS status, {u}::DOUBLE AS u, {v}::DOUBLE AS v, {w}::DOUBLE AS w FROM l"
 
 
 def waves(spark, d) -> np.ndarray:
-    """24 waves (kx, ky, kz, phase) from ``part``; components 0.1 to 0.5 of either sign. A table of fixed size."""
+    """24 waves (kx, ky, kz, phase) from ``part``; components 0.05 to 0.15 of either sign. A table of fixed size."""
     k = C("p_partkey")
-    part = lambda m, n: ((k * m) % 41 / 100 + 0.1) * F.when((k * n) % 2 == 0, 1.0).otherwise(-1.0)
+    part = lambda m, n: ((k * m) % 41 / 400 + 0.05) * F.when((k * n) % 2 == 0, 1.0).otherwise(-1.0)
     rows = table(spark, d, "part").where(k < 24).select("p_partkey", part(37, 1).alias("kx"), part(29, 3).alias("ky"), part(23, 1).alias("kz"), ((k * 17) % 63 / 10).alias("phase"))
     rows = rows.withColumn("ky", C("ky") * F.when(k % 4 < 2, 1.0).otherwise(-1.0)).withColumn("kz", C("kz") * F.when(k % 8 < 4, 1.0).otherwise(-1.0))
     return np.array([tuple(r)[1:] for r in rows.orderBy("p_partkey").collect()], float)
 
 
-def lattice(spark):
+def lattice(spark, d):
+    """A point for each supplier, on the 125 places of a lattice."""
+    return _placed(table(spark, d, "supplier").select(C("s_suppkey").cast("long").alias("id")))
+
+
+def _placed(ids):
     i = C("id")
-    return spark.range(125).select(i.alias("point_id"), (12 + 4.0 * (i % 5)).alias("x"), (12 + 4.0 * (F.floor(i / 5) % 5)).alias("y"), (12 + 4.0 * F.floor(i / 25)).alias("z"))
+    return ids.select(i.alias("point_id"), (12 + 4.0 * (i % 5)).alias("x"), (12 + 4.0 * (F.floor(i / 5) % 5)).alias("y"), (12 + 4.0 * (F.floor(i / 25) % 5)).alias("z"))
 
 
 def images(spark, d, back):
@@ -47,12 +51,16 @@ def shifted(p):
     return p - np.array(SHIFT)
 
 
-def _answer(r, digits=1):
+def _answer(r, digits=3):
     return r.select("point_id", "x", "y", "z", "status", *[rd(C(n), digits).alias(n) for n in "uvw"])
 
 
+#: Stop only where nothing changes, so that rows can be compared at 3 digits.
+TIGHT = {"disp_max": 3.0, "obj_tol": 1e-14, "disp_tol": 1e-7}
+
+
 def _solve(spark, d, search=None, offsets=None, back=shifted, seeds=(0.0, 0.0, 0.0), **kw):
-    return c.correlate(c.rigid_seeds(lattice(spark), seeds), offsets=cube_offsets(512, 12.0) if offsets is None else offsets, search=search or Search(disp_max=3.0), **images(spark, d, back), **kw)
+    return c.correlate(c.rigid_seeds(lattice(spark, d), seeds), offsets=cube_offsets(512, 12.0) if offsets is None else offsets, search=search or Search(**TIGHT), **images(spark, d, back), **kw)
 
 
 @query("solve_rigid", _known(*SHIFT))
@@ -63,7 +71,7 @@ def solve_rigid(spark, d):
 def _kind(kind):
     @query(f"solve_{kind}", _known(*SHIFT))
     def run(spark, d):
-        return _answer(_solve(spark, d, Search(disp_max=3.0, objective=kind, obj_tol=1e-7)))
+        return _answer(_solve(spark, d, Search(**TIGHT, objective=kind)))
 
 
 for _k in ("sad", "ssd", "zssd", "nssd"):
@@ -94,7 +102,7 @@ def _turned(p):
 
 @query("solve_6dof", f"WITH {_LATTICE} SELECT point_id, CAST(0 AS INT) AS status, 0.02::DOUBLE AS phi, -0.015::DOUBLE AS the, 0.01::DOUBLE AS psi FROM l")
 def solve_6dof(spark, d):
-    r = _solve(spark, d, Search(dof=6, disp_max=3.0, obj_tol=1e-8, disp_tol=1e-5), back=_turned, offsets=sphere_offsets(600, 13.0))
+    r = _solve(spark, d, Search(dof=6, **TIGHT), back=_turned, offsets=sphere_offsets(600, 13.0))
     return r.select("point_id", "status", *[rd(F.get("params", F.lit(3 + k)), 3).alias(n) for k, n in enumerate(("phi", "the", "psi"))])
 
 
@@ -107,9 +115,9 @@ def _stretched(p):
 
 @query("solve_12dof", f"WITH {_LATTICE} SELECT point_id, CAST(0 AS INT) AS status, 0.02::DOUBLE AS exx, -0.01::DOUBLE AS eyy, 0.015::DOUBLE AS ezz, 0.0::DOUBLE AS exy, true AS near FROM l")
 def solve_12dof(spark, d):
-    r = _solve(spark, d, Search(dof=12, disp_max=3.0, obj_tol=1e-8, disp_tol=1e-5), back=_stretched, offsets=sphere_offsets(1000, 14.0))
+    r = _solve(spark, d, Search(dof=12, **TIGHT), back=_stretched, offsets=sphere_offsets(1000, 14.0))
     truth = [F.lit(s) + (C(a) - 20) * e for s, a, e in zip(SHIFT, "xyz", STRETCH, strict=True)]
-    near = F.greatest(*[F.abs(C(n) - t) for n, t in zip("uvw", truth, strict=True)]) < 0.02
+    near = F.greatest(*[F.abs(C(n) - t) for n, t in zip("uvw", truth, strict=True)]) < 0.002
     return r.select("point_id", "status", *[rd(F.get("params", F.lit(6 + k)), 3).alias(n) for k, n in enumerate(("exx", "eyy", "ezz", "exy"))], near.alias("near"))
 
 
@@ -131,50 +139,39 @@ def solve_convg_fail(spark, d):
 
 @query("solve_basin", _known(2.6, -1.8, 1.2))
 def solve_basin(spark, d):
-    return _answer(_solve(spark, d, Search(disp_max=3.0, basin_radius=1.0), back=lambda p: p - np.array([2.6, -1.8, 1.2])))
+    return _answer(_solve(spark, d, Search(**TIGHT, basin_radius=1.0), back=lambda p: p - np.array([2.6, -1.8, 1.2])))
 
 
 @query("solve_prefiltered", _known(*SHIFT))
 def solve_prefiltered(spark, d):
-    return _answer(_solve(spark, d, sigma=0.7, offsets=cube_offsets(512, 8.0)))
-
-
-def _cut(spark):
-    """Write rows to the shared checkpoint folder and read them back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corrvox-")
-
-    def cut(df):
-        path = f"{base}/shell-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return cut
+    return _answer(_solve(spark, d, sigma=0.7))
 
 
 def _plan(spark, d):
-    return {"offsets": cube_offsets(512, 12.0), "search": Search(disp_max=3.0), **images(spark, d, shifted)}
+    return {"offsets": cube_offsets(512, 12.0), "search": Search(**TIGHT), **images(spark, d, shifted)}
 
 
-@query("solve_wavefront", _known(*SHIFT))
+@query("solve_wavefront", _known(*SHIFT, points=_FIXED))
 def solve_wavefront(spark, d):
-    return _answer(c.wavefront(lattice(spark), (20.0, 20.0, 20.0), 6.0, 6, 8.0, _cut(spark), **_plan(spark, d)))
+    return _answer(c.wavefront(_placed(spark.range(125)), (20.0, 20.0, 20.0), 6.0, 6, 8.0, cut, **_plan(spark, d)))
 
 
-@query("solve_coarse", _known(*SHIFT))
+@query("solve_coarse", _known(*SHIFT, points=_FIXED))
 def solve_coarse(spark, d):
-    return _answer(c.coarse(lattice(spark), 2, 4.0, (20.0, 20.0, 20.0), 10.0, 6, 16.0, _cut(spark), **_plan(spark, d)))
+    return _answer(c.coarse(_placed(spark.range(125)), 2, 4.0, (20.0, 20.0, 20.0), 10.0, 6, 16.0, cut, **_plan(spark, d)))
 
 
-@query("uncertainty", f"WITH {_LATTICE} SELECT point_id, true AS small FROM l")
+@query("uncertainty", f"WITH {_LATTICE} SELECT point_id, 0.0::DOUBLE AS sd_u, 0.0::DOUBLE AS sd_v, 0.0::DOUBLE AS sd_w FROM l")
 def uncertainty(spark, d):
+    """Images without noise: other sample sets find the same displacement to 3 digits."""
     plan = _plan(spark, d) | {"offsets": sphere_offsets(400, 12.0, 0)}
-    first = _cut(spark)(c.correlate(c.rigid_seeds(lattice(spark)), **plan))
+    first = cut(c.correlate(c.rigid_seeds(lattice(spark, d)), **plan))
     plan.pop("offsets")
     u = c.uncertainty(first, [sphere_offsets(400, 12.0, s) for s in (1, 2, 3)], **plan)
-    return u.select("point_id", (F.greatest(*[C(f"sd_{n}") for n in "uvw"]) < 0.02).alias("small"))
+    return u.select("point_id", *[rd(C(f"sd_{n}"), 3).alias(f"sd_{n}") for n in "uvw"])
 
 
-_WAVES = "wv AS (SELECT ((p_partkey * 37) % 41 / 100.0::DOUBLE + 0.1) * (CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END) AS kx, ((p_partkey * 29) % 41 / 100.0::DOUBLE + 0.1) * (CASE WHEN (p_partkey * 3) % 2 = 0 THEN 1 ELSE -1 END) * (CASE WHEN p_partkey % 4 < 2 THEN 1 ELSE -1 END) AS ky, ((p_partkey * 23) % 41 / 100.0::DOUBLE + 0.1) * (CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END) * (CASE WHEN p_partkey % 8 < 4 THEN 1 ELSE -1 END) AS kz, (p_partkey * 17) % 63 / 10.0::DOUBLE AS phase FROM part WHERE p_partkey < 24)"
+_WAVES = "wv AS (SELECT ((p_partkey * 37) % 41 / 400.0::DOUBLE + 0.05) * (CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END) AS kx, ((p_partkey * 29) % 41 / 400.0::DOUBLE + 0.05) * (CASE WHEN (p_partkey * 3) % 2 = 0 THEN 1 ELSE -1 END) * (CASE WHEN p_partkey % 4 < 2 THEN 1 ELSE -1 END) AS ky, ((p_partkey * 23) % 41 / 400.0::DOUBLE + 0.05) * (CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END) * (CASE WHEN p_partkey % 8 < 4 THEN 1 ELSE -1 END) AS kz, (p_partkey * 17) % 63 / 10.0::DOUBLE AS phase FROM part WHERE p_partkey < 24)"
 VOXELS = "x int, y int, z int, v double"
 
 

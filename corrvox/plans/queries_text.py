@@ -56,9 +56,16 @@ def read_dvc_input(spark, d):
     return text.parse_settings(table(spark, d, "events").select(e.alias("line_no"), line.alias("line"))).select("line_no", "key", "value")
 
 
-@query("write_stat", f"WITH {RESULTS}, n AS (SELECT status, count(*) AS n FROM res_a GROUP BY status), t AS (SELECT CAST(sum(n) AS BIGINT) AS total FROM n) SELECT 0 AS place, 'points' || chr(9) || total AS line FROM t UNION ALL SELECT 1, 'points_per_second' || chr(9) || printf('%.3f', total / 8.0::DOUBLE) FROM t UNION ALL SELECT 2 - status, 'status ' || (CASE status WHEN 0 THEN 'GOOD' WHEN -1 THEN 'RANGE_FAIL' ELSE 'CONVG_FAIL' END) || chr(9) || n FROM n")
+_NUMBERS = " UNION ALL ".join(f"SELECT {1001 + k}, 'number {label} = ' || n{k} || chr(9) || '(' || printf('%.3f', 100.0::DOUBLE * n{k} / total) || '%)' FROM t" for k, label in enumerate(text.NUMBER_LABELS.values()))
+
+
+@query("write_stat", f"""WITH {RESULTS}, n AS (SELECT status, count(*) AS n FROM res_a GROUP BY status),
+t AS (SELECT CAST(sum(n) AS BIGINT) AS total, {', '.join(f'CAST(coalesce(sum(n) FILTER (WHERE status = {-k}), 0) AS BIGINT) AS n{k}' for k in range(4))} FROM n)
+SELECT -4 AS place, 'run summary' AS line UNION ALL SELECT -3, 'points' || chr(9) || total FROM t UNION ALL SELECT -2, 'seconds' || chr(9) || '8.000' UNION ALL SELECT -1, 'points_per_second' || chr(9) || printf('%.3f', total / 8.0::DOUBLE) FROM t
+UNION ALL SELECT -status, 'status ' || (CASE status WHEN 0 THEN 'GOOD' WHEN -1 THEN 'RANGE_FAIL' ELSE 'CONVG_FAIL' END) || chr(9) || n FROM n
+UNION ALL SELECT 1000, '' UNION ALL {_NUMBERS} UNION ALL SELECT 1005, '' UNION ALL SELECT 1006, '### config' UNION ALL SELECT 1007, 'dof: 6'""")
 def write_stat(spark, d):
-    return text.stat_lines(res_a(spark, d), 8.0)
+    return text.stat_lines(res_a(spark, d), 8.0, "dof: 6")
 
 
 @query("read_stat_throughput", "SELECT event_id, round(value, 2) AS rate FROM events WHERE event_id % 3 <> 2")

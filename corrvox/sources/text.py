@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 C = F.col
@@ -16,9 +16,17 @@ SETTINGS_KEYS = (
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of a text file, numbered from 1 in the order of the file."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("k", "line"))
-    return rows.select((C("k") + 1).cast("long").alias("line_no"), "line")
+    """(line_no, line) of a text file, numbered from 1 in the order of the file.
+
+    The file is read in splits. Lines of a split follow each other, so a line's number is the number of lines in the
+    splits before it (a row for each split is all that meets in one task) and its place in its own.
+    """
+    block = [C("_metadata.file_path").alias("file"), C("_metadata.file_block_start").alias("block")]
+    rows = spark.read.text(path).select(*block, F.monotonically_increasing_id().alias("k"), C("value").alias("line"))
+    splits = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k0"))
+    before = F.sum("n").over(Window.orderBy("file", "block")) - C("n")
+    numbered = rows.join(splits.select("file", "block", "k0", before.alias("before")), ["file", "block"])
+    return numbered.select((C("before") + C("k") - C("k0") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def _bare(c: Column) -> Column:
@@ -74,7 +82,8 @@ def significant(c: Column, digits: int = 9) -> Column:
 
     @F.pandas_udf("string")
     def fmt(v):
-        return v.map(lambda x: "nan" if x is None or x != x else ("0" if (s := f"{x:.{digits}g}") == "-0" else s))
+        plain = [f"%.{digits}g" % x for x in v.astype("float64").tolist()]  # null is nan
+        return v.__class__(["0" if x == "-0" else x for x in plain])
 
     return fmt(c.cast("double"))
 
@@ -118,23 +127,45 @@ def settings_map(lines: DataFrame) -> DataFrame:
     return last.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("settings"), F.array_sort(F.collect_list("key")).alias("keys")).select("settings", F.array_except("keys", known).alias("unknown"))
 
 
-def stat_lines(results: DataFrame, seconds: float) -> DataFrame:
-    """(place, line) of a run summary: points, rate, counts by status and by the codes others know."""
-    names = {0: "GOOD", -1: "RANGE_FAIL", -2: "CONVG_FAIL", -3: "NOT_SEARCHED", -4: "THRESH_FAIL", -5: "SINGULAR"}
+# Fixed values of the summaries: names of statuses, and those that other readers know (the rest counts as not searched).
+STATUS_NAMES = {0: "GOOD", -1: "RANGE_FAIL", -2: "CONVG_FAIL", -3: "NOT_SEARCHED", -4: "THRESH_FAIL", -5: "SINGULAR"}
+NUMBER_LABELS = {0: "successful", -1: "range fail", -2: "convg fail", -3: "not searched"}
+
+
+def stat_lines(results: DataFrame, seconds: float, settings: str = "") -> DataFrame:
+    """(place, line) of a run summary: points, seconds, rate, counts by status, counts and shares by the codes that others know,
+    and the settings. One row for each status meets in one task."""
     n = results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    name = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in names.items() for v in kv]), C("status")), C("status").cast("string"))
-    total = n.agg(F.sum("n").alias("total"))
-    head = total.select(F.explode(F.array(F.struct(F.lit(0).alias("place"), F.format_string("points\t%d", "total").alias("line")), F.struct(F.lit(1).alias("place"), F.format_string("points_per_second\t%.3f", C("total") / F.lit(float(seconds))).alias("line")))).alias("r")).select("r.*")
-    return head.unionByName(n.select((2 - C("status")).alias("place"), F.format_string("status %s\t%d", name, C("n")).alias("line")))
+    known = F.when(C("status").isin(*NUMBER_LABELS), C("status")).otherwise(-3)
+    total = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), *[F.coalesce(F.sum(F.when(known == c, C("n"))), F.lit(0)).alias(f"n{-c}") for c in NUMBER_LABELS])
+    rate = F.format_string("%.3f", C("total") / F.lit(float(seconds))) if seconds > 0 else F.lit("nan")
+    head = [F.lit("run summary"), F.format_string("points\t%d", "total"), F.lit(f"seconds\t{seconds:.3f}"), F.concat(F.lit("points_per_second\t"), rate)]
+    tail = [F.lit(""), *[F.format_string(f"number {label} = %d\t(%.3f%%)", f"n{-c}", 100.0 * C(f"n{-c}") / F.greatest("total", F.lit(1))) for c, label in NUMBER_LABELS.items()], F.lit(""), F.lit("### config"), *[F.lit(x) for x in settings.splitlines()]]
+    rows = F.array(*[F.struct(F.lit(place).alias("place"), line.alias("line")) for place, line in [*enumerate(head, -len(head)), *enumerate(tail, 1000)]])
+    name = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in STATUS_NAMES.items() for v in kv]), C("status")), C("status").cast("string"))
+    return total.select(F.explode(rows).alias("r")).select("r.*").unionByName(n.select((-C("status")).alias("place"), F.format_string("status %s\t%d", name, C("n")).alias("line")))
 
 
-RATE = r"(?i)points_per_second\s+([0-9][0-9.eE+-]*)|([0-9][0-9.eE+-]*)\s*(?:pts|pt|points?)\s*(?:/|per)\s*sec"
+# Fixed values of the summaries: how a rate is named before its number, and the units that follow one.
+RATE_KEY, RATE_UNITS, RATE_PER = "points_per_second", ("point", "points", "pt", "pts"), "per"
 
 
 def throughput(line: Column) -> Column:
-    """Points per second named in a line, else null."""
-    a, b = F.regexp_extract(line, RATE, 1), F.regexp_extract(line, RATE, 2)
-    return F.when(a != "", a).when(b != "", b).cast("double")
+    """Points per second named in a line, else null.
+
+    The line is taken as words (a slash separates them too, and a number from the letters behind it). The number stands
+    after the key, or before a unit that is followed by seconds.
+    """
+    spaced = F.regexp_replace(F.regexp_replace(F.lower(line), "[/=:]", " "), "(?<=[0-9])(?=p)", " ")
+    words = F.split(F.btrim(spaced, F.lit(" \t\r\n")), "\\s+")
+
+    def rate_at(i: Column) -> Column:
+        word = F.get(words, i)
+        second = F.get(words, i + F.when(F.get(words, i + 1) == RATE_PER, 2).otherwise(1)).startswith("sec")
+        return F.when(word == RATE_KEY, F.get(words, i + 1)).when(word.isin(*RATE_UNITS) & second & (i > 0), F.get(words, i - 1)).try_cast("double")
+
+    rates = F.transform(F.sequence(F.lit(0), F.size(words) - 1), rate_at)
+    return F.get(F.filter(rates, lambda r: r.isNotNull() & ~F.isnan(r)), F.lit(0))
 
 
 def write_lines(lines: DataFrame, path: str, order: str) -> None:
