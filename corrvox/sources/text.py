@@ -171,3 +171,95 @@ def throughput(line: Column) -> Column:
 def write_lines(lines: DataFrame, path: str, order: str) -> None:
     """One ordered text file. The rows are the size of a report or a result, written by one task on purpose."""
     lines.orderBy(order).select("line").coalesce(1).write.mode("error").text(path)
+
+
+# --- classic programs: settings, summaries and progress as they write them -----------------------------------
+
+
+def settings_lines(cfg, start: tuple[float, float, float], shape: tuple[int, int, int], dtype: str, header: int = 0) -> list[str]:
+    """The lines of a classic settings file for a run's settings (``sources.volumes.flat_layout`` gives shape, type and header)."""
+    v, q, vol = cfg.subvolume, cfg.search, cfg.volumes
+    if q.method != "fagn":
+        raise ValueError("classic programs know the forward-additive method only")
+    many = lambda t: " ".join(f"{x:g}" for x in t)
+    size = int(dtype[-1])
+    rows = {"reference_filename": vol.reference, "correlate_filename": vol.deformed, "point_cloud_filename": cfg.points, "output_filename": cfg.output, "vol_bit_depth": 8 * size}
+    if size > 1:
+        rows["vol_endian"] = "big" if dtype.startswith(">") else "little"
+    rows |= dict(zip(("vol_hdr_lngth", "vol_wide", "vol_high", "vol_tall"), (header, *shape), strict=True))
+    rows |= {"subvol_geom": v.geometry, "subvol_size": f"{v.size:g}", "subvol_npts": v.n_samples, "subvol_thresh": "on" if q.threshold else "off"}
+    if q.threshold:
+        rows |= dict(zip(("gray_thresh_min", "gray_thresh_max", "min_vol_fract"), (f"{t:g}" for t in q.threshold), strict=True))
+    rows |= {"disp_max": f"{q.disp_max:g}", "num_srch_dof": q.dof, "obj_function": q.objective, "interp_type": q.interpolation, "rigid_trans": many(q.rigid_trans), "basin_radius": f"{q.basin_radius:g}", "subvol_aspect": many(v.aspect)}
+    rows |= {"num_points_to_process": cfg.num_points_to_process, "starting_point": many(start)}
+    # A comment after a tab ends each value: classic readers take a value up to the next tab.
+    return ["### settings of a run", *[f"{k}\t{x}\t### run" for k, x in rows.items()]]
+
+
+def echo_lines(settings: dict[str, str], cloud: DataFrame, version: str = "corrvox") -> list[str]:
+    """The echo at the head of a drop-in summary: the settings in groups, the cloud's size and bounding box (one row is read)."""
+    number = lambda k, other="0": f"{float(settings.get(k, other)):g}"
+    three = lambda k, other: "\t".join(f"{float(x):g}" for x in settings.get(k, other).replace(",", " ").split()[:3])
+    deep, dim = int(float(settings["vol_bit_depth"])) != 8, settings.get("subvol_thresh", "off").lower() == "on"
+    box = cloud.agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{e}{a}") for e, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"]).first()
+    as_is = ("reference_filename", "correlate_filename", "point_cloud_filename", "output_filename")
+    groups = [
+        [f"{k}\t{settings[k]}" for k in as_is],
+        [f"vol_bit_depth\t{number('vol_bit_depth')}", *([f"vol_endian\t{settings.get('vol_endian', 'little')}"] if deep else []), *[f"{k}\t{number(k)}" for k in ("vol_hdr_lngth", "vol_wide", "vol_high", "vol_tall")]],
+        [f"subvol_geom\t{settings['subvol_geom']}", *[f"{k}\t{number(k)}" for k in ("subvol_size", "subvol_npts")]],
+        [f"subvol_thresh\t{settings.get('subvol_thresh', 'off')}", *([f"gray_thresh_min\t{number('gray_thresh_min')}", f"gray_thresh_max\t{number('gray_thresh_max')}", f"min_vol_fract\t{number('min_vol_fract', '0.2')}"] if dim else [])],
+        [f"disp_max\t{number('disp_max')}", f"num_srch_dof\t{number('num_srch_dof')}", f"obj_function\t{settings['obj_function']}", f"interp_type\t{settings['interp_type']}"],
+        [f"rigid_trans\t{three('rigid_trans', '0 0 0')}", f"basin_radius\t{number('basin_radius')}", f"subvol_aspect\t{three('subvol_aspect', '1 1 1')}"],
+    ]
+    corner = lambda e: " ".join(f"{box[e + a]:g}" for a in "xyz")
+    out = ["", "### echo of the input file for this run", ""]
+    for g in groups:
+        out += [*g, ""]
+    return [*out, "### end of input file echo", "", f"Point Cloud contains {box['n']} points", "", f"\tbounding box min = [{corner('lo')}]", f"\tbounding box max = [{corner('hi')}]", "", f"running under {version}", ""]
+
+
+def closing_lines(results: DataFrame, start: float, finish: float, seconds: float) -> DataFrame:
+    """(place, line): the end of a drop-in summary, times, rate and counts by status (one row meets in one task)."""
+    n = [F.count(F.when(C("status") == k, 1)).alias(f"n{-k}") for k in (0, -1, -2)]
+    t = results.agg(F.count(F.lit(1)).alias("n"), *n)
+    stamp = lambda x: F.date_format(F.timestamp_seconds(F.lit(float(x))), "yyyy-MM-dd HH:mm:ss")
+    share = lambda label, k: F.format_string(f"number {label} = %d\t(%.3f%%)", C(f"n{k}"), 100.0 * C(f"n{k}") / F.greatest("n", F.lit(1)))
+    lines = [
+        F.concat(F.lit("Run start:\t"), stamp(start)), F.concat(F.lit("Run finish:\t"), stamp(finish)), F.format_string(f"%d points processed in {seconds:.0f} seconds", "n"),
+        F.format_string("%.3f sec/pt", F.lit(float(seconds)) / F.greatest("n", F.lit(1))), F.format_string("%.3f pt/sec", C("n") / F.lit(float(seconds)) if seconds > 0 else F.lit(0.0)), F.lit(""),
+        share("successful", 0), share("range fail", 1), share("convg fail", 2), F.lit(""),
+    ]
+    return t.select(F.posexplode(F.array(*lines)).alias("place", "line"))
+
+
+# What progress lines call the statuses.
+PROGRESS_WORDS = {0: "Point_Good", -1: "Range_Fail", -2: "Convg_Fail"}
+
+
+def progress_lines(results: DataFrame, total: int) -> DataFrame:
+    """(place, line) of results that have a ``place``: count and total, label, position, status, and of GOOD points criterion and displacement."""
+    head = F.format_string(f"%d/{total} %d\t%.3f %.3f %.3f \t", "place", "point_id", "x", "y", "z")
+    moves = F.format_string("obj= %.6f%12s%.6f%12s%.6f%12s%.6f", "objmin", F.lit("dx= "), "u", F.lit("dy= "), "v", F.lit("dz= "), "w")
+    word = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PROGRESS_WORDS.items() for x in kv]), C("status")), F.lit("Not_Searched"))
+    return results.select("place", F.concat(head, word, F.when(C("status") == 0, F.concat(F.lit("\t"), moves)).otherwise("")).alias("line"))
+
+
+# The columns of the strain layouts.
+_STRAIN_HEAD = ("n", "x", "y", "z", "u_fit", "v_fit", "w_fit", "pts_in_sw", "sw_radius")
+_SIX = ("exx", "eyy", "ezz", "exy", "eyz", "exz")
+
+
+def strain_lines(strain: DataFrame, points: DataFrame, layout: str) -> tuple[str, DataFrame]:
+    """Header and (point_id, line) of a strain table as ``Lstr`` (large strain), ``Estr`` (small strain) or ``dgrd`` (gradient)."""
+    if layout == "dgrd":
+        names, values = [f"{u}{a}" for u in "uvw" for a in "xyz"], [F.get("grad", F.lit(k)) for k in range(9)]
+    elif layout in ("Lstr", "Estr"):
+        p = "l_" if layout == "Lstr" else ""
+        names = [*_SIX, "ep1", "ep2", "ep3", *[f"sd_{c}" for c in _SIX]]
+        values = [*[C(p + c) for c in _SIX], *[C(f"{p}ep{k}") for k in (1, 2, 3)], *[C(f"sd_{c}") for c in _SIX]]
+    else:
+        raise ValueError(f"unknown layout {layout!r}: Lstr, Estr or dgrd")
+    g = lambda c: significant(c, 6)
+    row = strain.join(points.select("point_id", *"xyz"), "point_id")
+    cells = [C("point_id").cast("string"), *[g(C(c)) for c in ("x", "y", "z", "u_fit", "v_fit", "w_fit")], C("pts_in_sw").cast("string"), g(C("sw_radius")), *[g(v) for v in values]]
+    return ",".join((*_STRAIN_HEAD, *names)), row.select("point_id", F.concat_ws(",", *cells).alias("line"))
