@@ -3,7 +3,8 @@ r"""N-gram Jaccard join by prefix trees.
 Two documents link when 100 * |A and B| >= 80 * |A or B| over their distinct 5-word shingles.
 
 1. Documents with equal sets are one node (its smallest identifier); copies are never paired.
-2. All shingles have one order: rarest first by the number of nodes that hold them, then by hash.
+2. All shingles have one order: rarest first by the number of nodes that hold them (in ``CLASSES``
+   classes of its logarithm), then by hash.
    Linked sets share a shingle among the first n - ceil(0.8 n) + 1 of each, and shingles that one
    node holds can't be shared, so a node posts only the shared ones among its first.
 3. Nodes that post the same shingle are candidates. In rounds, each shingle's nodes are paired with
@@ -11,7 +12,7 @@ Two documents link when 100 * |A and B| >= 80 * |A or B| over their distinct 5-w
    until its nodes are one component. Where they still are not, all their pairs across components
    are looked at: of up to ``FEW`` nodes by a join with length and position bounds, of more nodes by
    tries of their posted beginnings, in blocks of ``BLOCK`` x ``BLOCK``; a pair comes from the first
-   shingle it shares.
+   shingle it shares. This round is never left out, whatever those before it found.
 4. Candidates are verified centre by centre: the partners' sets (ordered by hash, ``BLOCK`` of
    them at most) are stored in a path-compressed trie, the centre's set walks it once, partners
    share the counting of common beginnings, and a subtree is left when its remaining lengths can't
@@ -42,7 +43,8 @@ BLOCK = 256
 #: Pivots of a shingle in each round, before all pairs across components are taken.
 PIVOTS = (1, 4)
 FEW = 32
-_KEY_BITS = 40
+#: A shingle's key is its bucket and 32 bits of its hash, so up to 2**24 buckets (2 * 10**13 shingles) have distinct numbers.
+_KEY_BITS, CLASSES = 56, 256
 _MASK = (1 << _KEY_BITS) - 1
 
 
@@ -302,7 +304,7 @@ def _beginning_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             return []
         trie = Trie([x[4] for x in held], [x[2] for x in held], [x[3] for x in held])
         seq = a[0][4]
-        first = int(seq[(seq & np.uint64(_MASK)) == np.uint64(now[0] & _MASK)][0])
+        first = int(seq[(seq & np.uint64(_MASK)) == np.uint64(now[0])][0])
         out = []
         for rep, label, n, lone, seq in a:
             for i in trie.linked(seq, n, lone, first):
@@ -327,17 +329,17 @@ def _beginning_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A node's posted shingles (df, key) as ascending numbers, rarest first."""
+    """A node's posted shingles (class, key) as ascending numbers, rarest first."""
     for b in batches:
         seqs = []
         for tokens in b.column("tokens").to_pylist():
-            seqs.append(np.sort(np.array([min(t["df"], (1 << (63 - _KEY_BITS)) - 1) << _KEY_BITS | t["key"] & _MASK for t in tokens], np.uint64)).tobytes())
+            seqs.append(np.sort(np.array([t["class"] << _KEY_BITS | t["key"] for t in tokens], np.uint64)).tobytes())
         yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(seqs, pa.binary())], names=["rep", "seq"])
 
 
 def _pairs_of_many(own: DataFrame, postings: DataFrame) -> DataFrame:
     need = own.select("rep").distinct()
-    seqs = postings.join(need, "rep", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("df", "key")).alias("tokens"))  # of one node
+    seqs = postings.join(need, "rep", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("class", "key")).alias("tokens"))  # of one node
     rows = own.join(seqs.mapInArrow(_sequence, "rep long, seq binary"), "rep")
     rows = rows.withColumn("m", F.ceil(F.col("k") / BLOCK)).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("m")))
     cols = ["rep", "label", "n", "lone", "seq"]
@@ -367,6 +369,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = reps.agg(F.sum("n")).first()[0] or 0
     parts = partitions(spark)
     buckets = max(parts, -(-total // 1_500_000))
+    if buckets > 1 << (_KEY_BITS - 32):
+        raise ValueError(f"{total} shingles are more than the keys can tell apart")
     nodes = rows.join(reps.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     packed = nodes.mapInArrow(_packed_shingles(buckets), "bucket int, low binary, who binary, reps binary")
     shared = packed.repartition(max(parts, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(), "rep long, key long, df long")
@@ -374,13 +378,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     head = reps.groupBy("rep").agg(F.max("n").alias("n"))
     by = Window.partitionBy("rep")
-    placed = shared.join(head, "rep").select(
-        "rep", "key", "df", "n",
+    shared_ = shared.select("rep", "key", F.least(F.floor(8 * F.log2("df")), F.lit(CLASSES - 1)).cast("long").alias("class"))
+    placed = shared_.join(head, "rep").select(
+        "rep", "key", "class", "n",
         (F.col("n") - F.count(F.lit(1)).over(by)).alias("lone"),
-        F.row_number().over(by.orderBy("df", "key")).alias("rank"),
+        F.row_number().over(by.orderBy("class", "key")).alias("rank"),
     )
     size = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1
-    placed = placed.select("rep", "key", "n", (F.col("lone") + F.col("rank") - 1).alias("pos"), (F.col("lone") / F.col("n")).alias("own"), "lone", "df", size.alias("size"))
+    placed = placed.select("rep", "key", "n", (F.col("lone") + F.col("rank") - 1).alias("pos"), (F.col("lone") / F.col("n")).alias("own"), "lone", "class", size.alias("size"))
     postings = materialize(placed.where("pos < size").drop("size"), "postings")
     release(shared)
 
@@ -394,9 +399,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if not pairs.limit(1).count():
-            if most and labels is not None:
-                continue
-            break
+            continue
         new = _links(rows, pairs)
         links = new if links is None else links.unionByName(new)
         tried = pairs if tried is None else tried.unionByName(pairs)

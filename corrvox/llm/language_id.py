@@ -8,8 +8,9 @@ each language and ``SAMPLE_CHARS`` characters of each, cut at a place that depen
 identifier (a bounded sample; prediction reads every byte of every text).
 
 Null texts and texts without a letter are ``und`` with score 0. If nothing is labelled, every text
-is ``und``. Ties go to the language that sorts first. Repeated rows get a row each. Extra columns
-are not read.
+is ``und``. Ties go to the language that sorts first. Repeated rows get a row each. Rows with a
+null identifier are predicted like others and are not held out. Very long texts are read whole, in
+windows. An empty table gives an empty result. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations

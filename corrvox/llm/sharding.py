@@ -6,7 +6,7 @@ draws are ``xxhash64(identifier, step)``, so there is no ring table and no state
 shard takes rows only into itself.
 
 Slots number the rows of a shard from 0 without gaps. A shard is numbered in buckets (by a hash of
-the identifier), so no task holds a whole shard; the buckets' first slots come from a table of
+the identifier and the text's crc), so no task holds a whole shard, nor all rows of a repeated identifier; the buckets' first slots come from a table of
 shards x buckets counts.
 
 Null text has no bytes (size 1, crc32 0). A null identifier goes to the shard that ``xxhash64`` of
@@ -51,7 +51,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
         "*",
         jump_shard(key, shards).alias("shard"),
         jump_shard(key, shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit(buckets)), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(key, F.col("text_crc32"), F.lit(buckets)), F.lit(buckets)).cast("int").alias("bucket"),
     )
     counts = rows.groupBy("shard", "bucket").count()
     first = counts.select(

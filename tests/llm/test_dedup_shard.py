@@ -1,9 +1,11 @@
 import hashlib
 import re
+import struct
 import zlib
 from collections import defaultdict
 
 import pytest
+import xxhash
 
 from corrvox.llm.exact_dedup import exact_dedup
 from corrvox.llm.sharding import shard_documents
@@ -54,3 +56,28 @@ def test_shards(spark):
     assert all(few[r.doc_id] == r.shard for r in got if r.doc_id in few)
     assert shard_documents(spark.createDataFrame([], "doc_id long, text string"), 4).count() == 0
     assert {r.shard for r in shard_documents(spark.createDataFrame(rows[:9], "doc_id long, text string"), 1).collect()} == {0}
+
+
+def jump(doc_id, shards):
+    """The jump recurrence for one identifier."""
+    b, j, step = -1, 0, 0
+    while j < shards:
+        b, step = j, step + 1
+        draw = xxhash.xxh64(struct.pack("<i", step), xxhash.xxh64(struct.pack("<q", doc_id), 42).intdigest()).intdigest() >> 33
+        j = int((b + 1) * ((1 << 31) / (draw + 1)))
+    return b
+
+
+def test_shards_as_one_by_one(spark):
+    ids = [0, 1, -7, 2**40, *range(100, 400)]
+    got = shard_documents(spark.createDataFrame([(k, "t") for k in ids], "doc_id long, text string"), 16).collect()
+    assert {r.doc_id: (r.shard, r.grown_shard) for r in got} == {k: (jump(k, 16), jump(k, 17)) for k in ids}
+
+
+def test_rows_of_one_identifier_are_dealt(spark):
+    rows = [(None, f"t{k}", 1) for k in range(300)] + [(7, f"u{k}", 2) for k in range(300)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string, slot int"), 16, buckets=8).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(got) == 600 and all(sorted(s) == list(range(len(s))) for s in by.values())

@@ -112,3 +112,26 @@ def test_trie_of_beginnings_drops_no_link():
 
 def test_prefix_size():
     assert [prefix_size(n) for n in (1, 4, 5, 6, 10)] == [1, 1, 2, 2, 3]
+
+
+def test_all_pairs_are_looked_at_when_no_pivot_fits(spark):
+    """The pivot of the shared shingles is too long for either of the two texts that link."""
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    shared, tail = words("s", 60), words("t", 60)
+    rows = [(1, shared + tail), (2, shared + words("b", 3)), (3, shared + words("c", 3))]
+    rows += [(4 + k, words(f"x{k}_", 300) + tail) for k in range(3)]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_keys_of_many_buckets():
+    """Numbers of posted shingles stay distinct beyond 256 buckets."""
+    import corrvox.llm.jaccard_join as j
+
+    assert j.CLASSES << j._KEY_BITS == 1 << 64
+    key = [(599 << 32) | 7, (599 - 512 << 32) | 7, (599 - 256 << 32) | 7]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"rep": 1, "tokens": [{"class": 255, "key": k} for k in key]}])
+    seq = np.frombuffer(next(j._sequence(iter([batch]))).column("seq")[0].as_py(), np.uint64)
+    assert len(set(seq.tolist())) == 3 and sorted(key) == (seq & np.uint64(j._MASK)).tolist()

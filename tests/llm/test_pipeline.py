@@ -37,11 +37,13 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r.doc_id for r in out} == want and all(r.offset + r.length <= 2048 for r in out)
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for name, stage in pipe.STAGES:
-        if name != "decontamination":
-            assert stage(spark, docs, "").count() == 0, name
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
+    assert pipe.run(spark, str(tmp_path)).count() == 0
 
 
 def test_registered():
