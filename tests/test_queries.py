@@ -20,7 +20,7 @@ def rows(columns, values):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("events", "part", "embeddings"):
+    for t in ("events", "part", "embeddings", "supplier"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 
