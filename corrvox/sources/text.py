@@ -100,7 +100,9 @@ def result_lines(results: DataFrame, plain: bool = True) -> DataFrame:
 def parse_results(lines: DataFrame) -> DataFrame:
     """Columns of a result file's lines (after the header; further columns are kept out)."""
     f = F.split(_bare(C("line")), "\\s+")
-    cols = [F.get(f, F.lit(k)).cast("double").alias(n) for k, n in enumerate(DISP_COLUMNS)]
+    # The header is told by its first word here too: the filter that drops it may run after the casts.
+    head = F.get(f, F.lit(0)) == DISP_COLUMNS[0]
+    cols = [F.when(~head, F.get(f, F.lit(k)).cast("double")).alias(n) for k, n in enumerate(DISP_COLUMNS)]
     return lines.where(F.trim("line") != "").select(*cols).select(C("n").cast("long").alias("point_id"), "x", "y", "z", C("status").cast("int").alias("status"), "objmin", "u", "v", "w")
 
 
