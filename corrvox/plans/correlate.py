@@ -7,6 +7,10 @@ one shuffle of points and one of bricks, both by tile.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +32,31 @@ def _boxes(tiles: DataFrame, prefix: str, shape: tuple[int, int, int], brick: in
     return cover.select(*KEY, "bx", "by", "bz", *lo_hi).join(bricks, ["bx", "by", "bz"]).withColumn("image", F.lit(prefix))
 
 
+def reach(offsets: np.ndarray, search: Search, sigma: float = 0.0) -> float:
+    """How far from its points a tile reads: the sample set, the search, the interpolation and the blur."""
+    blur = math.ceil(4 * sigma) if sigma > 0 else 0
+    return float(np.sqrt((offsets**2).sum(1)).max()) + search.disp_max + 2.0 + blur
+
+
+def layers_for(points: DataFrame, far: float, brick: int) -> tuple[int, int]:
+    """First and end of the brick layers that tiles of ``points`` (with seeds) can read in either image; one row is read.
+
+    A tile's deformed box is moved by a middle seed and grown by the largest distance from it, so it ends within
+    twice the least seed less the greatest, and the other way round.
+    """
+    r = points.agg(F.min("z").alias("z0"), F.max("z").alias("z1"), F.min("sw").alias("s0"), F.max("sw").alias("s1")).first()
+    if r["z0"] is None:
+        return 0, 0
+    low, high = r["z0"] + min(0.0, 2 * r["s0"] - r["s1"]), r["z1"] + max(0.0, 2 * r["s1"] - r["s0"])
+    return max(0, math.floor((low - far - 3) / brick)), max(0, math.floor((high + far + 3) / brick) + 1)
+
+
 def correlate(points: DataFrame, ref: DataFrame, deformed: DataFrame, shape: tuple[int, int, int], offsets: np.ndarray, search: Search, tile: float = 64.0, brick: int = 32, sigma: float = 0.0) -> DataFrame:
     """A result (OUT) for each point (point_id, x, y, z, and seeds su, sv, sw).
 
     ``shape`` is (x, y, z). ``sigma``: a Gaussian applied to both images first.
     """
-    extent = float(np.sqrt((offsets**2).sum(1)).max())
-    blur = int(np.ceil(4 * sigma)) if sigma > 0 else 0
-    tiles = tiling.plan(points, tile, extent + search.disp_max + 2.0 + blur, float(len(offsets)))
+    tiles = tiling.plan(points, tile, reach(offsets, search, sigma), float(len(offsets)))
     own = tiling.tile_of(points, tile).select(*KEY, "point_id", "x", "y", "z", "su", "sv", "sw")
     cols = ["bx", "by", "bz", "nx", "ny", "nz", "dtype", "data"]
     need = _boxes(tiles, "ref", shape, brick, ref.select(*cols)).unionByName(_boxes(tiles, "def", shape, brick, deformed.select(*cols)))
@@ -68,11 +89,24 @@ def rigid_seeds(points: DataFrame, rigid=(0.0, 0.0, 0.0)) -> DataFrame:
     return points.select("point_id", "x", "y", "z", *[F.lit(float(r)).alias(f"s{c}") for c, r in zip("uvw", rigid, strict=True)])
 
 
-def wavefront(points: DataFrame, start, width: float, k: int, cell: float, cut, rigid=(0.0, 0.0, 0.0), **plan) -> DataFrame:
+def _solver(cut, **plan) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    parts: list[DataFrame] = []
+
+    def solve(seeds: DataFrame, _: DataFrame) -> DataFrame:
+        parts.append(cut(correlate(seeds, **plan)))
+        return reduce(DataFrame.unionByName, parts)
+
+    return solve
+
+
+def wavefront(points: DataFrame, start, width: float, k: int, cell: float, cut, rigid=(0.0, 0.0, 0.0), solve=None, **plan) -> DataFrame:
     """Solve shell by shell, each point from the mean of its GOOD neighbours in earlier shells.
 
-    Shells depend on each other, so this is a loop on the driver; ``cut`` writes each shell's rows and reads them back.
+    Shells depend on each other, so this is a loop on the driver; ``cut`` writes rows and reads them back. ``solve`` gets a
+    shell's seeds and the ids of all shells up to it, and returns the results of these ids without lineage; left out,
+    each shell is correlated and cut.
     """
+    solve = solve or _solver(cut, **plan)
     shells = cut(seeding.wavefront_shells(points, start, width).select("point_id", "x", "y", "z", "shell"))
     edges = cut(knn(points, points, k, cell).select("point_id", "neighbour_id"))
     last = shells.agg(F.max("shell")).first()[0]
@@ -80,8 +114,7 @@ def wavefront(points: DataFrame, start, width: float, k: int, cell: float, cut,
     for s in range(-1 if last is None else last + 1):
         own = shells.where(C("shell") == s).drop("shell")
         seeds = rigid_seeds(own, rigid) if done is None else own.join(seeding.seed_from_neighbours(edges.join(own.select("point_id"), "point_id", "left_semi"), done, rigid, own), "point_id")
-        solved = cut(correlate(seeds, **plan))
-        done = solved if done is None else done.unionByName(solved)
+        done = solve(seeds, shells.where(C("shell") <= s).select("point_id"))
     return done
 
 

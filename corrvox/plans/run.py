@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrvox.config import RunConfig
-from corrvox.operators import metrics, strain, tiling
+from corrvox.operators import metrics, seeding, strain, tiling
 from corrvox.operators.knn import median_spacing
 from corrvox.operators.seeding import with_distance
 from corrvox.plans import correlate as c
-from corrvox.sources import text
+from corrvox.sources import archive, text
 from corrvox.sources.volumes import layout, read_bricks
 
 C = F.col
@@ -41,69 +40,107 @@ def cut_to(spark: SparkSession, folder: str):
     return cut
 
 
-def run(spark: SparkSession, cfg: RunConfig) -> DataFrame:
+class Store:
+    """Results as a Parquet table by tile that grows step by step: each step is one committed job.
+
+    A step solves only points without a result, so a run that was stopped goes on where it was, and rows that a
+    stopped commit left visible are not solved twice.
+    """
+
+    def __init__(self, spark: SparkSession, cfg: RunConfig, path: str, cut) -> None:
+        self.spark, self.cfg, self.path, self.cut = spark, cfg, path, cut
+        v, shapes = cfg.volumes, [layout(p, {"path": p} | _options(cfg))["shape"] for p in (cfg.volumes.reference, cfg.volumes.deformed)]
+        if shapes[0] != shapes[1]:
+            raise ValueError(f"the volumes have different shapes: {shapes[0]} and {shapes[1]}")
+        self.plan = {"shape": tuple(shapes[0]), "offsets": cfg.offsets(), "search": cfg.kernel(), "tile": cfg.cluster.tile, "brick": cfg.cluster.brick, "sigma": v.prefilter_sigma}
+        self.far = c.reach(self.plan["offsets"], self.plan["search"], v.prefilter_sigma)
+
+    def rows(self) -> DataFrame:
+        schema = f"{c.OUT}, tile string"
+        return self.spark.read.schema(schema).parquet(self.path) if archive.exists(self.spark, self.path) else self.spark.createDataFrame([], schema)
+
+    def solve(self, seeds: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+        """Solve and commit what has no result yet; returns the results of the ids in ``wanted`` (all of them without it)."""
+        cfg, v = self.cfg, self.cfg.volumes
+        # Written first: the job that appends to the store doesn't read it.
+        left = self.cut(seeds.join(self.rows().select("point_id"), "point_id", "left_anti"))
+        first, end = c.layers_for(left, self.far, cfg.cluster.brick)
+        if end > first:
+            image = lambda path: read_bricks(self.spark, path, cfg.cluster.brick, layers=f"{first},{end}", **_options(cfg))
+            out = c.correlate(left, ref=image(v.reference), deformed=image(v.deformed), **self.plan)
+            named = tiling.tile_of(out, cfg.cluster.tile).withColumn("tile", F.concat_ws("_", "tx", "ty", "tz")).drop("tx", "ty", "tz")
+            named.write.mode("append").partitionBy("tile").parquet(self.path)
+        return self.rows() if wanted is None else self.rows().join(wanted, "point_id", "left_semi")
+
+    def solve_by_layers(self, seeds: DataFrame, step_points: int) -> None:
+        """Steps of whole layers of tiles, as many to a step as hold ``step_points`` points (one at least)."""
+        layer = F.floor(C("z") / self.cfg.cluster.tile)
+        counts = seeds.groupBy(layer.alias("tz")).agg(F.count(F.lit(1)).alias("n")).orderBy("tz").collect()  # a row for each layer of tiles
+        step: list[int] = []
+        held = 0
+        for k, r in enumerate(counts):
+            step, held = [*step, r["tz"]], held + r["n"]
+            if k + 1 == len(counts) or held + counts[k + 1]["n"] > step_points:
+                self.solve(seeds.where(layer.between(step[0], step[-1])))
+                step, held = [], 0
+
+
+def run(spark: SparkSession, cfg: RunConfig, step_points: int = 2_000_000) -> DataFrame:
     """Solve all points of a configured run; results are a Parquet table by tile at ``<output>/results``.
 
-    A run that was stopped goes on with the tiles that have no result. Its settings must be the same: a
-    fingerprint is kept beside the results, and another one is refused.
+    Results are committed in steps: shells of a wavefront, layers of tiles of about ``step_points`` points otherwise. A run
+    that was stopped goes on with the points that have no result; seeds come from stored results, so it ends with the
+    results of a run that wasn't stopped. Its settings must be the same: a fingerprint is kept beside the results, and
+    another one is refused.
     """
-    finger, place = cfg.fingerprint(), os.path.join(cfg.output, "fingerprint.json")
-    if os.path.exists(place):
-        with open(place) as f:
-            was = json.load(f)
+    finger, place = cfg.fingerprint(), f"{cfg.output}/fingerprint.json"
+    if archive.exists(spark, place):
+        was = json.loads(archive.read_bytes(spark, place))
         differ = sorted(k for k in was.keys() | finger.keys() if was.get(k) != finger.get(k))
         if differ:
             raise ValueError(f"{cfg.output} holds results of other settings: {', '.join(differ)}")
-    os.makedirs(cfg.output, exist_ok=True)
-    with open(place, "w") as f:
-        json.dump(finger, f, indent=1)
-    shapes = [layout(p, {"path": p} | _options(cfg))["shape"] for p in (cfg.volumes.reference, cfg.volumes.deformed)]
-    if shapes[0] != shapes[1]:
-        raise ValueError(f"the volumes have different shapes: {shapes[0]} and {shapes[1]}")
-    cut = cut_to(spark, os.path.join(cfg.output, "work"))
-    pts = cut(text.read_points(spark, cfg.points))
-    first = pts.orderBy("input_idx").first()
-    start = cfg.seeding.start or (first["x"], first["y"], first["z"])
-    if cfg.num_points_to_process:
-        pts = cut(with_distance(pts, start).orderBy("distance", "input_idx").limit(cfg.num_points_to_process).drop("distance"))
-    pts = pts.select("point_id", "x", "y", "z")
-    store = os.path.join(cfg.output, "results")
-    if os.path.exists(store):
-        done = spark.read.parquet(store).select("point_id")
-        pts = cut(pts.join(done, "point_id", "left_anti"))
-    plan = {
-        "ref": read_bricks(spark, cfg.volumes.reference, cfg.cluster.brick, **_options(cfg)), "deformed": read_bricks(spark, cfg.volumes.deformed, cfg.cluster.brick, **_options(cfg)),
-        "shape": tuple(shapes[0]), "offsets": cfg.offsets(), "search": cfg.kernel(), "tile": cfg.cluster.tile, "brick": cfg.cluster.brick, "sigma": cfg.volumes.prefilter_sigma,
-    }
-    rigid, s = cfg.search.rigid_trans, cfg.seeding
-    if s.strategy == "rigid" or pts.limit(2).count() < 2:
-        out = c.correlate(c.rigid_seeds(pts, rigid), **plan)
-    else:
+    work = f"{cfg.output}/work/{uuid.uuid4().hex}"
+    cut = cut_to(spark, work)
+    store = Store(spark, cfg, f"{cfg.output}/results", cut)
+    archive.write_bytes(spark, place, json.dumps(finger, indent=1).encode(), overwrite=True)
+    try:
+        pts = cut(text.read_points(spark, cfg.points))
+        first = pts.orderBy("input_idx").first()
+        start = cfg.seeding.start or (first["x"], first["y"], first["z"])
+        if cfg.num_points_to_process:
+            pts = cut(with_distance(pts, start).orderBy("distance", "input_idx").limit(cfg.num_points_to_process).drop("distance"))
+        pts = pts.select("point_id", "x", "y", "z")
+        rigid, s = cfg.search.rigid_trans, cfg.seeding
+        if s.strategy == "rigid" or pts.limit(2).count() < 2:
+            store.solve_by_layers(c.rigid_seeds(pts, rigid), step_points)
+            return store.rows()
         width = s.shell_width or median_spacing(pts, 32.0).first()["spacing"]
         if s.strategy == "wavefront":
-            out = c.wavefront(pts, start, width, s.neighbours, 2 * width, cut, rigid, **plan)
+            c.wavefront(pts, start, width, s.neighbours, 2 * width, cut, rigid, store.solve)
         else:
-            out = c.coarse(pts, s.coarse_stride, width, start, width * s.coarse_stride, s.neighbours, 2 * width * s.coarse_stride, cut, rigid, **plan)
-    named = tiling.tile_of(out, cfg.cluster.tile).withColumn("tile", F.concat_ws("_", "tx", "ty", "tz")).drop("tx", "ty", "tz")
-    named.write.mode("append").partitionBy("tile").parquet(store)
-    return spark.read.parquet(store)
+            far, some = width * s.coarse_stride, Store(spark, cfg, f"{cfg.output}/coarse", cut)
+            field = c.wavefront(seeding.coarse_subset(pts, s.coarse_stride, width), start, far, s.neighbours, 2 * far, cut, rigid, some.solve)
+            store.solve_by_layers(cut(pts.join(seeding.interpolate_seeds(pts, field, 8, 2 * far, rigid), "point_id")), step_points)
+        return store.rows()
+    finally:
+        archive.remove(spark, work)
 
 
 def finish(spark: SparkSession, cfg: RunConfig, seconds: float, partial: bool = False) -> None:
     """Write the result file and the summary; points without a result are an error unless ``partial``."""
-    results = spark.read.parquet(os.path.join(cfg.output, "results"))
+    results = spark.read.parquet(f"{cfg.output}/results")
     pts = text.read_points(spark, cfg.points).select("point_id", "x", "y", "z")
     whole = tiling.finalize(results, pts, partial)
     rows = whole.select("point_id", "status", *"uvw").join(pts, "point_id").join(results.select("point_id", "objmin"), "point_id", "left")
     lines = text.result_lines(rows, plain=False).select((C("point_id") + 1).alias("place"), "line")
     head = spark.createDataFrame([(-(1 << 62), "\t".join(text.DISP_COLUMNS))], "place long, line string")
-    text.write_lines(head.unionByName(lines), os.path.join(cfg.output, "disp"), "place")
-    text.write_lines(text.stat_lines(rows, seconds), os.path.join(cfg.output, "stat"), "place")
+    text.write_lines(head.unionByName(lines), f"{cfg.output}/disp", "place")
+    text.write_lines(text.stat_lines(rows, seconds), f"{cfg.output}/stat", "place")
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame:
     """Results of any kind: a Parquet store or a result file."""
-    return text.read_results(spark, path) if os.path.isfile(path) else spark.read.parquet(path)
+    return text.read_results(spark, path) if archive.is_file(spark, path) else spark.read.parquet(path)
 
 
 def compare(spark: SparkSession, a: str, b: str) -> DataFrame:

@@ -181,10 +181,12 @@ class VolumeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.brick = int(options.get("brick", "64"))
         self.lay = layout(options["path"], options)
+        self.layers = [int(v) for v in options["layers"].split(",")] if "layers" in options else None
 
     def partitions(self):
         _, ny, nz = self.lay["shape"]
-        return [VolumePartition(z, y) for z in range(-(-nz // self.brick)) for y in range(-(-ny // self.brick))]
+        first, end = self.layers or (0, nz)
+        return [VolumePartition(z, y) for z in range(max(first, 0), min(end, -(-nz // self.brick))) for y in range(-(-ny // self.brick))]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         for row in brick_rows(lambda lo, hi: read_box(self.lay, lo, hi), self.lay["shape"], self.brick, partition.bz, partition.by):
@@ -251,7 +253,7 @@ def assemble(rows, lo: tuple, hi: tuple, brick: int) -> np.ndarray:
 
 
 def read_bricks(spark: SparkSession, path: str, brick: int = 64, **options: str) -> DataFrame:
-    """Bricks of a volume file in any supported format."""
+    """Bricks of a volume file in any supported format; the option ``layers`` ("first,end") reads only these layers of bricks."""
     spark.dataSource.register(VolumeSource)
     r = spark.read.format("volume").option("path", path).option("brick", str(brick))
     for k, v in options.items():

@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import os
 import struct
@@ -123,7 +124,7 @@ def _zarr(root, a):
         (path / str(s[2])).write_bytes(body + struct.pack("<16Q", *index) + b"\0\0\0\0")
 
 
-def test_run_and_resume(spark, tmp_path):
+def test_run_and_resume(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(2)
     w = np.column_stack([rng.uniform(0.1, 0.5, (12, 3)), rng.uniform(0, 6, 12)])
     z, y, x = np.meshgrid(*[np.arange(36.0)] * 3, indexing="ij")
@@ -142,6 +143,28 @@ def test_run_and_resume(spark, tmp_path):
     back = text.read_results(spark, str(out)).collect()
     assert sorted(q.point_id for q in back) == list(range(6)) and all(abs(q.w - 0.75) < 0.02 for q in back)
     assert run.compare(spark, str(tmp_path / "out" / "results"), str(out)).first()["p99"] < 1e-6
+    assert not list((tmp_path / "out" / "work").iterdir())
+    # A run that is stopped in a step goes on with the rest, and ends with the rows of one that wasn't stopped.
+    whole = sorted((q.point_id, q.status, q.n_iter, q.seed_u, q.u, q.v, q.w) for q in r)
+    for strategy, tile, least in (("wavefront", 16, 1), ("rigid", 2, 3)):
+        again = dataclasses.replace(cfg, output=str(tmp_path / strategy), seeding=dataclasses.replace(cfg.seeding, strategy=strategy), cluster=config.Cluster(tile, 16))
+        solve, calls = c.correlate, []
+
+        def stops(*args, solve=solve, calls=calls, **plan):
+            calls.append(1)
+            if len(calls) == 2:
+                raise RuntimeError("stopped")
+            return solve(*args, **plan)
+
+        monkeypatch.setattr(c, "correlate", stops)
+        with pytest.raises(RuntimeError, match="stopped"):
+            run.run(spark, again, step_points=1)
+        monkeypatch.setattr(c, "correlate", solve)
+        before = {q.point_id: q.u for q in spark.read.parquet(f"{again.output}/results").collect()}
+        assert least <= len(before) < 6
+        rows = run.run(spark, again, step_points=1).collect()
+        assert len(rows) == 6 and before.items() <= {q.point_id: q.u for q in rows}.items()
+        assert strategy == "rigid" or sorted((q.point_id, q.status, q.n_iter, q.seed_u, q.u, q.v, q.w) for q in rows) == whole
     other = config.build(config.RunConfig, {"volumes": {"reference": str(tmp_path / "r.npy"), "deformed": str(tmp_path / "d.npy")}, "points": cfg.points, "output": cfg.output, "search": {"dof": 6}})
     with pytest.raises(ValueError, match="other settings.*search.dof"):
         run.run(spark, other)
