@@ -24,6 +24,7 @@ def main(args: list[str] | None = None) -> int:
             q.add_argument("--shape")
             q.add_argument("--dtype")
             q.add_argument("--brick", type=int, default=64)
+            q.add_argument("--overwrite", action="store_true")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("corrvox").getOrCreate()
     from corrvox import config
@@ -41,13 +42,18 @@ def main(args: list[str] | None = None) -> int:
             run.write_strain(spark, a.results, a.out, a.window)
         elif a.command == "convert":
             more = {k: v for k, v in (("shape", a.shape), ("dtype", a.dtype)) if v}
-            volumes.convert(volumes.read_bricks(spark, a.volume, a.brick, **more), a.out)
+            bricks = volumes.read_bricks(spark, a.volume, a.brick, **more)
+            if a.out.endswith(".zarr"):
+                lay = volumes.layout(a.volume, more)
+                volumes.write_zarr(bricks, tuple(lay["shape"]), lay["dtype"], a.brick, a.out, overwrite=a.overwrite)
+            else:
+                volumes.convert(bricks, a.out, "overwrite" if a.overwrite else "error")
         else:
             found = text.settings_map(text.lines_of(spark, a.file)).first()
             if found["unknown"]:
                 print(f"unknown keys: {', '.join(found['unknown'])}", file=sys.stderr)
             print(config.from_settings(found["settings"]))
-    except (ValueError, FileNotFoundError) as e:
+    except (ValueError, FileNotFoundError, FileExistsError) as e:
         print(f"corrvox: {e}", file=sys.stderr)
         return 2
     return 0

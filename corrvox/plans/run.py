@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from corrvox.operators.knn import median_spacing
 from corrvox.operators.seeding import with_distance
 from corrvox.plans import correlate as c
 from corrvox.sources import archive, text
-from corrvox.sources.volumes import layout, read_bricks
+from corrvox.sources.volumes import layout, missing_chunks, read_bricks
 
 C = F.col
 
@@ -52,6 +53,9 @@ class Store:
         v, shapes = cfg.volumes, [layout(p, {"path": p} | _options(cfg))["shape"] for p in (cfg.volumes.reference, cfg.volumes.deformed)]
         if shapes[0] != shapes[1]:
             raise ValueError(f"the volumes have different shapes: {shapes[0]} and {shapes[1]}")
+        for p in (v.reference, v.deformed):
+            if os.path.isdir(p):
+                missing_chunks(spark, p)
         self.plan = {"shape": tuple(shapes[0]), "offsets": cfg.offsets(), "search": cfg.kernel(), "tile": cfg.cluster.tile, "brick": cfg.cluster.brick, "sigma": v.prefilter_sigma}
         self.far = c.reach(self.plan["offsets"], self.plan["search"], v.prefilter_sigma)
 

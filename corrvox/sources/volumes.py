@@ -2,17 +2,23 @@
 
 A brick row is ``bx, by, bz`` (its place), ``nx, ny, nz`` (its size), ``dtype`` and ``data`` (C order, z
 slowest, native bytes). ``spark.read.format("volume").option("path", ...)`` reads raw, MetaImage, npy and
-OME-Zarr v3 files by seeking to the rows of each brick, one layer of bricks to a task.
+OME-Zarr v3 files by seeking to the rows of each brick, one row of bricks to a task. Volume files are opened by the
+executors, so they lie on a mount that driver and executors share.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
+import shutil
 import struct
+import uuid
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -221,6 +227,146 @@ def convert(bricks: DataFrame, path: str, mode: str = "error") -> None:
     bricks.repartition("bz").sortWithinPartitions("by", "bx").write.mode(mode).partitionBy("bz").parquet(path)
 
 
+_NONE = (1 << 64) - 1
+
+
+def crc32c(data: bytes) -> int:
+    """The Castagnoli checksum that closes a shard's index."""
+    crc = 0xFFFFFFFF
+    for byte in data:
+        crc ^= byte
+        for _ in range(8):
+            crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+    return crc ^ 0xFFFFFFFF
+
+
+class _ShardFile:
+    """One shard, chunk after chunk, under a name of its own until it is whole: a task run twice writes the same file."""
+
+    def __init__(self, path: str, chunks: int) -> None:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        self.path, self.part = path, f"{path}.{uuid.uuid4().hex}"
+        self.file, self.index, self.at = open(self.part, "wb"), [_NONE] * (2 * chunks), 0  # noqa: SIM115
+
+    def add(self, k: int, raw: bytes) -> None:
+        if self.index[2 * k] != _NONE:
+            raise ValueError(f"{self.path}: chunk {k} comes twice")
+        self.index[2 * k : 2 * k + 2] = self.at, len(raw)
+        self.at += self.file.write(raw)
+
+    def close(self) -> int:
+        index = struct.pack(f"<{len(self.index)}Q", *self.index)
+        self.file.write(index + struct.pack("<I", crc32c(index)))
+        self.file.close()
+        os.replace(self.part, self.path)
+        return sum(k != _NONE for k in self.index[::2])
+
+
+def write_zarr(bricks: DataFrame, shape: tuple[int, int, int], dtype: str, brick: int, path: str, shard: int = 8, level: int = 3, overwrite: bool = False) -> None:
+    """An OME-Zarr v3 image with one level: a brick is a chunk, ``shard`` chunks along an axis at most are a file.
+
+    Every chunk is stored, empty ones too, and edge chunks are filled up with 0. One shuffle by file; a task holds a batch of
+    bricks at a time. The image appears under its name when it is whole; an absent brick is an error. An existing ``path`` is
+    one too, unless ``overwrite`` is set and it is a zarr store.
+    """
+    if os.path.exists(path) and not (overwrite and os.path.exists(os.path.join(path, "zarr.json"))):
+        raise FileExistsError(f"{path} exists" + (" and is not a zarr store" if overwrite else ""))
+    import zstandard
+
+    size = [min(brick, n) for n in shape[::-1]]
+    grid = [-(-n // c) for n, c in zip(shape[::-1], size, strict=True)]
+    per = [min(shard, g) for g in grid]
+    files, kind = [-(-g // p) for g, p in zip(grid, per, strict=True)], np.dtype(dtype).newbyteorder("<")
+    little = {"name": "bytes", "configuration": {"endian": "little"}}
+    inner = [little, {"name": "zstd", "configuration": {"level": level, "checksum": False}}]
+    sharding = {"chunk_shape": size, "codecs": inner, "index_codecs": [little, {"name": "crc32c"}], "index_location": "end"}
+    array = {
+        "zarr_format": 3, "node_type": "array", "shape": list(shape[::-1]), "data_type": kind.name, "fill_value": 0, "dimension_names": ["z", "y", "x"], "attributes": {},
+        "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [c * p for c, p in zip(size, per, strict=True)]}},
+        "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "codecs": [{"name": "sharding_indexed", "configuration": sharding}],
+    }
+    scale = [{"path": "0", "coordinateTransformations": [{"type": "scale", "scale": [1.0, 1.0, 1.0]}]}]
+    image = {"name": os.path.basename(path.rstrip("/")), "axes": [{"name": a, "type": "space"} for a in "zyx"], "datasets": scale}
+    group = {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"version": "0.5", "multiscales": [image]}}}
+    part = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+
+    def run(batches):
+        pack, place, out = zstandard.ZstdCompressor(level=level), None, None
+        for b in batches:
+            for bx, by, bz, nx, ny, nz, stored, data in b[["bx", "by", "bz", "nx", "ny", "nz", "dtype", "data"]].itertuples(index=False, name=None):
+                at = (bz, by, bx)
+                here = tuple(k // p for k, p in zip(at, per, strict=True))
+                if here != place:
+                    if out is not None:
+                        yield pd.DataFrame({"chunks": [out.close()]})
+                    place, out = here, _ShardFile(os.path.join(part, "0", "c", *map(str, here)), math.prod(per))
+                whole = np.zeros(size, kind)
+                whole[:nz, :ny, :nx] = np.frombuffer(data, stored).reshape(nz, ny, nx)
+                z, y, x = (k % p for k, p in zip(at, per, strict=True))
+                out.add((z * per[1] + y) * per[2] + x, pack.compress(whole.tobytes()))
+        if out is not None:
+            yield pd.DataFrame({"chunks": [out.close()]})
+
+    os.makedirs(os.path.join(part, "0"))
+    try:
+        for name, meta in (("zarr.json", group), ("0/zarr.json", array)):
+            with open(os.path.join(part, name), "w") as f:
+                json.dump(meta, f, indent=1)
+        key = [F.floor(F.col(f"b{a}") / p).alias(f"s{a}") for a, p in zip("zyx", per, strict=True)]
+        dealt = bricks.select(*bricks.columns, *key).repartition(min(math.prod(files), 10_000), "sz", "sy", "sx").sortWithinPartitions("sz", "sy", "sx", "bz", "by", "bx")
+        r = dealt.mapInPandas(run, "chunks long").agg(F.count(F.lit(1)).alias("files"), F.sum("chunks").alias("chunks")).first()
+        if (r["files"], r["chunks"]) != (math.prod(files), math.prod(grid)):
+            raise ValueError(f"{path}: {r['chunks'] or 0} of {math.prod(grid)} bricks came")
+        if os.path.exists(path):
+            old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+            os.replace(path, old)
+            os.replace(part, path)
+            shutil.rmtree(old)
+        else:
+            os.replace(part, path)
+    finally:
+        shutil.rmtree(part, ignore_errors=True)
+
+
+def missing_chunks(spark: SparkSession, path: str, level: str = "0") -> int:
+    """How many chunks of a zarr image aren't stored (they read as the fill value), with a warning if any; only indexes are read."""
+    lay = zarr_layout(path, level)
+    grid = [-(-n // c) for n, c in zip(lay["shape"][::-1], lay["chunk"], strict=True)]
+    per = [s // c for s, c in zip(lay["shard"] or lay["chunk"], lay["chunk"], strict=True)]
+    files = [-(-g // p) for g, p in zip(grid, per, strict=True)]
+
+    def run(batches):
+        for b in batches:
+            missing = 0
+            for k in b["id"]:
+                place = np.unravel_index(int(k), files)
+                # Chunks of the last files that lie outside the image don't count.
+                inside = math.prod(min(p, g - int(o) * p) for o, p, g in zip(place, per, grid, strict=True))
+                missing += inside - min(inside, _stored(lay, place, per))
+            yield pd.DataFrame({"missing": [missing]})
+
+    n = math.prod(files)
+    missing = spark.range(0, n, 1, min(n, 256)).mapInPandas(run, "missing long").agg(F.sum("missing")).first()[0]
+    if missing:
+        warnings.warn(f"{path}: {missing} of {math.prod(grid)} chunks aren't stored and read as {lay['fill']}; the image may be incomplete", stacklevel=2)
+    return missing
+
+
+def _stored(lay: dict, place, per: list[int]) -> int:
+    """Chunks stored in the file at ``place``."""
+    name = os.path.join(lay["zarr"], "c" + lay["sep"] + lay["sep"].join(str(int(p)) for p in place))
+    if not os.path.exists(name):
+        return 0
+    if not lay["shard"]:
+        return 1
+    count = math.prod(per)
+    with open(name, "rb") as f:
+        if lay["index"]["end"]:
+            f.seek(-(16 * count + 4 * lay["index"]["crc"]), 2)
+        index = np.frombuffer(f.read(16 * count), "<u8").reshape(count, 2)
+    return int((index != _NONE).any(1).sum())
+
+
 def write_raw(bricks: DataFrame, shape: tuple[int, int, int], brick: int, path: str) -> None:
     """One little-endian raw file, a layer of bricks at a time on the driver."""
     with open(path, "wb") as f:

@@ -89,6 +89,35 @@ def test_volume_formats(spark, tmp_path):
     assert (np.fromfile(tmp_path / "out.raw", "<u2").reshape(a.shape) == a).all()
     volumes.convert(bricks, str(tmp_path / "bricks"))
     assert spark.read.parquet(str(tmp_path / "bricks")).count() == 3 * 3 * 3
+    assert {r.bz for r in volumes.read_bricks(spark, str(tmp_path / "a.mhd"), 4, layers="1,2").select("bz").collect()} == {1}
+    assert volumes.crc32c(b"123456789") == 0xE3069283  # the check value of the checksum's definition
+    for name, brick, shard in (("s.zarr", 4, 2), ("t.zarr", 64, 8)):
+        out, more = str(tmp_path / name), volumes.read_bricks(spark, str(tmp_path / "a.mhd"), brick)
+        volumes.write_zarr(more, (11, 9, 10), ">u2", brick, out, shard)
+        assert {(r.x, r.y, r.z): r.v for r in _voxels(spark, out)} == want and volumes.missing_chunks(spark, out) == 0
+        with pytest.raises(FileExistsError):
+            volumes.write_zarr(more, (11, 9, 10), ">u2", brick, out, shard)
+    with pytest.raises(ValueError, match="26 of 27 bricks"):
+        volumes.write_zarr(bricks.where("bx + by + bz > 0"), (11, 9, 10), ">u2", 4, str(tmp_path / "u.zarr"), 2)
+    assert not list(tmp_path.glob("u.zarr*"))
+    volumes.write_zarr(bricks, (11, 9, 10), "<u2", 4, str(tmp_path / "s.zarr"), 3, overwrite=True)
+    with pytest.raises(FileExistsError, match="not a zarr"):
+        volumes.write_zarr(bricks, (11, 9, 10), "<u2", 4, str(tmp_path / "bricks"), overwrite=True)
+    os.rename(tmp_path / "t.zarr" / "0" / "c" / "0" / "0" / "0", tmp_path / "moved")
+    with pytest.warns(UserWarning, match="1 of 1 chunks"):
+        assert volumes.missing_chunks(spark, str(tmp_path / "t.zarr")) == 1
+
+
+def test_layers_hold_every_box(spark):
+    from corrvox.operators import tiling
+
+    rng = np.random.default_rng(5)
+    for far in (3.0, 9.5):
+        rows = [(i, *p, *s) for i, (p, s) in enumerate(zip(rng.uniform(0, 90, (40, 3)).tolist(), rng.normal(0, 8, (40, 3)).tolist(), strict=True))]
+        pts = spark.createDataFrame(rows, "point_id long, x double, y double, z double, su double, sv double, sw double")
+        first, end = c.layers_for(pts, far, 16)
+        boxes = tiling.plan(pts, 32.0, far, 1.0).collect()
+        assert all(first * 16 <= max(b[f"{k}_z_lo"], 0) and b[f"{k}_z_hi"] <= end * 16 for b in boxes for k in ("ref", "def"))
 
 
 def _voxels(spark, path, **options):
