@@ -194,6 +194,10 @@ def test_run_and_resume(spark, tmp_path, monkeypatch):
         rows = run.run(spark, again, step_points=1).collect()
         assert len(rows) == 6 and before.items() <= {q.point_id: q.u for q in rows}.items()
         assert strategy == "rigid" or sorted((q.point_id, q.status, q.n_iter, q.seed_u, q.u, q.v, q.w) for q in rows) == whole
+    few = dataclasses.replace(cfg, output=str(tmp_path / "coarse"), seeding=dataclasses.replace(cfg.seeding, strategy="coarse", coarse_stride=2))
+    rows = run.run(spark, few).collect()
+    assert sorted(q.point_id for q in rows) == list(range(6)) and all(q.status == 0 and abs(q.u - 0.75) < 0.02 for q in rows)
+    assert 0 < spark.read.parquet(f"{few.output}/coarse").count() < 6
     other = config.build(config.RunConfig, {"volumes": {"reference": str(tmp_path / "r.npy"), "deformed": str(tmp_path / "d.npy")}, "points": cfg.points, "output": cfg.output, "search": {"dof": 6}})
     with pytest.raises(ValueError, match="other settings.*search.dof"):
         run.run(spark, other)
