@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrvox.llm import decontam, exact_dedup, html_text, jaccard_join, language_id, packing, sharding, substring_dedup, token_files, toxicity
+from corrvox.llm import decontam, exact_dedup, html_text, jaccard_join, language_id, merkle, packing, sharding, substring_dedup, token_files, toxicity
 from corrvox.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_decontamination": op9_decontamination,
         "op10_sharding": op10_sharding,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
@@ -92,4 +97,4 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = w.doc_id GROUP BY w.doc_i
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_decontamination": decontam.oracle_sql()}
+    return {"op2_exact_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_decontamination": decontam.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql()}
