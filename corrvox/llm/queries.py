@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrvox.llm import decontam, exact_dedup, html_text, jaccard_join, language_id, merkle, packing, sharding, substring_dedup, token_files, toxicity
+from corrvox.llm import decontam, exact_dedup, html_text, jaccard_join, language_id, lexical_search, merkle, packing, sharding, substring_dedup, token_files, toxicity
 from corrvox.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9_decontamination,
         "op10_sharding": op10_sharding,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_lexical_search": op12_lexical_search,
     }
 
 
@@ -97,4 +102,4 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = w.doc_id GROUP BY w.doc_i
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_decontamination": decontam.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql()}
+    return {"op2_exact_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_decontamination": decontam.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql(), "op12_lexical_search": lexical_search.oracle_sql()}
