@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrvox.llm import decontam, exact_dedup, html_text, jaccard_join, language_id, lexical_search, merkle, packing, sharding, substring_dedup, token_files, toxicity
+from corrvox.llm import decontam, exact_dedup, html_text, jaccard_join, language_id, lexical_search, merkle, packing, sharding, simhash, substring_dedup, token_files, toxicity
 from corrvox.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": op10_sharding,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_lexical_search": op12_lexical_search,
+        "op13_simhash": op13_simhash,
     }
 
 
