@@ -1,4 +1,4 @@
-"""``python -m corrvox solve|compare|strain|convert|report``; exit codes: 0 done, 2 wrong settings or input."""
+"""``python -m corrvox solve|compare|strain|convert|settings``; exit codes: 0 done, 2 wrong settings or input."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import argparse
 import sys
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
@@ -24,12 +25,13 @@ def main(args: list[str] | None = None) -> int:
             q.add_argument("--shape")
             q.add_argument("--dtype")
             q.add_argument("--brick", type=int, default=64)
+            q.add_argument("--levels", type=int, default=1)
             q.add_argument("--overwrite", action="store_true")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("corrvox").getOrCreate()
     from corrvox import config
     from corrvox.plans import run
-    from corrvox.sources import text, volumes
+    from corrvox.sources import text, volume_sink, volumes
 
     try:
         if a.command == "solve":
@@ -45,7 +47,7 @@ def main(args: list[str] | None = None) -> int:
             bricks = volumes.read_bricks(spark, a.volume, a.brick, **more)
             if a.out.endswith(".zarr"):
                 lay = volumes.layout(a.volume, more)
-                volumes.write_zarr(bricks, tuple(lay["shape"]), lay["dtype"], a.brick, a.out, overwrite=a.overwrite)
+                volume_sink.write_zarr(bricks, tuple(lay["shape"]), lay["dtype"], a.brick, a.out, overwrite=a.overwrite, levels=a.levels)
             else:
                 volumes.convert(bricks, a.out, "overwrite" if a.overwrite else "error")
         else:
@@ -53,7 +55,7 @@ def main(args: list[str] | None = None) -> int:
             if found["unknown"]:
                 print(f"unknown keys: {', '.join(found['unknown'])}", file=sys.stderr)
             print(config.from_settings(found["settings"]))
-    except (ValueError, FileNotFoundError, FileExistsError) as e:
+    except (ValueError, FileNotFoundError, FileExistsError, AnalysisException) as e:
         print(f"corrvox: {e}", file=sys.stderr)
         return 2
     return 0

@@ -23,11 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def written(spark: SparkSession, path: str) -> str:
+    """Have ``path`` removed when the program ends."""
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write rows to the shared folder and read them back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corrvox-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = written(spark, f"{shared_dir(spark)}/corrvox-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -38,17 +38,18 @@ def reach(offsets: np.ndarray, search: Search, sigma: float = 0.0) -> float:
     return float(np.sqrt((offsets**2).sum(1)).max()) + search.disp_max + 2.0 + blur
 
 
-def layers_for(points: DataFrame, far: float, brick: int) -> tuple[int, int]:
-    """First and end of the brick layers that tiles of ``points`` (with seeds) can read in either image; one row is read.
+def reach_box(points: DataFrame, far: float) -> tuple[tuple, tuple] | None:
+    """[lo, hi) (x, y, z) that tiles of ``points`` (with seeds) can read in either image; one row is read, None without points.
 
     A tile's deformed box is moved by a middle seed and grown by the largest distance from it, so it ends within
     twice the least seed less the greatest, and the other way round.
     """
-    r = points.agg(F.min("z").alias("z0"), F.max("z").alias("z1"), F.min("sw").alias("s0"), F.max("sw").alias("s1")).first()
-    if r["z0"] is None:
-        return 0, 0
-    low, high = r["z0"] + min(0.0, 2 * r["s0"] - r["s1"]), r["z1"] + max(0.0, 2 * r["s1"] - r["s0"])
-    return max(0, math.floor((low - far - 3) / brick)), max(0, math.floor((high + far + 3) / brick) + 1)
+    r = points.agg(*[f(n).alias(f"{n}{e}") for n in ("x", "y", "z", "su", "sv", "sw") for e, f in ((0, F.min), (1, F.max))]).first()
+    if r["x0"] is None:
+        return None
+    lo = [r[f"{a}0"] + min(0.0, 2 * r[f"{s}0"] - r[f"{s}1"]) - far - 3 for a, s in zip("xyz", ("su", "sv", "sw"), strict=True)]
+    hi = [r[f"{a}1"] + max(0.0, 2 * r[f"{s}1"] - r[f"{s}0"]) + far + 3 for a, s in zip("xyz", ("su", "sv", "sw"), strict=True)]
+    return tuple(map(math.floor, lo)), tuple(math.ceil(v) + 1 for v in hi)
 
 
 def correlate(points: DataFrame, ref: DataFrame, deformed: DataFrame, shape: tuple[int, int, int], offsets: np.ndarray, search: Search, tile: float = 64.0, brick: int = 32, sigma: float = 0.0) -> DataFrame:

@@ -15,7 +15,7 @@ from corrvox.operators.knn import median_spacing
 from corrvox.operators.seeding import with_distance
 from corrvox.plans import correlate as c
 from corrvox.sources import archive, text
-from corrvox.sources.volumes import layout, missing_chunks, read_bricks
+from corrvox.sources.volumes import in_box, layout, missing_chunks, read_bricks
 
 C = F.col
 
@@ -68,9 +68,9 @@ class Store:
         cfg, v = self.cfg, self.cfg.volumes
         # Written first: the job that appends to the store doesn't read it.
         left = self.cut(seeds.join(self.rows().select("point_id"), "point_id", "left_anti"))
-        first, end = c.layers_for(left, self.far, cfg.cluster.brick)
-        if end > first:
-            image = lambda path: read_bricks(self.spark, path, cfg.cluster.brick, layers=f"{first},{end}", **_options(cfg))
+        box = c.reach_box(left, self.far)
+        if box:
+            image = lambda path: in_box(read_bricks(self.spark, path, cfg.cluster.brick, **_options(cfg)), *box, cfg.cluster.brick)
             out = c.correlate(left, ref=image(v.reference), deformed=image(v.deformed), **self.plan)
             named = tiling.tile_of(out, cfg.cluster.tile).withColumn("tile", F.concat_ws("_", "tx", "ty", "tz")).drop("tx", "ty", "tz")
             named.write.mode("append").partitionBy("tile").parquet(self.path)

@@ -1,98 +1,98 @@
-"""Image volumes as tables of bricks, and a Spark data source for volume files.
+"""Image volumes as tables of bricks: a Spark data source that opens only the bricks a query asks for.
 
 A brick row is ``bx, by, bz`` (its place), ``nx, ny, nz`` (its size), ``dtype`` and ``data`` (C order, z
 slowest, native bytes). ``spark.read.format("volume").option("path", ...)`` reads raw, MetaImage, npy and
-OME-Zarr v3 files by seeking to the rows of each brick, one row of bricks to a task. Volume files are opened by the
-executors, so they lie on a mount that driver and executors share.
+OME-Zarr v3. Comparisons of ``bx``, ``by`` and ``bz`` with constants reach the source (``pushFilters``): bricks outside
+are not planned, so a box of a volume costs its bricks. Tasks hold whole rows of bricks of about ``task_mb`` each.
+Files are opened by the executors (``sources.files``): on a mount that all machines share, or by URI.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import math
-import os
-import shutil
+import re
 import struct
-import uuid
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+
+from corrvox.sources import files
 
 SCHEMA = "bx int, by int, bz int, nx int, ny int, nz int, dtype string, data binary"
+COLUMNS = ["bx", "by", "bz", "nx", "ny", "nz", "dtype", "data"]
+
 # MetaImage element types.
 MHD_TYPES = {"MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_USHORT": "u2", "MET_SHORT": "i2", "MET_UINT": "u4", "MET_INT": "i4", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}
+# Header fields that matter here, what holds where one is absent (None: it must be there), and the values that can be read.
+MHD_FIELDS = {
+    "NDims": ("3", r"3"),
+    "DimSize": (None, r"\d+\s+\d+\s+\d+"),
+    "HeaderSize": ("0", r"\d+"),
+    "ElementType": (None, "|".join(MHD_TYPES)),
+    "ElementNumberOfChannels": ("1", r"1"),
+    "CompressedData": ("False", r"(?i:false)"),
+    "BinaryDataByteOrderMSB": ("", r"(?i:true|false|)"),
+    "ElementByteOrderMSB": ("False", r"(?i:true|false)"),
+    "ElementDataFile": (None, r"(?!LOCAL$|LIST$)[^%]+"),
+}
 
 
 def mhd_layout(path: str) -> dict:
-    """File, shape (x, y, z), dtype and header bytes of a MetaImage header; refuses what it can't read."""
-    with open(path) as f:
-        fields = {k.strip(): v.strip() for k, _, v in (line.partition("=") for line in f) if _}
-
-    def stop(why: str):
-        raise ValueError(f"{path}: {why}")
-
-    for k in ("DimSize", "ElementType", "ElementDataFile"):
-        if k not in fields:
-            stop(f"{k} is missing")
-    parts = fields["DimSize"].split()
-    if not all(p.lstrip("-").isdigit() for p in parts):
-        stop(f"DimSize isn't whole numbers: {fields['DimSize']}")
-    if len(parts) != 3 or fields.get("NDims", "3") != "3":
-        stop("not a 3-D image")
-    if fields["ElementType"] not in MHD_TYPES:
-        stop(f"ElementType {fields['ElementType']} isn't supported")
-    if fields.get("CompressedData", "False").lower() == "true":
-        stop("compressed data isn't supported")
-    if fields.get("ElementNumberOfChannels", "1") != "1":
-        stop("only one channel is supported")
-    data = fields["ElementDataFile"]
-    if data in ("LOCAL", "LIST") or "%" in data:
-        stop(f"ElementDataFile {data} isn't one detached file")
-    header = fields.get("HeaderSize", "0")
-    if not header.lstrip("-").isdigit():
-        stop(f"HeaderSize isn't a whole number: {header}")
-    if int(header) < 0:
-        stop("HeaderSize must be given in bytes")
-    big = fields.get("BinaryDataByteOrderMSB", fields.get("ElementByteOrderMSB", "False")).lower() == "true"
-    return {"file": os.path.join(os.path.dirname(path), data), "shape": [int(p) for p in parts], "dtype": (">" if big else "<") + MHD_TYPES[fields["ElementType"]], "header": int(header)}
+    """File, shape (x, y, z), dtype and header bytes of a MetaImage header; all fields that can't be read are named."""
+    given = dict(re.findall(r"^\s*(\w+)\s*=[ \t]*(.*?)\s*$", files.read(path).decode("utf-8", "replace"), re.MULTILINE))
+    held = {k: given.get(k, absent) for k, (absent, _) in MHD_FIELDS.items()}
+    bad = [f"{k} = {held[k]}" if k in given else f"no {k}" for k, (_, fits) in MHD_FIELDS.items() if held[k] is None or not re.fullmatch(fits, held[k])]
+    if bad:
+        raise ValueError(f"{path}: only uncompressed 3-D images of one channel in a file of their own are read; it has {', '.join(bad)}")
+    order = ">" if (held["BinaryDataByteOrderMSB"] or held["ElementByteOrderMSB"]).lower() == "true" else "<"
+    folder = path[: path.rfind("/") + 1]
+    return {"file": folder + held["ElementDataFile"], "shape": [int(n) for n in held["DimSize"].split()], "dtype": order + MHD_TYPES[held["ElementType"]], "header": int(held["HeaderSize"])}
+
+
+def npy_layout(path: str) -> dict:
+    fs, p = files.place(path)
+    with fs.open_input_stream(p) as f:
+        head = io.BytesIO(f.read(1 << 16))
+    version = np.lib.format.read_magic(head)
+    shape, fortran, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+    if len(shape) != 3:
+        raise ValueError(f"{path}: not a 3-D array")
+    return {"file": path, "shape": list(shape[::-1]), "dtype": dtype.str, "header": head.tell(), "z_first": fortran}
 
 
 def layout(path: str, options: dict) -> dict:
     """How to read a volume: file, shape (x, y, z), dtype, header bytes, order; or a zarr array."""
-    if os.path.isdir(path):
+    if files.kind(path) == "folder":
         return zarr_layout(path, options.get("level", "0"))
     if path.endswith(".mhd"):
         out = mhd_layout(path)
     elif path.endswith(".npy"):
-        a = np.load(path, mmap_mode="r")
-        if a.ndim != 3:
-            raise ValueError(f"{path}: not a 3-D array")
-        return {"file": path, "shape": list(a.shape[::-1]), "dtype": a.dtype.str, "header": int(a.offset), "npy": True}
-    else:
-        if "shape" not in options or "dtype" not in options:
-            raise ValueError(f"{path}: raw volumes need the options shape (x,y,z) and dtype")
+        out = npy_layout(path)
+    elif "shape" in options and "dtype" in options:
         out = {"file": path, "shape": [int(v) for v in options["shape"].split(",")], "dtype": options["dtype"], "header": int(options.get("header", "0"))}
-    want = out["header"] + int(np.prod(out["shape"], dtype=np.int64)) * np.dtype(out["dtype"]).itemsize
-    have = os.path.getsize(out["file"])
+    else:
+        raise ValueError(f"{path}: raw volumes need the options shape (x,y,z) and dtype")
+    want = out["header"] + math.prod(out["shape"]) * np.dtype(out["dtype"]).itemsize
+    have = files.size(out["file"])
     if have != want:
         raise ValueError(f"{out['file']}: {have} bytes, but shape, type and header say {want} ({'too short' if have < want else 'too long'})")
     return out
 
 
 def zarr_layout(path: str, level: str) -> dict:
-    root = path
-    with open(os.path.join(path, "zarr.json")) as f:
-        meta = json.load(f)
+    root = path.rstrip("/")
+    meta = json.loads(files.read(f"{root}/zarr.json"))
     if meta.get("node_type") == "group":
-        root = os.path.join(path, level)
-        with open(os.path.join(root, "zarr.json")) as f:
-            meta = json.load(f)
+        root = f"{root}/{level}"
+        meta = json.loads(files.read(f"{root}/zarr.json"))
     if meta.get("zarr_format") != 3 or len(meta["shape"]) != 3:
         raise ValueError(f"{path}: not a 3-D zarr v3 array")
     chunk, codecs, shard = meta["chunk_grid"]["configuration"]["chunk_shape"], meta["codecs"], None
@@ -110,7 +110,7 @@ def zarr_layout(path: str, level: str) -> dict:
 
 
 def _unpack(lay: dict, raw: bytes) -> np.ndarray:
-    n = int(np.prod(lay["chunk"], dtype=np.int64)) * np.dtype(lay["dtype"]).itemsize
+    n = math.prod(lay["chunk"]) * np.dtype(lay["dtype"]).itemsize
     if lay["packed"] == "zstd":
         import zstandard
 
@@ -122,94 +122,160 @@ def _unpack(lay: dict, raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, lay["dtype"]).reshape(lay["chunk"])
 
 
-def _zarr_chunk(lay: dict, place: tuple[int, int, int]) -> np.ndarray | None:
-    """A chunk (z, y, x place), None if it isn't stored."""
-    name = lambda p: os.path.join(lay["zarr"], "c" + lay["sep"] + lay["sep"].join(map(str, p)))
-    if not lay["shard"]:
-        try:
-            with open(name(place), "rb") as f:
-                return _unpack(lay, f.read())
-        except FileNotFoundError:
-            return None
-    per = [s // c for s, c in zip(lay["shard"], lay["chunk"], strict=True)]
-    outer, inner = [p // k for p, k in zip(place, per, strict=True)], [p % k for p, k in zip(place, per, strict=True)]
-    count = int(np.prod(per))
-    size = 16 * count + 4 * lay["index"]["crc"]
-    try:
-        f = open(name(outer), "rb")  # noqa: SIM115
-    except FileNotFoundError:
+NOT_STORED = (1 << 64) - 1
+
+
+def shard_index(lay: dict, name: str, count: int) -> np.ndarray | None:
+    """Offsets and lengths of a shard's ``count`` chunks; None if there is no such file."""
+    if files.kind(name) is None:
         return None
-    with f:
-        f.seek(-size if lay["index"]["end"] else 0, 2 if lay["index"]["end"] else 0)
-        index = struct.unpack(f"<{2 * count}Q", f.read(16 * count))
-        k = (inner[0] * per[1] + inner[1]) * per[2] + inner[2]
-        at, length = index[2 * k], index[2 * k + 1]
-        if at == length == (1 << 64) - 1:
+    fs, p = files.place(name)
+    size = 16 * count + 4 * lay["index"]["crc"]
+    with fs.open_input_file(p) as f:
+        raw = f.read_at(16 * count, f.size() - size if lay["index"]["end"] else 0)
+    return np.frombuffer(raw, "<u8").reshape(count, 2)
+
+
+def chunk_name(lay: dict, at: Iterable[int]) -> str:
+    return f"{lay['zarr']}/c{lay['sep']}{lay['sep'].join(str(int(k)) for k in at)}"
+
+
+class ZarrChunks:
+    """Chunks of one array; the index of the shard that was read last is kept."""
+
+    def __init__(self, lay: dict) -> None:
+        self.lay, self.name, self.index = lay, None, None
+
+    def get(self, at: tuple[int, int, int]) -> np.ndarray | None:
+        """A chunk by its (z, y, x) place, None if it isn't stored."""
+        lay = self.lay
+        if not lay["shard"]:
+            name = chunk_name(lay, at)
+            return _unpack(lay, files.read(name)) if files.kind(name) else None
+        per = [s // c for s, c in zip(lay["shard"], lay["chunk"], strict=True)]
+        name = chunk_name(lay, [k // p for k, p in zip(at, per, strict=True)])
+        if name != self.name:
+            self.name, self.index = name, shard_index(lay, name, math.prod(per))
+        k = np.ravel_multi_index([k % p for k, p in zip(at, per, strict=True)], per)
+        if self.index is None or (self.index[k] == NOT_STORED).all():
             return None
-        f.seek(at)
-        return _unpack(lay, f.read(length))
+        offset, length = map(int, self.index[k])
+        fs, p = files.place(name)
+        with fs.open_input_file(p) as f:
+            return _unpack(lay, f.read_at(length, offset))
+
+
+def _overlap(lo: int, hi: int, base: int, n: int) -> tuple[slice, slice]:
+    """Where [lo, hi) and [base, base + n) overlap, in the second and in the first."""
+    a, b = max(lo, base), max(lo, base, min(hi, base + n))
+    return slice(a - base, b - base), slice(a - lo, b - lo)
+
+
+def _flat_box(f, lay: dict, shape: list[int], lo, hi) -> np.ndarray:
+    """[lo, hi) of a flat file whose axes are given fastest first; the result's axes are slowest first."""
+    dtype, (n0, n1, _) = np.dtype(lay["dtype"]), shape
+    (a0, a1, a2), (b0, b1, b2) = lo, hi
+    out = np.empty((b2 - a2, b1 - a1, b0 - a0), dtype)
+    narrow = 4 * (b0 - a0) < n0
+    for k in range(a2, b2):
+        if narrow:
+            for j in range(a1, b1):
+                raw = f.read_at((b0 - a0) * dtype.itemsize, lay["header"] + ((k * n1 + j) * n0 + a0) * dtype.itemsize)
+                out[k - a2, j - a1] = np.frombuffer(raw, dtype)
+        else:  # the plane's rows at once, with what lies between them
+            raw = np.frombuffer(f.read_at(((b1 - a1 - 1) * n0 + b0 - a0) * dtype.itemsize, lay["header"] + ((k * n1 + a1) * n0 + a0) * dtype.itemsize), dtype)
+            out[k - a2] = np.lib.stride_tricks.as_strided(raw, (b1 - a1, b0 - a0), (n0 * dtype.itemsize, dtype.itemsize))
+    return out
 
 
-def read_box(lay: dict, lo: tuple, hi: tuple) -> np.ndarray:
-    """Voxels of [lo, hi) (x, y, z inside the volume) as a (z, y, x) array; not finite voxels are an error."""
-    (x0, y0, z0), (x1, y1, z1) = lo, hi
+def box_reader(lay: dict):
+    """A function of (lo, hi), x, y, z inside the volume, that returns its voxels (z, y, x); not finite ones are an error."""
     dtype = np.dtype(lay["dtype"])
     if "zarr" in lay:
-        out = np.full((z1 - z0, y1 - y0, x1 - x0), lay["fill"], dtype)
-        c, a, b = lay["chunk"], (z0, y0, x0), (z1, y1, x1)
-        for place in np.ndindex(*[(b[k] - 1) // c[k] - a[k] // c[k] + 1 for k in range(3)]):
-            place = tuple(p + a[k] // c[k] for k, p in enumerate(place))
-            got = _zarr_chunk(lay, place)
-            if got is None:
-                continue
-            src, dst = [], []
-            for k in range(3):
-                s, e = max(a[k], place[k] * c[k]), min(b[k], (place[k] + 1) * c[k])
-                src.append(slice(s - place[k] * c[k], e - place[k] * c[k]))
-                dst.append(slice(s - a[k], e - a[k]))
-            out[tuple(dst)] = got[tuple(src)]
-    elif lay.get("npy"):
-        out = np.array(np.load(lay["file"], mmap_mode="r")[z0:z1, y0:y1, x0:x1])
+        chunks = ZarrChunks(lay)
+
+        def read(lo, hi):
+            a, b, c = lo[::-1], hi[::-1], lay["chunk"]
+            out = np.full([q - p for p, q in zip(a, b, strict=True)], lay["fill"], dtype)
+            spans = [range(p // n, (q - 1) // n + 1) for p, q, n in zip(a, b, c, strict=True)]
+            for at in ((i, j, k) for i in spans[0] for j in spans[1] for k in spans[2]):
+                got = chunks.get(at)
+                if got is not None:
+                    cut = [_overlap(p, q, k * n, n) for p, q, k, n in zip(a, b, at, c, strict=True)]
+                    out[tuple(s for _, s in cut)] = got[tuple(s for s, _ in cut)]
+            return out
     else:
-        nx, ny, nz = lay["shape"]
-        out = np.array(np.memmap(lay["file"], dtype, "r", lay["header"], (nz, ny, nx))[z0:z1, y0:y1, x0:x1])
-    if dtype.kind == "f" and not np.isfinite(out).all():
-        raise ValueError("the volume holds values that aren't finite")
-    return out.astype(dtype.newbyteorder("="))
+        fs, p = files.place(lay["file"])
+        f = fs.open_input_file(p)
 
+        def read(lo, hi):
+            if lay.get("z_first"):
+                return _flat_box(f, lay, lay["shape"][::-1], lo[::-1], hi[::-1]).transpose(2, 1, 0)
+            return _flat_box(f, lay, lay["shape"], lo, hi)
 
-class VolumePartition(InputPartition):
-    def __init__(self, bz: int, by: int) -> None:
-        self.bz, self.by = bz, by
+    def checked(lo, hi):
+        out = read(lo, hi)
+        if dtype.kind == "f" and not np.isfinite(out).all():
+            raise ValueError("the volume holds values that aren't finite")
+        return np.ascontiguousarray(out, dtype.newbyteorder("="))
 
+    return checked
 
-class VolumeReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.brick = int(options.get("brick", "64"))
-        self.lay = layout(options["path"], options)
-        self.layers = [int(v) for v in options["layers"].split(",")] if "layers" in options else None
 
-    def partitions(self):
-        _, ny, nz = self.lay["shape"]
-        first, end = self.layers or (0, nz)
-        return [VolumePartition(z, y) for z in range(max(first, 0), min(end, -(-nz // self.brick))) for y in range(-(-ny // self.brick))]
+class BrickRows(InputPartition):
+    """Rows of bricks for one task: (bz, by, the bx wanted)."""
 
-    def read(self, partition) -> Iterator[pa.RecordBatch]:
-        for row in brick_rows(lambda lo, hi: read_box(self.lay, lo, hi), self.lay["shape"], self.brick, partition.bz, partition.by):
-            yield tuple(row)
+    def __init__(self, rows: list[tuple[int, int, list[int]]]) -> None:
+        self.rows = rows
 
 
-def brick_rows(read, shape, brick: int, bz: int, by: int) -> Iterator[tuple]:
-    nx, ny, nz = shape
-    for bx in range(-(-nx // brick)):
-        lo = (bx * brick, by * brick, bz * brick)
-        hi = (min(nx, lo[0] + brick), min(ny, lo[1] + brick), min(nz, lo[2] + brick))
-        a = read(lo, hi)
-        yield bx, by, bz, hi[0] - lo[0], hi[1] - lo[1], hi[2] - lo[2], a.dtype.str, a.tobytes()
+class VolumeReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.brick = int(options.get("brick", "64"))
+        self.lay = layout(options["path"], options)
+        self.task_bytes = float(options.get("task_mb", "64")) * (1 << 20)
+        self.wanted = {f"b{a}": range(-(-n // self.brick)) for a, n in zip("xyz", self.lay["shape"], strict=True)}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Narrow the places by comparisons with constants; what isn't understood is left to Spark."""
+        tests = {EqualTo: int.__eq__, EqualNullSafe: int.__eq__, GreaterThan: int.__gt__, GreaterThanOrEqual: int.__ge__, LessThan: int.__lt__, LessThanOrEqual: int.__le__, In: lambda k, values: k in values}
+        for f in filters:
+            name = getattr(f, "attribute", ())  # a negation has none
+            axis = name[0] if len(name) == 1 else None
+            if axis not in self.wanted:
+                yield f
+            elif isinstance(f, IsNotNull):
+                continue  # places are never null
+            elif type(f) in tests:
+                value = set(f.value) if isinstance(f, In) else f.value
+                self.wanted[axis] = [] if value is None else [k for k in self.wanted[axis] if tests[type(f)](k, value)]
+            else:
+                yield f
+
+    def partitions(self) -> list[BrickRows]:
+        xs = list(self.wanted["bx"])
+        row = max(1, len(xs)) * self.brick**3 * np.dtype(self.lay["dtype"]).itemsize
+        rows = [(z, y, xs) for z in self.wanted["bz"] for y in self.wanted["by"]] if xs else []
+        per = max(1, int(self.task_bytes // row))
+        return [BrickRows(rows[k : k + per]) for k in range(0, len(rows), per)] or [BrickRows([])]
+
+    def read(self, partition: BrickRows) -> Iterator[tuple]:
+        read = box_reader(self.lay)
+        for bz, by, xs in partition.rows:
+            yield from brick_rows(read, self.lay["shape"], self.brick, bz, by, xs)
+
+
+def brick_rows(read, shape, brick: int, bz: int, by: int, places: Iterable[int] | None = None) -> Iterator[tuple]:
+    """Rows of a row of bricks (all, or those at the given bx), with ``read(lo, hi)`` for the voxels."""
+    for bx in range(-(-shape[0] // brick)) if places is None else places:
+        lo = [k * brick for k in (bx, by, bz)]
+        hi = [min(n, k + brick) for n, k in zip(shape, lo, strict=True)]
+        a = read(tuple(lo), tuple(hi))
+        yield bx, by, bz, *[int(q - p) for p, q in zip(lo, hi, strict=True)], a.dtype.str, a.tobytes()
 
 
 class VolumeSource(DataSource):
-    """``spark.dataSource.register(VolumeSource)``, then ``spark.read.format("volume")``."""
+    """``volumes.register(spark)``, then ``spark.read.format("volume")`` or ``CREATE TEMPORARY VIEW v USING volume OPTIONS (...)``."""
 
     @classmethod
     def name(cls) -> str:
@@ -221,111 +287,35 @@ class VolumeSource(DataSource):
     def reader(self, schema) -> VolumeReader:
         return VolumeReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool):
+        from corrvox.sources.volume_sink import VolumeWriter
 
-def convert(bricks: DataFrame, path: str, mode: str = "error") -> None:
-    """Store bricks as Parquet by layer, so that a box reads only the layers and places it covers."""
-    bricks.repartition("bz").sortWithinPartitions("by", "bx").write.mode(mode).partitionBy("bz").parquet(path)
+        return VolumeWriter(dict(self.options), [f.name for f in schema])
 
 
-_NONE = (1 << 64) - 1
-
-
-def crc32c(data: bytes) -> int:
-    """The Castagnoli checksum that closes a shard's index."""
-    crc = 0xFFFFFFFF
-    for byte in data:
-        crc ^= byte
-        for _ in range(8):
-            crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
-    return crc ^ 0xFFFFFFFF
-
-
-class _ShardFile:
-    """One shard, chunk after chunk, under a name of its own until it is whole: a task run twice writes the same file."""
-
-    def __init__(self, path: str, chunks: int) -> None:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        self.path, self.part = path, f"{path}.{uuid.uuid4().hex}"
-        self.file, self.index, self.at = open(self.part, "wb"), [_NONE] * (2 * chunks), 0  # noqa: SIM115
-
-    def add(self, k: int, raw: bytes) -> None:
-        if self.index[2 * k] != _NONE:
-            raise ValueError(f"{self.path}: chunk {k} comes twice")
-        self.index[2 * k : 2 * k + 2] = self.at, len(raw)
-        self.at += self.file.write(raw)
-
-    def close(self) -> int:
-        index = struct.pack(f"<{len(self.index)}Q", *self.index)
-        self.file.write(index + struct.pack("<I", crc32c(index)))
-        self.file.close()
-        os.replace(self.part, self.path)
-        return sum(k != _NONE for k in self.index[::2])
-
-
-def write_zarr(bricks: DataFrame, shape: tuple[int, int, int], dtype: str, brick: int, path: str, shard: int = 8, level: int = 3, overwrite: bool = False) -> None:
-    """An OME-Zarr v3 image with one level: a brick is a chunk, ``shard`` chunks along an axis at most are a file.
-
-    Every chunk is stored, empty ones too, and edge chunks are filled up with 0. One shuffle by file; a task holds a batch of
-    bricks at a time. The image appears under its name when it is whole; an absent brick is an error. An existing ``path`` is
-    one too, unless ``overwrite`` is set and it is a zarr store.
-    """
-    if os.path.exists(path) and not (overwrite and os.path.exists(os.path.join(path, "zarr.json"))):
-        raise FileExistsError(f"{path} exists" + (" and is not a zarr store" if overwrite else ""))
-    import zstandard
-
-    size = [min(brick, n) for n in shape[::-1]]
-    grid = [-(-n // c) for n, c in zip(shape[::-1], size, strict=True)]
-    per = [min(shard, g) for g in grid]
-    files, kind = [-(-g // p) for g, p in zip(grid, per, strict=True)], np.dtype(dtype).newbyteorder("<")
-    little = {"name": "bytes", "configuration": {"endian": "little"}}
-    inner = [little, {"name": "zstd", "configuration": {"level": level, "checksum": False}}]
-    sharding = {"chunk_shape": size, "codecs": inner, "index_codecs": [little, {"name": "crc32c"}], "index_location": "end"}
-    array = {
-        "zarr_format": 3, "node_type": "array", "shape": list(shape[::-1]), "data_type": kind.name, "fill_value": 0, "dimension_names": ["z", "y", "x"], "attributes": {},
-        "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [c * p for c, p in zip(size, per, strict=True)]}},
-        "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "codecs": [{"name": "sharding_indexed", "configuration": sharding}],
-    }
-    scale = [{"path": "0", "coordinateTransformations": [{"type": "scale", "scale": [1.0, 1.0, 1.0]}]}]
-    image = {"name": os.path.basename(path.rstrip("/")), "axes": [{"name": a, "type": "space"} for a in "zyx"], "datasets": scale}
-    group = {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"version": "0.5", "multiscales": [image]}}}
-    part = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+def register(spark: SparkSession) -> None:
+    """Make ``format("volume")`` known to a session and let comparisons reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(VolumeSource)
 
-    def run(batches):
-        pack, place, out = zstandard.ZstdCompressor(level=level), None, None
-        for b in batches:
-            for bx, by, bz, nx, ny, nz, stored, data in b[["bx", "by", "bz", "nx", "ny", "nz", "dtype", "data"]].itertuples(index=False, name=None):
-                at = (bz, by, bx)
-                here = tuple(k // p for k, p in zip(at, per, strict=True))
-                if here != place:
-                    if out is not None:
-                        yield pd.DataFrame({"chunks": [out.close()]})
-                    place, out = here, _ShardFile(os.path.join(part, "0", "c", *map(str, here)), math.prod(per))
-                whole = np.zeros(size, kind)
-                whole[:nz, :ny, :nx] = np.frombuffer(data, stored).reshape(nz, ny, nx)
-                z, y, x = (k % p for k, p in zip(at, per, strict=True))
-                out.add((z * per[1] + y) * per[2] + x, pack.compress(whole.tobytes()))
-        if out is not None:
-            yield pd.DataFrame({"chunks": [out.close()]})
-
-    os.makedirs(os.path.join(part, "0"))
-    try:
-        for name, meta in (("zarr.json", group), ("0/zarr.json", array)):
-            with open(os.path.join(part, name), "w") as f:
-                json.dump(meta, f, indent=1)
-        key = [F.floor(F.col(f"b{a}") / p).alias(f"s{a}") for a, p in zip("zyx", per, strict=True)]
-        dealt = bricks.select(*bricks.columns, *key).repartition(min(math.prod(files), 10_000), "sz", "sy", "sx").sortWithinPartitions("sz", "sy", "sx", "bz", "by", "bx")
-        r = dealt.mapInPandas(run, "chunks long").agg(F.count(F.lit(1)).alias("files"), F.sum("chunks").alias("chunks")).first()
-        if (r["files"], r["chunks"]) != (math.prod(files), math.prod(grid)):
-            raise ValueError(f"{path}: {r['chunks'] or 0} of {math.prod(grid)} bricks came")
-        if os.path.exists(path):
-            old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
-            os.replace(path, old)
-            os.replace(part, path)
-            shutil.rmtree(old)
-        else:
-            os.replace(part, path)
-    finally:
-        shutil.rmtree(part, ignore_errors=True)
+
+def read_bricks(spark: SparkSession, path: str, brick: int = 64, **options: str) -> DataFrame:
+    """Bricks of a volume in any supported format; filter ``bx``, ``by``, ``bz`` to read only these."""
+    register(spark)
+    return spark.read.format("volume").options(path=path, brick=str(brick), **options).load()
+
+
+def in_box(bricks: DataFrame, lo: tuple, hi: tuple, brick: int) -> DataFrame:
+    """The bricks that [lo, hi) (x, y, z) touches."""
+    keep = F.lit(True)
+    for a, p, q in zip("xyz", lo, hi, strict=True):
+        keep = keep & (F.col(f"b{a}") >= max(0, math.floor(p / brick))) & (F.col(f"b{a}") <= (math.ceil(q) - 1) // brick)
+    return bricks.where(keep)
+
+
+def convert(bricks: DataFrame, path: str, mode: str = "error") -> None:
+    """Store bricks as Parquet by layer, so that a box reads only the layers and places it covers."""
+    bricks.repartition("bz").sortWithinPartitions("by", "bx").write.mode(mode).partitionBy("bz").parquet(path)
 
 
 def missing_chunks(spark: SparkSession, path: str, level: str = "0") -> int:
@@ -333,75 +323,82 @@ def missing_chunks(spark: SparkSession, path: str, level: str = "0") -> int:
     lay = zarr_layout(path, level)
     grid = [-(-n // c) for n, c in zip(lay["shape"][::-1], lay["chunk"], strict=True)]
     per = [s // c for s, c in zip(lay["shard"] or lay["chunk"], lay["chunk"], strict=True)]
-    files = [-(-g // p) for g, p in zip(grid, per, strict=True)]
+    shards = [-(-g // p) for g, p in zip(grid, per, strict=True)]
+
+    def stored(at) -> int:
+        if not lay["shard"]:
+            return int(files.kind(chunk_name(lay, at)) is not None)
+        index = shard_index(lay, chunk_name(lay, at), math.prod(per))
+        return 0 if index is None else int((index != NOT_STORED).any(1).sum())
 
     def run(batches):
         for b in batches:
             missing = 0
             for k in b["id"]:
-                place = np.unravel_index(int(k), files)
+                at = np.unravel_index(int(k), shards)
                 # Chunks of the last files that lie outside the image don't count.
-                inside = math.prod(min(p, g - int(o) * p) for o, p, g in zip(place, per, grid, strict=True))
-                missing += inside - min(inside, _stored(lay, place, per))
+                inside = math.prod(min(p, g - int(o) * p) for o, p, g in zip(at, per, grid, strict=True))
+                missing += inside - min(inside, stored(at))
             yield pd.DataFrame({"missing": [missing]})
 
-    n = math.prod(files)
+    n = math.prod(shards)
     missing = spark.range(0, n, 1, min(n, 256)).mapInPandas(run, "missing long").agg(F.sum("missing")).first()[0]
     if missing:
         warnings.warn(f"{path}: {missing} of {math.prod(grid)} chunks aren't stored and read as {lay['fill']}; the image may be incomplete", stacklevel=2)
     return missing
 
 
-def _stored(lay: dict, place, per: list[int]) -> int:
-    """Chunks stored in the file at ``place``."""
-    name = os.path.join(lay["zarr"], "c" + lay["sep"] + lay["sep"].join(str(int(p)) for p in place))
-    if not os.path.exists(name):
-        return 0
-    if not lay["shard"]:
-        return 1
-    count = math.prod(per)
-    with open(name, "rb") as f:
-        if lay["index"]["end"]:
-            f.seek(-(16 * count + 4 * lay["index"]["crc"]), 2)
-        index = np.frombuffer(f.read(16 * count), "<u8").reshape(count, 2)
-    return int((index != _NONE).any(1).sum())
-
-
-def write_raw(bricks: DataFrame, shape: tuple[int, int, int], brick: int, path: str) -> None:
-    """One little-endian raw file, a layer of bricks at a time on the driver."""
-    with open(path, "wb") as f:
-        for bz in range(-(-shape[2] // brick)):
-            rows = bricks.where(F.col("bz") == bz).select("bx", "by", "bz", "nx", "ny", "nz", "dtype", "data").toLocalIterator()
-            layer = None
-            for r in rows:
-                a = np.frombuffer(r["data"], r["dtype"]).reshape(r["nz"], r["ny"], r["nx"])
-                if layer is None:
-                    layer = np.zeros((r["nz"], shape[1], shape[0]), a.dtype)
-                layer[:, r["by"] * brick : r["by"] * brick + r["ny"], r["bx"] * brick : r["bx"] * brick + r["nx"]] = a
-            if layer is not None:
-                f.write(layer.astype(layer.dtype.newbyteorder("<")).tobytes())
-
-
 def assemble(rows, lo: tuple, hi: tuple, brick: int) -> np.ndarray:
     """The voxels of [lo, hi) (x, y, z) from brick rows, as float64 (z, y, x)."""
-    out = np.full((hi[2] - lo[2], hi[1] - lo[1], hi[0] - lo[0]), np.nan)
+    a, b = lo[::-1], hi[::-1]
+    out = np.full([q - p for p, q in zip(a, b, strict=True)], np.nan)
     for bx, by, bz, nx, ny, nz, dtype, data in rows:
-        a = np.frombuffer(data, dtype).reshape(nz, ny, nx)
-        src, dst = [], []
-        for k, (b, n) in enumerate(((bz, nz), (by, ny), (bx, nx))):
-            base, at = b * brick, 2 - k
-            s, e = max(lo[at], base), min(hi[at], base + n)
-            src.append(slice(max(0, s - base), max(0, e - base)))
-            dst.append(slice(max(0, s - lo[at]), max(0, e - lo[at])))
-        if all(s.stop > s.start for s in src):
-            out[tuple(dst)] = a[tuple(src)]
+        cut = [_overlap(p, q, k * brick, n) for p, q, k, n in zip(a, b, (bz, by, bx), (nz, ny, nx), strict=True)]
+        out[tuple(s for _, s in cut)] = np.frombuffer(data, dtype).reshape(nz, ny, nx)[tuple(s for s, _ in cut)]
     return out
 
 
-def read_bricks(spark: SparkSession, path: str, brick: int = 64, **options: str) -> DataFrame:
-    """Bricks of a volume file in any supported format; the option ``layers`` ("first,end") reads only these layers of bricks."""
-    spark.dataSource.register(VolumeSource)
-    r = spark.read.format("volume").option("path", path).option("brick", str(brick))
-    for k, v in options.items():
-        r = r.option(k, v)
-    return r.load()
+def voxel_rows(bricks: DataFrame, brick: int, lo: tuple | None = None, hi: tuple | None = None) -> DataFrame:
+    """(x, y, z, v): a row for each voxel, of the whole volume or of [lo, hi)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in zip(*[batch.column(c).to_pylist() for c in COLUMNS], strict=True):
+                bx, by, bz, nx, ny, nz, dtype, data = r
+                z, y, x = (g.ravel() + b * brick for g, b in zip(np.indices((nz, ny, nx), np.int32), (bz, by, bx), strict=True))
+                v = np.frombuffer(data, dtype).astype(float)
+                if lo is not None:
+                    keep = np.all([(p <= c) & (c < q) for c, p, q in zip((x, y, z), lo, hi, strict=True)], axis=0)
+                    x, y, z, v = x[keep], y[keep], z[keep], v[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in (x, y, z)] + [pa.array(v)], names=["x", "y", "z", "v"])
+
+    return bricks.select(*COLUMNS).mapInArrow(run, "x int, y int, z int, v double")
+
+
+def bricks_of_voxels(voxels: DataFrame, shape: tuple[int, int, int], brick: int, dtype: str) -> DataFrame:
+    """Bricks from (x, y, z, v), places inside ``shape``; voxels without a row are 0. One shuffle, a brick meets in a task."""
+    place = [F.floor(F.col(a) / brick).cast("int").alias(f"b{a}") for a in "xyz"]
+
+    def fill(key, rows: pd.DataFrame) -> pd.DataFrame:
+        lo = [int(k) * brick for k in key]
+        n = [min(brick, m - p) for m, p in zip(shape, lo, strict=True)]
+        out = np.zeros(n[::-1], dtype)
+        x, y, z = (rows[a].to_numpy() - p for a, p in zip("xyz", lo, strict=True))
+        out[z, y, x] = rows["v"].to_numpy()
+        return pd.DataFrame([(*[int(k) for k in key], *n, out.dtype.str, out.tobytes())], columns=COLUMNS)
+
+    filled = voxels.select("x", "y", "z", "v", *place).groupBy("bx", "by", "bz").applyInPandas(fill, SCHEMA)
+    counts = [-(-n // brick) for n in shape]
+    ids = voxels.sparkSession.range(math.prod(counts))
+    places = ids.select((F.col("id") % counts[0]).cast("int").alias("bx"), (F.floor(F.col("id") / counts[0]) % counts[1]).cast("int").alias("by"), F.floor(F.col("id") / (counts[0] * counts[1])).cast("int").alias("bz"))
+
+    def empty(batches):
+        for b in batches:
+            rows = []
+            for place in b[["bx", "by", "bz"]].itertuples(index=False, name=None):
+                n = [min(brick, m - k * brick) for m, k in zip(shape, place, strict=True)]
+                rows.append((*place, *n, np.dtype(dtype).str, bytes(math.prod(n) * np.dtype(dtype).itemsize)))
+            yield pd.DataFrame(rows, columns=COLUMNS)
+
+    absent = places.join(voxels.select(*place).distinct(), ["bx", "by", "bz"], "left_anti")
+    return filled.unionByName(absent.mapInPandas(empty, SCHEMA))

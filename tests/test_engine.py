@@ -12,7 +12,7 @@ from corrvox.operators import strain
 from corrvox.operators.knn import knn
 from corrvox.plans import correlate as c
 from corrvox.plans import run
-from corrvox.sources import text, volumes
+from corrvox.sources import text, volume_sink, volumes
 from corrvox.streaming import timeline
 
 
@@ -85,39 +85,89 @@ def test_volume_formats(spark, tmp_path):
         with pytest.raises(ValueError):
             volumes.mhd_layout(str(tmp_path / "b.mhd"))
     bricks = volumes.read_bricks(spark, str(tmp_path / "a.mhd"), 4)
-    volumes.write_raw(bricks, (11, 9, 10), 4, str(tmp_path / "out.raw"))
+    volume_sink.write_raw(bricks, (11, 9, 10), "<u2", 4, str(tmp_path / "out.raw"))
     assert (np.fromfile(tmp_path / "out.raw", "<u2").reshape(a.shape) == a).all()
     volumes.convert(bricks, str(tmp_path / "bricks"))
     assert spark.read.parquet(str(tmp_path / "bricks")).count() == 3 * 3 * 3
-    assert {r.bz for r in volumes.read_bricks(spark, str(tmp_path / "a.mhd"), 4, layers="1,2").select("bz").collect()} == {1}
-    assert volumes.crc32c(b"123456789") == 0xE3069283  # the check value of the checksum's definition
+    assert {r.bz for r in volumes.read_bricks(spark, str(tmp_path / "a.mhd"), 4).where("bz = 1").select("bz").collect()} == {1}
+    assert volume_sink.crc32c(b"123456789") == 0xE3069283  # the check value of the checksum's definition
     for name, brick, shard in (("s.zarr", 4, 2), ("t.zarr", 64, 8)):
         out, more = str(tmp_path / name), volumes.read_bricks(spark, str(tmp_path / "a.mhd"), brick)
-        volumes.write_zarr(more, (11, 9, 10), ">u2", brick, out, shard)
+        volume_sink.write_zarr(more, (11, 9, 10), ">u2", brick, out, shard)
         assert {(r.x, r.y, r.z): r.v for r in _voxels(spark, out)} == want and volumes.missing_chunks(spark, out) == 0
         with pytest.raises(FileExistsError):
-            volumes.write_zarr(more, (11, 9, 10), ">u2", brick, out, shard)
-    with pytest.raises(ValueError, match="26 of 27 bricks"):
-        volumes.write_zarr(bricks.where("bx + by + bz > 0"), (11, 9, 10), ">u2", 4, str(tmp_path / "u.zarr"), 2)
+            volume_sink.write_zarr(more, (11, 9, 10), ">u2", brick, out, shard)
+    with pytest.raises(Exception, match="26 of 27 bricks"):
+        volume_sink.write_zarr(bricks.where("bx + by + bz > 0"), (11, 9, 10), ">u2", 4, str(tmp_path / "u.zarr"), 2)
     assert not list(tmp_path.glob("u.zarr*"))
-    volumes.write_zarr(bricks, (11, 9, 10), "<u2", 4, str(tmp_path / "s.zarr"), 3, overwrite=True)
+    volume_sink.write_zarr(bricks, (11, 9, 10), "<u2", 4, str(tmp_path / "s.zarr"), 3, overwrite=True)
     with pytest.raises(FileExistsError, match="not a zarr"):
-        volumes.write_zarr(bricks, (11, 9, 10), "<u2", 4, str(tmp_path / "bricks"), overwrite=True)
+        volume_sink.write_zarr(bricks, (11, 9, 10), "<u2", 4, str(tmp_path / "bricks"), overwrite=True)
     os.rename(tmp_path / "t.zarr" / "0" / "c" / "0" / "0" / "0", tmp_path / "moved")
     with pytest.warns(UserWarning, match="1 of 1 chunks"):
         assert volumes.missing_chunks(spark, str(tmp_path / "t.zarr")) == 1
 
 
-def test_layers_hold_every_box(spark):
+def test_a_box_opens_only_its_bricks(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, IsNotNull, LessThan, Not, StringContains
+
+    a = np.arange(20 * 18 * 22, dtype=np.uint16).reshape(20, 18, 22)
+    path = npy(tmp_path / "a.npy", a)
+    reader = volumes.VolumeReader({"path": path, "brick": "4", "task_mb": "0.0001"})
+    left = list(reader.pushFilters([IsNotNull(("bx",)), GreaterThanOrEqual(("bx",), 1), LessThan(("bx",), 3), In(("by",), (0, 2, 9)), EqualTo(("bz",), 4), Not(EqualTo(("bx",), 1)), StringContains(("dtype",), "u")]))
+    assert [type(f).__name__ for f in left] == ["Not", "StringContains"]
+    opened = [r for p in reader.partitions() for r in p.rows]
+    assert opened == [(4, 0, [1, 2]), (4, 2, [1, 2])] and len(reader.partitions()) == 2
+    assert len([r for p in volumes.VolumeReader({"path": path, "brick": "4"}).partitions() for r in p.rows]) == 25
+    volumes.register(spark)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW vol USING volume OPTIONS (path '{path}', brick '4')")
+    box = spark.sql("SELECT * FROM vol WHERE bx BETWEEN 1 AND 2 AND by IN (0, 2) AND bz = 4")
+    assert " Filter " not in box._jdf.queryExecution().executedPlan().toString()
+    assert {(r.bx, r.by, r.bz) for r in box.collect()} == {(x, y, 4) for x in (1, 2) for y in (0, 2)}
+    lo, hi = (3, 5, 7), (19, 6, 17)
+    got = volumes.voxel_rows(volumes.in_box(volumes.read_bricks(spark, path, 4), lo, hi, 4), 4, lo, hi).collect()
+    assert {(r.x, r.y, r.z, r.v) for r in got} == {(x, y, z, float(a[z, y, x])) for x in range(3, 19) for y in (5,) for z in range(7, 17)}
+    assert spark.sql("SELECT * FROM vol WHERE bx > 90").collect() == [] and spark.sql("SELECT * FROM vol WHERE bx = NULL").collect() == []
+    f = np.asfortranarray(a)
+    assert {(r.x, r.y, r.z): r.v for r in _voxels(spark, npy(tmp_path / "f.npy", f))} == {(r.x, r.y, r.z): r.v for r in _voxels(spark, path)}
+
+
+def test_levels_are_block_means_and_failures_leave_nothing(spark, tmp_path):
+    a = np.random.default_rng(1).integers(0, 999, (13, 9, 18)).astype(np.uint16)
+    bricks = volumes.read_bricks(spark, npy(tmp_path / "a.npy", a), 4)
+    out = str(tmp_path / "p.zarr")
+    volume_sink.write_zarr(bricks, (18, 9, 13), "<u2", 4, out, 2, levels=3)
+    for level in range(1, 3):
+        wide = np.pad(a.astype(float), [(0, n % 2) for n in a.shape], constant_values=np.nan)
+        a = np.rint(np.nanmean(wide.reshape(wide.shape[0] // 2, 2, wide.shape[1] // 2, 2, wide.shape[2] // 2, 2), axis=(1, 3, 5))).astype(np.uint16)
+        got = _voxels(spark, out, level=str(level))
+        assert {(r.x, r.y, r.z): r.v for r in got} == {(x, y, z): float(v) for (z, y, x), v in np.ndenumerate(a)}
+    assert [len(x["datasets"]) for x in json.loads((tmp_path / "p.zarr" / "zarr.json").read_text())["attributes"]["ome"]["multiscales"]] == [3]
+
+    def broken(batches):
+        for b in batches:
+            if (b["bz"] == 2).any():
+                raise RuntimeError("lost")
+            yield b
+
+    for bad, why in ((bricks.mapInPandas(broken, bricks.schema), "lost"), (bricks.unionByName(bricks.where("bx = 0")), "comes twice")):
+        with pytest.raises(Exception, match=why):
+            volume_sink.write_array(bad, (18, 9, 13), "<u2", 4, str(tmp_path / "bad"))
+    with pytest.raises(Exception, match="voxels came"):
+        volume_sink.write_raw(bricks.where("bx > 0"), (18, 9, 13), "<u2", 4, str(tmp_path / "bad"))
+    assert not list(tmp_path.glob("bad*"))
+
+
+def test_reach_holds_every_box(spark):
     from corrvox.operators import tiling
 
     rng = np.random.default_rng(5)
     for far in (3.0, 9.5):
         rows = [(i, *p, *s) for i, (p, s) in enumerate(zip(rng.uniform(0, 90, (40, 3)).tolist(), rng.normal(0, 8, (40, 3)).tolist(), strict=True))]
         pts = spark.createDataFrame(rows, "point_id long, x double, y double, z double, su double, sv double, sw double")
-        first, end = c.layers_for(pts, far, 16)
+        lo, hi = c.reach_box(pts, far)
         boxes = tiling.plan(pts, 32.0, far, 1.0).collect()
-        assert all(first * 16 <= max(b[f"{k}_z_lo"], 0) and b[f"{k}_z_hi"] <= end * 16 for b in boxes for k in ("ref", "def"))
+        assert all(lo[i] <= b[f"{k}_{a}_lo"] and b[f"{k}_{a}_hi"] <= hi[i] for b in boxes for k in ("ref", "def") for i, a in enumerate("xyz"))
 
 
 def _voxels(spark, path, **options):
