@@ -209,6 +209,14 @@ def closing_lines(spark, d):
     return text.closing_lines(res_a(spark, d), 0.0, 8.0, 8.0)
 
 
+_ECHO = {"reference_filename": "a.raw", "vol_bit_depth": "16", "vol_wide": "128", "subvol_size": "24.5", "subvol_thresh": "off", "disp_max": "15", "obj_function": "znssd", "rigid_trans": "1.0, 0 -0.50", "starting_point": "1 2 3"}
+
+
+@query("echo_lines", f"WITH {PTS}, b AS (SELECT count(*) AS n, min(x) AS x0, min(y) AS y0, min(z) AS z0, max(x) AS x1, max(y) AS y1, max(z) AS z1 FROM pts), l AS (SELECT ['', '### echo of the input file for this run', '', 'reference_filename' || chr(9) || 'a.raw', '', 'vol_bit_depth' || chr(9) || '16', 'vol_wide' || chr(9) || '128', '', 'subvol_size' || chr(9) || '24.5', '', 'subvol_thresh' || chr(9) || 'off', '', 'disp_max' || chr(9) || '15', 'obj_function' || chr(9) || 'znssd', '', 'rigid_trans' || chr(9) || '1' || chr(9) || '0' || chr(9) || '-0.5', '', '### end of input file echo', '', 'Point Cloud contains ' || n || ' points', '', chr(9) || printf('bounding box min = [%d %d %d]', x0::BIGINT, y0::BIGINT, z0::BIGINT), chr(9) || printf('bounding box max = [%d %d %d]', x1::BIGINT, y1::BIGINT, z1::BIGINT), '', 'running under corrvox', ''] AS l FROM b) SELECT CAST(unnest(range(0, len(l))) AS INT) AS place, unnest(l) AS line FROM l")
+def echo_lines(spark, d):
+    return text.echo_lines(_ECHO, pts(spark, d))
+
+
 @query("progress_lines", f"WITH {RESULTS} SELECT point_id + 1 AS place, printf('%d/500 %d', point_id + 1, point_id) || chr(9) || printf('%.3f %.3f %.3f ', x, y, z) || chr(9) || (CASE status WHEN 0 THEN 'Point_Good' || chr(9) || printf('obj= %.6f        dx= %.6f        dy= %.6f        dz= %.6f', round(objmin, 4), round(u, 4), round(v, 4), round(w, 4)) WHEN -1 THEN 'Range_Fail' ELSE 'Convg_Fail' END) AS line FROM res_a")
 def progress_lines(spark, d):
     r = res_a(spark, d).select("point_id", (C("point_id") + 1).alias("place"), "x", "y", "z", "status", *[F.round(c, 4).alias(c) for c in ("objmin", "u", "v", "w")])

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import dataclasses
+from functools import reduce
+from itertools import groupby
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -178,60 +183,103 @@ def write_lines(lines: DataFrame, path: str, order: str) -> None:
 # --- classic programs: settings, summaries and progress as they write them -----------------------------------
 
 
+# A settings file's keys in their order. Each has its group (groups are set apart in an echo; the last one is not
+# echoed), the run's value behind it, how it is written, and the value that must be set for it to be there.
+SETTINGS_FORMAT = """
+files   reference_filename     volumes.reference        text
+files   correlate_filename     volumes.deformed         text
+files   point_cloud_filename   points                   text
+files   output_filename        output                   text
+image   vol_bit_depth          image.bits               number
+image   vol_endian             image.order              text     image.order
+image   vol_hdr_lngth          image.header             number
+image   vol_wide               image.wide               number
+image   vol_high               image.high               number
+image   vol_tall               image.tall               number
+part    subvol_geom            subvolume.geometry       text
+part    subvol_size            subvolume.size           number
+part    subvol_npts            subvolume.n_samples      number
+gray    subvol_thresh          search.limits.switch     text
+gray    gray_thresh_min        search.limits.low        number   search.limits.low
+gray    gray_thresh_max        search.limits.high       number   search.limits.low
+gray    min_vol_fract          search.limits.share      number   search.limits.low
+search  disp_max               search.disp_max          number
+search  num_srch_dof           search.dof               number
+search  obj_function           search.objective         text
+search  interp_type            search.interpolation     text
+start   rigid_trans            search.rigid_trans       triple
+start   basin_radius           search.basin_radius      number
+start   subvol_aspect          subvolume.aspect         triple
+order   num_points_to_process  num_points_to_process    number
+order   starting_point         start                    triple
+"""
+_FIELDS = [(*line.split(), None)[:5] for line in SETTINGS_FORMAT.strip().splitlines()]
+
+
+def _written(value, how: str, gap: str = " ") -> str:
+    if how == "triple":
+        return gap.join(f"{float(v):g}" for v in value)
+    return f"{float(value):g}" if how == "number" and not isinstance(value, int) else str(value)
+
+
 def settings_lines(cfg, start: tuple[float, float, float], shape: tuple[int, int, int], dtype: str, header: int = 0) -> list[str]:
-    """The lines of a classic settings file for a run's settings (``sources.volumes.flat_layout`` gives shape, type and header)."""
-    v, q, vol = cfg.subvolume, cfg.search, cfg.volumes
-    if q.method != "fagn":
+    """The lines of a classic settings file for a run's settings and its images' shape (x, y, z), type and header bytes."""
+    if cfg.search.method != "fagn":
         raise ValueError("classic programs know the forward-additive method only")
-    many = lambda t: " ".join(f"{x:g}" for x in t)
-    size = int(dtype[-1])
-    rows = {"reference_filename": vol.reference, "correlate_filename": vol.deformed, "point_cloud_filename": cfg.points, "output_filename": cfg.output, "vol_bit_depth": 8 * size}
-    if size > 1:
-        rows["vol_endian"] = "big" if dtype.startswith(">") else "little"
-    rows |= dict(zip(("vol_hdr_lngth", "vol_wide", "vol_high", "vol_tall"), (header, *shape), strict=True))
-    rows |= {"subvol_geom": v.geometry, "subvol_size": f"{v.size:g}", "subvol_npts": v.n_samples, "subvol_thresh": "on" if q.threshold else "off"}
-    if q.threshold:
-        rows |= dict(zip(("gray_thresh_min", "gray_thresh_max", "min_vol_fract"), (f"{t:g}" for t in q.threshold), strict=True))
-    rows |= {"disp_max": f"{q.disp_max:g}", "num_srch_dof": q.dof, "obj_function": q.objective, "interp_type": q.interpolation, "rigid_trans": many(q.rigid_trans), "basin_radius": f"{q.basin_radius:g}", "subvol_aspect": many(v.aspect)}
-    rows |= {"num_points_to_process": cfg.num_points_to_process, "starting_point": many(start)}
+    tree, bits, limits = dataclasses.asdict(cfg), 8 * np.dtype(dtype).itemsize, cfg.search.threshold
+    order = None if bits == 8 else "big" if np.dtype(dtype).str[0] == ">" else "little"
+    tree["image"] = {"bits": bits, "order": order, "header": header} | dict(zip(("wide", "high", "tall"), shape, strict=True))
+    tree["search"]["limits"] = {"switch": "on" if limits else "off"} | dict(zip(("low", "high", "share"), limits or [None] * 3, strict=True))
+    tree["start"] = start
+    find = lambda at: reduce(lambda t, k: t[k], at.split("."), tree)
+    rows = [(key, _written(find(source), how)) for _, key, source, how, needs in _FIELDS if needs is None or find(needs) is not None]
     # A comment after a tab ends each value: classic readers take a value up to the next tab.
-    return ["### settings of a run", *[f"{k}\t{x}\t### run" for k, x in rows.items()]]
-
-
-def echo_lines(settings: dict[str, str], cloud: DataFrame, version: str = "corrvox") -> list[str]:
-    """The echo at the head of a drop-in summary: the settings in groups, the cloud's size and bounding box (one row is read)."""
-    number = lambda k, other="0": f"{float(settings.get(k, other)):g}"
-    three = lambda k, other: "\t".join(f"{float(x):g}" for x in settings.get(k, other).replace(",", " ").split()[:3])
-    deep, dim = int(float(settings["vol_bit_depth"])) != 8, settings.get("subvol_thresh", "off").lower() == "on"
-    box = cloud.agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{e}{a}") for e, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"]).first()
-    as_is = ("reference_filename", "correlate_filename", "point_cloud_filename", "output_filename")
-    groups = [
-        [f"{k}\t{settings[k]}" for k in as_is],
-        [f"vol_bit_depth\t{number('vol_bit_depth')}", *([f"vol_endian\t{settings.get('vol_endian', 'little')}"] if deep else []), *[f"{k}\t{number(k)}" for k in ("vol_hdr_lngth", "vol_wide", "vol_high", "vol_tall")]],
-        [f"subvol_geom\t{settings['subvol_geom']}", *[f"{k}\t{number(k)}" for k in ("subvol_size", "subvol_npts")]],
-        [f"subvol_thresh\t{settings.get('subvol_thresh', 'off')}", *([f"gray_thresh_min\t{number('gray_thresh_min')}", f"gray_thresh_max\t{number('gray_thresh_max')}", f"min_vol_fract\t{number('min_vol_fract', '0.2')}"] if dim else [])],
-        [f"disp_max\t{number('disp_max')}", f"num_srch_dof\t{number('num_srch_dof')}", f"obj_function\t{settings['obj_function']}", f"interp_type\t{settings['interp_type']}"],
-        [f"rigid_trans\t{three('rigid_trans', '0 0 0')}", f"basin_radius\t{number('basin_radius')}", f"subvol_aspect\t{three('subvol_aspect', '1 1 1')}"],
-    ]
-    corner = lambda e: " ".join(f"{box[e + a]:g}" for a in "xyz")
-    out = ["", "### echo of the input file for this run", ""]
-    for g in groups:
-        out += [*g, ""]
-    return [*out, "### end of input file echo", "", f"Point Cloud contains {box['n']} points", "", f"\tbounding box min = [{corner('lo')}]", f"\tbounding box max = [{corner('hi')}]", "", f"running under {version}", ""]
+    return ["### settings of a run", *[f"{k}\t{v}\t### run" for k, v in rows]]
+
+
+def echo_lines(settings: dict[str, str], cloud: DataFrame, version: str = "corrvox") -> DataFrame:
+    """(place, line): the head of a drop-in summary, the settings as they were understood and the cloud's size and bounding box.
+
+    One row, the cloud's aggregates, meets in one task.
+    """
+    head = ["", "### echo of the input file for this run"]
+    for group, fields in groupby(_FIELDS[:-2], key=lambda f: f[0]):
+        head.append("")
+        for _, key, _, how, _ in fields:
+            if key in settings:
+                value = settings[key].replace(",", " ").split()[:3] if how == "triple" else float(settings[key]) if how == "number" else settings[key]
+                head.append(f"{key}\t{_written(value, how, chr(9))}")
+    head += ["", "### end of input file echo", ""]
+    corner = lambda f: F.array(*[f(a) for a in "xyz"])
+    box = cloud.agg(F.count(F.lit(1)).alias("n"), corner(F.min).alias("low"), corner(F.max).alias("high"))
+    shown = lambda c: F.array_join(F.transform(c, lambda v: F.regexp_replace(F.format_string("%.6f", v), "\\.?0+$", "")), " ")
+    tail = [F.format_string("Point Cloud contains %d points", "n"), F.lit(""), F.format_string("\tbounding box min = [%s]", shown("low")), F.format_string("\tbounding box max = [%s]", shown("high")), F.lit(""), F.lit(f"running under {version}"), F.lit("")]
+    return box.select(F.posexplode(F.array(*[F.lit(x) for x in head], *tail)).alias("place", "line"))
+
+
+# The last lines of a drop-in summary, and what fills them.
+CLOSING_FORMAT = (
+    ("Run start:\t%s", ["start"]),
+    ("Run finish:\t%s", ["finish"]),
+    ("%d points processed in %.0f seconds", ["n", "seconds"]),
+    ("%.3f sec/pt", ["each"]),
+    ("%.3f pt/sec", ["rate"]),
+    ("", []),
+    ("number successful = %d\t(%.3f%%)", ["n0", "share0"]),
+    ("number range fail = %d\t(%.3f%%)", ["n1", "share1"]),
+    ("number convg fail = %d\t(%.3f%%)", ["n2", "share2"]),
+    ("", []),
+)
 
 
 def closing_lines(results: DataFrame, start: float, finish: float, seconds: float) -> DataFrame:
     """(place, line): the end of a drop-in summary, times, rate and counts by status (one row meets in one task)."""
-    n = [F.count(F.when(C("status") == k, 1)).alias(f"n{-k}") for k in (0, -1, -2)]
-    t = results.agg(F.count(F.lit(1)).alias("n"), *n)
-    stamp = lambda x: F.date_format(F.timestamp_seconds(F.lit(float(x))), "yyyy-MM-dd HH:mm:ss")
-    share = lambda label, k: F.format_string(f"number {label} = %d\t(%.3f%%)", C(f"n{k}"), 100.0 * C(f"n{k}") / F.greatest("n", F.lit(1)))
-    lines = [
-        F.concat(F.lit("Run start:\t"), stamp(start)), F.concat(F.lit("Run finish:\t"), stamp(finish)), F.format_string(f"%d points processed in {seconds:.0f} seconds", "n"),
-        F.format_string("%.3f sec/pt", F.lit(float(seconds)) / F.greatest("n", F.lit(1))), F.format_string("%.3f pt/sec", C("n") / F.lit(float(seconds)) if seconds > 0 else F.lit(0.0)), F.lit(""),
-        share("successful", 0), share("range fail", 1), share("convg fail", 2), F.lit(""),
-    ]
-    return t.select(F.posexplode(F.array(*lines)).alias("place", "line"))
+    counted = results.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(C("status") == -k).alias(f"n{k}") for k in range(3)])
+    most, took = F.greatest("n", F.lit(1)), F.lit(float(seconds))
+    facts = {"seconds": took, "each": took / most, "rate": F.coalesce(F.try_divide(C("n"), took), F.lit(0.0)), **{f"share{k}": 100.0 * C(f"n{k}") / most for k in range(3)}}
+    facts |= {name: F.date_format(F.timestamp_seconds(F.lit(float(at))), "yyyy-MM-dd HH:mm:ss") for name, at in (("start", start), ("finish", finish))}
+    lines = [F.format_string(words, *named) if named else F.lit(words) for words, named in CLOSING_FORMAT]
+    return counted.withColumns(facts).select(F.posexplode(F.array(*lines)).alias("place", "line"))
 
 
 # What progress lines call the statuses.
