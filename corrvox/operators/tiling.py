@@ -15,13 +15,17 @@ def tile_of(points: DataFrame, size: float) -> DataFrame:
 
 
 def plan(points: DataFrame, size: float, halo: float, cost_per_point: float) -> DataFrame:
-    """A row for each tile that holds points (with seeds su, sv, sw): count, the boxes to read in both images, cost.
+    """``plan_dealt`` for tiles of a fixed size."""
+    return plan_dealt(tile_of(points, size), halo, cost_per_point)
+
+
+def plan_dealt(p: DataFrame, halo: float, cost_per_point: float) -> DataFrame:
+    """A row for each tile (tx, ty, tz) of points (with seeds su, sv, sw): count, the boxes to read in both images, cost.
 
     The reference box holds the points and the halo. The deformed box is that box moved by the median
     seed, grown by how far any seed is from the median. The median needs the tile's points before the
     spread does, so two aggregations; both have one row for each tile.
     """
-    p = tile_of(points, size)
     key = [f"t{a}" for a in "xyz"]
     one = p.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_points"), *[F.min(a).alias(f"min_{a}") for a in "xyz"], *[F.max(a).alias(f"max_{a}") for a in "xyz"],

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corrvox.functions.kernels import Search, Volume, gaussian, solve
 from corrvox.operators import seeding, tiling
+from corrvox.operators.kdtree import kd_tiles
 from corrvox.operators.knn import knn
 from corrvox.sources.volumes import assemble, brick_rows
 
@@ -52,13 +53,15 @@ def reach_box(points: DataFrame, far: float) -> tuple[tuple, tuple] | None:
     return tuple(map(math.floor, lo)), tuple(math.ceil(v) + 1 for v in hi)
 
 
-def correlate(points: DataFrame, ref: DataFrame, deformed: DataFrame, shape: tuple[int, int, int], offsets: np.ndarray, search: Search, tile: float = 64.0, brick: int = 32, sigma: float = 0.0) -> DataFrame:
+def correlate(points: DataFrame, ref: DataFrame, deformed: DataFrame, shape: tuple[int, int, int], offsets: np.ndarray, search: Search, tile: float = 64.0, brick: int = 32, sigma: float = 0.0, most: int | None = None, cut=None) -> DataFrame:
     """A result (OUT) for each point (point_id, x, y, z, and seeds su, sv, sw).
 
-    ``shape`` is (x, y, z). ``sigma``: a Gaussian applied to both images first.
+    ``shape`` is (x, y, z). ``sigma``: a Gaussian applied to both images first. With ``most`` (and ``cut``) tiles are the leaves
+    of a k-d tree of at most so many points and ``tile`` long, so a dense cloud is cut over as many tasks as it needs.
     """
-    tiles = tiling.plan(points, tile, reach(offsets, search, sigma), float(len(offsets)))
-    own = tiling.tile_of(points, tile).select(*KEY, "point_id", "x", "y", "z", "su", "sv", "sw")
+    dealt = tiling.tile_of(points, tile) if most is None else cut(kd_tiles(points, most, tile / 16, tile, cut))
+    tiles = tiling.plan_dealt(dealt, reach(offsets, search, sigma), float(len(offsets)))
+    own = dealt.select(*[C(k).alias(k) for k in KEY], "point_id", "x", "y", "z", "su", "sv", "sw")
     cols = ["bx", "by", "bz", "nx", "ny", "nz", "dtype", "data"]
     need = _boxes(tiles, "ref", shape, brick, ref.select(*cols)).unionByName(_boxes(tiles, "def", shape, brick, deformed.select(*cols)))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corrvox.operators import tiling
+from corrvox.operators import kdtree, tiling
+from corrvox.operators.tables import cut
 from corrvox.plans.fixtures import PTS, RESULTS, TRUTH, pts, rd, res_a, res_b, table, truth
 from corrvox.plans.registry import query
 
@@ -31,6 +32,35 @@ def tile_bricks(spark, d):
     return tiling.bricks_of(p, 32, "ref", (160, 160, 208)).select("tx", "ty", "tz", "bx", "by", "bz")
 
 
+# A cloud of which a third lies in one 48th of its length.
+CLUSTERED = "cloud AS (SELECT CAST(event_id AS BIGINT) AS point_id, CASE WHEN event_id % 3 = 0 THEN 400 + (event_id * 7) % 20 ELSE (event_id * 37) % 960 END * 1.0::DOUBLE AS x, CASE WHEN event_id % 3 = 0 THEN 100 + (event_id * 11) % 25 ELSE (event_id * 53) % 640 END * 1.0::DOUBLE AS y, CASE WHEN event_id % 3 = 0 THEN 300 + user_id % 30 ELSE (user_id * 5) % 480 END * 1.0::DOUBLE AS z FROM events)"
+
+
+def clustered(spark, d):
+    e, u = C("event_id").cast("long"), C("user_id").cast("long")
+    x, y, z = [F.when(e % 3 == 0, dense).otherwise(wide).cast("double") for dense, wide in ((400 + (e * 7) % 20, (e * 37) % 960), (100 + (e * 11) % 25, (e * 53) % 640), (300 + u % 30, (u * 5) % 480))]
+    return table(spark, d, "events").select(e.alias("point_id"), x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+_KD = f"""WITH RECURSIVE {CLUSTERED}, c0 AS (SELECT CAST(floor(x / 4) AS INT) AS cx, CAST(floor(y / 4) AS INT) AS cy, CAST(floor(z / 4) AS INT) AS cz, count(*) AS n FROM cloud GROUP BY ALL),
+t AS (SELECT cx, cy, cz, n, CAST(1 AS BIGINT) AS node, true AS open FROM c0
+UNION ALL SELECT cx, cy, cz, n, CASE WHEN axis IS NULL THEN node WHEN place > mid THEN 2 * node + 1 ELSE 2 * node END, axis IS NOT NULL FROM (
+  SELECT *, coalesce(min(CASE WHEN place < last AND 2 * upto >= size THEN place END) OVER (PARTITION BY node), max(CASE WHEN place < last THEN place END) OVER (PARTITION BY node)) AS mid FROM (
+  SELECT *, sum(n) OVER (PARTITION BY node ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, max(place) OVER (PARTITION BY node) AS last FROM (
+  SELECT *, CASE axis WHEN 0 THEN cx WHEN 1 THEN cy WHEN 2 THEN cz END AS place FROM (
+  SELECT *, CASE WHEN greatest(sx, sy, sz) > 0 AND (size > 100 OR greatest(sx, sy, sz) + 1 > 256) THEN CASE greatest(sx, sy, sz) WHEN sx THEN 0 WHEN sy THEN 1 ELSE 2 END END AS axis FROM (
+  SELECT *, sum(n) OVER w AS size, max(cx) OVER w - min(cx) OVER w AS sx, max(cy) OVER w - min(cy) OVER w AS sy, max(cz) OVER w - min(cz) OVER w AS sz FROM t WHERE open WINDOW w AS (PARTITION BY node)))))))
+SELECT node AS leaf, sum(n)::BIGINT AS n_points, min(cx) AS lo_x, max(cx) AS hi_x, min(cy) AS lo_y, max(cy) AS hi_y, min(cz) AS lo_z, max(cz) AS hi_z FROM t WHERE NOT open GROUP BY node"""
+
+
+@query("kd_tiles", _KD)
+def kd_tiles(spark, d):
+    """Leaves of 100 points at most (or one cell) of a clustered cloud, none longer than 1024."""
+    cells = kdtree.kd_cells(clustered(spark, d), 100, 4.0, 1024.0, cut)
+    ends = [f(f"c{a}").alias(f"{e}_{a}") for a in "xyz" for e, f in (("lo", F.min), ("hi", F.max))]
+    return cells.groupBy("leaf").agg(F.sum("n").alias("n_points"), *ends)
+
+
 def _tiles(spark, d):
     t = tiling.tile_of(pts(spark, d), 64.0)
     return t.groupBy((C("tz") * 100 + C("ty") * 10 + C("tx")).cast("long").alias("tile_id")).agg(F.count(F.lit(1)).alias("n_points")).withColumn("cost", C("n_points") * (1 + C("tile_id") % 3).cast("double"))

@@ -309,3 +309,24 @@ def test_speckle_does_not_depend_on_bricks(spark):
 
     a = voxels(c.speckle_bricks(spark, (12, 8, 8), 8, 2.0, 5), 8).collect()
     assert len(a) == 12 * 8 * 8 and np.std([r.v for r in a]) > 100 and a == voxels(c.speckle_bricks(spark, (12, 8, 8), 8, 2.0, 5).repartition(1), 8).collect()
+
+
+def test_tiles_of_bounded_cost(spark):
+    from corrvox.operators import kdtree
+    from corrvox.operators.tables import cut
+
+    rng = np.random.default_rng(4)
+    w = np.column_stack([rng.uniform(0.1, 0.5, (12, 3)), rng.uniform(0, 6, 12)])
+    shape = (48, 48, 48)
+    at = np.concatenate([rng.uniform(16, 32, (20, 3)), rng.uniform(20, 22, (60, 3)), np.full((30, 3), 25.0)])
+    pts = c.rigid_seeds(spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "point_id long, x double, y double, z double"), (0.5, 0.0, 0.0))
+    dealt = kdtree.kd_tiles(pts, 12, 1.0, 16.0, cut)
+    sizes = [r["count"] for r in dealt.groupBy("tx", "ty", "tz").count().collect()]
+    assert sum(sizes) == 110 and max(sizes) <= 24 and dealt.select("point_id").distinct().count() == 110
+    assert dealt.where("x = 25").select("ty").distinct().count() > 1
+    ref, moved = c.wave_bricks(spark, w, shape, 16), c.wave_bricks(spark, w, shape, 16, lambda p: p - 0.5)
+    plan = {"offsets": cube_offsets(216, 10.0), "search": Search(dof=3, disp_max=4.0), "brick": 16, "ref": ref, "deformed": moved, "shape": shape}
+    fixed = {r.point_id: (r.status, r.u, r.v, r.w) for r in c.correlate(pts, tile=32.0, **plan).collect()}
+    bound = {r.point_id: (r.status, r.u, r.v, r.w) for r in c.correlate(pts, tile=32.0, most=12, cut=cut, **plan).collect()}
+    assert fixed.keys() == bound.keys() and all(fixed[k][0] == bound[k][0] and np.allclose(fixed[k][1:], bound[k][1:], atol=1e-9) for k in fixed)
+    assert c.correlate(pts.limit(0), tile=32.0, most=12, cut=cut, **plan).collect() == []
