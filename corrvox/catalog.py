@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corrvox.plans import queries_cases, queries_fields, queries_geometry, queries_metrics, queries_plan, queries_points, queries_samples, queries_solver, queries_text, queries_volumes, registry  # noqa: F401
+from corrvox.plans import queries_cases, queries_cells, queries_fields, queries_geometry, queries_metrics, queries_plan, queries_points, queries_samples, queries_solver, queries_text, queries_volumes, registry  # noqa: F401
 
 
 def queries() -> dict:

@@ -330,3 +330,47 @@ def test_tiles_of_bounded_cost(spark):
     bound = {r.point_id: (r.status, r.u, r.v, r.w) for r in c.correlate(pts, tile=32.0, most=12, cut=cut, **plan).collect()}
     assert fixed.keys() == bound.keys() and all(fixed[k][0] == bound[k][0] and np.allclose(fixed[k][1:], bound[k][1:], atol=1e-9) for k in fixed)
     assert c.correlate(pts.limit(0), tile=32.0, most=12, cut=cut, **plan).collect() == []
+
+
+def test_stored_cells_are_pruned_and_checked(spark, tmp_path):
+    import glob
+
+    from corrvox.sources import cells
+
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.uniform(-200, 200, (3000, 3)), rng.uniform(10, 14, (1500, 3))])
+    df = spark.createDataFrame([(i, *map(float, p), f"r{i}") for i, p in enumerate(at)], "point_id long, x double, y double, z double, note string")
+    path = str(tmp_path / "cells")
+    for half in (0, 1):
+        cells.append(df.where(f"point_id % 2 = {half}"), path, 16.0, 12)
+    lo, hi = (-50.5, -20.0, 3.0), (40.0, 16.0, 70.0)
+    got = cells.read_box(spark, path, lo, hi)
+    want = {i for i, p in enumerate(at) if all(a <= v < b for v, a, b in zip(p, lo, hi))}
+    assert got.columns == ["point_id", "x", "y", "z", "note"] and {r.point_id for r in got.collect()} == want
+    inside = "cx between -4 and 2 and cy between -2 and 0 and cz between 0 and 4"
+    held = {r.file for r in cells.index(spark, path).where(inside).collect()}
+    assert {f.split("/")[-1] for f in got.inputFiles()} == {f.split("/")[-1] for f in held} and len(held) < 20
+    pushed = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(code" in pushed or "code" in pushed.split("PushedFilters")[1]
+    assert cells.read_box(spark, path, (500.0,) * 3, (600.0,) * 3).collect() == []
+    # The full cell is cut over files.
+    assert cells.index(spark, path).where("cx = 0 and cy = 0 and cz = 0").select("file").distinct().count() > 2
+    assert cells.read_all(spark, path).count() == len(at) and cells.problems(spark, path).collect() == []
+    os.remove(sorted(glob.glob(f"{path}/rows/*/part-*"))[3])
+    assert {r.problem for r in cells.problems(spark, path).collect()} == {"fragment is missing"}
+
+
+def test_ranges_of_codes():
+    from corrvox.sources import cells
+
+    code = lambda p: sum((c >> b & 1) << (3 * b + j) for j, c in enumerate(p) for b in range(21))
+    rng = np.random.default_rng(8)
+    for most in (4, 64):
+        for _ in range(20):
+            lo = rng.integers(0, 40, 3)
+            hi = lo + rng.integers(0, 12, 3)
+            ranges = cells.code_ranges(tuple(map(int, lo)), tuple(map(int, hi)), most)
+            assert len(ranges) <= most and all(a <= b for a, b in ranges) and all(x[1] + 1 < y[0] for x, y in zip(ranges, ranges[1:]))
+            own = [code((x, y, z)) for x in range(lo[0], hi[0] + 1) for y in range(lo[1], hi[1] + 1) for z in range(lo[2], hi[2] + 1)]
+            assert all(any(a <= k <= b for a, b in ranges) for k in own)
+    assert cells.code_ranges((8, 8, 8), (15, 15, 15)) == [(code((8, 8, 8)), code((15, 15, 15)))]
