@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corrvox.operators.quantiles import quantiles
+from corrvox.operators.tables import cut
+
 C = F.col
 GOOD = 0
 AXES = "uvw"
@@ -28,19 +31,27 @@ def with_error(m: DataFrame) -> DataFrame:
 
 
 def accuracy_columns(good, digits: int = 9) -> list:
-    """Aggregates of the error over the rows where ``good``: bias and rmse by axis, quantiles of its size."""
+    """Aggregates of the error over the rows where ``good``: bias and rmse by axis."""
     e = {c: F.when(good, C(f"e{c}")) for c in AXES}
-    mag = F.when(good, C("mag"))
     out = [F.round(F.avg(e[c]), digits).alias(f"bias_{c}") for c in AXES]
-    out += [F.round(F.sqrt(F.avg(e[c] * e[c])), digits).alias(f"rmse_{c}") for c in AXES]
-    return out + [F.round(F.percentile(mag, F.lit(q / 100)), digits).alias(f"p{q}") for q in (50, 95, 99)]
+    return out + [F.round(F.sqrt(F.avg(e[c] * e[c])), digits).alias(f"rmse_{c}") for c in AXES]
+
+
+SHARES = {f"p{q}": q / 100 for q in (50, 95, 99)}
+
+
+def _sizes(m: DataFrame, groups: list[str], digits: int = 9) -> DataFrame:
+    """Exact quantiles of the error's size."""
+    found = quantiles(m, groups, "mag", SHARES, cut)
+    return found.select(*groups, *[F.round(p, digits).alias(p) for p in SHARES])
 
 
 def accuracy(result: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: errors of the GOOD points of ``result`` against ``truth`` (point_id, u, v, w)."""
-    m = with_error(match(result, truth))
     good = C("a_status") == GOOD
-    return m.agg(F.count(F.lit(1)).alias("n_points"), F.count(F.when(good, 1)).alias("n_good"), F.round(F.avg(good.cast("double")), 9).alias("frac_good"), *accuracy_columns(good))
+    m = cut(with_error(match(result, truth)).select("a_status", *[f"e{c}" for c in AXES], "mag"))
+    one = m.agg(F.count(F.lit(1)).alias("n_points"), F.count(F.when(good, 1)).alias("n_good"), F.round(F.avg(good.cast("double")), 9).alias("frac_good"), *accuracy_columns(good))
+    return one.join(F.broadcast(_sizes(m.where(good), [])), how="left")  # a row each
 
 
 def missing(result: DataFrame, truth: DataFrame) -> DataFrame:
@@ -49,12 +60,14 @@ def missing(result: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def agreement(ours: DataFrame, theirs: DataFrame, edge) -> DataFrame:
-    """Agreement over all points and by edge, in one pass; ``edge``: an expression over b_ columns."""
-    m = with_error(match(ours, theirs)).withColumn("edge", edge)
+    """Agreement over all points and by edge, in one pass, and quantiles of both; ``edge``: an expression over b_ columns."""
+    m = cut(with_error(match(ours, theirs)).select("a_status", "b_status", *[f"e{c}" for c in AXES], "mag", edge.alias("edge")))
     both = (C("a_status") == GOOD) & (C("b_status") == GOOD)
     same = (to_ccpi(C("a_status")) == C("b_status")).cast("double")
     part = F.when(F.grouping("edge") == 1, "all").when(C("edge"), "edge").otherwise("interior")
-    return m.groupingSets([[], [C("edge")]], C("edge")).agg(
+    counted = m.groupingSets([[], [C("edge")]], C("edge")).agg(
         part.alias("part"), F.count(F.lit(1)).alias("n_points"), F.count(F.when(both, 1)).alias("n_good_both"),
         F.round(F.avg(same), 9).alias("status_agreement"), *accuracy_columns(both),
     ).drop("edge")
+    good = m.where(both).select("mag", F.explode(F.array(F.lit("all"), F.when(C("edge"), "edge").otherwise("interior"))).alias("part"))
+    return counted.join(F.broadcast(_sizes(good, ["part"])), "part", "left")  # three rows

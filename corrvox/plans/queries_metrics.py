@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corrvox.functions.geometry import edge_mask
 from corrvox.operators import metrics as m
+from corrvox.operators.quantiles import quantiles
+from corrvox.operators.tables import cut
 from corrvox.plans.fixtures import EVLOG, PTS, RESULTS, TRUTH, evlog, pts, rd, res_a, res_b, res_c, table, truth
 from corrvox.plans.registry import query
 
@@ -24,6 +26,13 @@ def accuracy(spark, d):
     return m.accuracy(res_a(spark, d), truth(pts(spark, d)).select("point_id", "u", "v", "w"))
 
 
+@query("exact_quantiles", "SELECT event_type, round(quantile_cont(value, 0.0), 9) AS p0, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.999), 9) AS p999, round(quantile_cont(value, 1.0), 9) AS p100 FROM events GROUP BY event_type")
+def exact_quantiles(spark, d):
+    """Quantiles by selection; at most 50 values are ever sorted."""
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p999": 0.999, "p100": 1.0}
+    return quantiles(table(spark, d, "events"), ["event_type"], "value", shares, cut, few=50, width=64).select("event_type", *[F.round(p, 9).alias(p) for p in shares])
+
+
 @query("match_ids", f"WITH {RESULTS} SELECT a.point_id, a.status AS a_status, b.status AS b_status FROM res_a a JOIN res_b b USING (point_id) WHERE a.status = 0")
 def match_ids(spark, d):
     return m.match(res_a(spark, d).where("status = 0"), res_b(spark, d)).select("point_id", "a_status", "b_status")

@@ -374,3 +374,18 @@ def test_ranges_of_codes():
             own = [code((x, y, z)) for x in range(lo[0], hi[0] + 1) for y in range(lo[1], hi[1] + 1) for z in range(lo[2], hi[2] + 1)]
             assert all(any(a <= k <= b for a, b in ranges) for k in own)
     assert cells.code_ranges((8, 8, 8), (15, 15, 15)) == [(code((8, 8, 8)), code((15, 15, 15)))]
+
+
+def test_quantiles_by_selection(spark):
+    from corrvox.operators.quantiles import quantiles
+    from corrvox.operators.tables import cut
+
+    rng = np.random.default_rng(9)
+    sets = {"a": rng.normal(size=700), "b": np.repeat([3.0, 5.0], [500, 1]), "c": np.concatenate([10.0 ** -np.arange(30.0), [1e300, -1e300]]), None: np.array([7.0]), "e": np.array([np.nan, np.inf])}
+    rows = [(g, float(v)) for g, vs in sets.items() for v in vs] + [("a", None), ("f", None)]
+    shares = {"lo": 0.0, "q": 0.25, "mid": 0.5, "most": 0.97, "hi": 1.0}
+    got = {r.g: r for r in quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", shares, cut, few=16, width=8).collect()}
+    assert got.keys() == {"a", "b", "c", None}
+    for g, r in got.items():
+        assert np.allclose([r[k] for k in shares], np.quantile(sets[g], list(shares.values())), rtol=1e-12, atol=0)
+    assert quantiles(spark.createDataFrame([], "v double"), [], "v", {"m": 0.5}, cut).collect() == []
