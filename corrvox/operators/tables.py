@@ -32,11 +32,39 @@ def written(spark: SparkSession, path: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write rows to the shared folder and read them back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = written(spark, f"{shared_dir(spark)}/corrvox-{uuid.uuid4().hex}")
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shelves:
+    """Rows dealt by a whole number ``by`` below ``path`` and read back one number at a time: a loop that passes each number once
+    reads each row once."""
+
+    def __init__(self, spark: SparkSession, path: str, by: str, schema: str) -> None:
+        self.spark, self.path, self.by, self.schema = spark, path, by, schema
+
+    def put(self, rows: DataFrame) -> None:
+        rows.write.mode("append").partitionBy(self.by).parquet(self.path)
+
+    def get(self, *numbers: int) -> DataFrame:
+        """Rows of these numbers; all rows without one."""
+        wanted = [f"{self.path}/{self.by}={k}" for k in numbers] or [self.path]
+        there = [p for p in wanted if exists(self.spark, p)]
+        if not there:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*there)
+
+
+def new_folder(spark: SparkSession) -> str:
+    return written(spark, f"{shared_dir(spark)}/corrvox-{uuid.uuid4().hex}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -20,6 +20,7 @@ from corrvox.functions.kernels import Search, Volume, gaussian, solve
 from corrvox.operators import seeding, tiling
 from corrvox.operators.kdtree import kd_tiles
 from corrvox.operators.knn import knn
+from corrvox.operators.tables import Shelves, new_folder
 from corrvox.sources.volumes import assemble, brick_rows
 
 C = F.col
@@ -93,33 +94,44 @@ def rigid_seeds(points: DataFrame, rigid=(0.0, 0.0, 0.0)) -> DataFrame:
     return points.select("point_id", "x", "y", "z", *[F.lit(float(r)).alias(f"s{c}") for c, r in zip("uvw", rigid, strict=True)])
 
 
-def _solver(cut, **plan) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    parts: list[DataFrame] = []
-
-    def solve(seeds: DataFrame, _: DataFrame) -> DataFrame:
-        parts.append(cut(correlate(seeds, **plan)))
-        return reduce(DataFrame.unionByName, parts)
+def _solver(folder: str, **plan) -> Callable[[DataFrame, int], DataFrame]:
+    def solve(seeds: DataFrame, shell: int) -> DataFrame:
+        kept = Shelves(seeds.sparkSession, f"{folder}/solved", "shell", f"{OUT}, shell int")
+        kept.put(correlate(seeds, **plan).withColumn("shell", F.lit(shell)))
+        return kept.get(shell).drop("shell")
 
     return solve
 
 
-def wavefront(points: DataFrame, start, width: float, k: int, cell: float, cut, rigid=(0.0, 0.0, 0.0), solve=None, **plan) -> DataFrame:
+def wavefront(points: DataFrame, start, width: float, k: int, cell: float, cut, rigid=(0.0, 0.0, 0.0), solve=None, folder: str | None = None, **plan) -> DataFrame:
     """Solve shell by shell, each point from the mean of its GOOD neighbours in earlier shells.
 
-    Shells depend on each other, so this is a loop on the driver; ``cut`` writes rows and reads them back. ``solve`` gets a
-    shell's seeds and the ids of all shells up to it, and returns the results of these ids without lineage; left out,
-    each shell is correlated and cut.
+    Shells depend on each other, so this is a loop on the driver. What a later shell needs is sent ahead: when a shell is
+    solved, its GOOD displacements go along the edges that leave it to the shelf of the shell they lead to. A shell reads its
+    points, its shelf and its edges, so every row is read once, however many shells there are. ``solve`` gets a shell's seeds
+    and number and returns its results without lineage; left out, each shell is correlated and kept below ``folder``.
     """
-    solve = solve or _solver(cut, **plan)
+    spark = points.sparkSession
+    folder = folder or new_folder(spark)
+    solve = solve or _solver(folder, **plan)
     shells = cut(seeding.wavefront_shells(points, start, width).select("point_id", "x", "y", "z", "shell"))
-    edges = cut(knn(points, points, k, cell).select("point_id", "neighbour_id"))
+    own = Shelves(spark, f"{folder}/points", "shell", "point_id long, x double, y double, z double, shell int")
+    edges = Shelves(spark, f"{folder}/edges", "source", "neighbour_id long, point_id long, shell int, source int")
+    sent = Shelves(spark, f"{folder}/sent", "shell", "point_id long, u double, v double, w double, shell int")
+    own.put(shells)
+    of = lambda name, number: shells.select(C("point_id").alias(name), C("shell").alias(number))
+    near = knn(points, points, k, cell).select("point_id", "neighbour_id")
+    edges.put(near.join(of("point_id", "shell"), "point_id").join(of("neighbour_id", "source"), "neighbour_id").where("source < shell"))
     last = shells.agg(F.max("shell")).first()[0]
-    done: DataFrame | None = None
+    done: list[DataFrame] = []
     for s in range(-1 if last is None else last + 1):
-        own = shells.where(C("shell") == s).drop("shell")
-        seeds = rigid_seeds(own, rigid) if done is None else own.join(seeding.seed_from_neighbours(edges.join(own.select("point_id"), "point_id", "left_semi"), done, rigid, own), "point_id")
-        done = solve(seeds, shells.where(C("shell") <= s).select("point_id"))
-    return done
+        mean = sent.get(s).groupBy("point_id").agg(*[F.avg(c).alias(f"m{c}") for c in "uvw"])
+        seed = [F.coalesce(f"m{c}", F.lit(float(r))).alias(f"s{c}") for c, r in zip("uvw", rigid, strict=True)]
+        done.append(solve(own.get(s).join(mean, "point_id", "left").select("point_id", "x", "y", "z", *seed), s))
+        if s < last:
+            good = done[-1].where("status = 0").select(C("point_id").alias("neighbour_id"), *"uvw")
+            sent.put(edges.get(s).join(good, "neighbour_id").select("point_id", *"uvw", "shell"))
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], OUT)
 
 
 def coarse(points: DataFrame, stride: int, spacing: float, start, width: float, k: int, cell: float, cut, rigid=(0.0, 0.0, 0.0), **plan) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +12,9 @@ from corrvox.config import RunConfig
 from corrvox.operators import metrics, seeding, strain, tiling
 from corrvox.operators.knn import median_spacing
 from corrvox.operators.seeding import with_distance
+from corrvox.operators.tables import Shelves
 from corrvox.plans import correlate as c
-from corrvox.sources import archive, text
+from corrvox.sources import archive, files, text
 from corrvox.sources.volumes import in_box, layout, missing_chunks, read_bricks
 
 C = F.col
@@ -42,10 +42,10 @@ def cut_to(spark: SparkSession, folder: str):
 
 
 class Store:
-    """Results as a Parquet table by tile that grows step by step: each step is one committed job.
+    """Results as a Parquet table by part (shell, or layer of tiles) and tile that grows step by step: each step is one committed job.
 
     A step solves only points without a result, so a run that was stopped goes on where it was, and rows that a
-    stopped commit left visible are not solved twice.
+    stopped commit left visible are not solved twice. A step reads the results of its own parts only.
     """
 
     def __init__(self, spark: SparkSession, cfg: RunConfig, path: str, cut) -> None:
@@ -54,38 +54,42 @@ class Store:
         if shapes[0] != shapes[1]:
             raise ValueError(f"the volumes have different shapes: {shapes[0]} and {shapes[1]}")
         for p in (v.reference, v.deformed):
-            if os.path.isdir(p):
+            if files.kind(p) == "folder":
                 missing_chunks(spark, p)
         self.plan = {"shape": tuple(shapes[0]), "offsets": cfg.offsets(), "search": cfg.kernel(), "tile": cfg.cluster.tile, "brick": cfg.cluster.brick, "sigma": v.prefilter_sigma}
         self.far = c.reach(self.plan["offsets"], self.plan["search"], v.prefilter_sigma)
+        self.shelves = Shelves(spark, path, "part", f"{c.OUT}, part int, tile string")
 
-    def rows(self) -> DataFrame:
-        schema = f"{c.OUT}, tile string"
-        return self.spark.read.schema(schema).parquet(self.path) if archive.exists(self.spark, self.path) else self.spark.createDataFrame([], schema)
+    def rows(self, *parts: int) -> DataFrame:
+        return self.shelves.get(*parts)
 
-    def solve(self, seeds: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-        """Solve and commit what has no result yet; returns the results of the ids in ``wanted`` (all of them without it)."""
+    def solve(self, seeds: DataFrame, part: int) -> DataFrame:
+        """Solve and commit what has no result yet in a part; returns the part's results."""
+        self._solve(seeds.withColumn("part", F.lit(part)), [part])
+        return self.rows(part)
+
+    def _solve(self, seeds: DataFrame, parts: list[int]) -> None:
         cfg, v = self.cfg, self.cfg.volumes
         # Written first: the job that appends to the store doesn't read it.
-        left = self.cut(seeds.join(self.rows().select("point_id"), "point_id", "left_anti"))
+        left = self.cut(seeds.join(self.rows(*parts).select("point_id"), "point_id", "left_anti"))
         box = c.reach_box(left, self.far)
         if box:
             image = lambda path: in_box(read_bricks(self.spark, path, cfg.cluster.brick, **_options(cfg)), *box, cfg.cluster.brick)
             out = c.correlate(left, ref=image(v.reference), deformed=image(v.deformed), **self.plan)
-            named = tiling.tile_of(out, cfg.cluster.tile).withColumn("tile", F.concat_ws("_", "tx", "ty", "tz")).drop("tx", "ty", "tz")
-            named.write.mode("append").partitionBy("tile").parquet(self.path)
-        return self.rows() if wanted is None else self.rows().join(wanted, "point_id", "left_semi")
+            named = tiling.tile_of(out, cfg.cluster.tile).withColumn("tile", F.concat_ws("_", "tx", "ty", "tz"))
+            part = F.lit(parts[0]) if len(parts) == 1 else C("tz")
+            named.withColumn("part", part).drop("tx", "ty", "tz").write.mode("append").partitionBy("part", "tile").parquet(self.path)
 
     def solve_by_layers(self, seeds: DataFrame, step_points: int) -> None:
         """Steps of whole layers of tiles, as many to a step as hold ``step_points`` points (one at least)."""
-        layer = F.floor(C("z") / self.cfg.cluster.tile)
+        layer = F.floor(C("z") / self.cfg.cluster.tile).cast("int")
         counts = seeds.groupBy(layer.alias("tz")).agg(F.count(F.lit(1)).alias("n")).orderBy("tz").collect()  # a row for each layer of tiles
         step: list[int] = []
         held = 0
         for k, r in enumerate(counts):
             step, held = [*step, r["tz"]], held + r["n"]
             if k + 1 == len(counts) or held + counts[k + 1]["n"] > step_points:
-                self.solve(seeds.where(layer.between(step[0], step[-1])))
+                self._solve(seeds.where(layer.between(step[0], step[-1])), step)
                 step, held = [], 0
 
 
@@ -120,10 +124,10 @@ def run(spark: SparkSession, cfg: RunConfig, step_points: int = 2_000_000) -> Da
             return store.rows()
         width = s.shell_width or median_spacing(pts, 32.0).first()["spacing"]
         if s.strategy == "wavefront":
-            c.wavefront(pts, start, width, s.neighbours, 2 * width, cut, rigid, store.solve)
+            c.wavefront(pts, start, width, s.neighbours, 2 * width, cut, rigid, store.solve, work)
         else:
             far, some = width * s.coarse_stride, Store(spark, cfg, f"{cfg.output}/coarse", cut)
-            field = c.wavefront(seeding.coarse_subset(pts, s.coarse_stride, width), start, far, s.neighbours, 2 * far, cut, rigid, some.solve)
+            field = c.wavefront(seeding.coarse_subset(pts, s.coarse_stride, width), start, far, s.neighbours, 2 * far, cut, rigid, some.solve, work)
             store.solve_by_layers(cut(pts.join(seeding.interpolate_seeds(pts, field, 8, 2 * far, rigid), "point_id")), step_points)
         return store.rows()
     finally:

@@ -389,3 +389,35 @@ def test_quantiles_by_selection(spark):
     for g, r in got.items():
         assert np.allclose([r[k] for k in shares], np.quantile(sets[g], list(shares.values())), rtol=1e-12, atol=0)
     assert quantiles(spark.createDataFrame([], "v double"), [], "v", {"m": 0.5}, cut).collect() == []
+
+
+def test_a_wavefront_reads_each_row_once(spark, tmp_path, monkeypatch):
+    """Seeds are those of a plain loop over all earlier results, and no shelf is read twice."""
+    from corrvox.operators import seeding, tables
+    from corrvox.operators.knn import knn
+    from corrvox.operators.tables import cut
+
+    rng = np.random.default_rng(3)
+    pts = cut(spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.uniform(0, 30, (120, 3)))], "point_id long, x double, y double, z double"))
+    read, get = [], tables.Shelves.get
+    monkeypatch.setattr(tables.Shelves, "get", lambda self, *k: (read.append((self.path, k)), get(self, *k))[1])
+
+    def solve(seeds, shell):
+        """A displacement that depends on the seed; a seventh of the points fail."""
+        return cut(seeds.selectExpr("point_id", "x", "y", "z", "CAST(if(point_id % 7 = 0, -1, 0) AS INT) AS status", "x / 10 + su / 2 AS u", "sv + 1 AS v", "sw AS w"))
+
+    got = {r.point_id: (r.u, r.v, r.w) for r in c.wavefront(pts, (0.0, 0.0, 0.0), 6.0, 5, 12.0, cut, (0.5, 0.0, 2.0), solve, str(tmp_path / "w")).collect()}
+    assert len(read) == len(set(read)) > 10
+    near = {}
+    for r in knn(pts, pts, 5, 12.0).collect():
+        near.setdefault(r.point_id, []).append(r.neighbour_id)
+    rows = sorted(seeding.wavefront_shells(pts, (0.0, 0.0, 0.0), 6.0).collect(), key=lambda r: r.shell)
+    want = {}
+    for s in sorted({r.shell for r in rows}):
+        new = {}
+        for r in (r for r in rows if r.shell == s):
+            good = [want[n] for n in near.get(r.point_id, []) if n in want and n % 7]
+            su, sv, sw = np.mean(good, 0) if good else (0.5, 0.0, 2.0)
+            new[r.point_id] = (r.x / 10 + su / 2, sv + 1, sw)
+        want |= new
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
