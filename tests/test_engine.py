@@ -421,3 +421,21 @@ def test_a_wavefront_reads_each_row_once(spark, tmp_path, monkeypatch):
             new[r.point_id] = (r.x / 10 + su / 2, sv + 1, sw)
         want |= new
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_the_crop_with_the_most_foreground(spark, tmp_path):
+    from corrvox.operators import crop
+
+    a = np.random.default_rng(12).integers(0, 200, (21, 18, 30)).astype(np.uint8)
+    a[6:16, 4:14, 12:22] += 50
+    bricks = volumes.read_bricks(spark, npy(tmp_path / "a.npy", a), 4)
+    for size, stride in ((8, 2), (6, 1), (40, 4)):
+        sub = a[::stride, ::stride, ::stride].astype(float)
+        hist, edges = np.histogram(sub, bins=256)
+        w, m = np.cumsum(hist), np.cumsum(hist * (np.arange(256) + 0.5))
+        limit = edges[int(np.argmax(np.round((m[-1] * w - m * w[-1]) ** 2 / np.maximum(w * (w[-1] - w), 1), 3)))]
+        k = [min(max(size // stride, 1), n) for n in sub.shape]
+        sums = np.lib.stride_tricks.sliding_window_view(sub > limit, k).sum((3, 4, 5))
+        z, y, x = (min(int(o) * stride, max(n - size, 0)) for o, n in zip(np.unravel_index(int(sums.argmax()), sums.shape), a.shape))
+        r = crop.choose_crop(bricks, (30, 18, 21), 4, size, stride).first()
+        assert (r.x, r.y, r.z, r.n) == (x, y, z, sums.max()) and abs(r.threshold - limit) < 1e-9
