@@ -2,21 +2,21 @@
 
 1. **Lines.** Markup is stripped: each block element is a line, inline markup is dropped, character
    references are decoded, white space inside a line is one space.
-2. **Furniture.** Elements that may hold menus, headers, footers, asides, forms, adverts, notices or
-   comments are suspects: by element name, or by a class, id or role all of whose parts are furniture
-   words (``cookie-notice``, not ``has-sidebar``; in an article a header is none). A suspect is hidden and leaves a gap of empty lines,
+2. **What is not text of the page.** Elements that may hold menus, headers, footers, asides, forms, adverts or
+   notices are suspects: by element name, or by a class, id or role all of whose parts are furniture
+   words (``cookie-notice``, ``cookieBanner``, not ``has-sidebar``; in an article a header is none). A suspect's lines are left out,
    unless the page would be empty without it: it holds ten times the text that no suspect holds, most
    of it running text (an unclosed advert, a form around the page). If only some part of a name is a
-   furniture word, a block is hidden only where its own text says so: most of it links, or no heading,
-   no running text and less than a line of it. Lines that are mostly links weigh nothing.
-3. **Distribution.** A line weighs its length without links, a quarter of it where it isn't running
-   text (no sentence mark, under ``SOLID`` characters). Weights are summed over blocks of ``window``
-   lines. A stretch surges where the sum reaches the threshold and dives where it falls under it.
-   If the page has an article or main element, only the one with most text is looked at, the
-   threshold is any text at all, and all stretches stay, but for first and last ones that gaps cut
-   off and that are two or more lines, none a heading or running text. Otherwise the threshold is ``SURGE`` (the highest sum, if that is less), lines at
-   both ends of a stretch that are neither headings nor running text go, headings right before it come
-   along, and of the stretches the longest stays, those of a fifth of its length, and what lies between them.
+   furniture word, a block is left out only where its own text says so: most of it links, or no heading,
+   no running text and less than a line of it. Reader comments are left out whatever they hold.
+3. **Distribution.** What is left, in page order, is one series of line weights. A line weighs its length without links, a
+   quarter of it where it isn't running text (no sentence mark, under ``SOLID`` characters), nothing where it is mostly links.
+   Article and main elements only change weights: a paragraph, heading, list item or cell inside, and any running text, weighs
+   its whole length and ``BONUS`` more; where a page has such elements, lines outside weigh ``OUTSIDE`` times less. Weights are summed over blocks of ``window`` lines: text surges where a
+   block's sum reaches ``SURGE`` (the highest sum, if that is less) and dives where it falls under it. All text between
+   surges and dives stays, without the lines at both ends that weigh nothing or are neither headings nor
+   running text (in articles: nor paragraphs, items or cells); a heading right before a surge comes along. What was left out before does not part a stretch, so closing
+   words after an advert stay with their text.
 
 Null html and pages without text give an empty string. Unclosed elements end where their parent
 ends, paragraphs and list items where the next begins. An unclosed comment, script or quoted
@@ -38,30 +38,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-FURNITURE = frozenset("aside audio button dialog fieldset footer form label menu nav select video".split())
+FURNITURE = frozenset("aside audio button dialog fieldset footer form menu nav select video".split())
 RAW = frozenset("canvas iframe math noscript object script style svg template textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold running text, and those of them that may hold it in a div.
+PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
+HOLDERS = frozenset("blockquote dd li td".split())
 #: Elements whose end tag may be left out: they are only followed where they are suspects.
 LOOSE = frozenset("a b dd dt em i li option p span strong td th tr".split())
 INLINE = frozenset("a b em i span strong".split())
 #: What ends an open suspect of this name that is innermost.
 ENDED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 WORDS = frozenset(
-    "ad ads adv advert advertisement advertising adverts alert alertdialog banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo "
-    "cookie cookies dialog disclaimer disqus footer gdpr header login menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall "
-    "popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
+    "ad ads adv advert advertisement advertising adverts alert alertdialog banner breadcrumb breadcrumbs complementary consent contentinfo "
+    "cookie cookies dialog disclaimer footer gdpr header login menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall "
+    "popup promo promoted promotion recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
     "toolbar topbar widget widgets".split()
 )
+#: Words for what readers wrote.
+COMMENTS = frozenset("comment commentary commenter commentlist comments discussion discussions disqus replies reply respond responses".split())
 #: Words that say nothing beside a furniture word: ``main-menu``, ``page-footer``.
 PLAIN = frozenset("area bar block bottom box container content global inner left list main page primary right secondary section site top wrap wrapper".split())
 
-SOLID, SURGE = 40, 80
+SOLID, SURGE, BONUS, OUTSIDE = 40, 80, 40, 4
 _MARK = re.compile(r"[.!?…。！？؟।]")
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PART = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
 _STOP = re.compile("[>\"']")
 
 
@@ -128,21 +134,23 @@ def suspicion(tag: str, attrs: str, inside: bool) -> int:
     """3: hidden for certain, 2: furniture by its name, 1: perhaps, 0: no. ``inside``: in an article or main element."""
     if tag in FURNITURE or tag == "header" and not inside:
         return 2
-    if tag in ("article", "body", "html", "main") or not attrs:
+    if tag in ("body", "html", "main") or not attrs:
         return 0
-    level, inline = 0, tag in INLINE
+    level, weak = 0, tag in INLINE or tag == "article"
     for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "style" and _UNSEEN.search(value):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "style" and _UNSEEN.search(value.lower()):
             return 3
         if name not in ("class", "id", "role"):
             continue
         for token in value.split():
-            parts = [p for p in re.split(r"[_-]+", token) if p]
-            bad = sum(p in WORDS and not (inside and p == "header") for p in parts)
+            parts = [p.lower() for p in _PART.split(token) if p]
+            said = sum(p in COMMENTS for p in parts)
+            bad = said + sum(p in WORDS and not (inside and p == "header") for p in parts)
             if bad:
-                level = max(level, 2 if bad + sum(p in PLAIN for p in parts) == len(parts) else 1)
-    return 0 if inline and level == 1 else level
+                whole = bad + sum(p in PLAIN for p in parts) == len(parts)
+                level = max(level, 3 if said and whole else 2 if whole else 1)
+    return 0 if weak and level == 1 else level
 
 
 @dataclass(slots=True)
@@ -152,6 +160,7 @@ class Line:
     heading: bool = False
     suspect: int = 0  # the innermost one it is in; 0: none
     container: int = 0  # the article or main element it is in; 0: none
+    prose: bool = False  # in an element of PROSE
 
     @property
     def solid(self) -> bool:
@@ -177,13 +186,13 @@ def lines_of(page: str) -> tuple[list[Line], list[Suspect]]:
     stack: list[tuple[str, int, int]] = []  # open elements: name, suspect and container before
     open_: Counter[str] = Counter()
     links = in_link = suspect = container = made = 0
-    heading = False
+    heading, prose = False, ""
 
     def flush() -> None:
         nonlocal links
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         if text:
-            lines.append(Line(text, min(links, len(text)), heading, suspect, container))
+            lines.append(Line(text, min(links, len(text)), heading, suspect, container, prose != ""))
         held.clear()
         links = 0
 
@@ -215,9 +224,13 @@ def lines_of(page: str) -> tuple[list[Line], list[Suspect]]:
             if tag in BLOCKS:
                 flush()
                 heading = tag in HEADINGS
+                if tag in PROSE:
+                    prose = tag
+                elif not (tag == "div" and prose in HOLDERS):
+                    prose = ""
             if tag == "br":
                 text(" ")
-            if tag == "a":
+            if tag in ("a", "label"):  # neither is running text
                 in_link = 1
             if tag in VOID or attrs.endswith("/"):
                 continue
@@ -238,11 +251,13 @@ def lines_of(page: str) -> tuple[list[Line], list[Suspect]]:
                 container = made
         else:
             tag = tag[1:]
-            if tag == "a":
+            if tag in ("a", "label"):
                 in_link = 0
             if tag in BLOCKS:
                 flush()
                 heading = False
+                if tag in PROSE:
+                    prose = ""
             if open_[tag]:
                 while close() != tag:
                     pass
@@ -304,54 +319,49 @@ def stretches_of(weights: list[int], window: int, threshold: int) -> list[tuple[
     return trimmed
 
 
-def _like_a_menu(lines: list[Line], a: int, z: int) -> bool:
-    return z - a > 1 and not any(x.solid or x.heading for x in lines[a:z])
+def weigh(lines: list[Line], link_share: float = 0.5) -> list[int]:
+    """What each line adds to the distribution."""
+    out, any_inside = [], any(x.container for x in lines)
+    for x in lines:
+        free = len(x.text) - x.links
+        if x.links > link_share * len(x.text):
+            out.append(0)
+        elif x.container and (x.prose or x.solid):
+            out.append(free + BONUS)
+        else:
+            out.append(-(-free // ((1 if x.solid else 4) * (OUTSIDE if any_inside and not x.container else 1))))
+    return out
 
 
-def main_text(page: str | None, window: int = 3, link_share: float = 0.5, fifth: float = 0.2) -> str:
+def main_stretches(lines: list[Line], weights: list[int], window: int) -> list[tuple[int, int]]:
+    """Stretches between surges and dives, (first line, line after the last), without loose ends, with the headings before them."""
+    highest = max(sum(weights[i : i + window]) for i in range(len(lines)))
+    firm = [w > 0 and (x.solid or x.prose and x.container > 0) for x, w in zip(lines, weights, strict=True)]
+    out: list[tuple[int, int]] = []
+    for a, z in stretches_of(weights, window, min(SURGE, highest)):
+        b, y = a, z
+        while b < y and not (firm[b] or lines[b].heading):
+            b += 1
+        while y > b and not firm[y - 1]:
+            y -= 1
+        b, y = (b, y) if b < y else (a, z)
+        least = out[-1][1] if out else 0
+        while b > least and lines[b - 1].heading:
+            b -= 1
+        out.append((b, y))
+    return out
+
+
+def main_text(page: str | None, window: int = 3) -> str:
     if not page:
         return ""
     lines, suspects = lines_of(page)
     judge(lines, suspects)
-    by_container: Counter[int] = Counter()
-    for x in lines:
-        if x.container and not suspects[x.suspect].hidden:
-            by_container[x.container] += len(x.text)
-    chosen = max(by_container, key=lambda c: (by_container[c], -c)) if any(by_container.values()) else 0
-    kept: list[Line] = []  # with gaps: what isn't content weighs nothing
-    gap = [Line("")] * (2 * window - 1)  # no two blocks reach over it
-    for x in lines:
-        if not suspects[x.suspect].hidden and x.container == chosen:
-            kept.extend([x] if x.text else [])
-        elif not kept or kept[-1].text:
-            kept.extend(gap)
-    # A line that is mostly a link weighs nothing, but stays where it stands amid text.
-    weights = [0 if x.links > link_share * len(x.text) else (len(x.text) - x.links if x.solid or chosen else -(-(len(x.text) - x.links) // 4)) for x in kept]
+    left = [x for x in lines if x.text and not suspects[x.suspect].hidden]
+    weights = weigh(left)
     if not any(weights):
         return ""
-    if chosen:
-        use = stretches_of(weights, window, 1)
-        while len(use) > 1 and _like_a_menu(kept, *use[-1]):
-            use.pop()
-        while len(use) > 1 and _like_a_menu(kept, *use[0]):
-            use.pop(0)
-    else:
-        highest = max(sum(weights[i : i + window]) for i in range(len(weights)))
-        use = []
-        for a, z in stretches_of(weights, window, min(SURGE, highest)):
-            b, y = a, z
-            while b < y and not (kept[b].heading or kept[b].solid and weights[b]):
-                b += 1
-            while y > b and not (kept[y - 1].solid and weights[y - 1]):
-                y -= 1
-            b, y = (b, y) if b < y else (a, z)
-            while b and kept[b - 1].heading and kept[b - 1].text:
-                b -= 1
-            use.append((b, y))
-        size = [sum(weights[a:z]) for a, z in use]
-        large = [k for k, n in enumerate(size) if n >= fifth * max(size)]
-        use = [x for k, x in enumerate(use) if large[0] <= k <= large[-1]]
-    return "\n".join(x.text for a, z in use for x in kept[a:z] if x.text)
+    return "\n".join(x.text for a, z in main_stretches(left, weights, window) for x in left[a:z])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -183,10 +184,18 @@ LONG = "This is a long paragraph of running text that goes on for a while."
         (f"<article><p>{LONG}</p><div class=share>x</div><div>Tweet</div><div>Mail</div></article>", LONG),
         (f"<article><p>{LONG}</p><p>see the <span class='ad-hoc'>odd</span> case</p></article>", f"{LONG}\nsee the odd case"),
         (f"<article><p class=ad>Buy<p>{LONG}<ul><li class=ad>Buy<li>item two</ul></article>", f"{LONG}\nitem two"),
-        (f"<article><p>{LONG}</p></article><article><p>Short.</p></article>", LONG),
+        (f"<article><p>{LONG}</p></article><article><p>Short.</p></article>", f"{LONG}\nShort."),
         (f"<div><p>{LONG}</p></div><div class='comments'><p>{LONG}</p><p>{LONG}</p></div>", LONG),
         (f"<p title='a > b'>{LONG}</p><p>1 < 2 and 3 > 2.</p>", f"{LONG}\n1 < 2 and 3 > 2."),
         (f"<article><p>{LONG}</p><ul><li><a href=a>one more</a><li><a href=b>two more</a><li><a href=c>three more</a><li><a href=d>four</a></ul></article>", LONG),
+        (f"<div class='post'><p>{LONG}</p></div><div class='comments'>{f'<p>{LONG}</p>' * 12}</div>", LONG),
+        (f"<div class='post'><p>{LONG}</p></div><div id='discussion'>{f'<p>{LONG}</p>' * 12}</div>", LONG),
+        (f"<article><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article>", LONG),
+        (f"<div class='cookieBanner'><p>We use cookies.</p></div><div><p>{LONG}</p></div>", LONG),
+        ("<p>A long line of text that is about a <label>thing</label> more.</p>", "A long line of text that is about a thing more."),
+        (f"<p>{LONG} {LONG}</p><div class='ad'>Buy</div><p>Final words.</p>", f"{LONG} {LONG}\nFinal words."),
+        (f"<article><p>{LONG}</p><aside>More of it</aside><ul><li>milk</li><li>eggs</li><li><div>bread</div></li></ul></article>", f"{LONG}\nmilk\neggs\nbread"),
+        (f"<article><p>{LONG}</p><div class='ad'>Buy</div><p>so it was</p><p>the end</p></article>", f"{LONG}\nso it was\nthe end"),
         ("<script>never closed <p>x", ""),
         ("<p>x<p>y", "x\ny"),
         ("&lt;b&gt; a&amp;b &#233;<br>c", "<b> a&b é c"),
@@ -215,6 +224,64 @@ def test_surge_and_dive_same_as_brute_force():
         assert html_text.stretches_of(w, window, threshold) == want
 
 
+def test_the_distribution_decides():
+    """Text that names and elements alone would give, and what surge and dive keep of it."""
+    def by_names(page):
+        lines, suspects = html_text.lines_of(page)
+        html_text.judge(lines, suspects)
+        inside = any(x.container for x in lines)
+        return "\n".join(x.text for x in lines if x.text and not suspects[x.suspect].hidden and (x.container > 0 or not inside))
+
+    links = "".join(f"<li><a href=x{k}>another story {k}</a></li>" for k in range(6))
+    for page, want in (
+        (f"<div>Home</div><div>News</div><div>Sport</div><div>Log in</div><p>{LONG}</p><p>{LONG}</p><div>Imprint</div><div>About</div>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><ul>{links}</ul></article>", LONG),
+        (f"<article><ul>{links}</ul></article><div><p>{(LONG + ' ') * 6}</p><p>{(LONG + ' ') * 6}</p></div>", "\n".join([((LONG + " ") * 6).strip()] * 2)),
+        (f"<main><div>Share</div><div>Save</div><div>Print</div><h1>Title</h1><p>{LONG}</p></main>", f"Title\n{LONG}"),
+    ):
+        assert html_text.main_text(page) == want != by_names(page)
+
+
+def test_main_text_same_as_brute_force():
+    """Every line against all blocks that hold it, on pages made at random."""
+    rng = random.Random(11)
+    bits = ["<p>" + LONG + "</p>", "<p>Short one.</p>", "<div>Menu</div>", "<div>Imprint</div>", "<li><a href=x>link text here</a>", "<h2>Head</h2>", "<aside>side</aside>", "<div class=ad>Buy</div>", "<article>", "</article>", "<div class=comments><p>" + LONG + "</p></div>", "<ul><li>milk</ul>"]
+    for _ in range(300):
+        page = "".join(rng.choices(bits, k=rng.randint(1, 25)))
+        lines, suspects = html_text.lines_of(page)
+        html_text.judge(lines, suspects)
+        own = [x for x in lines if x.text and not suspects[x.suspect].hidden]
+        inside = any(x.container for x in own)
+        w = []
+        for x in own:
+            free = len(x.text) - x.links
+            article = x.container and (x.prose or x.solid)
+            scale = 1 if article else (1 if x.solid else 4) * (4 if inside and not x.container else 1)
+            w.append(0 if 2 * x.links > len(x.text) else free + 40 if article else math.ceil(free / scale))
+        n = len(own)
+        blocks = [sum(w[k : k + 3]) for k in range(n)]
+        least = min(80, max(blocks, default=0))
+        held = [any(blocks[k] >= least for k in range(max(0, i - 2), i + 1)) for i in range(n)] if any(w) else [False] * n
+        firm = [w[i] > 0 and (own[i].solid or own[i].prose and bool(own[i].container)) for i in range(n)]
+        keep, i = set(), 0
+        while i < n:
+            z = i
+            while z < n and held[z]:
+                z += 1
+            if z > i:
+                first = [k for k in range(i, z) if w[k] and (firm[k] or own[k].heading)]
+                last = [k for k in range(i, z) if firm[k]]
+                heavy = [k for k in range(i, z) if w[k]]
+                # The first line that is text or a heading, among lines that weigh something or follow one that does.
+                start = [k for k in range(heavy[0], heavy[-1] + 1) if firm[k] or own[k].heading]
+                a, b = (start[0], last[-1]) if first and last and start[0] <= last[-1] else (heavy[0], heavy[-1])
+                while a and own[a - 1].heading and a - 1 not in keep:
+                    a -= 1
+                keep |= set(range(a, b + 1))
+            i = z + 1
+        assert html_text.main_text(page) == "\n".join(own[k].text for k in sorted(keep))
+
+
 @pytest.mark.parametrize("bit", ["<p a='", "<a href=\"", "<div class=ad>", "<!--", "<![CDATA[", "<script ", "<b <", "<", "</p", "'\"<x ", "<div><article>", "</div></b>", "<?"])
 def test_broken_markup_takes_linear_time(bit):
     import time
