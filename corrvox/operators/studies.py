@@ -30,9 +30,13 @@ def error_floor_cases(spark: SparkSession) -> DataFrame:
         spark.createDataFrame([(s,) for s in SIZES], "size double"),
         spark.createDataFrame([(n,) for n in N_SAMPLES], "n_samples int"),
     ]
-    every = reduce(lambda a, b: a.join(F.broadcast(b)), parts)
+    return with_shifts(reduce(lambda a, b: a.join(F.broadcast(b)), parts))
+
+
+def with_shifts(params: DataFrame) -> DataFrame:
+    """Both images' shifts of cases given by shift, direction (dx, dy, dz) and variant."""
     back = F.when(C("variant") == "symmetric", -0.5).otherwise(0.0)
-    return every.select("shift", "direction", "variant", "noise_factor", "size", "n_samples", *[(back * C("shift") * C(f"d{a}")).alias(f"ref_{a}") for a in "xyz"], *[((back + 1) * C("shift") * C(f"d{a}")).alias(f"def_{a}") for a in "xyz"])
+    return params.select(*[c for c in params.columns if c not in ("dx", "dy", "dz")], *[(back * C("shift") * C(f"d{a}")).alias(f"ref_{a}") for a in "xyz"], *[((back + 1) * C("shift") * C(f"d{a}")).alias(f"def_{a}") for a in "xyz"])
 
 
 def variant_pairs(runs: DataFrame) -> DataFrame:

@@ -28,6 +28,26 @@ def grid(spark: SparkSession, low: tuple, high: tuple, spacing: float) -> DataFr
     return spark.range(n[0] * n[1] * n[2]).select(i, *[(F.lit(float(low[k])) + F.floor(i / step[k]) % n[k] * float(spacing)).alias(a) for k, a in enumerate(AXES)])
 
 
+def lattices(boxes: DataFrame) -> DataFrame:
+    """A lattice for each row of ``boxes`` (lo_x to hi_z, both ends included, spacing): its other columns and id, x, y, z, x slowest."""
+    n = {f"_n{a}": F.greatest(F.floor((C(f"hi_{a}") - C(f"lo_{a}") + 1e-9) / C("spacing")) + 1, F.lit(0)).cast("long") for a in AXES}
+    other = [c for c in boxes.columns if c not in {"spacing", *[f"{e}_{a}" for e in ("lo", "hi") for a in AXES]}]
+    many = C("_nx") * C("_ny") * C("_nz")
+    rows = boxes.withColumns(n).where(many > 0).withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+    step = {"x": C("_ny") * C("_nz"), "y": C("_nz"), "z": F.lit(1)}
+    return rows.select(*other, "id", *[(C(f"lo_{a}") + F.floor(C("id") / step[a]) % C(f"_n{a}") * C("spacing")).alias(a) for a in AXES])
+
+
+def centre_first(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """Lattices by ``key`` with point_id from 1: the point nearest its box's middle changes places with the first, so that a
+    wavefront from the first point has compact shells. A row for each box is joined back."""
+    mid = boxes.select(key, *[((C(f"lo_{a}") + C(f"hi_{a}")) / 2).alias(f"_m{a}") for a in AXES])
+    d = [C(a) - C(f"_m{a}") for a in AXES]
+    near = points.join(mid, key).groupBy(key).agg(F.min_by("id", F.struct(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]), C("id"))).alias("centre"))
+    place = F.when(C("id") == C("centre"), 0).when(C("id") == 0, C("centre")).otherwise(C("id"))
+    return points.join(near, key).select(key, (place + 1).cast("long").alias("point_id"), *AXES)
+
+
 def grid_points(spark: SparkSession, low: tuple, high: tuple, spacing: float) -> DataFrame:
     """(point_id, x, y, z) of a lattice over a box; the point nearest the middle changes places with the first, so that
     a wavefront from the first point has compact shells."""
@@ -113,15 +133,47 @@ class NamedCase:
     strain_y: float | None = None
 
 
+# Fixed values of the public data sets: case, data set, scans, size of the sample sets, group, offset of the second scan in
+# voxels, true displacement, true strain along y (- where it isn't known).
+NAMED_CASES = """
+dvc1_repeat1_24      dvc1        XCT1_Scan0_Reference  XCT1_Scan1_Repeat1    24  repeat      0    0  0   - - -     -
+dvc1_repeat2_24      dvc1        XCT1_Scan0_Reference  XCT1_Scan2_Repeat2    24  repeat      0    0  0   - - -     -
+dvc1_repeat1_32      dvc1        XCT1_Scan0_Reference  XCT1_Scan1_Repeat1    32  repeat      0    0  0   - - -     -
+dvc1_repeat2_32      dvc1        XCT1_Scan0_Reference  XCT1_Scan2_Repeat2    32  repeat      0    0  0   - - -     -
+dvc1_repeat1_48      dvc1        XCT1_Scan0_Reference  XCT1_Scan1_Repeat1    48  repeat      0    0  0   - - -     -
+dvc1_repeat2_48      dvc1        XCT1_Scan0_Reference  XCT1_Scan2_Repeat2    48  repeat      0    0  0   - - -     -
+dvc1_axial1_32       dvc1        XCT1_Scan0_Reference  XCT1_Scan3_Axial1     32  axial       0    0  58  - - -     -
+dvc1_axial2_32       dvc1        XCT1_Scan0_Reference  XCT1_Scan4_Axial2     32  axial       0    0  58  - - -     -
+dvc1_radial1_32      dvc1        XCT1_Scan0_Reference  XCT1_Scan5_Radial1    32  radial      -57  0  0   - - -     -
+dvc1_radial2_32      dvc1        XCT1_Scan0_Reference  XCT1_Scan6_Radial2    32  radial      -58  0  0   - - -     -
+translation_0.0      translation vol_translation_1000  vol_translation_1001  40  translation 0    0  0   0 0 0     -
+translation_0.1      translation vol_translation_1000  vol_translation_1002  40  translation 0    0  0   0 0.1 0   -
+translation_0.2      translation vol_translation_1000  vol_translation_1003  40  translation 0    0  0   0 0.2 0   -
+translation_0.3      translation vol_translation_1000  vol_translation_1004  40  translation 0    0  0   0 0.3 0   -
+translation_0.4      translation vol_translation_1000  vol_translation_1005  40  translation 0    0  0   0 0.4 0   -
+translation_0.5      translation vol_translation_1000  vol_translation_1006  40  translation 0    0  0   0 0.5 0   -
+translation_0.6      translation vol_translation_1000  vol_translation_1007  40  translation 0    0  0   0 0.6 0   -
+translation_0.7      translation vol_translation_1000  vol_translation_1008  40  translation 0    0  0   0 0.7 0   -
+translation_0.8      translation vol_translation_1000  vol_translation_1009  40  translation 0    0  0   0 0.8 0   -
+translation_0.9      translation vol_translation_1000  vol_translation_1010  40  translation 0    0  0   0 0.9 0   -
+translation_1.0      translation vol_translation_1000  vol_translation_1011  40  translation 0    0  0   0 1 0     -
+stretch_1            stretch     vol_stretch_1001      vol_stretch_1002      40  stretch     0    0  0   - - -     0.05
+stretch_2            stretch     vol_stretch_1001      vol_stretch_1003      40  stretch     0    0  0   - - -     0.1
+stretch_3            stretch     vol_stretch_1001      vol_stretch_1004      40  stretch     0    0  0   - - -     0.15
+stretch_4            stretch     vol_stretch_1001      vol_stretch_1005      40  stretch     0    0  0   - - -     0.2
+stretch_5            stretch     vol_stretch_1001      vol_stretch_1006      40  stretch     0    0  0   - - -     0.25
+stretch_6            stretch     vol_stretch_1001      vol_stretch_1007      40  stretch     0    0  0   - - -     0.3
+"""
+
+
 def named_cases() -> list[NamedCase]:
     """The 27 public cases: repeats and moves of a foam scan, translated and stretched beads."""
-    # Fixed values of the data sets: scan names, offsets in voxels, sizes, steps.
-    foam, beads = "XCT1_Scan0_Reference", 40.0
-    out = [NamedCase(f"dvc1_repeat{k}_{size}", "dvc1", foam, f"XCT1_Scan{k}_Repeat{k}", float(size), "repeat") for size in (24, 32, 48) for k in (1, 2)]
-    moves = {"axial1": ("XCT1_Scan3_Axial1", (0.0, 0.0, 58.0)), "axial2": ("XCT1_Scan4_Axial2", (0.0, 0.0, 58.0)), "radial1": ("XCT1_Scan5_Radial1", (-57.0, 0.0, 0.0)), "radial2": ("XCT1_Scan6_Radial2", (-58.0, 0.0, 0.0))}
-    out += [NamedCase(f"dvc1_{name}_32", "dvc1", foam, scan, 32.0, name.rstrip("12"), offset) for name, (scan, offset) in moves.items()]
-    out += [NamedCase(f"translation_{k / 10:.1f}", "translation", "vol_translation_1000", f"vol_translation_{1001 + k}", beads, "translation", truth=(0.0, k / 10, 0.0)) for k in range(11)]
-    out += [NamedCase(f"stretch_{k}", "stretch", "vol_stretch_1001", f"vol_stretch_{1001 + k}", beads, "stretch", strain_y=5 * k / 100) for k in range(1, 7)]
+    out = []
+    for line in NAMED_CASES.strip().splitlines():
+        name, dataset, reference, deformed, size, group, *numbers = line.split()
+        offset, truth, strain = numbers[:3], numbers[3:6], numbers[6]
+        known = None if truth[0] == "-" else tuple(map(float, truth))
+        out.append(NamedCase(name, dataset, reference, deformed, float(size), group, tuple(map(float, offset)), known, None if strain == "-" else float(strain)))
     return out
 
 

@@ -12,12 +12,15 @@ from corrvox.config import RunConfig, build
 from corrvox.functions import arrays, fields_numpy
 from corrvox.functions.kernels import sphere_offsets
 from corrvox.operators import strain, studies
+from corrvox.operators.metrics import match, with_error
 from corrvox.plans import cases
 from corrvox.plans.fixtures import PTS, RESULTS, STENCIL, SUBVOL, pts, rd, res_a, res_b, res_c, stencil, subvol, table, truth
 from corrvox.plans.queries_metrics import _EDGE
 from corrvox.plans.queries_samples import _W
+from corrvox.plans.queries_volumes import BRICK, NX, NY, VOX, vox
 from corrvox.plans.registry import query
 from corrvox.sources import text
+from corrvox.sources.volumes import bricks_of_voxels, voxel_rows
 
 C = F.col
 
@@ -58,57 +61,87 @@ _default("sinusoid", _uvw("sin(2 * pi() / 160 * x)", "0.0", "0.0") + "c")
 _default("inclusion", ", s AS (SELECT *, CASE WHEN sqrt(dx*dx + dy*dy + dz*dz) > 26.5 THEN 1 - 0.8::DOUBLE * pow(26.5 / sqrt(dx*dx + dy*dy + dz*dz), 3) ELSE 0.2::DOUBLE END AS s FROM c) " + _uvw(f"s * 1.5 * {_G} * dx", f"s * -0.75 * {_G} * dy", f"s * -0.75 * {_G} * dz") + "s")
 
 
-@query("grid_points", "WITH g AS (SELECT a.i * 5 * 6 + b.i * 6 + c.i AS id, 3 + 10.0::DOUBLE * a.i AS x, 4 + 10.0::DOUBLE * b.i AS y, 5 + 10.0::DOUBLE * c.i AS z FROM range(4) a(i), range(5) b(i), range(6) c(i)), o AS (SELECT *, row_number() OVER (ORDER BY sqrt((x - 18.5) * (x - 18.5) + (y - 24) * (y - 24) + (z - 32) * (z - 32)), id) AS n FROM g), m AS (SELECT id AS centre FROM o WHERE n = 1) SELECT CAST(CASE WHEN id = centre THEN 0 WHEN id = 0 THEN centre ELSE id END + 1 AS BIGINT) AS point_id, x, y, z FROM g, m")
-def grid_points(spark, d):
-    return cases.grid_points(spark, (3.0, 4.0, 5.0), (34.0, 44.0, 59.0), 10.0)
+def _boxes(spark, d, low, high, spacing: float):
+    """A box for each supplier, from columns of k, its number."""
+    k = C("s_suppkey").cast("long")
+    ends = [c.cast("double").alias(f"{e}_{a}") for e, cs in (("lo", low(k)), ("hi", high(k))) for a, c in zip("xyz", cs, strict=True)]
+    return table(spark, d, "supplier").select(k.alias("k"), *ends, F.lit(spacing).alias("spacing"))
 
 
-@query("case_points", "SELECT 79.5 + 16.0::DOUBLE * a.i AS x, 79.5 + 16.0::DOUBLE * b.i AS y, 99.5 + 16.0::DOUBLE * c.i AS z FROM range(-9, 10) a(i), range(-9, 10) b(i), range(-9, 10) c(i) WHERE 79.5 + 16 * a.i BETWEEN 20 AND 139 AND 79.5 + 16 * b.i BETWEEN 20 AND 139 AND 99.5 + 16 * c.i BETWEEN 20 AND 179")
-def case_points(spark, d):
-    return cases.case_points(spark, (160, 160, 200), 16.0, 20.0)
+def _lattice_sql(low, high, spacing: float) -> str:
+    """g: k, id, x, y, z of a lattice for each supplier; b: its boxes."""
+    ends = ", ".join(f"({v})::DOUBLE AS {e}_{a}" for e, vs in (("lo", low), ("hi", high)) for a, v in zip("xyz", vs, strict=True))
+    n = ", ".join(f"greatest(floor((hi_{a} - lo_{a} + 1e-9) / {spacing}) + 1, 0)::BIGINT AS n{a}" for a in "xyz")
+    return f"b AS (SELECT k, {ends} FROM (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier)), n AS (SELECT *, {n} FROM b), g AS (SELECT k, (i.i * ny + j.i) * nz + l.i AS id, lo_x + {spacing}::DOUBLE * i.i AS x, lo_y + {spacing}::DOUBLE * j.i AS y, lo_z + {spacing}::DOUBLE * l.i AS z FROM n, range(20) i(i), range(20) j(i), range(20) l(i) WHERE i.i < nx AND j.i < ny AND l.i < nz)"
 
 
-@query("beads_points", "SELECT 28 + 20.0::DOUBLE * a.i AS x, 28 + 20.0::DOUBLE * b.i AS y, 28 + 20.0::DOUBLE * c.i AS z FROM range(20) a(i), range(20) b(i), range(20) c(i) WHERE 28 + 20 * a.i <= 131 AND 28 + 20 * b.i <= 131 AND 28 + 20 * c.i <= 171")
-def beads_points(spark, d):
-    return cases.inner_grid(spark, (160, 160, 200), 20.0, 28.0).select("x", "y", "z")
+_LOW, _HIGH = ("k % 5", "k % 4", "k % 3"), ("k % 5 + 20 + k % 13", "k % 4 + 20 + k % 7", "k % 3 + 20 + k % 11")
 
 
-_BALLS = "mask AS (SELECT x.i AS x, y.i AS y, z.i AS z FROM range(40) x(i), range(40) y(i), range(40) z(i) WHERE (x.i - 20) * (x.i - 20) + (y.i - 18) * (y.i - 18) + (z.i - 21) * (z.i - 21) < 225)"
+@query("grid_points", f"WITH {_lattice_sql(_LOW, _HIGH, 10.0)}, o AS (SELECT g.k, g.id, row_number() OVER (PARTITION BY g.k ORDER BY sqrt((x - (lo_x + hi_x) / 2) * (x - (lo_x + hi_x) / 2) + (y - (lo_y + hi_y) / 2) * (y - (lo_y + hi_y) / 2) + (z - (lo_z + hi_z) / 2) * (z - (lo_z + hi_z) / 2)), id) AS n FROM g JOIN b ON g.k = b.k), m AS (SELECT k, id AS centre FROM o WHERE n = 1) SELECT g.k, CAST(CASE WHEN id = centre THEN 0 WHEN id = 0 THEN centre ELSE id END + 1 AS BIGINT) AS point_id, x, y, z FROM g JOIN m ON g.k = m.k")
+def grid_points(spark, d):
+    """A lattice over a box for each supplier, the point nearest the middle first."""
+    b = _boxes(spark, d, lambda k: (k % 5, k % 4, k % 3), lambda k: (k % 5 + 20 + k % 13, k % 4 + 20 + k % 7, k % 3 + 20 + k % 11), 10.0)
+    return cases.centre_first(cases.lattices(b), b, "k")
 
 
-@query("dvc1_points", f"WITH {_BALLS}, p AS (SELECT 1.5 + 6 * a.i AS x, 1.5 + 6 * b.i AS y, 1.5 + 6 * c.i AS z FROM range(7) a(i), range(7) b(i), range(7) c(i)), v AS (SELECT p.x::DOUBLE AS x, p.y::DOUBLE AS y, p.z::DOUBLE AS z, CAST(round_even(p.x, 0) AS BIGINT) AS vx, CAST(round_even(p.y, 0) AS BIGINT) AS vy, CAST(round_even(p.z, 0) AS BIGINT) AS vz FROM p), n AS (SELECT v.x, v.y, v.z, count(*) AS solid FROM v JOIN mask m ON pow(m.x - vx, 2) + pow(m.y - vy, 2) + pow(m.z - vz, 2) < 9 GROUP BY ALL) SELECT x, y, z FROM n WHERE solid = (SELECT count(*) FROM range(-3, 4) a(i), range(-3, 4) b(i), range(-3, 4) c(i) WHERE a.i * a.i + b.i * b.i + c.i * c.i < 9)")
-def dvc1_points(spark, d):
-    """A lattice inside a mask that is eroded by 3 voxels."""
-    return cases.in_mask(cases.centred_grid(spark, (40, 40, 40), 6.0), _ball_mask(spark), (40, 40, 40), 16, 3.0, tile=16.0)
+_SHAPE = ("100 + k % 60", "90 + k % 50", "110 + k % 40")
+_MANY = [f"16 * floor((({n} - 1) / 2.0::DOUBLE - 20 + 1e-9) / 16)" for n in _SHAPE]
+
 
+def _shape_of(k):
+    return 100 + k % 60, 90 + k % 50, 110 + k % 40
 
-def _ball_mask(spark):
-    import pandas as pd
 
-    from corrvox.sources.volumes import SCHEMA, brick_rows
+@query("case_points", f"WITH {_lattice_sql([f'({n} - 1) / 2.0::DOUBLE - {m}' for n, m in zip(_SHAPE, _MANY, strict=True)], [f'({n} - 1) / 2.0::DOUBLE + {m}' for n, m in zip(_SHAPE, _MANY, strict=True)], 16.0)} SELECT k, x, y, z FROM g")
+def case_points(spark, d):
+    """Lattices through the middles of volumes, no nearer than 20 to a face."""
+    half = lambda k: [(n - 1) / 2 for n in _shape_of(k)]
+    many = lambda h: 16.0 * F.floor((h - 20 + 1e-9) / 16)
+    b = _boxes(spark, d, lambda k: [h - many(h) for h in half(k)], lambda k: [h + many(h) for h in half(k)], 16.0)
+    return cases.lattices(b).select("k", "x", "y", "z")
 
-    def read(lo, hi):
-        z, y, x = np.meshgrid(*[np.arange(a, b) for a, b in zip(lo[::-1], hi[::-1], strict=True)], indexing="ij")
-        return ((x - 20) ** 2 + (y - 18) ** 2 + (z - 21) ** 2 < 225).astype(np.uint8)
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame([r for k in b["id"] for r in brick_rows(read, (40, 40, 40), 16, int(k) // 3, int(k) % 3)], columns=["bx", "by", "bz", "nx", "ny", "nz", "dtype", "data"])
+@query("beads_points", f"WITH {_lattice_sql(['28'] * 3, [f'{n} - 29' for n in _SHAPE], 20.0)} SELECT k, x, y, z FROM g")
+def beads_points(spark, d):
+    """Lattices that begin 28 from the lower faces and end no nearer to the upper ones."""
+    return cases.lattices(_boxes(spark, d, lambda k: [F.lit(28)] * 3, lambda k: [n - 29 for n in _shape_of(k)], 20.0)).select("k", "x", "y", "z")
+
 
-    return spark.range(9).mapInPandas(run, SCHEMA)
+@query("dvc1_points", f"""WITH {VOX}, mask AS (SELECT x, y, z FROM vox WHERE v % 10 < 9), d AS (SELECT max(z) AS top FROM vox),
+p AS (SELECT 3.0::DOUBLE * a.i AS x, 0.5::DOUBLE + 3 * b.i AS y, (top % 3) / 2.0::DOUBLE + 3 * c.i AS z FROM d, range(14) a(i), range(11) b(i), range((SELECT top // 3 + 1 FROM d)) c(i)),
+v AS (SELECT *, CAST(round_even(x, 0) AS BIGINT) AS vx, CAST(round_even(y, 0) AS BIGINT) AS vy, CAST(round_even(z, 0) AS BIGINT) AS vz FROM p WHERE y <= 31)
+SELECT v.x, v.y, v.z FROM v, range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i), mask m WHERE a.i * a.i + b.i * b.i + c.i * c.i < 2.25 AND m.x = vx + a.i AND m.y = vy + b.i AND m.z = vz + c.i GROUP BY ALL HAVING count(*) = 19""")
+def dvc1_points(spark, d):
+    """A lattice inside a mask that is made from events and eroded by 1.5 voxels."""
+    v = vox(spark, d)
+    shape = (NX, NY, v.agg(F.max("z")).first()[0] + 1)
+    mask = bricks_of_voxels(v.where("v % 10 < 9").select("x", "y", "z", F.lit(1).alias("v")), shape, BRICK, "u1")
+    return cases.in_mask(cases.centred_grid(spark, shape, 3.0), mask, shape, BRICK, 1.5, tile=16.0)
 
 
-@query("named_cases", "SELECT 'repeat' AS \"group\", 6 AS cases, 24.0::DOUBLE AS least, 48.0::DOUBLE AS most UNION ALL SELECT 'axial', 2, 32.0, 32.0 UNION ALL SELECT 'radial', 2, 32.0, 32.0 UNION ALL SELECT 'translation', 11, 40.0, 40.0 UNION ALL SELECT 'stretch', 6, 40.0, 40.0")
+@query("named_cases", f"""WITH {RESULTS}, e AS (SELECT a.point_id % 27 AS k, a.status AS s, a.v - t.v AS ev FROM res_a a JOIN truth t USING (point_id)),
+c AS (SELECT *, CASE WHEN k < 6 THEN 'repeat' WHEN k < 8 THEN 'axial' WHEN k < 10 THEN 'radial' WHEN k < 21 THEN 'translation' ELSE 'stretch' END AS "group", CASE WHEN k < 10 THEN (CASE WHEN k < 6 THEN [24, 24, 32, 32, 48, 48][k + 1] ELSE 32 END) ELSE 40 END AS size FROM e)
+SELECT "group", count(DISTINCT k)::INT AS cases, min(size)::DOUBLE AS least, max(size)::DOUBLE AS most, count(*) AS points, count(*) FILTER (WHERE s = 0) AS good, round(avg(ev) FILTER (WHERE s = 0), 9) AS bias_v FROM c GROUP BY "group\"""")
 def named_cases(spark, d):
-    rows = [(c.name, c.group, c.size) for c in cases.named_cases()]
-    return spark.createDataFrame(rows, "name string, group string, size double").groupBy("group").agg(F.count(F.lit(1)).cast("int").alias("cases"), F.min("size").alias("least"), F.max("size").alias("most"))
+    """Results by the public cases' groups; points are dealt to the 27 cases by their id."""
+    rows = [(k, c.name, c.group, c.size) for k, c in enumerate(cases.named_cases())]
+    named = spark.createDataFrame(rows, "k long, name string, group string, size double")
+    m = with_error(match(res_a(spark, d), truth(pts(spark, d)).select("point_id", "u", "v", "w"))).withColumn("k", C("point_id") % 27)
+    good = C("a_status") == 0
+    return m.join(F.broadcast(named), "k").groupBy("group").agg(F.count_distinct("name").cast("int").alias("cases"), F.min("size").alias("least"), F.max("size").alias("most"), F.count(F.lit(1)).alias("points"), F.count(F.when(good, 1)).alias("good"), F.round(F.avg(F.when(good, C("ev"))), 9).alias("bias_v"))
 
 
-@query("error_floor_cases", f"""SELECT s.i / 10.0::DOUBLE AS shift, d.n AS direction, v.n AS variant, f.n AS noise_factor, z.n AS size, CAST(k.n AS INT) AS n_samples,
-round((CASE WHEN v.n = 'symmetric' THEN -0.5 ELSE 0 END)::DOUBLE * s.i / 10.0 * d.x, 9) + 0.0 AS ref_x, round((CASE WHEN v.n = 'symmetric' THEN 0.5 ELSE 1 END)::DOUBLE * s.i / 10.0 * d.y, 9) + 0.0 AS def_y
-FROM range(11) s(i), (VALUES ('x', 1.0::DOUBLE, 0.0::DOUBLE), ('diagonal', {1 / math.sqrt(3)!r}::DOUBLE, {1 / math.sqrt(3)!r}::DOUBLE)) d(n, x, y), (VALUES ('one-sided'), ('symmetric')) v(n), (VALUES (0.0::DOUBLE), (0.5), (1.0), (2.0)) f(n), (VALUES (40.0::DOUBLE), (60.0), (80.0)) z(n), (VALUES (1000), (2000), (4000), (8000)) k(n)""")
+@query("error_floor_cases", f"""SELECT CAST(s_suppkey AS BIGINT) AS k, (s_suppkey % 11) / 10.0::DOUBLE AS shift, CASE WHEN s_suppkey % 2 = 0 THEN 'x' ELSE 'diagonal' END AS direction, CASE WHEN s_suppkey % 3 = 0 THEN 'symmetric' ELSE 'one-sided' END AS variant,
+round((CASE WHEN s_suppkey % 3 = 0 THEN -0.5 ELSE 0 END)::DOUBLE * (s_suppkey % 11) / 10.0 * (CASE WHEN s_suppkey % 2 = 0 THEN 1.0 ELSE {1 / math.sqrt(3)!r} END)::DOUBLE, 9) + 0.0 AS ref_x, round((CASE WHEN s_suppkey % 3 = 0 THEN 0.5 ELSE 1 END)::DOUBLE * (s_suppkey % 11) / 10.0 * (CASE WHEN s_suppkey % 2 = 0 THEN 0.0 ELSE {1 / math.sqrt(3)!r} END)::DOUBLE, 9) + 0.0 AS def_y FROM supplier""")
 def error_floor_cases(spark, d):
-    return studies.error_floor_cases(spark).select("shift", "direction", "variant", "noise_factor", "size", "n_samples", rd(C("ref_x")).alias("ref_x"), rd(C("def_y")).alias("def_y"))
+    """Both images' shifts of a case for each supplier."""
+    k = C("s_suppkey").cast("long")
+    axis = F.create_map(*[v for n, dxyz in studies.DIRECTIONS.items() for v in (F.lit(n), F.array(*map(F.lit, dxyz)))])
+    name = F.when(k % 2 == 0, "x").otherwise("diagonal")
+    p = table(spark, d, "supplier").select(k.alias("k"), ((k % 11) / 10.0).alias("shift"), name.alias("direction"), F.when(k % 3 == 0, "symmetric").otherwise("one-sided").alias("variant"))
+    p = p.select("*", *[F.element_at(axis, C("direction"))[i].alias(f"d{a}") for i, a in enumerate("xyz")])
+    return studies.with_shifts(p).select("k", "shift", "direction", "variant", rd(C("ref_x")).alias("ref_x"), rd(C("def_y")).alias("def_y"))
 
 
 @query("study_variants", f"""WITH {RESULTS}, r AS (SELECT 'a' AS variant, * FROM res_a UNION ALL SELECT 'b', * FROM res_b UNION ALL SELECT 'c', * FROM res_c),
@@ -120,14 +153,14 @@ def study_variants(spark, d):
     return p.select("one", "other", "points", rd(C("status_agreement")).alias("status_agreement"), "good_both", rd(C("p50")).alias("p50"), rd(C("p95")).alias("p95"))
 
 
-@query("density_sweep", "WITH s AS (SELECT unnest([8, 16, 32]) AS spacing), p AS (SELECT spacing, a.i * 100000 + b.i * 1000 + c.i AS id, spacing::DOUBLE * a.i AS x, spacing::DOUBLE * b.i AS y, spacing::DOUBLE * c.i AS z FROM s, range(17) a(i), range(17) b(i), range(17) c(i) WHERE spacing * a.i <= 128 AND spacing * b.i <= 128 AND spacing * c.i <= 128), e AS (SELECT *, sqrt((x-64)*(x-64) + (y-64)*(y-64) + (z-64)*(z-64)) AS dist FROM p), r AS (SELECT *, CASE WHEN dist = 0 THEN -1 ELSE floor(dist / spacing) END AS ring FROM e) SELECT CAST(spacing AS DOUBLE) AS spacing, count(*) AS points, CAST(count(DISTINCT ring) AS INT) AS shells FROM r GROUP BY spacing")
+@query("density_sweep", f"WITH {PTS}, s AS (SELECT unnest([8, 16, 32]) AS spacing), p AS (SELECT spacing, point_id, sqrt((x-64)*(x-64) + (y-64)*(y-64) + (z-64)*(z-64)) AS dist FROM pts, s WHERE x % spacing = 0 AND y % spacing = 0 AND z % spacing = 0), r AS (SELECT spacing, CASE WHEN row_number() OVER (PARTITION BY spacing ORDER BY dist, point_id) = 1 THEN -1 ELSE floor(dist / spacing) END AS ring FROM p) SELECT CAST(spacing AS DOUBLE) AS spacing, count(*) AS points, CAST(count(DISTINCT ring) AS INT) AS shells FROM r GROUP BY spacing")
 def density_sweep(spark, d):
-    """Points and shells of ever denser lattices over one box (what a sweep of timings is plotted against)."""
+    """Points and shells of ever sparser lattices out of one cloud (what a sweep of timings is plotted against)."""
     from corrvox.operators.seeding import wavefront_shells
 
     out = None
     for s in (8.0, 16.0, 32.0):
-        g = cases.grid_points(spark, (0.0, 0.0, 0.0), (128.0, 128.0, 128.0), s)
+        g = pts(spark, d).where((C("x") % s == 0) & (C("y") % s == 0) & (C("z") % s == 0))
         row = wavefront_shells(g, (64.0, 64.0, 64.0), s).agg(F.count(F.lit(1)).alias("points"), (F.max("shell") + 1).cast("int").alias("shells")).select(F.lit(s).alias("spacing"), "points", "shells")
         out = row if out is None else out.unionByName(row)
     return out
@@ -192,16 +225,16 @@ def sphere_template(spark, d):
     return table(spark, d, "supplier").select(C("s_suppkey").cast("long")).mapInPandas(run, "s_suppkey long, samples long, inside boolean, z_ordered boolean, same_again boolean")
 
 
-@query("speckle", "SELECT 24 * 16 * 16 AS voxels, true AS near_middle, true AS spread, true AS same_by_brick")
+@query("speckle", "SELECT CAST(24 * 16 * 8 * ceil(count(*) / 8.0) AS BIGINT) AS voxels, true AS near_middle, true AS spread, true AS same_by_brick FROM supplier")
 def speckle(spark, d):
-    """A speckle image: middle grey, spread by an eighth of the scale, the same whatever its bricks are dealt to."""
+    """A speckle image, a layer of bricks for eight suppliers: middle grey, spread by an eighth of the scale, the same whatever its bricks are dealt to."""
     from corrvox.plans.correlate import speckle_bricks
-    from corrvox.plans.queries_solver import voxels
 
-    v = voxels(speckle_bricks(spark, (24, 16, 16), 8, 3.0, 5), 8)
-    w = voxels(speckle_bricks(spark, (24, 16, 16), 8, 3.0, 5).repartition(2), 8)
+    shape = (24, 16, 8 * -(-table(spark, d, "supplier").count() // 8))
+    v = voxel_rows(speckle_bricks(spark, shape, 8, 3.0, 5), 8)
+    w = voxel_rows(speckle_bricks(spark, shape, 8, 3.0, 5).repartition(2), 8)
     both = v.join(w.withColumnRenamed("v", "again"), ["x", "y", "z"])
-    return both.agg(F.count(F.lit(1)).cast("int").alias("voxels"), (F.abs(F.avg("v") - 32768) < 3000).alias("near_middle"), F.stddev_pop("v").between(4000, 12000).alias("spread"), F.bool_and(C("v") == C("again")).alias("same_by_brick"))
+    return both.agg(F.count(F.lit(1)).alias("voxels"), (F.abs(F.avg("v") - 32768) < 3000).alias("near_middle"), F.stddev_pop("v").between(4000, 12000).alias("spread"), F.bool_and(C("v") == C("again")).alias("same_by_brick"))
 
 
 @query("closing_lines", f"WITH {RESULTS}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE status = 0) AS n0, count(*) FILTER (WHERE status = -1) AS n1, count(*) FILTER (WHERE status = -2) AS n2 FROM res_a) SELECT CAST(unnest(range(0, 10)) AS INT) AS place, unnest(['Run start:' || chr(9) || '1970-01-01 00:00:00', 'Run finish:' || chr(9) || '1970-01-01 00:00:08', n || ' points processed in 8 seconds', printf('%.3f sec/pt', 8.0::DOUBLE / n), printf('%.3f pt/sec', n / 8.0::DOUBLE), '', " + ", ".join(f"'number {label} = ' || n{k} || chr(9) || printf('(%.3f%%)', 100.0::DOUBLE * n{k} / n)" for k, label in enumerate(("successful", "range fail", "convg fail"))) + ", '']) AS line FROM t")

@@ -62,12 +62,11 @@ def inverse_map(spark, d):
     return pts(spark, d).select("point_id", *[rd(v, 8).alias(a) for a, v in zip("xyz", WAVE.inverse(P()), strict=True)])
 
 
-@query("max_displacement", """
-WITH p AS (SELECT a.i * 10.0::DOUBLE AS x, b.i * 10.0::DOUBLE AS y, c.i * 12.0::DOUBLE AS z FROM range(17) a(i), range(17) b(i), range(17) c(i)), d AS (SELECT x - 80 AS dx, y - 80 AS dy, z - 96 AS dz FROM p),
+@query("max_displacement", f"""
+WITH {PTS}, d AS (SELECT x - 80 AS dx, y - 80 AS dy, z - 96 AS dz FROM pts),
 f AS (SELECT 1.25 + 0.015625::DOUBLE * dx + 0.0078125::DOUBLE * dy AS u, -0.5 + 0.0078125::DOUBLE * dx - 0.03125::DOUBLE * dy + 0.00390625::DOUBLE * dz AS v, 0.25 + 0.00390625::DOUBLE * dy + 0.015625::DOUBLE * dz AS w FROM d)
 SELECT round(max(sqrt(u * u + v * v + w * w)), 9) AS max_displacement FROM f""")
 def max_displacement(spark, d):
-    """The largest displacement on a 17 x 17 x 17 probe grid."""
-    grid = spark.range(17**3).select((F.floor(C("id") / 289) * 10.0).alias("x"), (F.floor(C("id") / 17) % 17 * 10.0).alias("y"), (C("id") % 17 * 12.0).alias("z"))
+    """The largest displacement of a field over the points of a cloud."""
     u = AFFINE(P())
-    return grid.agg(rd(F.max(F.sqrt(u[0] * u[0] + u[1] * u[1] + u[2] * u[2]))).alias("max_displacement"))
+    return pts(spark, d).agg(rd(F.max(F.sqrt(u[0] * u[0] + u[1] * u[1] + u[2] * u[2]))).alias("max_displacement"))

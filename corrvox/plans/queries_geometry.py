@@ -260,10 +260,11 @@ def truth_case(spark, d):
     return pts(spark, d).select("point_id", rd(F.when(even, 0.5).otherwise(0.01 * (C("x") - 79.5))).alias("u"), rd(F.when(even, 0.5).otherwise(-0.005 * (C("y") - 79.5))).alias("v"))
 
 
-@query("iter_blocks", "SELECT CAST(z AS BIGINT) AS z0, least(z + 48, 160) AS z1, CAST(y AS BIGINT) AS y0, least(y + 64, 160) AS y1, CAST(x AS BIGINT) AS x0, least(x + 64, 160) AS x1 FROM range(0, 160, 48) a(z), range(0, 160, 64) b(y), range(0, 160, 64) c(x)")
+@query("iter_blocks", "WITH s AS (SELECT CAST(s_suppkey AS BIGINT) AS k, 100 + s_suppkey % 60 AS nx, 90 + s_suppkey % 50 AS ny, 110 + s_suppkey % 40 AS nz FROM supplier) SELECT k, CAST(z AS BIGINT) AS z0, least(z + 48, nz) AS z1, CAST(y AS BIGINT) AS y0, least(y + 64, ny) AS y1, CAST(x AS BIGINT) AS x0, least(x + 64, nx) AS x1 FROM s, range(0, 160, 48) a(z), range(0, 160, 64) b(y), range(0, 160, 64) c(x) WHERE z < nz AND y < ny AND x < nx")
 def iter_blocks(spark, d):
-    """Boxes that tile a shape of 160 voxels a side."""
-    out = spark.range(1)
+    """Boxes that tile a volume, one for each supplier."""
+    k = C("s_suppkey").cast("long")
+    out = table(spark, d, "supplier").select(k.alias("k"), (100 + k % 60).alias("nx"), (90 + k % 50).alias("ny"), (110 + k % 40).alias("nz"))
     for a, step in (("z", 48), ("y", 64), ("x", 64)):
-        out = out.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(159).cast("long"), F.lit(step).cast("long"))).alias(f"{a}0"))
-    return out.select(*[c for a, step in (("z", 48), ("y", 64), ("x", 64)) for c in (C(f"{a}0"), F.least(C(f"{a}0") + step, F.lit(160)).cast("long").alias(f"{a}1"))])
+        out = out.select("*", F.explode(F.sequence(F.lit(0).cast("long"), C(f"n{a}") - 1, F.lit(step).cast("long"))).alias(f"{a}0"))
+    return out.select("k", *[c for a, step in (("z", 48), ("y", 64), ("x", 64)) for c in (C(f"{a}0"), F.least(C(f"{a}0") + step, C(f"n{a}")).cast("long").alias(f"{a}1"))])

@@ -181,17 +181,20 @@ def progress(spark, d):
     return p.join(F.broadcast(p.agg(F.count(F.lit(1)).alias("n")))).select("point_id", F.concat_ws("/", C("place").cast("string"), C("n").cast("string")).alias("line"))
 
 
-@query("grid_in_mask", """WITH l AS (SELECT a.i * 10.0::DOUBLE AS gx, b.i * 10.0::DOUBLE AS gy, c.i * 12.0::DOUBLE AS gz FROM range(-20, 21) a(i), range(-20, 21) b(i), range(-20, 21) c(i)),
-r AS (SELECT gx * cos(radians(30)) - gy * sin(radians(30)) + 79.5 AS x, gx * sin(radians(30)) + gy * cos(radians(30)) + 79.5 AS y, gz + 99.5 AS z FROM l)
-SELECT round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM r WHERE x BETWEEN -1e-9 AND 159 + 1e-9 AND y BETWEEN -1e-9 AND 159 + 1e-9 AND z BETWEEN -1e-9 AND 199 + 1e-9""")
+@query("grid_in_mask", """WITH l AS (SELECT CAST(s_suppkey AS BIGINT) AS k, radians(s_suppkey % 90) AS t, a.i * 10.0::DOUBLE AS gx, b.i * 10.0::DOUBLE AS gy, c.i * 12.0::DOUBLE AS gz FROM supplier, range(-5, 6) a(i), range(-5, 6) b(i), range(-5, 6) c(i)),
+r AS (SELECT k, gx * cos(t) - gy * sin(t) + 29.5 AS x, gx * sin(t) + gy * cos(t) + 29.5 AS y, gz + 39.5 AS z FROM l)
+SELECT k, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM r WHERE x BETWEEN -1e-9 AND 59 + 1e-9 AND y BETWEEN -1e-9 AND 59 + 1e-9 AND z BETWEEN -1e-9 AND 79 + 1e-9""")
 def grid_in_mask(spark, d):
-    """A lattice through the volume's centre, turned by 30 degrees about z, where it lies inside."""
+    """Lattices through a volume's centre, turned about z by an angle for each supplier, where they lie inside."""
     from corrvox.functions.geometry import apply, lattice_rotation
+    from corrvox.plans.cases import lattices
 
-    g = spark.range(41**3).select(*[((F.floor(C("id") / 41**k) % 41 - 20) * s).alias(a) for a, k, s in (("gx", 0, 10.0), ("gy", 1, 10.0), ("gz", 2, 12.0))])
-    p = apply(lattice_rotation((F.lit(0.0), F.lit(0.0), F.lit(30.0))), (C("gx"), C("gy"), C("gz")))
-    g = g.select(*[(v + c).alias(a) for a, v, c in zip("xyz", p, (79.5, 79.5, 99.5), strict=True)])
+    k = C("s_suppkey").cast("long")
+    ends = [F.lit(float(v)).alias(f"{e}_{a}") for e, v in (("lo", -5), ("hi", 5)) for a in "xyz"]
+    g = lattices(table(spark, d, "supplier").select(k.alias("k"), (k % 90).cast("double").alias("turn"), *ends, F.lit(1.0).alias("spacing")))
+    p = apply(lattice_rotation((F.lit(0.0), F.lit(0.0), C("turn"))), (10.0 * C("x"), 10.0 * C("y"), 12.0 * C("z")))
+    g = g.select("k", *[(v + c).alias(a) for a, v, c in zip("xyz", p, (29.5, 29.5, 39.5), strict=True)])
     inside = F.lit(True)
-    for a, n in zip("xyz", (159, 159, 199), strict=True):
+    for a, n in zip("xyz", (59, 59, 79), strict=True):
         inside = inside & C(a).between(-1e-9, n + 1e-9)
-    return g.where(inside).select(*[rd(C(a), 6).alias(a) for a in "xyz"])
+    return g.where(inside).select("k", *[rd(C(a), 6).alias(a) for a in "xyz"])
