@@ -10,17 +10,16 @@ from corrvox.operators.tables import cut
 from corrvox.plans import correlate as c
 from corrvox.plans.fixtures import rd, table
 from corrvox.plans.registry import query
-from corrvox.sources.volumes import assemble
+from corrvox.sources.volumes import in_box, voxel_rows
 
 C = F.col
 SHAPE, BRICK, TILE = (40, 40, 40), 16, 12.0
 SHIFT = (1.3, -0.7, 0.4)
 _LATTICE = "l AS (SELECT CAST(s_suppkey AS BIGINT) AS point_id, 12 + 4.0::DOUBLE * (s_suppkey % 5) AS x, 12 + 4.0::DOUBLE * (s_suppkey // 5 % 5) AS y, 12 + 4.0::DOUBLE * (s_suppkey // 25 % 5) AS z FROM supplier)"
-_FIXED = "l AS (SELECT a.i * 25 + b.i * 5 + c.i AS point_id, 12 + 4.0::DOUBLE * c.i AS x, 12 + 4.0::DOUBLE * b.i AS y, 12 + 4.0::DOUBLE * a.i AS z FROM range(5) a(i), range(5) b(i), range(5) c(i))"
 
 
-def _known(u, v, w, status=0, points=_LATTICE):
-    return f"WITH {points} SELECT point_id, x, y, z, CAST({status} AS INT) AS status, {u}::DOUBLE AS u, {v}::DOUBLE AS v, {w}::DOUBLE AS w FROM l"
+def _known(u, v, w, status=0):
+    return f"WITH {_LATTICE} SELECT point_id, x, y, z, CAST({status} AS INT) AS status, {u}::DOUBLE AS u, {v}::DOUBLE AS v, {w}::DOUBLE AS w FROM l"
 
 
 def waves(spark, d) -> np.ndarray:
@@ -34,12 +33,8 @@ def waves(spark, d) -> np.ndarray:
 
 def lattice(spark, d):
     """A point for each supplier, on the 125 places of a lattice."""
-    return _placed(table(spark, d, "supplier").select(C("s_suppkey").cast("long").alias("id")))
-
-
-def _placed(ids):
-    i = C("id")
-    return ids.select(i.alias("point_id"), (12 + 4.0 * (i % 5)).alias("x"), (12 + 4.0 * (F.floor(i / 5) % 5)).alias("y"), (12 + 4.0 * (F.floor(i / 25) % 5)).alias("z"))
+    i = C("s_suppkey").cast("long")
+    return table(spark, d, "supplier").select(i.alias("point_id"), (12 + 4.0 * (i % 5)).alias("x"), (12 + 4.0 * (F.floor(i / 5) % 5)).alias("y"), (12 + 4.0 * (F.floor(i / 25) % 5)).alias("z"))
 
 
 def images(spark, d, back):
@@ -151,14 +146,14 @@ def _plan(spark, d):
     return {"offsets": cube_offsets(512, 12.0), "search": Search(**TIGHT), **images(spark, d, shifted)}
 
 
-@query("solve_wavefront", _known(*SHIFT, points=_FIXED))
+@query("solve_wavefront", _known(*SHIFT))
 def solve_wavefront(spark, d):
-    return _answer(c.wavefront(_placed(spark.range(125)), (20.0, 20.0, 20.0), 6.0, 6, 8.0, cut, **_plan(spark, d)))
+    return _answer(c.wavefront(lattice(spark, d), (20.0, 20.0, 20.0), 6.0, 6, 8.0, cut, **_plan(spark, d)))
 
 
-@query("solve_coarse", _known(*SHIFT, points=_FIXED))
+@query("solve_coarse", _known(*SHIFT))
 def solve_coarse(spark, d):
-    return _answer(c.coarse(_placed(spark.range(125)), 2, 4.0, (20.0, 20.0, 20.0), 10.0, 6, 16.0, cut, **_plan(spark, d)))
+    return _answer(c.coarse(lattice(spark, d), 2, 4.0, (20.0, 20.0, 20.0), 10.0, 6, 16.0, cut, **_plan(spark, d)))
 
 
 @query("uncertainty", f"WITH {_LATTICE} SELECT point_id, 0.0::DOUBLE AS sd_u, 0.0::DOUBLE AS sd_v, 0.0::DOUBLE AS sd_w FROM l")
@@ -172,41 +167,21 @@ def uncertainty(spark, d):
 
 
 _WAVES = "wv AS (SELECT ((p_partkey * 37) % 41 / 400.0::DOUBLE + 0.05) * (CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END) AS kx, ((p_partkey * 29) % 41 / 400.0::DOUBLE + 0.05) * (CASE WHEN (p_partkey * 3) % 2 = 0 THEN 1 ELSE -1 END) * (CASE WHEN p_partkey % 4 < 2 THEN 1 ELSE -1 END) AS ky, ((p_partkey * 23) % 41 / 400.0::DOUBLE + 0.05) * (CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END) * (CASE WHEN p_partkey % 8 < 4 THEN 1 ELSE -1 END) AS kz, (p_partkey * 17) % 63 / 10.0::DOUBLE AS phase FROM part WHERE p_partkey < 24)"
-VOXELS = "x int, y int, z int, v double"
-
-
-def voxels(bricks, brick: int):
-    """A row for each voxel of a table of bricks (for small checks)."""
-    import pandas as pd
+_DEPTH = "(SELECT 24 + count(*) // 4 FROM supplier)"
 
-    def run(batches):
-        for b in batches:
-            for r in b.itertuples(index=False):
-                a = np.frombuffer(r.data, r.dtype).reshape(r.nz, r.ny, r.nx)
-                z, y, x = np.indices(a.shape)
-                yield pd.DataFrame({"x": (x + r.bx * brick).ravel(), "y": (y + r.by * brick).ravel(), "z": (z + r.bz * brick).ravel(), "v": a.ravel().astype(float)})
 
-    return bricks.mapInPandas(run, VOXELS)
+def _depth(spark, d) -> int:
+    """Volumes are deeper where there are more suppliers."""
+    return 24 + table(spark, d, "supplier").count() // 4
 
 
-@query("wave_volume", f"WITH {_WAVES} SELECT CAST(x.i AS INT) AS x, CAST(y.i AS INT) AS y, CAST(z.i AS INT) AS z, round(100 + 10 * sum(cos(kx * x.i + ky * y.i + kz * z.i + phase)), 6) AS v FROM wv, range(20) x(i), range(20) y(i), range(20) z(i) GROUP BY ALL")
+@query("wave_volume", f"WITH {_WAVES} SELECT CAST(x.i AS INT) AS x, CAST(y.i AS INT) AS y, CAST(z.i AS INT) AS z, round(100 + 10 * sum(cos(kx * x.i + ky * y.i + kz * z.i + phase)), 6) AS v FROM wv, range(20) x(i), range(20) y(i), range({_DEPTH}) z(i) GROUP BY ALL")
 def wave_volume(spark, d):
-    return voxels(c.wave_bricks(spark, waves(spark, d), (20, 20, 20), 16), 16).select("x", "y", "z", rd(C("v"), 6).alias("v"))
+    return voxel_rows(c.wave_bricks(spark, waves(spark, d), (20, 20, _depth(spark, d)), 16), 16).select("x", "y", "z", rd(C("v"), 6).alias("v"))
 
 
-@query("read_brick", f"WITH {_WAVES} SELECT CAST(x.i AS INT) AS x, CAST(y.i AS INT) AS y, CAST(z.i AS INT) AS z, round(100 + 10 * sum(cos(kx * x.i + ky * y.i + kz * z.i + phase)), 6) AS v FROM wv, range(10, 22) x(i), range(3, 9) y(i), range(14, 20) z(i) GROUP BY ALL")
+@query("read_brick", f"WITH {_WAVES} SELECT CAST(x.i AS INT) AS x, CAST(y.i AS INT) AS y, CAST(z.i AS INT) AS z, round(100 + 10 * sum(cos(kx * x.i + ky * y.i + kz * z.i + phase)), 6) AS v FROM wv, range(10, 22) x(i), range(3, 9) y(i), range(14, {_DEPTH}) z(i) GROUP BY ALL")
 def read_brick(spark, d):
-    """A box across bricks: only the bricks it covers are read, then cut and put together."""
-    import pandas as pd
-
-    lo, hi = (10, 3, 14), (22, 9, 20)
-    b = c.wave_bricks(spark, waves(spark, d), (24, 24, 24), 8)
-    for a, p, q in zip("xyz", lo, hi, strict=True):
-        b = b.where(C(f"b{a}").between(p // 8, (q - 1) // 8))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a = assemble(rows[["bx", "by", "bz", "nx", "ny", "nz", "dtype", "data"]].itertuples(index=False, name=None), lo, hi, 8)
-        z, y, x = np.indices(a.shape)
-        return pd.DataFrame({"x": (x + lo[0]).ravel(), "y": (y + lo[1]).ravel(), "z": (z + lo[2]).ravel(), "v": a.ravel()})
-
-    return b.groupBy(F.lit(0).alias("box")).applyInPandas(run, VOXELS).select("x", "y", "z", rd(C("v"), 6).alias("v"))
+    """A box across bricks: only the bricks it covers are looked at, each cut by itself."""
+    lo, hi = (10, 3, 14), (22, 9, _depth(spark, d))
+    return voxel_rows(in_box(c.wave_bricks(spark, waves(spark, d), (24, 24, hi[2]), 8), lo, hi, 8), 8, lo, hi).select("x", "y", "z", rd(C("v"), 6).alias("v"))

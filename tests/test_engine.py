@@ -171,9 +171,7 @@ def test_reach_holds_every_box(spark):
 
 
 def _voxels(spark, path, **options):
-    from corrvox.plans.queries_solver import voxels
-
-    return voxels(volumes.read_bricks(spark, path, 4, **options), 4).collect()
+    return volumes.voxel_rows(volumes.read_bricks(spark, path, 4, **options), 4).collect()
 
 
 def _zarr(root, a):
@@ -305,10 +303,8 @@ def test_timeline_stream(spark, tmp_path):
 
 
 def test_speckle_does_not_depend_on_bricks(spark):
-    from corrvox.plans.queries_solver import voxels
-
-    a = voxels(c.speckle_bricks(spark, (12, 8, 8), 8, 2.0, 5), 8).collect()
-    assert len(a) == 12 * 8 * 8 and np.std([r.v for r in a]) > 100 and a == voxels(c.speckle_bricks(spark, (12, 8, 8), 8, 2.0, 5).repartition(1), 8).collect()
+    a = volumes.voxel_rows(c.speckle_bricks(spark, (12, 8, 8), 8, 2.0, 5), 8).collect()
+    assert len(a) == 12 * 8 * 8 and np.std([r.v for r in a]) > 100 and a == volumes.voxel_rows(c.speckle_bricks(spark, (12, 8, 8), 8, 2.0, 5).repartition(1), 8).collect()
 
 
 def test_tiles_of_bounded_cost(spark):
