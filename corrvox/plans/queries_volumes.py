@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corrvox.operators import crop
-from corrvox.operators.tables import shared_dir, written
+from corrvox.operators import crop, masks
+from corrvox.operators.tables import cut, shared_dir, written
 from corrvox.plans.fixtures import table
 from corrvox.plans.registry import query
 from corrvox.sources import volume_sink, volumes
@@ -71,3 +71,21 @@ def otsu_crop(spark, d):
     """The cube of side 8 with the most foreground, from every second voxel."""
     path = stored(spark, d)
     return crop.choose_crop(volumes.read_bricks(spark, path, BRICK), tuple(volumes.layout(path, {})["shape"]), BRICK, 8, 2)
+
+
+_PARTS = f"""WITH RECURSIVE {VOX}, m AS (SELECT z * {NX * NY} + y * {NX} + x AS id, x, y, z FROM vox WHERE v % 10 < 2),
+n AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1 AND b.id IN (a.id - {NX * NY}, a.id - {NX}, a.id - 1, a.id + 1, a.id + {NX}, a.id + {NX * NY})),
+r AS (SELECT id AS a, id AS b FROM m UNION SELECT r.a, n.b FROM r JOIN n ON n.a = r.b)
+SELECT CAST(m.x AS INT) AS x, CAST(m.y AS INT) AS y, CAST(m.z AS INT) AS z, CAST(min(r.b) AS BIGINT) AS part, count(*) AS voxels FROM m JOIN r ON r.a = m.id GROUP BY m.x, m.y, m.z"""
+
+
+@query("mask_parts", _PARTS)
+def mask_parts(spark, d):
+    """Voxels of a mask made from events with the first voxel and the size of the part they are connected with."""
+    v = vox(spark, d)
+    shape = (NX, NY, v.agg(F.max("z")).first()[0] + 1)
+    mask = cut(volumes.bricks_of_voxels(v.where("v % 10 < 2").select("x", "y", "z", F.lit(1).alias("v")), shape, BRICK, "u1"))
+    named = cut(masks.parts(mask, shape, BRICK, cut).select("label", "part"))
+    at = volumes.voxel_rows(masks.label_bricks(mask, shape, BRICK), BRICK).where("v >= 0").select("x", "y", "z", C("v").cast("long").alias("label")).join(named, "label")
+    own = at.groupBy("part").agg(F.min((C("z").cast("long") * NY + C("y")) * NX + C("x")).alias("first"), F.count(F.lit(1)).alias("voxels"))
+    return at.join(own, "part").select("x", "y", "z", C("first").alias("part"), "voxels")

@@ -435,3 +435,68 @@ def test_the_crop_with_the_most_foreground(spark, tmp_path):
         z, y, x = (min(int(o) * stride, max(n - size, 0)) for o, n in zip(np.unravel_index(int(sums.argmax()), sums.shape), a.shape))
         r = crop.choose_crop(bricks, (30, 18, 21), 4, size, stride).first()
         assert (r.x, r.y, r.z, r.n) == (x, y, z, sums.max()) and abs(r.threshold - limit) < 1e-9
+
+
+def _flood(mask):
+    """Labels by flooding from each voxel in turn."""
+    label, n = np.zeros(mask.shape, int), 0
+    for start in np.argwhere(mask):
+        if label[tuple(start)]:
+            continue
+        n += 1
+        todo = [tuple(start)]
+        while todo:
+            p = todo.pop()
+            if min(p) < 0 or any(k >= m for k, m in zip(p, mask.shape)) or not mask[p] or label[p]:
+                continue
+            label[p] = n
+            todo += [tuple(k + (s if j == a else 0) for j, k in enumerate(p)) for a in range(3) for s in (-1, 1)]
+    return label
+
+
+def test_the_mask_of_a_specimen(spark, tmp_path):
+    from corrvox.functions.kernels import gaussian
+    from corrvox.operators import masks
+    from corrvox.operators.tables import cut
+
+    rng = np.random.default_rng(14)
+    z, y, x = np.indices((22, 19, 26))
+    a = (60 + 40 * rng.standard_normal(z.shape)).clip(0, 255)
+    ball = (z - 11) ** 2 + (y - 9) ** 2 + (x - 11) ** 2
+    a[ball < 80] += 120
+    a[ball < 9] -= 120  # a hole
+    a[1:6, 0:5, 21:26] += 120  # another part
+    a = a.clip(0, 255).astype(np.uint8)
+    bricks, shape = volumes.read_bricks(spark, npy(tmp_path / "a.npy", a), 8), (26, 19, 22)
+    got = masks.sample_mask(bricks, shape, 8, cut, sigma=1.0, times=1)
+    reach = 4
+    smooth = gaussian(np.pad(a.astype(float), reach, mode="symmetric"), 1.0)[reach:-reach, reach:-reach, reach:-reach]
+    solid = smooth > 0.5 * (np.quantile(smooth, 0.05) + np.quantile(smooth, 0.75))
+
+    def step(m, grow):
+        p = np.pad(m, 1)
+        moved = [np.roll(p, s, axis)[1:-1, 1:-1, 1:-1] for axis in range(3) for s in (-1, 1)]
+        return np.logical_or.reduce([m, *moved]) if grow else np.logical_and.reduce([m, *moved])
+
+    solid = step(step(solid, False), True)
+    label = _flood(solid)
+    solid = label == 1 + np.argmax(np.bincount(label.ravel())[1:])
+    holes = _flood(~solid)
+    edge = np.ones(holes.shape, bool)
+    edge[1:-1, 1:-1, 1:-1] = False
+    want = solid | (~np.isin(holes, np.unique(holes[edge & (holes > 0)])) & (holes > 0))
+    assert label.max() > 1 and want.sum() > solid.sum()
+    assert {(r.x, r.y, r.z) for r in volumes.voxel_rows(got, 8).where("v = 1").collect()} == {(x, y, z) for z, y, x in np.argwhere(want).tolist()}
+
+
+def test_parts_across_bricks(spark):
+    from corrvox.operators import masks
+    from corrvox.operators.tables import cut
+
+    rng = np.random.default_rng(15)
+    for density, shape in ((0.35, (9, 14, 11)), (0.6, (4, 4, 4)), (0.0, (5, 5, 5))):
+        a = rng.random(shape[::-1]) < density
+        rows = [(int(x), int(y), int(z), 1) for z, y, x in np.argwhere(a)]
+        mask = volumes.bricks_of_voxels(spark.createDataFrame(rows, "x int, y int, z int, v int"), shape, 4, "u1")
+        sizes = sorted(r["sum(voxels)"] for r in masks.parts(mask, shape, 4, cut).groupBy("part").sum("voxels").collect())
+        assert sizes == sorted(np.bincount(_flood(a).ravel())[1:].tolist())
