@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corrvox.operators import kdtree, tiling
+from corrvox.operators import digests, kdtree, tiling
 from corrvox.operators.tables import cut
 from corrvox.plans.fixtures import PTS, RESULTS, TRUTH, pts, rd, res_a, res_b, table, truth
 from corrvox.plans.registry import query
@@ -144,6 +144,17 @@ def fingerprint_diff(spark, d):
     return a.join(b, ["event_id", "key"], "full_outer").where(~C("was").eqNullSafe(C("now")))
 
 
+_NODE = "SELECT key // {n} AS key, sha256(string_agg(key || ':' || digest, ';' ORDER BY key)) AS digest FROM {t} GROUP BY key // {n}"
+
+
+@query("points_digest", f"""WITH RECURSIVE r AS (SELECT event_id::BIGINT AS key, sha256('{{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}}') AS digest FROM events),
+l AS ({_NODE.format(n=1024, t='r')}), t AS (SELECT key, digest, 0 AS lev, (SELECT count(*) FROM l) AS n FROM l
+UNION ALL SELECT key // 64, sha256(string_agg(key || ':' || digest, ';' ORDER BY key)), lev + 1, count(*) OVER () FROM t WHERE n > 1 GROUP BY key // 64, lev) SELECT digest FROM t WHERE n = 1""")
+def points_digest(spark, d):
+    """A digest of a table by its key, the same for any partitioning."""
+    return digests.table_digest(table(spark, d, "events"), "event_id", ["user_id", "event_type"])
+
+
 @query("run_fingerprint", "SELECT event_id, substr(sha256(concat(event_type, '|', user_id, '|', CAST(event_id AS VARCHAR))), 1, 16) AS digest FROM events")
 def run_fingerprint(spark, d):
     return table(spark, d, "events").select("event_id", F.substring(F.sha2(F.concat_ws("|", "event_type", C("user_id").cast("string"), C("event_id").cast("string")), 256), 1, 16).alias("digest"))

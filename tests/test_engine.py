@@ -5,6 +5,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corrvox import config
 from corrvox.functions.kernels import Search, cube_offsets
@@ -500,3 +501,22 @@ def test_parts_across_bricks(spark):
         mask = volumes.bricks_of_voxels(spark.createDataFrame(rows, "x int, y int, z int, v int"), shape, 4, "u1")
         sizes = sorted(r["sum(voxels)"] for r in masks.parts(mask, shape, 4, cut).groupBy("part").sum("voxels").collect())
         assert sizes == sorted(np.bincount(_flood(a).ravel())[1:].tolist())
+
+
+def test_digests(spark, tmp_path):
+    import hashlib
+
+    from corrvox.operators import digests
+
+    rows = [(i * 7, f"t{i}" if i % 5 else None, i / 3) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "k long, t string, v double")
+    one = digests.table_digest(df, "k", ["t", "v"]).first()["digest"]
+    assert one == digests.table_digest(df.repartition(7, "t"), "k", ["t", "v"]).first()["digest"]
+    other = df.withColumn("t", F.when(F.col("k") == 70_007, "x").otherwise(F.col("t")))
+    assert one != digests.table_digest(other, "k", ["t", "v"]).first()["digest"] and one != digests.table_digest(df.where("k <> 14"), "k", ["t", "v"]).first()["digest"]
+    assert [tuple(r) for r in digests.differing_ranges(df, other, "k", ["t", "v"]).collect()] == [(70_007 // 1024 * 1024, 70_007 // 1024 * 1024 + 1023)]
+    assert len(digests.table_levels(df, "k", ["t"])) == 3 and digests.table_digest(df.limit(0), "k", ["t"]).collect() == []
+    data = bytes(range(256)) * 40
+    (tmp_path / "f").write_bytes(data)
+    want = hashlib.sha256("".join(hashlib.sha256(data[i : i + 1000]).hexdigest() for i in range(0, len(data), 1000)).encode()).hexdigest()
+    assert digests.file_digest(spark, str(tmp_path / "f"), 1000) == want
