@@ -42,7 +42,7 @@ SHARES = {f"p{q}": q / 100 for q in (50, 95, 99)}
 
 def _sizes(m: DataFrame, groups: list[str], digits: int = 9) -> DataFrame:
     """Exact quantiles of the error's size."""
-    found = quantiles(m, groups, "mag", SHARES, cut)
+    found = quantiles(m, groups, "mag", SHARES, cut, written=True)
     return found.select(*groups, *[F.round(p, digits).alias(p) for p in SHARES])
 
 

@@ -3,7 +3,7 @@
 A quantile is a value at a rank. Each pass counts the values between a rank's bounds by ``WIDTH`` steps of equal length, keeps
 the step that holds the rank, and takes the least and greatest value in it as new bounds: so the bounds are values, ties
 end at once, outliers cost one pass, and a pass always divides what is left. When at most ``FEW`` values are left, they are
-sorted. A task's state is a row for each step, or ``FEW`` values, whatever the group holds; counts are summed before the
+sorted; where no group has more from the start, that is all there is to do. A task's state is a row for each step, or ``FEW`` values, whatever the group holds; counts are summed before the
 shuffle. Ranks that share bounds share a pass.
 """
 
@@ -20,16 +20,22 @@ FEW, WIDTH, BROADCAST = 1 << 18, 1024, 100_000
 BOUNDS = ["key", "lo", "hi"]
 
 
-def quantiles(df: DataFrame, groups: list[str], value: str, fractions: dict[str, float], cut: Callable[[DataFrame], DataFrame], few: int = FEW, width: int = WIDTH) -> DataFrame:
+def quantiles(df: DataFrame, groups: list[str], value: str, fractions: dict[str, float], cut: Callable[[DataFrame], DataFrame], few: int = FEW, width: int = WIDTH, written: bool = False) -> DataFrame:
     """The groups' columns and a column for each of ``fractions``, interpolated between neighbouring values.
 
-    Null and not finite values are left out; a group without others has no row. ``cut`` writes rows and reads them back.
+    Null and not finite values are left out; a group without others has no row. ``cut`` writes rows and reads them back;
+    ``written``: ``df`` is read from such rows already.
     """
     key = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}) if groups else F.lit("")
     v = C(value).cast("double")
-    rows = cut(df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).select(*groups, key.alias("key"), v.alias("v")))
+    rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).select(*groups, key.alias("key"), v.alias("v"))
+    rows = rows if written else cut(rows)
     sizes = cut(rows.groupBy(*groups, "key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
-    small = sizes.count() * len(fractions) <= BROADCAST
+    of = sizes.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    if of["most"] <= few:
+        shares = [F.percentile("v", F.lit(float(p))).alias(name) for name, p in fractions.items()]
+        return rows.groupBy(*groups).agg(*shares) if groups else rows.groupBy("key").agg(*shares).drop("key")
+    small = of["groups"] * len(fractions) <= BROADCAST
     near = lambda bounds: F.broadcast(bounds) if small else bounds  # noqa: E731  a row or two for each group and fraction
 
     places = [F.lit(float(p)) * (C("n") - 1) for p in fractions.values()]
