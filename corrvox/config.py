@@ -64,8 +64,13 @@ class Seeding:
 
 @dataclass(frozen=True)
 class Cluster:
+    """Results do not depend on these. ``tile_points``: tiles are leaves of a k-d tree of at most so many points (0: of a fixed
+    size); ``task_mb``: what a task's images may take, a tile beyond it is refused before anything is solved."""
+
     tile: float = 256.0
     brick: int = 64
+    tile_points: int = 0
+    task_mb: int = 8192
 
 
 @dataclass(frozen=True)
@@ -98,6 +103,7 @@ class RunConfig:
         need(q.strategy in ("rigid", "wavefront", "coarse"), "seeding.strategy must be rigid, wavefront or coarse")
         need(q.neighbours >= 1 and q.coarse_stride >= 1, "seeding.neighbours and coarse_stride must be positive")
         need(self.cluster.tile > 0 and self.cluster.brick >= 8, "cluster.tile must be positive, cluster.brick 8 at least")
+        need(self.cluster.tile_points >= 0 and self.cluster.task_mb > 0, "cluster.tile_points must not be negative, cluster.task_mb must be positive")
         need(self.num_points_to_process >= 0, "num_points_to_process must not be negative")
         need(self.volumes.prefilter_sigma >= 0, "volumes.prefilter_sigma must not be negative")
         if q.repair_passes:

@@ -41,6 +41,14 @@ def plan_dealt(p: DataFrame, halo: float, cost_per_point: float) -> DataFrame:
     return one.select(*key, "n_points", *cols, (C("n_points") * cost_per_point).alias("cost"))
 
 
+def largest_task(tiles: DataFrame, bytes_per_voxel: int) -> DataFrame:
+    """One row: the tile whose two images take most (tx, ty, tz, n_points, bytes); none without tiles."""
+    sides = {p: [F.greatest(C(f"{p}_{a}_hi") - C(f"{p}_{a}_lo"), F.lit(0)).cast("double") for a in "xyz"] for p in ("ref", "def")}
+    voxels = sum((s[0] * s[1] * s[2] for s in sides.values()), F.lit(0.0))
+    rows = tiles.select("tx", "ty", "tz", "n_points", (voxels * bytes_per_voxel).alias("bytes"))
+    return rows.agg(F.max_by(F.struct(*rows.columns), F.struct("bytes", "tx", "ty", "tz")).alias("r")).where("r is not null").select("r.*")
+
+
 def bricks_of(boxes: DataFrame, brick: int, prefix: str, shape: tuple[int, int, int]) -> DataFrame:
     """The box-overlap join as an equi-join: the brick indices that each box covers inside the volume (x, y, z)."""
     out = boxes

@@ -32,6 +32,12 @@ def tile_bricks(spark, d):
     return tiling.bricks_of(p, 32, "ref", (160, 160, 208)).select("tx", "ty", "tz", "bx", "by", "bz")
 
 
+@query("largest_task", f"WITH {TRUTH}, {_ONE} SELECT tx, ty, tz, n_points, ((ref_x_hi - ref_x_lo) * (ref_y_hi - ref_y_lo) * (ref_z_hi - ref_z_lo) + (def_x_hi - def_x_lo) * (def_y_hi - def_y_lo) * (def_z_hi - def_z_lo)) * 8.0::DOUBLE AS bytes FROM b ORDER BY bytes DESC, tx DESC, ty DESC, tz DESC LIMIT 1")
+def largest_task(spark, d):
+    """The tile whose images take most memory, what a run is refused by."""
+    return tiling.largest_task(tiling.plan(_seeded(spark, d), 64.0, 17.5, 1500.0), 8)
+
+
 # A cloud of which a third lies in one 48th of its length.
 CLUSTERED = "cloud AS (SELECT CAST(event_id AS BIGINT) AS point_id, CASE WHEN event_id % 3 = 0 THEN 400 + (event_id * 7) % 20 ELSE (event_id * 37) % 960 END * 1.0::DOUBLE AS x, CASE WHEN event_id % 3 = 0 THEN 100 + (event_id * 11) % 25 ELSE (event_id * 53) % 640 END * 1.0::DOUBLE AS y, CASE WHEN event_id % 3 = 0 THEN 300 + user_id % 30 ELSE (user_id * 5) % 480 END * 1.0::DOUBLE AS z FROM events)"
 

@@ -56,7 +56,7 @@ class Store:
         for p in (v.reference, v.deformed):
             if files.kind(p) == "folder":
                 missing_chunks(spark, p)
-        self.plan = {"shape": tuple(shapes[0]), "offsets": cfg.offsets(), "search": cfg.kernel(), "tile": cfg.cluster.tile, "brick": cfg.cluster.brick, "sigma": v.prefilter_sigma}
+        self.plan = {"shape": tuple(shapes[0]), "offsets": cfg.offsets(), "search": cfg.kernel(), "tile": cfg.cluster.tile, "brick": cfg.cluster.brick, "sigma": v.prefilter_sigma, "most": cfg.cluster.tile_points or None, "cut": cut}
         self.far = c.reach(self.plan["offsets"], self.plan["search"], v.prefilter_sigma)
         self.shelves = Shelves(spark, path, "part", f"{c.OUT}, part int, tile string")
 
@@ -74,12 +74,21 @@ class Store:
         left = self.cut(seeds.join(self.rows(*parts).select("point_id"), "point_id", "left_anti"))
         box = c.reach_box(left, self.far)
         if box:
+            self._guard(left)
             image = lambda path: in_box(read_bricks(self.spark, path, cfg.cluster.brick, **_options(cfg)), *box, cfg.cluster.brick)
             out = c.correlate(left, ref=image(v.reference), deformed=image(v.deformed), **self.plan)
             named = tiling.tile_of(out, cfg.cluster.tile).withColumn("tile", F.concat_ws("_", "tx", "ty", "tz"))
             part = F.lit(parts[0]) if len(parts) == 1 else C("tz")
             named.withColumn("part", part).drop("tx", "ty", "tz").write.mode("append").partitionBy("part", "tile").parquet(self.path)
 
+    def _guard(self, points: DataFrame) -> None:
+        """Refuse a tile whose images don't fit a task; only the plan is computed, no voxel is read."""
+        tile, limit = self.cfg.cluster.tile, self.cfg.cluster.task_mb
+        # Both images in doubles; a blur holds a second copy.
+        worst = tiling.largest_task(tiling.plan(points, tile, self.far, 1.0), 16 if self.cfg.volumes.prefilter_sigma > 0 else 8).first()
+        if worst["bytes"] > limit * 2**20:
+            raise ValueError(f"the images of tile ({worst['tx']}, {worst['ty']}, {worst['tz']}) take {worst['bytes'] / 2**20:.0f} MB, cluster.task_mb is {limit}: make cluster.tile ({tile:g}) smaller or seeds less far apart")
+
     def solve_by_layers(self, seeds: DataFrame, step_points: int) -> None:
         """Steps of whole layers of tiles, as many to a step as hold ``step_points`` points (one at least)."""
         layer = F.floor(C("z") / self.cfg.cluster.tile).cast("int")

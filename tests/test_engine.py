@@ -247,6 +247,12 @@ def test_run_and_resume(spark, tmp_path, monkeypatch):
     rows = run.run(spark, few).collect()
     assert sorted(q.point_id for q in rows) == list(range(6)) and all(q.status == 0 and abs(q.u - 0.75) < 0.02 for q in rows)
     assert 0 < spark.read.parquet(f"{few.output}/coarse").count() < 6
+    dense = dataclasses.replace(cfg, output=str(tmp_path / "dense"), cluster=config.Cluster(16, 16, tile_points=2))
+    rows = run.run(spark, dense).collect()
+    assert sorted(q.point_id for q in rows) == list(range(6)) and all(abs(q.u - 0.75) < 0.02 for q in rows)
+    # A volume of 36**3 in doubles, twice, takes 0.7 MB; boxes reach over its faces.
+    with pytest.raises(ValueError, match="cluster.task_mb is 1: make cluster.tile"):
+        run.run(spark, dataclasses.replace(cfg, output=str(tmp_path / "big"), search=dataclasses.replace(cfg.search, disp_max=40.0), cluster=config.Cluster(64, 16, task_mb=1)))
     other = config.build(config.RunConfig, {"volumes": {"reference": str(tmp_path / "r.npy"), "deformed": str(tmp_path / "d.npy")}, "points": cfg.points, "output": cfg.output, "search": {"dof": 6}})
     with pytest.raises(ValueError, match="other settings.*search.dof"):
         run.run(spark, other)
