@@ -119,8 +119,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             first, size = of[chain[0]][0], sum(of[k][1] for k in chain)
             spans.extend((p, r, first, size, k == 0) for k, (p, r) in enumerate(chain))
 
+    ends: dict[int, tuple[int, int]] = {}
+    for p, r in of:
+        lo, hi = ends.get(p, (r, r))
+        ends[p] = min(lo, r), max(hi, r)
     for p in order if of else ():
-        lo, hi = min(r for q, r in of if q == p), max(r for q, r in of if q == p)
+        lo, hi = ends[p]
         if not (chain and joined.get(chain[-1][0])):
             close()
             chain = []
