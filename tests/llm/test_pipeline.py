@@ -48,7 +48,7 @@ def test_empty_tables(spark, tmp_path):
 
 def test_registered():
     names = queries.queries()
-    assert sorted(n.split("_")[0] for n in names) == sorted(f"op{k}" for k in range(1, 11)) and len(pipe.STAGES) == 5
+    assert sorted(n.split("_")[0] for n in names) == sorted(f"op{k}" for k in range(1, 14)) and len(pipe.STAGES) == 5
 
 
 def test_op2_and_op9_same_as_sql(spark):
