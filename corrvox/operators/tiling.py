@@ -14,19 +14,28 @@ def tile_of(points: DataFrame, size: float) -> DataFrame:
     return points.select("*", *[F.floor(C(a) / size).cast("int").alias(f"t{a}") for a in "xyz"])
 
 
+def parted(dealt: DataFrame, key: list[str], most: int = 2048, copies: int = 4096) -> DataFrame:
+    """``dealt`` with ``part``: tiles of more than ``most`` points are dealt over parts by place, so that copies of a point meet,
+    but of a place's points no more than about ``copies`` do. Seeds have no say: they may be computed anew, places are stored."""
+    n = dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(C("_n") > most).select(*[C(k).alias(f"_{k}") for k in key], "_n")
+    on = [C(k) == C(f"_{k}") for k in key]
+    piles = F.ceil(C("_n") / copies).cast("long")
+    part = F.pmod(F.xxhash64("x", "y", "z", F.pmod(F.xxhash64("point_id"), piles)), F.ceil(C("_n") / most).cast("long"))
+    return dealt.join(n, on, "left").select(*dealt.columns, F.coalesce(part, F.lit(0).cast("long")).cast("int").alias("part"))
+
+
 def plan(points: DataFrame, size: float, halo: float, cost_per_point: float) -> DataFrame:
     """``plan_dealt`` for tiles of a fixed size."""
     return plan_dealt(tile_of(points, size), halo, cost_per_point)
 
 
-def plan_dealt(p: DataFrame, halo: float, cost_per_point: float) -> DataFrame:
-    """A row for each tile (tx, ty, tz) of points (with seeds su, sv, sw): count, the boxes to read in both images, cost.
+def plan_dealt(p: DataFrame, halo: float, cost_per_point: float, key: tuple[str, ...] = ("tx", "ty", "tz")) -> DataFrame:
+    """A row for each tile (``key``) of points (with seeds su, sv, sw): count, the boxes to read in both images, cost.
 
     The reference box holds the points and the halo. The deformed box is that box moved by the median
     seed, grown by how far any seed is from the median. The median needs the tile's points before the
     spread does, so two aggregations; both have one row for each tile.
     """
-    key = [f"t{a}" for a in "xyz"]
     one = p.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_points"), *[F.min(a).alias(f"min_{a}") for a in "xyz"], *[F.max(a).alias(f"max_{a}") for a in "xyz"],
         *[F.percentile(f"s{c}", F.lit(0.5)).alias(f"mid_{c}") for c in "uvw"], *[F.min(f"s{c}").alias(f"low_{c}") for c in "uvw"], *[F.max(f"s{c}").alias(f"high_{c}") for c in "uvw"],

@@ -20,12 +20,12 @@ from corrvox.functions.kernels import Search, Volume, gaussian, solve
 from corrvox.operators import seeding, tiling
 from corrvox.operators.kdtree import kd_tiles
 from corrvox.operators.knn import knn
-from corrvox.operators.tables import Shelves, new_folder
+from corrvox.operators.tables import Shelves, new_folder, shuffles
 from corrvox.sources.volumes import assemble, brick_rows
 
 C = F.col
 OUT = "point_id long, x double, y double, z double, status int, objmin double, u double, v double, w double, params array<double>, n_iter int, seed_u double, seed_v double, seed_w double"
-KEY = ["tx", "ty", "tz"]
+KEY = ["tx", "ty", "tz", "part"]
 
 
 def _boxes(tiles: DataFrame, prefix: str, shape: tuple[int, int, int], brick: int, bricks: DataFrame) -> DataFrame:
@@ -59,9 +59,11 @@ def correlate(points: DataFrame, ref: DataFrame, deformed: DataFrame, shape: tup
 
     ``shape`` is (x, y, z). ``sigma``: a Gaussian applied to both images first. With ``most`` (and ``cut``) tiles are the leaves
     of a k-d tree of at most so many points and ``tile`` long, so a dense cloud is cut over as many tasks as it needs.
+    A tile of many points is solved in parts; copies of a point with one seed are solved once in a part.
     """
     dealt = tiling.tile_of(points, tile) if most is None else cut(kd_tiles(points, most, tile / 16, tile, cut))
-    tiles = tiling.plan_dealt(dealt, reach(offsets, search, sigma), float(len(offsets)))
+    dealt = tiling.parted(dealt, KEY[:3])
+    tiles = tiling.plan_dealt(dealt, reach(offsets, search, sigma), float(len(offsets)), tuple(KEY))
     own = dealt.select(*[C(k).alias(k) for k in KEY], "point_id", "x", "y", "z", "su", "sv", "sw")
     cols = ["bx", "by", "bz", "nx", "ny", "nz", "dtype", "data"]
     need = _boxes(tiles, "ref", shape, brick, ref.select(*cols)).unionByName(_boxes(tiles, "def", shape, brick, deformed.select(*cols)))
@@ -87,6 +89,8 @@ def correlate(points: DataFrame, ref: DataFrame, deformed: DataFrame, shape: tup
             out[f"seed_{c}"] = seeds[:, k]
         return out
 
+    # A tile is little data and much work: with a stated number of partitions they are not coalesced by their bytes.
+    own, need = (df.repartition(shuffles(df.sparkSession), *KEY) for df in (own, need))
     return own.groupBy(*KEY).cogroup(need.groupBy(*KEY)).applyInPandas(run, OUT)
 
 
