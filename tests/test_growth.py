@@ -33,3 +33,12 @@ def test_a_full_tile_is_dealt_over_parts(spark):
     assert len(sizes) > 20 and max(sizes.values()) < 400
     piles = dealt.where("tx = 0").groupBy("x").agg(F.countDistinct("part").alias("n")).collect()
     assert all(r.n <= 20 for r in piles)  # copies meet: 40 parts, 20 piles
+
+
+def test_speckle_bricks_meet_by_a_shuffle(spark, monkeypatch):
+    from corrvox.plans import queries_cases
+
+    plans, real = [], queries_cases.cut
+    monkeypatch.setattr(queries_cases, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    r = queries_cases.speckle(spark, "/root/testdata/sf0.001").collect()
+    assert len(r) == 1 and r[0].same_by_brick and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
