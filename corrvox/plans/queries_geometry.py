@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corrvox.functions import geometry as g
+from corrvox.operators.tables import dealt
 from corrvox.plans.fixtures import PTS, RESULTS, STENCIL, TRUTH, div, pts, rd, res_a, res_b, stencil, table, truth
 from corrvox.plans.registry import query
 
@@ -125,9 +126,24 @@ def warp(spark, d):
     return t.select("point_id", "sample", *[rd(C(a) + v, 8).alias(a) for a, v in zip("xyz", moved, strict=True)])
 
 
+def cube_axis(k, size):
+    """The k places of a cube's samples along an axis."""
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.when(k > 1, (i / F.greatest(k - 1, F.lit(1)) * 2 - 1) * size / 2).otherwise(F.lit(0.0)))
+
+
+def cubes(rows, axis, sample):
+    """A row for each sample of each row's cube, numbered by ``sample`` in z, y, x order, with its places along the axes: ``axis``, an
+    array of them, is made once for a row, and a sample only looks its places up."""
+    side = F.size("_axis")
+    t = dealt(rows).withColumn("_axis", axis)
+    t = t.withColumn(sample, F.explode(F.sequence(F.lit(0), side * side * side - 1)))
+    at = {a: F.pmod(F.floor(C(sample) / step), side).cast("int") for a, step in (("x", F.lit(1)), ("y", side), ("z", side * side))}
+    return t.select(*rows.columns, sample, *[F.get("_axis", i).alias(a) for a, i in at.items()])
+
+
 def cube_template(k, size):
     """Offsets of a cube of k**3 samples in z, y, x order, as an array of structs."""
-    axis = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.when(k > 1, (i / F.greatest(k - 1, F.lit(1)) * 2 - 1) * size / 2).otherwise(F.lit(0.0)))
+    axis = cube_axis(k, size)
     return F.flatten(F.flatten(F.transform(axis, lambda z: F.transform(axis, lambda y: F.transform(axis, lambda x: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))))
 
 
@@ -138,8 +154,8 @@ def cube_template_query(spark, d):
     n = 1 + C("p_partkey") % 300
     k = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(7)), lambda i: i * i * i >= n))
     p = table(spark, d, "part").select("p_partkey", k.alias("k"), C("p_size").cast("double").alias("size"))
-    p = p.select("p_partkey", "k", F.posexplode(cube_template(C("k"), C("size"))).alias("sample", "o"))
-    return p.select("p_partkey", C("k").cast("int").alias("k"), "sample", *[rd(C(f"o.{a}")).alias(a) for a in "xyz"])
+    places = F.transform(cube_axis(C("k"), C("size")), lambda v: rd(v))
+    return cubes(p, places, "sample").select("p_partkey", C("k").cast("int").alias("k"), "sample", *"xyz")
 
 
 @query("warp_jacobian", f"WITH {_ANGLES} SELECT event_id, " + ", ".join(
@@ -201,10 +217,8 @@ FROM p, range(-8, 9) a(x), range(-8, 9) b(y), range(-8, 9) c(z) WHERE abs(x) <=
 def grid_offsets(spark, d):
     dm, n = C("p_size") / 4, F.greatest(F.lit(1), F.floor(C("p_size") / 4 / (2 + C("p_partkey") % 5))).cast("int")
     p = table(spark, d, "part").select("p_partkey", n.alias("n"), (dm / n).alias("step"))
-    for a in ("dz", "dy", "dx"):
-        p = p.select("*", F.explode(F.sequence(-C("n"), C("n"))).alias(a))
-    side = 2 * C("n") + 1
-    return p.select("p_partkey", "n", (side * side * (C("dz") + C("n")) + side * (C("dy") + C("n")) + C("dx") + C("n")).alias("g"), *[rd(C(a) * C("step")).alias(a) for a in ("dx", "dy", "dz")])
+    places = F.transform(F.sequence(-C("n"), C("n")), lambda i: rd(i * C("step")))
+    return cubes(p, places, "g").select("p_partkey", "n", "g", *[C(a).alias(f"d{a}") for a in "xyz"])
 
 
 @query("to_levels", "SELECT event_id, CAST(least(greatest(round_even(value * 3 - 40, 0), 0), 255) AS BIGINT) AS u8, CAST(least(greatest(round_even(value * 4 - 100, 0), -128), 127) AS BIGINT) AS i8 FROM events")

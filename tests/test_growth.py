@@ -42,3 +42,24 @@ def test_speckle_bricks_meet_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(queries_cases, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
     r = queries_cases.speckle(spark, "/root/testdata/sf0.001").collect()
     assert len(r) == 1 and r[0].same_by_brick and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
+def above_generate(df):
+    """The plan's operators over the generator that makes many rows of one."""
+    return df._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0].lower()
+
+
+def test_a_lattice_is_turned_by_a_matrix_made_once(spark):
+    from corrvox.plans import queries_points
+
+    df = queries_points.grid_in_mask(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString().lower()
+    assert "cos(" in plan and "cos(" not in above_generate(df) and "exchange hashpartitioning" in plan
+
+
+def test_templates_round_places_once_for_a_row(spark):
+    from corrvox.plans import queries_geometry as q
+
+    for df in (q.cube_template_query(spark, "/root/testdata/sf0.001"), q.grid_offsets(spark, "/root/testdata/sf0.001")):
+        plan = df._jdf.queryExecution().executedPlan().toString().lower()
+        assert "round(" in plan and "round(" not in above_generate(df) and "exchange hashpartitioning" in plan
