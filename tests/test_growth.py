@@ -63,3 +63,18 @@ def test_templates_round_places_once_for_a_row(spark):
     for df in (q.cube_template_query(spark, "/root/testdata/sf0.001"), q.grid_offsets(spark, "/root/testdata/sf0.001")):
         plan = df._jdf.queryExecution().executedPlan().toString().lower()
         assert "round(" in plan and "round(" not in above_generate(df) and "exchange hashpartitioning" in plan
+
+
+def test_results_come_from_one_scan_in_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    from corrvox.plans import fixtures
+
+    old = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    twice = old.where("event_id < 3").selectExpr("* EXCEPT (value)", "value + 1 AS value").select(*old.columns)
+    none = old.limit(1).selectExpr("CAST(NULL AS BIGINT) AS event_id", "* EXCEPT (event_id)").select(*old.columns)
+    old.unionByName(twice).unionByName(none).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 100)
+    a = fixtures.res_a(spark, str(tmp_path))
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and a.rdd.getNumPartitions() == -(-(old.count() + 4) // 100)
+    n = {r.point_id: r["count"] for r in a.groupBy("point_id").count().collect()}
+    assert len(n) == old.count() and [n[i] for i in range(5)] == [4, 4, 4, 1, 1]  # as the SQL's join has it
