@@ -2,7 +2,8 @@
 
 Queries are dealt to cubes of ``BLOCK`` cells a side; targets go to every cube that their cell's width
 reaches (1.5 cubes an axis on average). One shuffle brings a cube's queries and targets together; distances
-are computed in chunks of bounded size, so memory is bounded by the targets of one cube.
+are computed in chunks of bounded size, so memory is bounded by the targets of one cube. Of targets at one place only those
+with the k + 1 smallest identifiers can be among the k nearest, so only they are compared: copies cost no square.
 """
 
 from __future__ import annotations
@@ -32,12 +33,25 @@ def _distances(q: np.ndarray, t: np.ndarray) -> np.ndarray:
     return d2
 
 
+def _first_copies(t: np.ndarray, ids: np.ndarray, many: int) -> np.ndarray:
+    """Which rows are among the ``many`` smallest identifiers of their place, in the order of the rows."""
+    bits = (t + 0.0).view(np.int64)  # one zero
+    order = np.lexsort((ids, bits[:, 2], bits[:, 1], bits[:, 0]))
+    new = np.ones(len(t), bool)
+    new[1:] = (bits[order][1:] != bits[order][:-1]).any(1)
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
+    return np.sort(order[np.arange(len(t)) - begin < many])
+
+
 def _search(k: int, cell: float, with_self: bool, carry: tuple[str, ...]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     side = BLOCK * cell
     fields = ("neighbour_id", "distance", *AXES, *carry)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         q, t = _places(left), _places(right)
+        if len(t):
+            few = _first_copies(t, right.column("neighbour_id").to_numpy(), k + 1)
+            right, t = right.take(pa.array(few)), t[few]
         qid, tid = left.column("point_id").to_numpy(), right.column("neighbour_id").to_numpy()
         # Every target within this distance of a query is here: a cell's width beyond the walls of its cube.
         low = np.floor(q / side) * side

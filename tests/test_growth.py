@@ -78,3 +78,21 @@ def test_results_come_from_one_scan_in_tasks_of_bounded_rows(spark, tmp_path, mo
     assert "Join" not in plan and a.rdd.getNumPartitions() == -(-(old.count() + 4) // 100)
     n = {r.point_id: r["count"] for r in a.groupBy("point_id").count().collect()}
     assert len(n) == old.count() and [n[i] for i in range(5)] == [4, 4, 4, 1, 1]  # as the SQL's join has it
+
+
+def test_knn_compares_no_more_copies_than_can_be_near(spark, monkeypatch):
+    from corrvox.operators import knn
+
+    p = np.array([[5.0, 5, 5], [6, 5, 5], [5, -0.0, 5], [5, 0.0, 5]])[np.arange(400) % 4]
+    ids = np.arange(400) * 7 % 400
+    import pyarrow as pa
+
+    table = lambda name: pa.table({name: ids, **{a: p[:, i] for i, a in enumerate("xyz")}})
+    seen, real = [], knn._distances
+    monkeypatch.setattr(knn, "_distances", lambda q, t: seen.append(len(t)) or real(q, t))
+    out = knn._search(6, 8.0, False, ())(table("point_id"), table("neighbour_id")).to_pydict()
+    assert max(seen) == 3 * 7
+    for i in (0, 1, 2, 3, 399):
+        d = ((p - p[i]) ** 2).sum(1)
+        want = [b for _, b in sorted((d[j], ids[j]) for j in range(400) if j != i)[:6]]
+        assert [n["neighbour_id"] for n in out["near"][i]] == want
