@@ -36,9 +36,16 @@ def _frame(found) -> pd.DataFrame:
     return pd.DataFrame([(*place, *a.shape[::-1], a.dtype.str, np.ascontiguousarray(a).tobytes()) for place, a in found], columns=COLUMNS)
 
 
+def _few(batches, most: int = 64):
+    """The frames in pieces: a batch may hold thousands of bricks, and what is made of a brick is many times its size."""
+    for b in batches:
+        for k in range(0, len(b), most):
+            yield b.iloc[k : k + most]
+
+
 def each_brick(bricks: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             yield _frame((place, f(a)) for place, a in _bricks(b))
 
     return bricks.mapInPandas(run, SCHEMA)
@@ -54,7 +61,7 @@ def with_margin(bricks: DataFrame, shape: tuple[int, int, int], brick: int, marg
     counts = [-(-n // brick) for n in shape]
 
     def send(batches):
-        for b in batches:
+        for b in _few(batches):
             out = []
             for place, a in _bricks(b):
                 for step in product((-1, 0, 1), repeat=3):
@@ -136,7 +143,7 @@ def parts(mask: DataFrame, shape: tuple[int, int, int], brick: int, cut: Cut) ->
         return ((place[2] * counts[1] + place[1]) * counts[0] + place[0]) * brick**3
 
     def inside(batches):
-        for b in batches:
+        for b in _few(batches):
             rows = []
             for place, a in _bricks(b):
                 label = local_labels(a)
@@ -151,7 +158,7 @@ def parts(mask: DataFrame, shape: tuple[int, int, int], brick: int, cut: Cut) ->
 
     def faces(batches):
         """A face's set voxels as (axis, the cell on its lower side, label), from both sides."""
-        for b in batches:
+        for b in _few(batches):
             out = []
             for place, a in _bricks(b):
                 label = local_labels(a)
@@ -179,7 +186,7 @@ def label_bricks(mask: DataFrame, shape: tuple[int, int, int], brick: int) -> Da
     counts = [-(-n // brick) for n in shape]
 
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             out = []
             for place, a in _bricks(b):
                 label = local_labels(a)
@@ -195,7 +202,7 @@ def keep_parts(mask: DataFrame, named: DataFrame, fill: bool = False) -> DataFra
     lists = named.groupBy(*PLACE).agg(F.collect_list("local").alias("held"))  # no more than a brick's parts
 
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             out = []
             for (place, a), held in zip(_bricks(b), b["held"], strict=True):
                 chosen = np.isin(local_labels(a), [] if held is None else held)

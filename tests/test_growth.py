@@ -96,3 +96,19 @@ def test_knn_compares_no_more_copies_than_can_be_near(spark, monkeypatch):
         d = ((p - p[i]) ** 2).sum(1)
         want = [b for _, b in sorted((d[j], ids[j]) for j in range(400) if j != i)[:6]]
         assert [n["neighbour_id"] for n in out["near"][i]] == want
+
+
+def test_mask_steps_hold_few_bricks_at_a_time():
+    import pandas as pd
+
+    from corrvox.operators import masks
+
+    class Rows:
+        def mapInPandas(self, f, schema):
+            return f
+
+    one = np.ones((2, 2, 2), "u1")
+    batch = pd.DataFrame([(k, 0, 0, 2, 2, 2, "|u1", one.tobytes()) for k in range(300)], columns=masks.COLUMNS)
+    for step in (masks.each_brick(Rows(), lambda a: a), masks.label_bricks(Rows(), (600, 2, 2), 2)):
+        sizes = [len(frame) for frame in step(iter([batch]))]
+        assert sum(sizes) == 300 and max(sizes) <= 64
