@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrvox.llm.common import join_small, materialize, partitions, release
+from corrvox.llm.common import TEXT_ROWS, join_small, materialize, partitions, release
 from corrvox.llm.graph import connected_components
 from corrvox.llm.shingles import blocks, shingle_hashes
 
@@ -236,7 +236,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose documents link. ``rows``: doc_id, text of all nodes."""
     need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(join_small(rows, need, "doc_id", "left_semi").mapInArrow(_set_rows, "rep long, items binary"), "sets")
+    sets = materialize(join_small(rows, need, "doc_id", "left_semi").mapInArrow(_set_rows, "rep long, items binary"), "sets", TEXT_ROWS)
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
     members = dealt.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "block", "b", "items")
@@ -363,7 +363,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = materialize(rows.mapInArrow(_signatures, "doc_id long, n long, fp binary"), "sigs")
+    sigs = materialize(rows.mapInArrow(_signatures, "doc_id long, n long, fp binary"), "sigs", TEXT_ROWS)
     full = sigs.where("n > 0 and doc_id is not null")
     reps = materialize(full.groupBy("fp", "n").agg(F.min("doc_id").alias("rep")), "reps")
     total = reps.agg(F.sum("n")).first()[0] or 0
@@ -374,7 +374,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = rows.join(reps.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     packed = nodes.mapInArrow(_packed_shingles(buckets), "bucket int, low binary, who binary, reps binary")
     shared = packed.repartition(max(parts, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(), "rep long, key long, df long")
-    shared = materialize(shared, "shared")
+    shared = materialize(shared, "shared", TEXT_ROWS)
 
     head = reps.groupBy("rep").agg(F.max("n").alias("n"))
     by = Window.partitionBy("rep")

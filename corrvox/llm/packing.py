@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrvox.llm.common import materialize
+from corrvox.llm.common import TEXT_ROWS, materialize
 from corrvox.llm.tokens import chunks, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,6 +37,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str
             for lo, hi in chunks(b.column("text")):
                 part = b.slice(lo, hi - lo)
                 flat, starts = enc.column(part.column("text"))
+                pa.default_memory_pool().release_unused()  # what the words took; else the worker keeps it
                 many = -(-np.diff(starts) // capacity)
                 doc = np.repeat(np.arange(len(many)), many)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
@@ -210,4 +211,4 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, nearly: int = 8, fan_in
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, **kw) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row."""
-    return pack_pieces(materialize(pieces_of(docs, tokenizer, capacity, **kw), "pieces"), capacity)
+    return pack_pieces(materialize(pieces_of(docs, tokenizer, capacity, **kw), "pieces", TEXT_ROWS), capacity)

@@ -44,7 +44,7 @@ _SPACE = _BYTE_CHARS[32]
 class WordEncoder:
     """Little-endian unsigned 32-bit ids of texts (null: none) and the end id after each."""
 
-    def __init__(self, path: str, drops_spaces: bool, end: int | None = 0, memo: int = 400_000, special_text: bool = False) -> None:
+    def __init__(self, path: str, drops_spaces: bool, end: int | None = 0, memo: int = 100_000, special_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -70,12 +70,13 @@ class WordEncoder:
             out.update(zip(part, (e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
         rest = [p for p in pieces if p not in out]
         rows = [rest[k : k + 100] for k in range(0, len(rest), 100)]
-        for part, e in zip(rows, self.tok.encode_batch_fast([self.join.join(r) for r in rows], add_special_tokens=False), strict=True):
-            ids = e.ids
-            cuts = [k for k, i in enumerate(ids) if i == self.mark_id]
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the mark isn't one token")
-            out.update((p, ids[a + 1 : z]) for p, a, z in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True))
+        for k in range(0, len(rows), 10):
+            for part, e in zip(rows[k : k + 10], self.tok.encode_batch_fast([self.join.join(r) for r in rows[k : k + 10]], add_special_tokens=False), strict=True):
+                ids = e.ids
+                cuts = [i for i, x in enumerate(ids) if x == self.mark_id]
+                if len(cuts) != len(part) - 1:
+                    raise ValueError("the mark isn't one token")
+                out.update((p, ids[a + 1 : z]) for p, a, z in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True))
         return [out[p] for p in pieces]
 
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +182,7 @@ class WordEncoder:
 _cache: dict[tuple, WordEncoder] = {}
 
 
-def chunks(texts: pa.Array, most: int = 8_000_000):
+def chunks(texts: pa.Array, most: int = 2_000_000):
     """Ranges of rows of about ``most`` bytes of text, one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0

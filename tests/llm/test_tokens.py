@@ -174,3 +174,28 @@ def test_pack_documents_edges(spark):
     by = sorted((r.doc_id or 0, r.piece, r.length) for r in out)
     assert by == [(0, 0, 2), (1, 0, 1), (2, 0, 1), (3, 0, 2048), (3, 0, 2048), (3, 1, 2048), (3, 1, 2048), (3, 2, 905), (3, 2, 905)]
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+def test_texts_reach_python_in_bounded_batches(spark, monkeypatch):
+    from corrvox.llm.common import TEXT_ROWS, materialize
+    from corrvox.llm.tokens import chunks
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(rows)
+
+    def sizes(batches):  # a piece for each batch, as long as the batch has rows
+        for b in batches:
+            one = pa.array([1])
+            yield pa.RecordBatch.from_arrays([one, pa.array([0], pa.int32()), pa.array([0]), pa.array([b.num_rows]), one], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    docs = spark.range(3 * TEXT_ROWS).coalesce(1).selectExpr("id as doc_id", "'a b' as text")
+    monkeypatch.setattr(packing, "pieces_of", lambda docs, *a, **kw: docs.mapInArrow(sizes, packing.PIECES))
+    assert [r.length for r in packing.pack_documents(docs, "").collect()] == [TEXT_ROWS] * 3
+    with pytest.raises(Exception):
+        materialize(docs.selectExpr("raise_error('no')"), "fails", TEXT_ROWS)
+    assert spark.conf.get(rows) == was
+    # A chunk's words, ids and places take many times its bytes.
+    texts = pa.array(["x" * 5_000] * 1_000 + ["y" * 3_000_000])
+    got = list(chunks(texts))
+    assert [a for a, _ in got] == [0, *(z for _, z in got[:-1])] and got[-1][1] == len(texts)
+    assert all(z - a == 1 or (z - a) * 5_000 <= 2_000_000 for a, z in got)
