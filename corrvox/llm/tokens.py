@@ -1,10 +1,10 @@
 """Token ids of whole texts by the tokenizers library, with each distinct word encoded once.
 
 Both vocabularies break a text into pre-tokens that never reach over a space that stands between
-two visible characters. A text is therefore cut at such spaces, every distinct piece is encoded
-once by the library, and the pieces' ids are joined; the result equals encoding the whole text.
-Words are found, counted and looked up in Arrow; only words that the memo doesn't hold pass through
-Python. The memo takes words that occur twice in a chunk, ``memo`` of them at most; beyond that the
+two visible characters, nor from a Latin letter over a mark of punctuation that follows it. A text is
+therefore cut at such places, every distinct piece is encoded once by the library, and the pieces'
+ids are joined; the result equals encoding the whole text. Words are found, counted and looked up in
+Arrow; only words that the memo doesn't hold pass through Python, many in one string. The memo takes words that occur twice in a chunk, ``memo`` of them at most; beyond that the
 half that was used longest ago goes.
 
 Strings of the tokenizer's special tokens in a text give their ids, as the library's defaults say;
@@ -25,9 +25,12 @@ _ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 #: The same, and NUL, for the regular expressions of Arrow.
 _ODD_RE2 = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _GAP = re.compile(r"\s")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-#: A space or none, letters whose lower case is one letter (U+0130 has two), and marks: one pre-token and then one or none.
-_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]*)")
+#: Letters whose lower case is one letter (U+0130 has two), and marks that never belong to the pre-token of a letter before them.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]", "[.,;:!?]"
+_CUT, _TAIL = r"(?<=\S)(?= \S)", f"(?<={_LETTERS})(?={_MARKS})"
+_TAIL_RE2 = f"({_LETTERS})({_MARKS})"
+#: A space or none and letters: one pre-token.
+_PLAIN_RE2 = f"^ ?{_LETTERS}+$"
 
 
 def _byte_chars() -> dict[int, str]:
@@ -37,8 +40,16 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-_BYTE_CHARS = _byte_chars()
-_SPACE = _BYTE_CHARS[32]
+#: The alphabet as code points. Between words NUL is a space that parts them and a line feed the mark.
+_ALPHABET = np.array([ord(_byte_chars().get(b, chr(b))) for b in range(256)], "<u4")
+_ALPHABET[0] = 32
+
+
+def _rows(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``begin`` and have ``size`` numbers, one after the other."""
+    take = np.arange(int(size.sum()), dtype=np.int64)
+    take += np.repeat(begin - (np.cumsum(size) - size), size)
+    return flat[take]
 
 
 class WordEncoder:
@@ -47,6 +58,7 @@ class WordEncoder:
     def __init__(self, path: str, drops_spaces: bool, end: int | None = 0, memo: int = 100_000, special_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_text
@@ -56,7 +68,12 @@ class WordEncoder:
         self.mark, self.join = ("\x01", " \x01 ") if drops_spaces else ("\n", "\n")
         self.mark_id = self.tok.encode(self.mark, add_special_tokens=False).ids[0]
         self.end = np.array([] if end is None else [end], "<u4")
-        self.ends: dict[str, list[int]] = {"": []}
+        # The same model without normalisation, for words in the alphabet of bytes that a space parts.
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        self.line_id = self.model.encode(chr(_ALPHABET[10]), add_special_tokens=False).ids[0]
+        self.tails = not any(re.search(_TAIL, s) for s in self.special)
+        self.cut = re.compile(f"{_CUT}|{_TAIL}" if self.tails else _CUT)
         # The memo: words, where each one's ids lie in ``flat``, and the chunk that used it last.
         self.words, self.flat, self.chunk = pa.array([""], pa.string()), np.zeros(0, "<u4"), 0
         self.begin, self.size, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -79,30 +96,33 @@ class WordEncoder:
                 out.update((p, ids[a + 1 : z]) for p, a, z in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True))
         return [out[p] for p in pieces]
 
-    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: pa.Array, many: int = 1_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are one pre-token and that normalisation leaves as they are, one after the other, and how many each has."""
+        flat, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        edges = np.append(np.arange(0, len(words), many), len(words)).astype(np.int32)
+        for k, row in enumerate(pc.binary_join(pa.ListArray.from_arrays(edges, words), "\0\n\0")):
+            row = _ALPHABET[np.frombuffer(row.as_buffer(), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.model.encode_batch_fast([row], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line_id)
+            if len(cuts) != edges[k + 1] - edges[k] - 1:
+                raise ValueError("the line feed isn't one token")
+            flat.append(np.delete(ids, cuts))
+            sizes.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces, one after the other, and how many each has."""
-        got: list[list[int] | None] = [None] * len(pieces)
-        other: list[int] = []
-        model, plain, ends = self.tok.model.tokenize, _PLAIN.fullmatch, self.ends
-        for k, p in enumerate(pieces):
-            m = plain(p)
-            if m is None:
-                other.append(k)
-                continue
-            # One pre-token that normalisation leaves as it is, but for its case; the model takes it as it is.
-            word, tail = m.groups()
-            if self.drops:
-                word = word.lower()
-            word = word.replace(" ", _SPACE) if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
-            if tail not in ends:
-                ends[tail] = self.tok.encode(tail, add_special_tokens=False).ids
-            got[k] = [t.id for t in model(word)] + ends[tail]
-        for k, ids in zip(other, self._library([pieces[k] for k in other]), strict=True):
-            got[k] = ids
-        if len(ends) > 10_000:
-            self.ends = {"": []}
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for ids in got for i in ids), "<u4", int(sizes.sum())), sizes
+        plain = pc.match_substring_regex(pieces, _PLAIN_RE2)
+        words = pieces.filter(plain)
+        flat, n_word = self._words(pc.utf8_lower(words) if self.drops else words)
+        got = self._library(pieces.filter(pc.invert(plain)).to_pylist())
+        n_other = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.concatenate([flat, np.fromiter((i for ids in got for i in ids), "<u4", int(n_other.sum()))])
+        sizes = np.concatenate([n_word, n_other])
+        begins = np.cumsum(sizes) - sizes
+        plain = plain.to_numpy(zero_copy_only=False)
+        order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
+        return _rows(flat, begins[order], sizes[order]), sizes[order]
 
     def _look(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A table of ids, and where in it the ids of each of the distinct words begin and how many they are."""
@@ -112,7 +132,7 @@ class WordEncoder:
         at = at.fill_null(0).to_numpy()
         self.used[at[~new]] = self.chunk
         unknown = words.filter(pa.array(new))
-        ids, sizes = self._learn(unknown.to_pylist())
+        ids, sizes = self._learn(unknown)
         begins = len(self.flat) + np.cumsum(sizes) - sizes
         begin, size = self.begin[at], self.size[at]
         begin[new], size[new] = begins, sizes
@@ -136,14 +156,17 @@ class WordEncoder:
     def _cut(self, texts: pa.Array) -> pa.ListArray:
         """The pieces of each text (no null among them)."""
         if self.drops:
-            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            texts = pc.replace_substring(texts, "\n", " ")
+            return pc.split_pattern(pc.replace_substring_regex(texts, _TAIL_RE2, r"\1 \2") if self.tails else texts, " ")
         odd = pc.match_substring_regex(texts, _ODD_RE2)
         # One space between visible characters goes with the word that follows it; one line feed stands alone.
         marked = pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", texts), " ", "\x00 "), "\n", "\x00\n\x00")
+        if self.tails:
+            marked = pc.replace_substring_regex(marked, _TAIL_RE2, "\\1\x00\\2")
         cut = pc.split_pattern(marked, "\x00")
         rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if len(rows):
-            lists = [_CUT.split(t) for t in texts.take(pa.array(rows)).to_pylist()]
+            lists = [self.cut.split(t) for t in texts.take(pa.array(rows)).to_pylist()]
             both = pa.concat_arrays([cut, pa.array(lists, cut.type)])
             where = np.arange(len(texts))
             where[rows] = len(texts) + np.arange(len(rows))
@@ -156,16 +179,13 @@ class WordEncoder:
         coded = cut.flatten().dictionary_encode()
         word = coded.indices.to_numpy()
         table, begin, size = self._look(coded.dictionary, np.bincount(word, minlength=len(coded.dictionary)))
-        n_word = size[word]
-        upto = np.concatenate([[0], np.cumsum(n_word)])
+        begin, size = begin[word], size[word]
+        upto = np.concatenate([[0], np.cumsum(size)])
         offsets = cut.offsets.to_numpy()
         offsets = offsets - offsets[0]
         tail = len(self.end)
         starts = upto[offsets] + tail * np.arange(len(offsets))
-        # What has to be added to a place among all ids to get the place of the word's id in the table.
-        take = np.arange(int(upto[-1]), dtype=np.int64)
-        take += np.repeat(begin[word] - upto[:-1], n_word)
-        ids = table[take]
+        ids = _rows(table, begin, size)
         if not tail:
             return ids, starts
         out = np.full(int(starts[-1]), self.end[0], "<u4")
